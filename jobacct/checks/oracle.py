@@ -93,3 +93,211 @@ SELECT "user", CAST(count(*) AS BIGINT) AS job_count,
   round(avg(CASE WHEN state = 'COMPLETED' THEN memory_efficiency END), 6) AS avg_mem_efficiency
 FROM metrics GROUP BY "user"
 """)
+
+USAGE = """
+  CAST(count(*) AS BIGINT) AS job_count,
+  round(sum(cpu_s) / 3600.0, 6) AS total_cpu_hours,
+  round(sum(mem_mb_s) / 3686400.0, 6) AS total_memory_gb_hours,
+  round(sum(gpu_s) / 3600.0, 6) AS total_gpu_hours,
+  round(sum(cpu_waste_s) / 3600.0, 6) AS cpu_hours_wasted,
+  round(sum(mem_waste_mb_s) / 3686400.0, 6) AS memory_gb_hours_wasted"""
+
+INCOMPLETE = ("'RUNNING','PENDING','SUSPENDED','COMPLETING','CONFIGURING','POWER_UP_NODE','STAGE_OUT',"
+              "'SIGNALING','STOPPED','UPDATE_DB','REQUEUED','REQUEUE_FED','REQUEUE_HOLD','SPECIAL_EXIT',"
+              "'RESIZING','RESV_DEL_HOLD','REVOKED'")
+
+SQL["group_stats"] = q(f"""
+SELECT "group", CAST(count(DISTINCT "user") AS BIGINT) AS unique_users, {USAGE}
+FROM metrics GROUP BY "group"
+""")
+
+DAILY = """
+SELECT strftime(coalesce(start_time, submit_time), '%Y-%m-%d') AS job_date, CAST(count(*) AS BIGINT) AS job_count,
+  round(sum(cpu_s) / 3600.0, 6) AS cpu_hours, round(sum(gpu_s) / 3600.0, 6) AS gpu_hours,
+  round(sum(mem_mb_s) / 3686400.0, 6) AS memory_gb_hours, CAST(count(DISTINCT "user") AS BIGINT) AS unique_users
+FROM metrics GROUP BY 1"""
+SQL["daily_usage"] = q(DAILY)
+SQL["daily_usage_recent"] = q(f"SELECT * FROM ({DAILY}) ORDER BY job_date DESC LIMIT 14")
+
+SQL["efficiency_summary"] = q("""
+SELECT CAST(count(*) AS BIGINT) AS completed_jobs,
+  round(avg(cpu_efficiency), 6) AS cpu_mean, round(median(cpu_efficiency), 6) AS cpu_median,
+  round(min(cpu_efficiency), 6) AS cpu_min, round(max(cpu_efficiency), 6) AS cpu_max,
+  round(avg(memory_efficiency), 6) AS mem_mean, round(median(memory_efficiency), 6) AS mem_median,
+  round(min(memory_efficiency), 6) AS mem_min, round(max(memory_efficiency), 6) AS mem_max
+FROM metrics WHERE state = 'COMPLETED' HAVING count(*) > 0
+""")
+
+SQL["top_wasters"] = q("""
+SELECT "user", round(sum(cpu_waste_s) / 3600.0, 6) AS cpu_wasted, round(sum(mem_waste_mb_s) / 3686400.0, 6) AS mem_wasted
+FROM metrics WHERE state = 'COMPLETED' GROUP BY "user" ORDER BY sum(cpu_waste_s) DESC, "user" LIMIT 10
+""")
+
+SQL["cluster_summary"] = q("""
+SELECT CAST(count(*) AS BIGINT) AS total_jobs, CAST(count(DISTINCT "user") AS BIGINT) AS unique_users,
+  round(sum(cpu_s) / 3600.0, 6) AS total_cpu_hours, round(sum(gpu_s) / 3600.0, 6) AS total_gpu_hours,
+  round(sum(req_mem_mb) / 1024.0, 6) AS total_ram_gb, round(avg(wait_seconds) / 3600.0, 6) AS avg_wait_hours,
+  (SELECT string_agg(state || ': ' || format('{:,}', c), ', ' ORDER BY c DESC, state)
+     FROM (SELECT state, count(*) AS c FROM metrics GROUP BY state ORDER BY c DESC, state LIMIT 3)) AS top_states
+FROM metrics
+""")
+
+SQL["state_distribution"] = q("""
+SELECT state, CAST(count(*) AS BIGINT) AS "count",
+  round(count(*) / (SELECT count(*) FROM metrics) * 100, 6) AS percentage
+FROM metrics GROUP BY state
+""")
+
+SQL["worst_users"] = q("""
+SELECT "user", round(avg(cpu_efficiency), 6) AS cpu_efficiency FROM metrics WHERE state = 'COMPLETED'
+GROUP BY "user" ORDER BY avg(cpu_efficiency) ASC NULLS FIRST, "user" LIMIT 5
+""")
+
+SQL["waste_by_partition"] = q("""
+SELECT "partition", round(sum(cpu_waste_s) / 3600.0, 6) AS cpu_hours_wasted FROM metrics GROUP BY "partition"
+""")
+
+SQL["analysis_period"] = q("""
+SELECT CAST(CASE WHEN min(submit_time) IS NOT NULL AND max(end_time) IS NOT NULL
+  THEN greatest(floor((epoch_us(max(end_time)) - epoch_us(min(submit_time))) / 86400000000) + 1, 1) ELSE 7 END AS BIGINT) AS period_days
+FROM metrics
+""")
+
+SQL["top_users"] = q("""
+SELECT * FROM (
+SELECT "user", CAST(count(*) AS BIGINT) AS job_count,
+  round(sum(cpu_s) / 3600.0, 6) AS total_cpu_hours,
+  round(sum(mem_mb_s) / 3686400.0, 6) AS total_memory_gb_hours,
+  round(sum(gpu_s) / 3600.0, 6) AS total_gpu_hours,
+  round(sum(cpu_waste_s) / 3600.0, 6) AS cpu_hours_wasted,
+  round(sum(mem_waste_mb_s) / 3686400.0, 6) AS memory_gb_hours_wasted,
+  round(sum(req_mem_mb) / 1024.0, 6) AS total_ram_gb,
+  round(avg(wait_seconds) / 3600.0, 6) AS avg_wait_hours,
+  round(avg(CASE WHEN state = 'COMPLETED' THEN cpu_efficiency END), 6) AS avg_cpu_efficiency,
+  round(avg(CASE WHEN state = 'COMPLETED' THEN memory_efficiency END), 6) AS avg_mem_efficiency,
+  sum(cpu_s) AS _k
+FROM metrics GROUP BY "user") ORDER BY _k DESC, "user" LIMIT 15
+""").replace("SELECT * FROM (", "SELECT * EXCLUDE (_k) FROM (")
+
+SQL["top_share"] = q("""
+, us AS (SELECT "user", sum(cpu_s) / 3600.0 AS v FROM metrics GROUP BY "user"),
+pos AS (SELECT * FROM us WHERE v > 0),
+tot AS (SELECT sum(v) AS t, max(v) AS mx FROM pos)
+SELECT left("user", 15) AS label, round(v, 6) AS "value", round(v / t * 100, 6) AS share_pct,
+  CAST(CASE WHEN mx > 0 THEN floor(v / mx * 50) ELSE 0 END AS BIGINT) AS bar_length,
+  CASE WHEN v > mx * 0.66 THEN 'red' WHEN v > mx * 0.33 THEN 'yellow' ELSE 'green' END AS band
+FROM pos, tot ORDER BY v DESC, "user" LIMIT 20
+""").replace("\n\n, us AS", ", us AS")
+
+SQL["incomplete_jobs"] = q(f"SELECT job_id, state, job_date FROM metrics WHERE state IN ({INCOMPLETE})")
+
+SQL["prepare"] = q("""
+SELECT job_id, "user", "group", wait_seconds, round(alloc_cpus * (elapsed_seconds / 3600.0), 6) AS cpu_hours_reserved FROM metrics
+""")
+SQL["with_group"] = q('SELECT job_id, "user", "group" FROM metrics')
+SQL["groups_table"] = with_ctes(BASE) + """
+SELECT DISTINCT user_name AS "user", CASE user_id % 5 WHEN 0 THEN 'physics' WHEN 1 THEN 'chemistry'
+  WHEN 2 THEN 'biology' ELSE 'astronomy' END AS "group"
+FROM base WHERE user_id % 5 < 4
+"""
+SQL["wait_time"] = q("SELECT job_id, wait_seconds FROM metrics")
+SQL["backfill_reserved"] = q("""
+SELECT job_id, round(alloc_cpus * (elapsed_seconds / 3600.0), 6) AS cpu_hours_reserved,
+  round((req_mem_mb / 1024) * (elapsed_seconds / 3600.0), 6) AS memory_gb_hours_reserved,
+  0.0 AS gpu_hours_reserved FROM metrics
+""")
+JOB_METRICS = """
+  round(cpu_efficiency, 6) AS cpu_efficiency, round(memory_efficiency, 6) AS memory_efficiency,
+  round(greatest(0.0, (CAST(elapsed_seconds AS DOUBLE) * alloc_cpus - total_cpu_seconds) / 3600), 6) AS cpu_hours_wasted,
+  round(greatest(0.0, (req_mem_mb - max_rss_mb) * elapsed_seconds / 3686400), 6) AS memory_gb_hours_wasted,
+  round(alloc_cpus * (elapsed_seconds / 3600.0), 6) AS cpu_hours_reserved,
+  round((req_mem_mb / 1024) * (elapsed_seconds / 3600.0), 6) AS memory_gb_hours_reserved,
+  round(alloc_gpus * (elapsed_seconds / 3600.0), 6) AS gpu_hours_reserved"""
+SQL["job_metrics"] = q(f"SELECT job_id, {JOB_METRICS} FROM metrics")
+
+SILVER_SELECT = f"""
+  job_id, "user", job_name, "partition", state,
+  strftime(submit_time, '%Y-%m-%d %H:%M:%S') AS submit_time, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time,
+  strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time, node_list, elapsed_seconds, alloc_cpus,
+  round(req_mem_mb, 6) AS req_mem_mb, round(max_rss_mb, 6) AS max_rss_mb, round(total_cpu_seconds, 6) AS total_cpu_seconds,
+  alloc_gpus, {JOB_METRICS},
+  '2024-02-01 06:00:00' AS processed_date, state NOT IN ('RUNNING', 'PENDING') AS is_complete, job_date"""
+SQL["normalize_jobs"] = q(f"SELECT {SILVER_SELECT} FROM metrics")
+SQL["main_batch_join"] = q("SELECT job_id, state, alloc_cpus, total_cpu_seconds, max_rss_mb FROM metrics")
+
+# every rendered dump line: kind in stale | main | batch | extern | step0
+LINES = """
+lines AS (
+  SELECT b.*, k.kind,
+    CASE k.kind WHEN 'batch' THEN CAST(id AS VARCHAR) || '.batch' WHEN 'extern' THEN CAST(id AS VARCHAR) || '.extern'
+      WHEN 'step0' THEN CAST(id AS VARCHAR) || '.0' ELSE CAST(id AS VARCHAR) END AS "JobID",
+    CASE WHEN state = 'CANCELLED' THEN 'CANCELLED by ' || CAST(user_id AS VARCHAR) ELSE state END AS state_txt,
+    CASE WHEN state = 'PENDING' THEN '' WHEN nspan = 0 THEN printf('node-%03d', n0)
+         ELSE printf('node-[%03d-%03d]', n0, n0 + nspan) END AS node_txt,
+    strftime(CASE WHEN state = 'PENDING' THEN start_ts - to_seconds(wait_s) ELSE start_ts END, '%Y-%m-%d') AS own_date
+  FROM base b JOIN (VALUES ('stale'), ('main'), ('batch'), ('extern'), ('step0')) k(kind)
+    ON (k.kind = 'main') OR (k.kind = 'stale' AND b.id % 50 = 25)
+    OR (b.state <> 'PENDING' AND (k.kind = 'batch' OR (k.kind = 'extern' AND b.id % 7 = 0) OR (k.kind = 'step0' AND b.id % 11 = 0)))
+)"""
+
+
+def ql(body: str) -> str:
+    return with_ctes(BASE, LINES) + body
+
+
+SQL["scan_accounting"] = ql("""
+SELECT "JobID", "JobID" AS "JobIDRaw",
+  CASE WHEN kind IN ('main', 'stale') THEN (CASE WHEN id % 89 = 7 THEN '' ELSE user_name END) ELSE '' END AS "User",
+  CASE WHEN kind = 'stale' THEN 'PENDING' ELSE state_txt END AS "State",
+  CASE WHEN kind = 'batch' THEN '' ELSE part END AS "Partition",
+  node_txt AS "NodeList", CASE WHEN kind = 'stale' THEN '0' ELSE CAST(elapsed AS VARCHAR) END AS "ElapsedRaw"
+FROM lines
+""")
+SQL["scan_day"] = ql("""
+SELECT own_date AS job_date, CAST(count(*) AS BIGINT) AS lines,
+  CAST(count(*) FILTER (WHERE kind IN ('main', 'stale')) AS BIGINT) AS main_lines,
+  CAST(count(*) FILTER (WHERE kind = 'batch') AS BIGINT) AS batch_lines
+FROM lines GROUP BY 1
+""")
+SQL["classify_steps"] = ql("""
+SELECT "JobID", CAST(id AS VARCHAR) AS job_id_base, kind = 'batch' AS is_batch_step, kind IN ('main', 'stale') AS is_main_job,
+  NOT (CASE WHEN kind = 'stale' THEN 'PENDING' ELSE state_txt END) IN ('RUNNING', 'PENDING', 'REQUEUED', 'SUSPENDED', 'PREEMPTED') AS is_finished
+FROM lines
+""")
+SQL["job_date"] = ql('SELECT "JobID", own_date AS job_date FROM lines')
+SQL["normalize_state"] = ql("""
+SELECT "JobID", CASE WHEN kind = 'stale' THEN 'PENDING' ELSE state_txt END AS raw_state,
+  CASE WHEN kind = 'stale' THEN 'PENDING' ELSE state END AS state
+FROM lines WHERE kind IN ('main', 'stale')
+""")
+SQL["user_fallback"] = ql("""
+SELECT "JobID", CASE WHEN id % 89 = 7 THEN (CASE WHEN id % 2 = 0 THEN 'MISSING_USER' ELSE 'uid_' || CAST(user_id AS VARCHAR) END)
+  ELSE user_name END AS "user"
+FROM lines WHERE kind IN ('main', 'stale')
+""")
+SQL["parse_memory"] = ql("""
+SELECT "JobID", CASE WHEN kind = 'stale' THEN 1.0 ELSE CAST(req_mb AS DOUBLE) END AS req_mem_mb,
+  CASE kind WHEN 'batch' THEN CAST(rss_mb AS DOUBLE) WHEN 'step0' THEN 999.0 * 1024 ELSE 0.0 END AS max_rss_mb
+FROM lines
+""")
+SQL["parse_cpu_time"] = ql("""
+SELECT "JobID", CASE kind WHEN 'batch' THEN CAST(tcpu AS DOUBLE) WHEN 'extern' THEN 1.0 WHEN 'step0' THEN 777600.0 ELSE 0.0 END AS total_cpu_seconds
+FROM lines
+""")
+SQL["parse_int"] = ql("""
+SELECT "JobID", CASE WHEN kind = 'stale' THEN 0 ELSE elapsed END AS elapsed_seconds,
+  CASE WHEN kind = 'stale' THEN 1 ELSE cpus END AS alloc_cpus
+FROM lines
+""")
+SQL["parse_timestamp"] = ql("""
+SELECT "JobID", strftime(start_ts - to_seconds(wait_s), '%Y-%m-%d %H:%M:%S') AS submit_time,
+  CASE WHEN state = 'PENDING' THEN NULL ELSE strftime(start_ts, '%Y-%m-%d %H:%M:%S') END AS start_time,
+  CASE WHEN state IN ('PENDING', 'RUNNING') THEN NULL ELSE strftime(start_ts + to_seconds(elapsed), '%Y-%m-%d %H:%M:%S') END AS end_time
+FROM lines WHERE kind IN ('main', 'stale')
+""")
+SQL["parse_gpu"] = ql("SELECT \"JobID\", CASE WHEN kind = 'batch' THEN 0 ELSE gpus END AS alloc_gpus FROM lines")
+SQL["partition_cores"] = ql("""
+SELECT "JobID", part || '-' || CAST(CASE WHEN kind = 'stale' THEN 1 ELSE cpus END AS VARCHAR) || 'c' AS "partition",
+  CAST(CASE WHEN kind = 'stale' THEN 1 ELSE cpus END AS BIGINT) AS cores
+FROM lines WHERE kind IN ('main', 'stale')
+""")

@@ -72,3 +72,252 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_stats(spark, sf_dir):
     """A1 flagship: per-user usage over every job of the dump."""
     return R.user_stats(prepared(spark, sf_dir))
+
+
+def _ts_txt(c: str):
+    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@register("group_stats")
+def group_stats(spark, sf_dir):
+    """A2: per research group; mapping derived from the users of ``events``."""
+    return R.group_stats(prepared(spark, sf_dir))
+
+
+@register("daily_usage")
+def daily_usage(spark, sf_dir):
+    """A5 + P22: per day of start (else submit)."""
+    return R.daily_usage(prepared(spark, sf_dir))
+
+
+@register("daily_usage_recent")
+def daily_usage_recent(spark, sf_dir):
+    """The last 14 days of the daily table."""
+    return R.daily_usage_recent(R.daily_usage(prepared(spark, sf_dir)), 14)
+
+
+@register("efficiency_summary")
+def efficiency_summary(spark, sf_dir):
+    """A6 + F2: efficiency statistics over COMPLETED jobs."""
+    return R.efficiency_summary(prepared(spark, sf_dir))
+
+
+@register("top_wasters")
+def top_wasters(spark, sf_dir):
+    """A7 + T4: top 10 users by wasted CPU hours (COMPLETED jobs)."""
+    return R.top_wasters(prepared(spark, sf_dir), 10)
+
+
+@register("cluster_summary")
+def cluster_summary(spark, sf_dir):
+    """A8 + T5: cluster totals and top-3 states."""
+    return R.cluster_summary(prepared(spark, sf_dir))
+
+
+@register("state_distribution")
+def state_distribution(spark, sf_dir):
+    """Jobs per state and share."""
+    return R.state_distribution(silver(spark, sf_dir))
+
+
+@register("worst_users")
+def worst_users(spark, sf_dir):
+    """A10: 5 users with the lowest mean CPU efficiency."""
+    return R.worst_users(silver(spark, sf_dir), 5)
+
+
+@register("waste_by_partition")
+def waste_by_partition(spark, sf_dir):
+    """Wasted CPU hours per partition."""
+    return R.waste_by_partition(silver(spark, sf_dir))
+
+
+@register("analysis_period")
+def analysis_period(spark, sf_dir):
+    """Analysis period in days."""
+    return R.analysis_period(silver(spark, sf_dir))
+
+
+@register("top_users")
+def top_users(spark, sf_dir):
+    """Top 15 users by CPU hours."""
+    return R.top_users(R.user_stats(prepared(spark, sf_dir)), 15)
+
+
+@register("top_share")
+def top_share(spark, sf_dir):
+    """T6 + F6 + W6: CPU-hours bar chart of users (top 20, share of all)."""
+    return R.top_share(R.user_stats(prepared(spark, sf_dir)), "user", "total_cpu_hours", 20, 50)
+
+
+@register("incomplete_jobs")
+def incomplete_jobs(spark, sf_dir):
+    """jobs in a state that can still change."""
+    return R.incomplete_jobs(silver(spark, sf_dir)).select("job_id", "state", "job_date")
+
+
+@register("prepare")
+def prepare(spark, sf_dir):
+    """Group, back-filled reserved hours and wait per job."""
+    return prepared(spark, sf_dir).select("job_id", "user", "group", "wait_seconds", "cpu_hours_reserved")
+
+
+@register("with_group")
+def with_group(spark, sf_dir):
+    """User -> group (last configured group wins; unknown -> ungrouped)."""
+    return R.with_group(silver(spark, sf_dir), groups(spark, sf_dir)).select("job_id", "user", "group")
+
+
+@register("groups_table")
+def groups_table(spark, sf_dir):
+    """The (user, group) dimension."""
+    return groups(spark, sf_dir)
+
+
+@register("wait_time")
+def wait_time(spark, sf_dir):
+    """Whole seconds from submit to start."""
+    return R.with_wait(silver(spark, sf_dir)).select("job_id", "wait_seconds")
+
+
+@register("backfill_reserved")
+def backfill_reserved(spark, sf_dir):
+    """P20: silver written before the reserved columns existed."""
+    old = silver(spark, sf_dir).drop(*R.RESERVED_COLUMNS)
+    return R.backfill_reserved(old).select("job_id", *R.RESERVED_COLUMNS)
+
+
+@register("job_metrics")
+def job_metrics(spark, sf_dir):
+    """Efficiency, waste and reserved hours per job."""
+    return silver(spark, sf_dir).select(
+        "job_id", "cpu_efficiency", "memory_efficiency", "cpu_hours_wasted", "memory_gb_hours_wasted",
+        *R.RESERVED_COLUMNS,
+    )
+
+
+@register("normalize_jobs")
+def normalize_jobs(spark, sf_dir):
+    """C1 + P23: the whole silver table (times as text)."""
+    s = silver(spark, sf_dir)
+    cols = [_ts_txt(c) if c in ("submit_time", "start_time", "end_time", "processed_date") else F.col(c) for c in s.columns]
+    return s.select(*cols)
+
+
+@register("main_batch_join")
+def main_batch_join(spark, sf_dir):
+    """J1 + W5: usage from the batch step, else the main row; last line wins."""
+    return silver(spark, sf_dir).select("job_id", "state", "alloc_cpus", "total_cpu_seconds", "max_rss_mb")
+
+
+# --- per-line parsers over the whole dump ------------------------------------
+@register("scan_accounting")
+def scan_accounting(spark, sf_dir):
+    """Every 61-field line of the dump (malformed lines dropped)."""
+    return bronze(spark, sf_dir).select("JobID", "JobIDRaw", "User", "State", "Partition", "NodeList", "ElapsedRaw")
+
+
+@register("scan_day")
+def scan_day(spark, sf_dir):
+    """Lines per own job date, over the calendar of all dump dates."""
+    b = bronze(spark, sf_dir)
+    dated = S.with_job_date(b).where(F.col("job_date").isNotNull())
+    span = dated.agg(F.min("job_date").alias("lo"), F.max("job_date").alias("hi"))
+    cal = span.select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("d"))
+    cal = cal.select(F.date_format("d", "yyyy-MM-dd").alias("job_date"))
+    day = S.read_accounting_day(b, cal)
+    return day.groupBy("job_date").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("is_main_job")).alias("main_lines"),
+        F.count_if(F.col("is_batch_step")).alias("batch_lines"),
+    )
+
+
+@register("classify_steps")
+def classify_steps(spark, sf_dir):
+    """Base id and step kind of every line."""
+    return bronze(spark, sf_dir).select("JobID", "job_id_base", "is_batch_step", "is_main_job", "is_finished")
+
+
+@register("job_date")
+def job_date_q(spark, sf_dir):
+    """Each line's own job date."""
+    from jobacct.functions.text import job_date
+
+    return bronze(spark, sf_dir).select("JobID", job_date("Start", "Submit").alias("job_date"))
+
+
+@register("normalize_state")
+def normalize_state_q(spark, sf_dir):
+    """P5: CANCELLED variants folded."""
+    from jobacct.functions.text import normalize_state
+
+    b = bronze(spark, sf_dir).where("is_main_job")
+    return b.select("JobID", F.col("State").alias("raw_state"), normalize_state("State").alias("state"))
+
+
+@register("user_fallback")
+def user_fallback(spark, sf_dir):
+    """Blank user -> uid_<UID> / MISSING_USER, on main lines."""
+    from jobacct.functions.text import user_or_uid
+
+    return bronze(spark, sf_dir).where("is_main_job").select("JobID", user_or_uid("User", "UID").alias("user"))
+
+
+@register("parse_memory")
+def parse_memory(spark, sf_dir):
+    """ReqMem and MaxRSS of every line in MB."""
+    from jobacct.functions.text import memory_mb
+
+    b = bronze(spark, sf_dir)
+    return b.select("JobID", memory_mb("ReqMem").alias("req_mem_mb"), memory_mb("MaxRSS").alias("max_rss_mb"))
+
+
+@register("parse_cpu_time")
+def parse_cpu_time(spark, sf_dir):
+    """TotalCPU of every line in seconds."""
+    from jobacct.functions.text import cpu_seconds
+
+    return bronze(spark, sf_dir).select("JobID", cpu_seconds("TotalCPU").alias("total_cpu_seconds"))
+
+
+@register("parse_int")
+def parse_int(spark, sf_dir):
+    """ElapsedRaw and AllocCPUS of every line."""
+    from jobacct.functions.text import safe_int
+
+    b = bronze(spark, sf_dir)
+    return b.select("JobID", safe_int("ElapsedRaw").alias("elapsed_seconds"), safe_int("AllocCPUS").alias("alloc_cpus"))
+
+
+@register("parse_timestamp")
+def parse_timestamp(spark, sf_dir):
+    """P10: Submit / Start / End of main lines (as UTC text)."""
+    from jobacct.functions.text import safe_timestamp
+
+    b = bronze(spark, sf_dir).where("is_main_job")
+    t = b.select(
+        "JobID",
+        safe_timestamp("Submit").alias("submit_time"),
+        safe_timestamp("Start").alias("start_time"),
+        safe_timestamp("End").alias("end_time"),
+    )
+    return t.select("JobID", _ts_txt("submit_time"), _ts_txt("start_time"), _ts_txt("end_time"))
+
+
+@register("parse_gpu")
+def parse_gpu(spark, sf_dir):
+    """GPUs from AllocTRES of every line."""
+    from jobacct.functions.text import gpu_count
+
+    return bronze(spark, sf_dir).select("JobID", gpu_count("AllocTRES").alias("alloc_gpus"))
+
+
+@register("partition_cores")
+def partition_cores_q(spark, sf_dir):
+    """Cores from the partition name (first digit run, else 0)."""
+    from jobacct.functions.text import partition_cores
+
+    b = bronze(spark, sf_dir).where("is_main_job")
+    p = F.concat(F.col("Partition"), F.lit("-"), F.col("AllocCPUS"), F.lit("c"))
+    return b.select("JobID", p.alias("partition"), partition_cores(p).alias("cores"))
