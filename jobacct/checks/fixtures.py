@@ -11,10 +11,17 @@ All of it is lazy Spark work over ``events``; it grows with the table.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobacct.schemas import ACCOUNTING_FIELDS
+from jobacct.session import checkpoint_root, path_exists
+
+# bump when the rendering below changes (materialised dumps are keyed by it)
+FIXTURE_VERSION = 1
 
 # --- fixed values of the derivation (shared with the oracle SQL) ------------
 PARTITION_OF_EVENT_TYPE = {"view": "batch", "click": "interactive", "purchase": "gpu", "signup": "debug"}
@@ -31,7 +38,15 @@ FMT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    """The events table, spread over the cluster's cores when its files give
+    fewer splits than that (one small file is one split; each event renders
+    into several dump lines, so the rendering needs the parallelism). A
+    table already read in many splits is used as it is: no shuffle."""
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if ev.rdd.getNumPartitions() < cores:
+        ev = ev.repartition(cores)
+    return ev
 
 
 def _case(col: Column, mapping: dict, other: str) -> Column:
@@ -293,3 +308,23 @@ def group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_name", F.explode(arr).alias("g")).where(F.col("g").isNotNull()).select(
         "g.group_order", "g.group", F.col("user_name").alias("user")
     )
+
+
+def dump_path(spark: SparkSession, sf_dir: str, run: int = 0) -> str:
+    """Folder of text files holding the rendered accounting dump.
+
+    Rendered once per (test table, run) into the shared checkpoint folder, in
+    line order (range-partitioned and sorted by the line sequence, so file
+    name order then line order is dump order), and read back through the
+    text source like any dump."""
+    ev = f"{sf_dir.rstrip('/')}/events.parquet"
+    st = os.stat(ev) if os.path.exists(ev) else None
+    ident = f"{FIXTURE_VERSION}|{os.path.abspath(ev)}|{run}|{st.st_size if st else ''}|{st.st_mtime_ns if st else ''}"
+    key = hashlib.sha1(ident.encode()).hexdigest()[:16]
+    path = f"{checkpoint_root(spark).rstrip('/')}/jobacct/dumps/{key}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        lines = accounting_lines(spark, sf_dir, run)
+        n = max(spark.sparkContext.defaultParallelism, 1)
+        out = lines.repartitionByRange(n, "seq").sortWithinPartitions("seq").select("value")
+        out.write.mode("overwrite").text(path)
+    return path

@@ -52,7 +52,8 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
 
 # --- shared pipeline pieces --------------------------------------------------
 def bronze(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
-    return S.parse_accounting_lines(FX.accounting_lines(spark, sf_dir, run))
+    """S1 over the dump rendered from ``events`` (materialised once as text)."""
+    return S.read_accounting_text(spark, FX.dump_path(spark, sf_dir, run))
 
 
 def silver(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:

@@ -38,12 +38,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/jobacct/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system of ``path`` (local,
+    HDFS or object store alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def local_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Session for tests and the bench: UTC, AQE on, UI off."""
     b = (
         SparkSession.builder.master(master)
         .appName("jobacct")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -48,7 +48,10 @@ def parse_accounting_lines(lines: DataFrame, value: str = "value", seq: str | No
     Narrow transformation only: split, size gate, projection."""
     parts = F.split(F.col(value), r"\|", -1)
     keep = [F.col(seq)] if seq else []
-    split = lines.select(parts.alias("_f"), *keep).where(F.size("_f") == N_ACCOUNTING_FIELDS)
+    # The split array is produced by a generator (explode of a one-element
+    # array): predicates on the fields then stay above it, instead of being
+    # pushed below with ``split(value)`` inlined once per field they use.
+    split = lines.select(F.explode(F.array(parts)).alias("_f"), *keep).where(F.size("_f") == N_ACCOUNTING_FIELDS)
     fields = [F.col("_f").getItem(i).alias(name) for i, name in enumerate(ACCOUNTING_FIELDS)]
     return with_step_flags(split.select(*fields, *keep))
 
