@@ -301,3 +301,78 @@ SELECT "JobID", part || '-' || CAST(CASE WHEN kind = 'stale' THEN 1 ELSE cpus EN
   CAST(CASE WHEN kind = 'stale' THEN 1 ELSE cpus END AS BIGINT) AS cores
 FROM lines WHERE kind IN ('main', 'stale')
 """)
+
+# --- nodes -------------------------------------------------------------------
+NODE_ROWS = """
+node_rows AS (
+  SELECT printf('node-%03d', k) AS node, (alloc_cpus * (elapsed_seconds / 3600.0)) / (nspan + 1) AS cpu_hours,
+    (alloc_gpus * (elapsed_seconds / 3600.0)) / (nspan + 1) AS gpu_hours,
+    (elapsed_seconds / 3600.0) / (nspan + 1) AS elapsed_hours
+  FROM (SELECT *, unnest(range(n0, n0 + nspan + 1)) AS k FROM metrics WHERE state <> 'PENDING')
+),
+node_ids AS (SELECT DISTINCT n0 AS n FROM base),
+inventory AS (
+  SELECT printf('node-%03d', n) AS node, CAST(32 * (1 + n % 4) AS BIGINT) AS cpus,
+    CAST(CASE WHEN n % 3 = 0 THEN 4 ELSE 0 END AS BIGINT) AS gpus FROM node_ids
+  UNION ALL SELECT printf('gpunode-%03d', n), CAST(64 AS BIGINT), CAST(2 AS BIGINT) FROM node_ids WHERE n % 30 = 0
+),
+period AS (
+  SELECT CAST(CASE WHEN min(submit_time) IS NOT NULL AND max(end_time) IS NOT NULL
+    THEN greatest(floor((epoch_us(max(end_time)) - epoch_us(min(submit_time))) / 86400000000) + 1, 1) ELSE 7 END AS BIGINT) AS period_days
+  FROM metrics
+),
+node_stats AS (
+  SELECT t.*, i.cpus AS est_cpus, i.cpus * p.period_days * 24 AS cpu_hours_available,
+    t.total_cpu_hours / (i.cpus * p.period_days * 24) * 100 AS cpu_utilization_pct
+  FROM (SELECT node, sum(CAST(round(cpu_hours * 1000000) AS BIGINT)) / 1000000 AS total_cpu_hours,
+          sum(CAST(round(gpu_hours * 1000000) AS BIGINT)) / 1000000 AS total_gpu_hours,
+          sum(CAST(round(elapsed_hours * 1000000) AS BIGINT)) / 1000000 AS total_elapsed_hours,
+          CAST(count(*) AS BIGINT) AS job_count FROM node_rows GROUP BY node) t
+  LEFT JOIN inventory i ON t.node = i.node, period p
+)"""
+
+
+def qn(body: str) -> str:
+    return with_ctes(BASE, JOBS, NODE_ROWS) + body
+
+
+NODE_STATS_COLS = """node, round(total_cpu_hours, 6) AS total_cpu_hours, round(total_gpu_hours, 6) AS total_gpu_hours,
+  round(total_elapsed_hours, 6) AS total_elapsed_hours, job_count, est_cpus, cpu_hours_available,
+  round(cpu_utilization_pct, 6) AS cpu_utilization_pct"""
+SQL["node_usage"] = qn("SELECT node, round(cpu_hours, 6) AS cpu_hours, round(gpu_hours, 6) AS gpu_hours, round(elapsed_hours, 6) AS elapsed_hours FROM node_rows")
+SQL["node_stats"] = qn(f"SELECT {NODE_STATS_COLS} FROM node_stats")
+SQL["top_nodes"] = qn(f"SELECT {NODE_STATS_COLS} FROM node_stats ORDER BY total_cpu_hours DESC, node LIMIT 20")
+SQL["nodes_missing_cpu"] = qn("SELECT node, round(total_cpu_hours, 6) AS total_cpu_hours FROM node_stats WHERE est_cpus IS NULL")
+SQL["gpu_utilization"] = qn("""
+SELECT s.node, round(s.total_gpu_hours, 6) AS total_gpu_hours, i.gpus AS est_gpus, i.gpus * p.period_days * 24 AS gpu_hours_available,
+  round(s.total_gpu_hours / (i.gpus * p.period_days * 24) * 100, 6) AS gpu_utilization_pct
+FROM node_stats s JOIN inventory i ON s.node = i.node, period p
+WHERE s.total_gpu_hours > 0 AND i.gpus > 0
+""")
+SQL["node_inventory"] = qn("SELECT node, cpus, gpus FROM inventory")
+SQL["inventory_summary"] = qn("""
+SELECT CAST(count(*) AS BIGINT) AS total_nodes, CAST(sum(cpus) AS BIGINT) AS total_cpus, CAST(sum(gpus) AS BIGINT) AS total_gpus,
+  CAST(count(*) FILTER (WHERE gpus > 0) AS BIGINT) AS gpu_nodes FROM inventory
+""")
+SQL["scan_node_cpus"] = with_ctes(BASE) + """
+SELECT DISTINCT printf('node-%03d', n0) AS node, CAST(32 * (1 + n0 % 4) AS BIGINT) AS cpus FROM base
+"""
+SQL["scan_node_gpus"] = with_ctes(BASE) + """
+SELECT DISTINCT printf('node-%03d', n0) AS node, CAST(4 AS BIGINT) AS gpus FROM base WHERE n0 % 3 = 0
+UNION ALL SELECT DISTINCT printf('gpunode-%03d', n0), CAST(2 AS BIGINT) FROM base WHERE n0 % 30 = 0
+"""
+SQL["parse_gres"] = with_ctes(BASE) + """
+SELECT node, gres, gpus FROM (
+  SELECT DISTINCT n0, printf('node-%03d', n0) AS node,
+    CASE n0 % 9 WHEN 0 THEN 'gpu:4' WHEN 3 THEN 'gpu:v100:4(S:0-1)' WHEN 6 THEN 'gpu:a100:4(S:0)' ELSE '(null)' END AS gres,
+    CAST(CASE WHEN n0 % 3 = 0 THEN 4 END AS BIGINT) AS gpus FROM base
+  UNION ALL SELECT DISTINCT n0, printf('gpunode-%03d', n0), 'gpu:2', CAST(2 AS BIGINT) FROM base WHERE n0 % 30 = 0)
+"""
+SQL["node_total_cores"] = with_ctes(BASE) + """
+SELECT DISTINCT printf('node-%03d', n0) AS node, CAST(32 * (1 + n0 % 4) AS BIGINT) AS cores FROM base
+"""
+SQL["expand_nodes"] = ql("""
+SELECT "JobID", node_txt AS "NodeList",
+  CASE WHEN state = 'PENDING' THEN '' ELSE array_to_string(list_transform(range(n0, n0 + nspan + 1), lambda k: printf('node-%03d', k)), ',') END AS nodes
+FROM lines WHERE kind IN ('main', 'stale')
+""")

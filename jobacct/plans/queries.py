@@ -322,3 +322,102 @@ def partition_cores_q(spark, sf_dir):
     b = bronze(spark, sf_dir).where("is_main_job")
     p = F.concat(F.col("Partition"), F.lit("-"), F.col("AllocCPUS"), F.lit("c"))
     return b.select("JobID", p.alias("partition"), partition_cores(p).alias("cores"))
+
+
+# --- nodes -------------------------------------------------------------------
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobacct.operators.nodes import node_inventory
+    from jobacct.sources.inventory import parse_node_cpus, parse_node_gpus
+
+    return node_inventory(parse_node_cpus(FX.node_cpu_lines(spark, sf_dir)), parse_node_gpus(FX.node_gpu_lines(spark, sf_dir)))
+
+
+def node_section(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from jobacct.operators.nodes import node_report
+
+    return node_report(prepared(spark, sf_dir), inventory(spark, sf_dir))
+
+
+@register("node_usage")
+def node_usage(spark, sf_dir):
+    """C3 + G1 + P12 + P25 + F3: (job, node) rows with evenly split hours."""
+    return node_section(spark, sf_dir)["node_usage"]
+
+
+@register("expand_nodes")
+def expand_nodes_q(spark, sf_dir):
+    """Node list of every main job expanded to an array."""
+    from jobacct.functions.nodes import expand_nodes
+
+    b = bronze(spark, sf_dir).where("is_main_job")
+    return b.select("JobID", "NodeList", F.array_join(expand_nodes("NodeList"), ",").alias("nodes"))
+
+
+@register("node_stats", digits=6)
+def node_stats(spark, sf_dir):
+    """A3 + J4 + A12: per-node totals, CPU count and utilisation."""
+    return node_section(spark, sf_dir)["node_stats"]
+
+
+@register("top_nodes", digits=6)
+def top_nodes(spark, sf_dir):
+    """Top 20 nodes by CPU hours."""
+    return node_section(spark, sf_dir)["top_nodes"]
+
+
+@register("nodes_missing_cpu", digits=6)
+def nodes_missing_cpu(spark, sf_dir):
+    """nodes with jobs but no CPU count in the inventory."""
+    return node_section(spark, sf_dir)["nodes_missing_cpu"]
+
+
+@register("gpu_utilization", digits=6)
+def gpu_utilization(spark, sf_dir):
+    """A4 + F5 + J5: GPU nodes and their utilisation."""
+    return node_section(spark, sf_dir)["gpu_utilization"]
+
+
+@register("node_inventory")
+def node_inventory_q(spark, sf_dir):
+    """C7 + J6: merged CPU / GPU inventory."""
+    return inventory(spark, sf_dir)
+
+
+@register("inventory_summary")
+def inventory_summary(spark, sf_dir):
+    """Inventory totals."""
+    from jobacct.operators.nodes import inventory_summary as summary
+
+    return summary(inventory(spark, sf_dir))
+
+
+@register("scan_node_cpus")
+def scan_node_cpus(spark, sf_dir):
+    """CPU inventory lines, last valid line per node wins."""
+    from jobacct.sources.inventory import parse_node_cpus
+
+    return parse_node_cpus(FX.node_cpu_lines(spark, sf_dir))
+
+
+@register("scan_node_gpus")
+def scan_node_gpus(spark, sf_dir):
+    """GPU inventory lines with a GPU count, last per node wins."""
+    from jobacct.sources.inventory import parse_node_gpus
+
+    return parse_node_gpus(FX.node_gpu_lines(spark, sf_dir))
+
+
+@register("parse_gres")
+def parse_gres(spark, sf_dir):
+    """GPU count of every 2-part GRES line (null: no count)."""
+    from jobacct.sources.inventory import gres_lines
+
+    return gres_lines(FX.node_gpu_lines(spark, sf_dir)).select("node", "gres", "gpus")
+
+
+@register("node_total_cores")
+def node_total_cores(spark, sf_dir):
+    """Total CPUs of each node from its description text."""
+    from jobacct.sources.inventory import node_total_cores as cores
+
+    return cores(FX.node_description_lines(spark, sf_dir))
