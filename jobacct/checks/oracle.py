@@ -376,3 +376,68 @@ SELECT "JobID", node_txt AS "NodeList",
   CASE WHEN state = 'PENDING' THEN '' ELSE array_to_string(list_transform(range(n0, n0 + nspan + 1), lambda k: printf('node-%03d', k)), ',') END AS nodes
 FROM lines WHERE kind IN ('main', 'stale')
 """)
+
+# --- live queue ---------------------------------------------------------------
+QUEUE = """
+q AS (
+  SELECT id * 10 AS line_no, user_name AS "user", CASE WHEN state = 'RUNNING' THEN 'R' ELSE 'PD' END AS status,
+    nspan + 1 AS nnodes, part AS "partition", cpus AS cores,
+    CASE WHEN state = 'RUNNING' THEN (CASE WHEN nspan = 0 THEN printf('node-%03d', n0) ELSE printf('node-[%03d-%03d]', n0, n0 + nspan) END)
+         ELSE '(null)' END AS node,
+    CASE id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'NO' WHEN 2 THEN 'USER' ELSE 'YES' END AS oversubscribe,
+    CASE WHEN state = 'RUNNING' THEN CAST(32 * (1 + n0 % 4) AS BIGINT) ELSE 0 END AS node_cores
+  FROM base WHERE state IN ('RUNNING', 'PENDING')
+),
+counted AS (
+  SELECT line_no, "user", "partition", status, node_cores AS cores_val, node_cores AS nodes_val FROM (
+    SELECT *, row_number() OVER (PARTITION BY "user", node ORDER BY line_no) AS rn FROM q WHERE oversubscribe IN ('NO', 'USER')) WHERE rn = 1
+  UNION ALL
+  SELECT line_no, "user", "partition", status, cores, nnodes FROM q WHERE oversubscribe NOT IN ('NO', 'USER')
+),
+usage AS (
+  SELECT "user", "partition", status, CAST(sum(cores_val) AS BIGINT) AS cores, CAST(sum(nodes_val) AS BIGINT) AS nodes,
+    min(line_no) AS first_line FROM counted GROUP BY ALL
+)"""
+
+
+def qq(body: str) -> str:
+    return with_ctes(BASE, QUEUE) + body
+
+
+SQL["scan_queue"] = qq('SELECT CAST(line_no AS BIGINT) AS line_no, "user", status, nnodes, "partition", cores, node, oversubscribe FROM q')
+SQL["queue_usage_cores"] = qq('SELECT "user", "partition", status, cores FROM usage')
+SQL["queue_usage_nodes"] = qq('SELECT "user", "partition", status, nodes FROM usage')
+SQL["queue_totals"] = qq("""
+SELECT CASE WHEN grouping("user") = 0 THEN 'user_status' WHEN grouping("partition") = 0 THEN 'partition_status' ELSE 'status' END AS level,
+  "user", "partition", status, CAST(sum(cores) AS BIGINT) AS cores, CAST(sum(nodes) AS BIGINT) AS nodes
+FROM usage GROUP BY GROUPING SETS (("partition", status), (status), ("user", status))
+""")
+SQL["status_summary"] = qq("""
+SELECT "user", "partition", string_agg(status || '=' || CAST(cores AS VARCHAR), ' / ' ORDER BY first_line) AS cores_summary,
+  string_agg(status || '=' || CAST(nodes AS VARCHAR), ' / ' ORDER BY first_line) AS nodes_summary
+FROM usage GROUP BY "user", "partition"
+""")
+GRID = """
+SELECT "user", "partition", string_agg(status || '=' || CAST(cores AS VARCHAR), ' / ' ORDER BY first_line) AS cores_cell,
+  string_agg(status || '=' || CAST(nodes AS VARCHAR), ' / ' ORDER BY first_line) AS nodes_cell
+FROM usage GROUP BY "user", "partition"
+UNION ALL
+SELECT "user", 'Total', string_agg(status || '=' || CAST(c AS VARCHAR), ' / ' ORDER BY k1, k2),
+  string_agg(status || '=' || CAST(n AS VARCHAR), ' / ' ORDER BY k1, k2)
+FROM (SELECT u."user", u.status, min(p.pf) AS k1, arg_min(u.first_line, p.pf) AS k2, sum(u.cores) AS c, sum(u.nodes) AS n
+      FROM usage u JOIN (SELECT "user", "partition", min(first_line) AS pf FROM usage GROUP BY ALL) p USING ("user", "partition")
+      GROUP BY u."user", u.status) GROUP BY "user"
+UNION ALL
+SELECT (SELECT CAST(count(DISTINCT "user") AS VARCHAR) || ' users' FROM usage), "partition",
+  string_agg(status || '=' || CAST(c AS VARCHAR), ' / ' ORDER BY f), string_agg(status || '=' || CAST(n AS VARCHAR), ' / ' ORDER BY f)
+FROM (SELECT "partition", status, min(first_line) AS f, sum(cores) AS c, sum(nodes) AS n FROM usage GROUP BY ALL) GROUP BY "partition"
+UNION ALL
+SELECT (SELECT CAST(count(DISTINCT "user") AS VARCHAR) || ' users' FROM usage), 'Total',
+  string_agg(status || '=' || CAST(c AS VARCHAR), ' / ' ORDER BY f), string_agg(status || '=' || CAST(n AS VARCHAR), ' / ' ORDER BY f)
+FROM (SELECT status, min(first_line) AS f, sum(cores) AS c, sum(nodes) AS n FROM usage GROUP BY ALL)
+"""
+SQL["queue_grid"] = qq(GRID)
+SQL["max_lengths"] = qq(f"""
+SELECT CAST(max(length("user")) AS INTEGER) AS "user", CAST(max(length("partition")) AS INTEGER) AS "partition",
+  CAST(max(length(cores_cell)) AS INTEGER) AS cores_cell, CAST(max(length(nodes_cell)) AS INTEGER) AS nodes_cell FROM ({GRID})
+""")

@@ -421,3 +421,73 @@ def node_total_cores(spark, sf_dir):
     from jobacct.sources.inventory import node_total_cores as cores
 
     return cores(FX.node_description_lines(spark, sf_dir))
+
+
+# --- live queue ----------------------------------------------------------------
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobacct.sources.queue import parse_queue_lines
+
+    return parse_queue_lines(FX.queue_lines(spark, sf_dir))
+
+
+def node_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobacct.sources.inventory import node_total_cores as cores
+
+    return cores(FX.node_description_lines(spark, sf_dir))
+
+
+def usage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobacct.operators.queue import queue_usage
+
+    return queue_usage(queue(spark, sf_dir), node_cores(spark, sf_dir))
+
+
+@register("scan_queue")
+def scan_queue(spark, sf_dir):
+    """S3: parsed queue snapshot (header and malformed lines dropped)."""
+    return queue(spark, sf_dir)
+
+
+@register("queue_usage_cores")
+def queue_usage_cores(spark, sf_dir):
+    """A14 + W4 + J8 (cores mode): cores per user, partition and status."""
+    return usage_q(spark, sf_dir).select("user", "partition", "status", "cores")
+
+
+@register("queue_usage_nodes")
+def queue_usage_nodes(spark, sf_dir):
+    """A14 (nodes mode): nodes per user, partition and status."""
+    return usage_q(spark, sf_dir).select("user", "partition", "status", "nodes")
+
+
+@register("queue_totals")
+def queue_totals(spark, sf_dir):
+    """Totals per (partition, status), status and (user, status)."""
+    from jobacct.operators.queue import queue_totals as totals
+
+    return totals(usage_q(spark, sf_dir))
+
+
+@register("status_summary")
+def status_summary(spark, sf_dir):
+    """P24: 'R=2 / PD=1' per user and partition in first-seen order."""
+    from jobacct.operators.queue import status_summary as summary
+
+    return summary(usage_q(spark, sf_dir))
+
+
+@register("queue_grid")
+def queue_grid(spark, sf_dir):
+    """C6 + A18: the queue grid (cells, user totals, footer)."""
+    from jobacct.operators.queue import queue_grid as grid
+
+    return grid(usage_q(spark, sf_dir))
+
+
+@register("max_lengths")
+def max_lengths(spark, sf_dir):
+    """Display width of each grid column."""
+    from jobacct.operators.queue import max_lengths as widths
+    from jobacct.operators.queue import queue_grid as grid
+
+    return widths(grid(usage_q(spark, sf_dir)))
