@@ -31,8 +31,8 @@ base AS (
 )"""
 
 # One row per job, as the engine's silver table holds it.
-JOBS = """
-jobs AS (
+JOBS_T = """
+{jobs} AS (
   SELECT id, user_id, state, part, start_ts, wait_s, elapsed, cpus, req_mb, rss_mb, tcpu, gpus, n0, nspan,
     CAST(id AS VARCHAR) AS job_id,
     CASE WHEN id % 89 = 7 THEN (CASE WHEN id % 2 = 0 THEN 'MISSING_USER' ELSE 'uid_' || CAST(user_id AS VARCHAR) END)
@@ -43,18 +43,18 @@ jobs AS (
     left(event_type || '_' || props || '_' || repeat('x', CAST(id % 40 AS INTEGER)), 50) AS job_name,
     part AS "partition",
     start_ts - to_seconds(wait_s) AS submit_time,
-    CASE WHEN state = 'PENDING' THEN NULL ELSE start_ts END AS start_time,
-    CASE WHEN state IN ('PENDING', 'RUNNING') THEN NULL ELSE start_ts + to_seconds(elapsed) END AS end_time,
-    CASE WHEN state = 'PENDING' THEN '' WHEN nspan = 0 THEN printf('node-%03d', n0)
+    CASE WHEN id % 10 = 1 THEN NULL ELSE start_ts END AS start_time,
+    CASE WHEN id % 10 = 1 OR state = 'RUNNING' THEN NULL ELSE start_ts + to_seconds(elapsed) END AS end_time,
+    CASE WHEN id % 10 = 1 THEN '' WHEN nspan = 0 THEN printf('node-%03d', n0)
          ELSE printf('node-[%03d-%03d]', n0, n0 + nspan) END AS node_list,
     elapsed AS elapsed_seconds, cpus AS alloc_cpus, CAST(req_mb AS DOUBLE) AS req_mem_mb,
-    CAST(CASE WHEN state = 'PENDING' THEN 0 ELSE rss_mb END AS DOUBLE) AS max_rss_mb,
-    CAST(CASE WHEN state = 'PENDING' THEN 0 ELSE tcpu END AS DOUBLE) AS total_cpu_seconds,
+    CAST(CASE WHEN id % 10 = 1 THEN 0 ELSE rss_mb END AS DOUBLE) AS max_rss_mb,
+    CAST(CASE WHEN id % 10 = 1 THEN 0 ELSE tcpu END AS DOUBLE) AS total_cpu_seconds,
     gpus AS alloc_gpus,
-    strftime(CASE WHEN state = 'PENDING' THEN start_ts - to_seconds(wait_s) ELSE start_ts END, '%Y-%m-%d') AS job_date
-  FROM base
+    strftime(CASE WHEN id % 10 = 1 THEN start_ts - to_seconds(wait_s) ELSE start_ts END, '%Y-%m-%d') AS job_date
+  FROM {base}
 ),
-metrics AS (
+{metrics} AS (
   SELECT *,
     CASE WHEN elapsed_seconds > 0 AND alloc_cpus > 0
          THEN least(total_cpu_seconds / (CAST(elapsed_seconds AS DOUBLE) * alloc_cpus) * 100, 100.0) ELSE 0.0 END AS cpu_efficiency,
@@ -65,7 +65,28 @@ metrics AS (
     greatest(CAST(elapsed_seconds AS DOUBLE) * alloc_cpus - total_cpu_seconds, 0.0) AS cpu_waste_s,
     greatest((req_mem_mb - max_rss_mb) * elapsed_seconds, 0.0) AS mem_waste_mb_s,
     CASE WHEN start_time IS NOT NULL THEN CAST(wait_s AS BIGINT) END AS wait_seconds
-  FROM jobs
+  FROM {jobs}
+)"""
+
+
+
+
+def jobs_cte(run: int = 0) -> str:
+    """``jobs<r>`` / ``metrics<r>`` CTEs of collection run ``r`` (0: plain)."""
+    sfx = "" if run == 0 else str(run)
+    return JOBS_T.format(base="base" + sfx, jobs="jobs" + sfx, metrics="metrics" + sfx)
+
+
+JOBS = jobs_cte(0)
+
+RUN_BASES = """
+base1 AS (SELECT * FROM base WHERE id % 20 <> 7),
+base2 AS (
+  SELECT * REPLACE (CASE
+    WHEN state = 'RUNNING' AND (id % 20 = 0 OR strftime(start_ts, '%Y-%m-%d') < '2024-01-08') THEN 'COMPLETED'
+    WHEN state = 'PENDING' AND strftime(start_ts - to_seconds(wait_s), '%Y-%m-%d') < '2024-01-08' THEN 'CANCELLED'
+    ELSE state END AS state)
+  FROM base
 )"""
 
 
@@ -226,21 +247,24 @@ SQL["normalize_jobs"] = q(f"SELECT {SILVER_SELECT} FROM metrics")
 SQL["main_batch_join"] = q("SELECT job_id, state, alloc_cpus, total_cpu_seconds, max_rss_mb FROM metrics")
 
 # every rendered dump line: kind in stale | main | batch | extern | step0
-LINES = """
-lines AS (
+LINES_T = """
+{lines} AS (
   SELECT b.*, k.kind,
     CASE k.kind WHEN 'batch' THEN CAST(id AS VARCHAR) || '.batch' WHEN 'extern' THEN CAST(id AS VARCHAR) || '.extern'
       WHEN 'step0' THEN CAST(id AS VARCHAR) || '.0' ELSE CAST(id AS VARCHAR) END AS "JobID",
     CASE WHEN state = 'CANCELLED' THEN 'CANCELLED by ' || CAST(user_id AS VARCHAR) ELSE state END AS state_txt,
-    CASE WHEN state = 'PENDING' THEN '' WHEN nspan = 0 THEN printf('node-%03d', n0)
+    CASE WHEN id % 10 = 1 THEN '' WHEN nspan = 0 THEN printf('node-%03d', n0)
          ELSE printf('node-[%03d-%03d]', n0, n0 + nspan) END AS node_txt,
-    strftime(CASE WHEN state = 'PENDING' THEN start_ts - to_seconds(wait_s) ELSE start_ts END, '%Y-%m-%d') AS own_date
-  FROM base b JOIN (VALUES ('stale'), ('main'), ('batch'), ('extern'), ('step0')) k(kind)
+    strftime(CASE WHEN id % 10 = 1 THEN start_ts - to_seconds(wait_s) ELSE start_ts END, '%Y-%m-%d') AS own_date
+  FROM {base} b JOIN (VALUES ('stale'), ('main'), ('batch'), ('extern'), ('step0')) k(kind)
     ON (k.kind = 'main') OR (k.kind = 'stale' AND b.id % 50 = 25)
-    OR (b.state <> 'PENDING' AND (k.kind = 'batch' OR (k.kind = 'extern' AND b.id % 7 = 0) OR (k.kind = 'step0' AND b.id % 11 = 0)))
+    OR (b.id % 10 <> 1 AND (k.kind = 'batch' OR (k.kind = 'extern' AND b.id % 7 = 0) OR (k.kind = 'step0' AND b.id % 11 = 0)))
 )"""
 
 
+LINES = LINES_T.format(lines="lines", base="base")
+
+
 def ql(body: str) -> str:
     return with_ctes(BASE, LINES) + body
 
@@ -441,3 +465,54 @@ SQL["max_lengths"] = qq(f"""
 SELECT CAST(max(length("user")) AS INTEGER) AS "user", CAST(max(length("partition")) AS INTEGER) AS "partition",
   CAST(max(length(cores_cell)) AS INTEGER) AS cores_cell, CAST(max(length(nodes_cell)) AS INTEGER) AS nodes_cell FROM ({GRID})
 """)
+
+
+# --- store and incremental collection ----------------------------------------------
+RUNS = [BASE, RUN_BASES, jobs_cte(1), jobs_cte(2)]
+
+
+def qr(body: str, *extra: str) -> str:
+    return with_ctes(*RUNS, *extra) + body
+
+
+T1, T2 = "'2024-02-01 06:00:00'", "'2024-02-02 06:00:00'"
+SQL["write_silver"] = SQL["normalize_jobs"]
+SQL["reprocess_missing"] = SQL["normalize_jobs"]
+SQL["write_bronze"] = ql("""
+SELECT "JobID", "JobID" AS "JobIDRaw", CASE WHEN kind = 'stale' THEN 'PENDING' ELSE state_txt END AS "State", own_date AS job_date FROM lines
+""")
+SQL["reload_raw"] = ql('SELECT "JobID", own_date AS job_date FROM lines')
+SQL["load_recent_raw"] = ql("""SELECT "JobID" AS "JobIDRaw", state_txt AS "State", own_date AS job_date FROM lines WHERE kind <> 'stale'""")
+SQL["load_recent_processed"] = qr(f"SELECT job_id, state, {T2} AS processed_date, job_date FROM metrics2")
+SQL["latest_per_job"] = SQL["load_recent_processed"]
+SQL["upsert_silver"] = SQL["load_recent_processed"]
+SQL["load_days"] = qr("SELECT job_id, state, job_date FROM metrics1 UNION ALL SELECT job_id, state, job_date FROM metrics2")
+SQL["dedupe_newest_date"] = qr("SELECT job_id, state, job_date FROM metrics2")
+COMPLETE = f"""
+complete AS (
+  SELECT job_date, bool_and(state NOT IN ({INCOMPLETE})) AND job_date < '2024-02-01' AS is_complete FROM metrics2 GROUP BY job_date
+)"""
+SQL["date_completeness"] = qr("SELECT job_date, is_complete FROM complete", COMPLETE)
+SQL["completed_roundtrip"] = qr(f"SELECT job_date, {T2} AS marked_at FROM complete WHERE is_complete", COMPLETE)
+SQL["dates_to_collect"] = qr("""
+SELECT strftime(d, '%Y-%m-%d') AS job_date FROM range(DATE '2024-01-01' - INTERVAL 1 DAY, DATE '2024-02-02', INTERVAL 1 DAY) t(d)
+WHERE strftime(d, '%Y-%m-%d') NOT IN (SELECT job_date FROM complete WHERE is_complete)
+""", COMPLETE)
+SQL["incremental_filter"] = qr("""
+SELECT "JobID", own_date AS job_date FROM lines2 l LEFT JOIN (SELECT job_id, state AS old_state, job_date FROM metrics1) e
+  ON e.job_id = CAST(l.id AS VARCHAR) AND e.job_date = l.own_date
+WHERE NOT coalesce(e.old_state IS NOT NULL AND e.old_state NOT IN ('RUNNING', 'PENDING', 'SUSPENDED')
+  AND (l.kind NOT IN ('main', 'stale') OR (CASE WHEN l.kind = 'stale' THEN 'PENDING' ELSE l.state END) = e.old_state), false)
+""", LINES_T.format(lines="lines2", base="base2"))
+REPROCESSED = "(id % 20 = 7 OR id IN (SELECT id FROM base WHERE state IN ('RUNNING', 'PENDING')))"
+SQL["collect_incremental"] = qr(f"""
+SELECT job_id, state, CASE WHEN {REPROCESSED} THEN {T2} ELSE {T1} END AS processed_date,
+  strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time, total_cpu_seconds, job_date FROM metrics2
+""")
+SQL["collect_metrics"] = qr(f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM lines2) AS raw_records,
+  (SELECT CAST(count(*) AS BIGINT) FROM metrics2 WHERE {REPROCESSED}) AS processed_jobs,
+  (SELECT CAST(count(*) AS BIGINT) FROM metrics2 WHERE NOT {REPROCESSED}) AS skipped_jobs,
+  (SELECT CAST(count(*) AS BIGINT) FROM complete WHERE is_complete) AS completed_dates
+""", COMPLETE, LINES_T.format(lines="lines2", base="base2"))
+SQL["analyze_user_stats"] = qr(SQL["user_stats"].split("FROM metrics GROUP BY", 1)[0].split("\nSELECT", 1)[1].join(["SELECT", ""]) + " FROM metrics2 GROUP BY \"user\"")

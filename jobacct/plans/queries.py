@@ -491,3 +491,237 @@ def max_lengths(spark, sf_dir):
     from jobacct.operators.queue import queue_grid as grid
 
     return widths(grid(usage_q(spark, sf_dir)))
+
+
+# --- store, incremental collection ------------------------------------------------
+RUN1_AT, RUN2_AT = "2024-02-01 06:00:00", "2024-02-02 06:00:00"
+RUN1_AS_OF, RUN2_AS_OF = "2024-01-31", "2024-02-01"
+RUN1_DAYS, RUN2_DAYS = 31, 32
+
+
+def _store(spark: SparkSession) -> str:
+    from jobacct.session import scratch_path
+
+    return scratch_path(spark, "store")
+
+
+def _dated_bronze(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
+    return S.with_job_date(bronze(spark, sf_dir, run)).where(F.col("job_date").isNotNull())
+
+
+def _silver_run(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:
+    return N.normalize_jobs(bronze(spark, sf_dir, run), processed_at=RUN1_AT if run == 1 else RUN2_AT)
+
+
+def _silver_text(df: DataFrame) -> DataFrame:
+    cols = [_ts_txt(c) if c in ("submit_time", "start_time", "end_time", "processed_date") else F.col(c) for c in df.columns]
+    return df.select(*cols)
+
+
+def _two_runs_appended(spark: SparkSession, sf_dir: str) -> str:
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_table(_silver_run(spark, sf_dir, 1), root, ST.PROCESSED)
+    ST.write_table(_silver_run(spark, sf_dir, 2), root, ST.PROCESSED, mode="append")
+    return root
+
+
+@register("write_silver")
+def write_silver(spark, sf_dir):
+    """Silver written to the date-partitioned store and read back."""
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_silver(silver(spark, sf_dir), root)
+    return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select(*N.SILVER_COLUMNS, "job_date")
+
+
+@register("write_bronze")
+def write_bronze(spark, sf_dir):
+    """Raw rows archived per date and read back."""
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_bronze(_dated_bronze(spark, sf_dir), root)
+    return ST.read_table(spark, root, ST.RAW).select("JobID", "JobIDRaw", "State", "job_date")
+
+
+@register("reload_raw")
+def reload_raw(spark, sf_dir):
+    """Archived raw rows re-read with a corrupt file in the store (skipped)
+    and re-filtered by each row's own date."""
+    from jobacct.functions.text import job_date
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_bronze(_dated_bronze(spark, sf_dir), root)
+    import os
+
+    bad = f"{root}/raw/job_date=2024-01-15/corrupt.parquet"
+    if bad.startswith("/") and os.path.isdir(os.path.dirname(bad)):
+        with open(bad, "wb") as fh:
+            fh.write(b"not a parquet file")
+    r = ST.read_table(spark, root, ST.RAW, ignore_corrupt=True)
+    return r.where(job_date("Start", "Submit") == F.col("job_date")).select("JobID", "job_date")
+
+
+@register("load_recent_processed")
+def load_recent_processed(spark, sf_dir):
+    """S7 + W1 + U1: two stored versions of every job; the latest wins."""
+    from jobacct.sources import store as ST
+
+    root = _two_runs_appended(spark, sf_dir)
+    df = ST.load_recent(spark, root, RUN2_AS_OF, RUN2_DAYS, ST.PROCESSED)
+    return _silver_text(df).select("job_id", "state", "processed_date", "job_date")
+
+
+@register("load_recent_raw")
+def load_recent_raw(spark, sf_dir):
+    """S7 + W2: archived raw rows, one per JobIDRaw (later line of a date wins)."""
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_bronze(_dated_bronze(spark, sf_dir), root)
+    df = ST.load_recent(spark, root, RUN1_AS_OF, RUN1_DAYS, ST.RAW)
+    return df.select("JobIDRaw", "State", "job_date")
+
+
+@register("load_days")
+def load_days(spark, sf_dir):
+    """Last n daily partitions, concatenated without dedupe."""
+    from jobacct.sources import store as ST
+
+    root = _two_runs_appended(spark, sf_dir)
+    return ST.load_days(spark, root, RUN2_AS_OF, RUN2_DAYS + 1).select("job_id", "state", "job_date")
+
+
+@register("latest_per_job")
+def latest_per_job(spark, sf_dir):
+    """Latest processed version per job over two runs."""
+    from jobacct.sources import store as ST
+
+    both = _silver_run(spark, sf_dir, 1).unionByName(_silver_run(spark, sf_dir, 2))
+    return _silver_text(ST.latest_per_job(both)).select("job_id", "state", "processed_date", "job_date")
+
+
+@register("dedupe_newest_date")
+def dedupe_newest_date(spark, sf_dir):
+    """Newest date per job over two runs (ties: latest processing)."""
+    from jobacct.sources import store as ST
+
+    both = _silver_run(spark, sf_dir, 1).unionByName(_silver_run(spark, sf_dir, 2))
+    return ST.dedupe_newest_date(both).select("job_id", "state", "job_date")
+
+
+@register("upsert_silver")
+def upsert_silver(spark, sf_dir):
+    """Run 1 then run 2 upserted into the store (dynamic partition overwrite)."""
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.upsert_store(spark, root, _silver_run(spark, sf_dir, 1))
+    ST.upsert_store(spark, root, _silver_run(spark, sf_dir, 2))
+    return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "job_date")
+
+
+@register("date_completeness")
+def date_completeness(spark, sf_dir):
+    """Dates whose jobs all settled (before the as-of date) after run 2."""
+    from jobacct.operators.incremental import date_completeness as dc
+
+    return dc(_silver_run(spark, sf_dir, 2), RUN2_AS_OF)
+
+
+@register("completed_roundtrip")
+def completed_roundtrip(spark, sf_dir):
+    """S11 + U3: settled dates marked complete (twice: idempotent), read back."""
+    from jobacct.operators.incremental import date_completeness as dc
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    done = dc(_silver_run(spark, sf_dir, 2), RUN2_AS_OF).where("is_complete").select("job_date")
+    at = F.to_timestamp(F.lit(RUN2_AT))
+    ST.mark_complete(spark, root, done, at)
+    ST.mark_complete(spark, root, done, at)
+    return ST.read_completed(spark, root).select("job_date", F.date_format("marked_at", "yyyy-MM-dd HH:mm:ss").alias("marked_at"))
+
+
+@register("dates_to_collect")
+def dates_to_collect(spark, sf_dir):
+    """F8 + G2 + J9: requested dates minus the dates completed after run 2."""
+    from jobacct.operators import incremental as I
+
+    done = I.date_completeness(_silver_run(spark, sf_dir, 2), RUN2_AS_OF).where("is_complete")
+    return I.dates_to_collect(I.requested_dates(spark, RUN2_AS_OF, RUN2_DAYS), done)
+
+
+@register("incremental_filter")
+def incremental_filter(spark, sf_dir):
+    """F7 + J7: run-2 dump lines kept against the states stored by run 1."""
+    from jobacct.operators import incremental as I
+
+    existing = I.existing_states(_silver_run(spark, sf_dir, 1))
+    f = I.incremental_filter(_dated_bronze(spark, sf_dir, 2), existing)
+    return f.where(~F.col("skipped")).select("JobID", "job_date")
+
+
+def _collect_two_runs(spark: SparkSession, sf_dir: str):
+    from jobacct.plans.collect import collect
+
+    root = _store(spark)
+    m1 = collect(spark, bronze(spark, sf_dir, 1), root, RUN1_AS_OF, RUN1_DAYS, RUN1_AT).collect()
+    m2 = collect(spark, bronze(spark, sf_dir, 2), root, RUN2_AS_OF, RUN2_DAYS, RUN2_AT)
+    return root, m1, m2
+
+
+@register("collect_incremental")
+def collect_incremental(spark, sf_dir):
+    """C4: two collection runs into one store; the store afterwards."""
+    from jobacct.sources import store as ST
+
+    root, _, m2 = _collect_two_runs(spark, sf_dir)
+    m2.collect()
+    df = ST.read_table(spark, root, ST.PROCESSED)
+    return _silver_text(df).select("job_id", "state", "processed_date", "end_time", "total_cpu_seconds", "job_date")
+
+
+@register("collect_metrics")
+def collect_metrics(spark, sf_dir):
+    """Metrics of the second collection run."""
+    _, _, m2 = _collect_two_runs(spark, sf_dir)
+    return spark.createDataFrame(m2.collect(), m2.schema)
+
+
+@register("reprocess_missing")
+def reprocess_missing(spark, sf_dir):
+    """A store with raw rows only; processed rows rebuilt from them."""
+    from jobacct.plans.collect import reprocess_missing as rp
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_bronze(_dated_bronze(spark, sf_dir), root)
+    rp(spark, root, PROCESSED_AT)
+    return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select(*N.SILVER_COLUMNS, "job_date")
+
+
+@register("store_stats")
+def store_stats(spark, sf_dir):
+    """File count, latest file, rows of the last 5 files, size."""
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_silver(silver(spark, sf_dir), root)
+    ST.write_bronze(_dated_bronze(spark, sf_dir), root)
+    return ST.store_stats(spark, root)
+
+
+@register("analyze_user_stats")
+def analyze_user_stats(spark, sf_dir):
+    """The per-user section of an analysis over the store after two
+    appended runs (load_recent -> prepare -> user_stats)."""
+    from jobacct.sources import store as ST
+
+    root = _two_runs_appended(spark, sf_dir)
+    df = ST.load_recent(spark, root, RUN2_AS_OF, RUN2_DAYS, ST.PROCESSED)
+    return R.user_stats(R.prepare(df, groups(spark, sf_dir)))
