@@ -516,3 +516,51 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM lines2) AS raw_records,
   (SELECT CAST(count(*) AS BIGINT) FROM complete WHERE is_complete) AS completed_dates
 """, COMPLETE, LINES_T.format(lines="lines2", base="base2"))
 SQL["analyze_user_stats"] = qr(SQL["user_stats"].split("FROM metrics GROUP BY", 1)[0].split("\nSELECT", 1)[1].join(["SELECT", ""]) + " FROM metrics2 GROUP BY \"user\"")
+
+# --- pseudonymisation ---------------------------------------------------------------
+PSEUDO = """
+pl AS (
+  SELECT *, id * 10 + CASE kind WHEN 'stale' THEN 0 WHEN 'main' THEN 1 WHEN 'batch' THEN 2 WHEN 'extern' THEN 3 ELSE 4 END AS line_seq,
+    CASE WHEN kind = 'batch' THEN 'batch' ELSE event_type || '_' || props || '_' || repeat('x', CAST(id % 40 AS INTEGER)) END AS jname,
+    CASE WHEN kind IN ('main', 'stale') AND id % 89 <> 7 THEN user_name ELSE '' END AS uname,
+    CASE WHEN kind = 'batch' THEN '' ELSE part END AS pname
+  FROM lines
+),
+occ AS (
+  SELECT 'job' AS kind, jname AS value, line_seq * 1024 + 2 * 16 AS pos_key FROM pl
+  UNION ALL SELECT 'user', uname, line_seq * 1024 + 3 * 16 FROM pl WHERE uname <> ''
+  UNION ALL SELECT 'user', 'hpc', line_seq * 1024 + 5 * 16 FROM pl
+  UNION ALL SELECT 'user', 'research', line_seq * 1024 + 7 * 16 FROM pl
+  UNION ALL SELECT 'node', printf('node-%03d', k), line_seq * 1024 + 25 * 16 + (k - n0) FROM (SELECT *, unnest(range(n0, n0 + nspan + 1)) AS k FROM pl WHERE id % 10 <> 1)
+  UNION ALL SELECT 'cluster', 'alpha', line_seq * 1024 + 44 * 16 FROM pl
+  UNION ALL SELECT 'partition', pname, line_seq * 1024 + 8 * 16 FROM pl WHERE pname <> ''
+),
+firsts AS (SELECT kind, value, min(pos_key) AS first_at FROM occ GROUP BY kind, value),
+ranked AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY first_at) - 1 AS idx FROM firsts),
+amap AS (
+  SELECT kind, value, CASE
+    WHEN kind = 'user' AND idx < 26 THEN ['alice','bob','charlie','diana','eve','frank','grace','henry','iris','jack','kate','liam','maya',
+      'noah','olivia','peter','quinn','rachel','sam','tina','uma','victor','wendy','xavier','yara','zoe'][idx + 1]
+    WHEN kind = 'user' THEN printf('user%03d', idx) WHEN kind = 'job' THEN printf('job_%04d', idx)
+    WHEN kind = 'node' THEN printf('node-%03d', idx) WHEN kind = 'cluster' THEN printf('cluster-%02d', idx)
+    ELSE printf('partition-%02d', idx) END AS alias
+  FROM ranked
+),
+nodes_out AS (
+  SELECT line_seq, string_agg(a.alias, ',' ORDER BY k) AS nl FROM (SELECT line_seq, unnest(range(n0, n0 + nspan + 1)) AS k FROM pl WHERE id % 10 <> 1) x
+  JOIN amap a ON a.kind = 'node' AND a.value = printf('node-%03d', x.k) GROUP BY line_seq
+)"""
+SQL["pseudonymize"] = ql(f"""
+, {PSEUDO.strip()}
+SELECT p."JobID", j.alias AS "JobName", coalesce(u.alias, p.uname) AS "User", g.alias AS "Group", r.alias AS "Account",
+  coalesce(pa.alias, p.pname) AS "Partition", c.alias AS "Cluster", coalesce(n.nl, p.node_txt) AS "NodeList",
+  '/work/project' AS "WorkDir", 'sbatch script.sh' AS "SubmitLine"
+FROM pl p
+JOIN amap j ON j.kind = 'job' AND j.value = p.jname
+LEFT JOIN amap u ON u.kind = 'user' AND u.value = p.uname
+JOIN amap g ON g.kind = 'user' AND g.value = 'hpc'
+JOIN amap r ON r.kind = 'user' AND r.value = 'research'
+LEFT JOIN amap pa ON pa.kind = 'partition' AND pa.value = p.pname
+JOIN amap c ON c.kind = 'cluster' AND c.value = 'alpha'
+LEFT JOIN nodes_out n ON n.line_seq = p.line_seq
+""").replace(")\n\n, pl AS", "),\npl AS")

@@ -725,3 +725,12 @@ def analyze_user_stats(spark, sf_dir):
     root = _two_runs_appended(spark, sf_dir)
     df = ST.load_recent(spark, root, RUN2_AS_OF, RUN2_DAYS, ST.PROCESSED)
     return R.user_stats(R.prepare(df, groups(spark, sf_dir)))
+
+
+@register("pseudonymize")
+def pseudonymize(spark, sf_dir):
+    """Every line of the dump with consistent first-appearance aliases."""
+    from jobacct.operators.privacy import pseudonymize as pz
+
+    out, _ = pz(spark, bronze(spark, sf_dir))
+    return out.select("JobID", "JobName", "User", "Group", "Account", "Partition", "Cluster", "NodeList", "WorkDir", "SubmitLine")
