@@ -564,3 +564,4 @@ LEFT JOIN amap pa ON pa.kind = 'partition' AND pa.value = p.pname
 JOIN amap c ON c.kind = 'cluster' AND c.value = 'alpha'
 LEFT JOIN nodes_out n ON n.line_seq = p.line_seq
 """).replace(")\n\n, pl AS", "),\npl AS")
+SQL["stream_collect"] = qr(f"SELECT job_id, state, {T1} AS processed_date, job_date FROM metrics1")

@@ -734,3 +734,16 @@ def pseudonymize(spark, sf_dir):
 
     out, _ = pz(spark, bronze(spark, sf_dir))
     return out.select("JobID", "JobName", "User", "Group", "Account", "Partition", "Cluster", "NodeList", "WorkDir", "SubmitLine")
+
+
+@register("stream_collect")
+def stream_collect(spark, sf_dir):
+    """The run-1 dump streamed (availableNow) into an empty store."""
+    from jobacct.session import scratch_path
+    from jobacct.sources import store as ST
+    from jobacct.streaming.collect_stream import stream_collect as sc
+
+    root = _store(spark)
+    q = sc(spark, FX.dump_path(spark, sf_dir, 1), root, scratch_path(spark, "stream-ckpt"), RUN1_AS_OF, RUN1_DAYS, RUN1_AT)
+    q.awaitTermination()
+    return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "job_date")
