@@ -18,8 +18,11 @@ from jobacct.schemas import NO_VALUE_TEXTS, UNFINISHED_RAW_STATES
 FLOAT_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 # An unsigned integer (what str.isdigit() accepts for ASCII text).
 DIGITS_RE = r"^[0-9]+$"
-# Leading / trailing whitespace.
-EDGE_WS_RE = r"^\s+|\s+$"
+# Whitespace characters removed by strip_ws (those of str.strip() for ASCII).
+WS = " \t\n\r\x0b\x0c"
+
+# The gates below avoid regular expressions on the hot path: a character-set
+# test (translate) plus a try_cast is enough, and cheaper per row.
 
 
 def _c(c: Column | str) -> Column:
@@ -28,13 +31,25 @@ def _c(c: Column | str) -> Column:
 
 def strip_ws(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(_c(c), EDGE_WS_RE, "")
+    return F.trim(_c(c), F.lit(WS))
+
+
+def only_chars(c: Column, chars: str) -> Column:
+    """True when ``c`` is non-empty and made only of ``chars``."""
+    return (F.length(c) > 0) & (F.translate(c, chars, "") == "")
 
 
 def to_float(c: Column | str) -> Column:
-    """Double value of a decimal text, null when the text is not a number."""
-    c = _c(c)
-    return F.when(c.rlike(FLOAT_RE), strip_ws(c).try_cast("double"))
+    """Double value of a decimal text, null when the text is not a number.
+
+    Spark's cast also takes 'Infinity', 'NaN' and a 'd' / 'f' suffix; those are
+    excluded by allowing digits, sign, point and exponent characters only."""
+    t = strip_ws(c)
+    return F.when(only_chars(t, "0123456789+-.eE"), t.try_cast("double"))
+
+
+def is_digits(c: Column) -> Column:
+    return only_chars(c, "0123456789")
 
 
 def count_char(c: Column, ch: str) -> Column:
@@ -83,8 +98,8 @@ def normalize_state(state: Column | str) -> Column:
 def user_or_uid(user: Column | str, uid: Column | str) -> Column:
     """Blank user -> 'uid_<UID>'; blank UID as well -> 'MISSING_USER'."""
     u, i = _c(user), _c(uid)
-    blank_u = u.isNull() | u.rlike(r"^\s*$")
-    blank_i = i.isNull() | i.rlike(r"^\s*$")
+    blank_u = u.isNull() | (strip_ws(u) == "")
+    blank_i = i.isNull() | (strip_ws(i) == "")
     return (
         F.when(~blank_u, u)
         .when(~blank_i, F.concat(F.lit("uid_"), i))
@@ -99,10 +114,10 @@ def memory_mb(mem: Column | str) -> Column:
     A trailing per-node 'n' / per-CPU 'c' is dropped (not multiplied). Only
     upper-case suffixes count; anything else is 0."""
     m = _c(mem)
-    s = F.regexp_replace(strip_ws(m), "[nc]+$", "")
+    s = F.rtrim(strip_ws(m), F.lit("nc"))
     body = s.substr(F.lit(1), F.length(s) - 1)
     num = to_float(body)
-    bare = F.when(s.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.try_cast("double"))
+    bare = F.when(only_chars(s, "0123456789."), s.try_cast("double"))
     value = (
         F.when(s.endswith("K"), num / 1024)
         .when(s.endswith("M"), num)
@@ -141,7 +156,7 @@ def cpu_seconds(text: Column | str) -> Column:
 def safe_int(text: Column | str) -> Column:
     """All-digit text -> bigint, anything else (negatives too) -> 0."""
     t = _c(text)
-    return F.coalesce(F.when(t.rlike(DIGITS_RE), t.try_cast("bigint")), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(is_digits(t), t.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def safe_timestamp(text: Column | str) -> Column:
@@ -149,7 +164,9 @@ def safe_timestamp(text: Column | str) -> Column:
     UTC), an explicit offset is kept as an instant. Placeholders and
     malformed text -> null."""
     t = _c(text)
-    ok = t.isNotNull() & ~t.isin(*NO_VALUE_TEXTS) & t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    head = F.substring(t, 1, 10)
+    shape = (F.translate(head, "0123456789", "dddddddddd") == "dddd-dd-dd")
+    ok = t.isNotNull() & ~t.isin(*NO_VALUE_TEXTS) & shape
     return F.when(ok, F.try_to_timestamp(t))
 
 
@@ -160,7 +177,7 @@ def gpu_count(alloc_tres: Column | str) -> Column:
     a = _c(alloc_tres)
     item = F.get(F.filter(F.split(a, ",", -1), lambda x: x.contains("gres/gpu=")), 0)
     val = F.split_part(item, F.lit("="), F.lit(2))
-    return F.coalesce(F.when(val.rlike(DIGITS_RE), val.try_cast("bigint")), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(is_digits(val), val.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def partition_cores(partition: Column | str) -> Column:
@@ -174,4 +191,4 @@ def gres_gpus(gres: Column | str) -> Column:
     text names no GPU or its last ':' piece is not a number."""
     g = _c(gres)
     last = F.element_at(F.split(F.regexp_replace(g, r"\(S:[0-9-]+\)", ""), ":", -1), -1)
-    return F.when(g.contains("gpu:") & last.rlike(DIGITS_RE), last.try_cast("bigint"))
+    return F.when(g.contains("gpu:") & is_digits(last), last.try_cast("bigint"))
