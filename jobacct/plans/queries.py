@@ -747,3 +747,23 @@ def stream_collect(spark, sf_dir):
     q = sc(spark, FX.dump_path(spark, sf_dir, 1), root, scratch_path(spark, "stream-ckpt"), RUN1_AS_OF, RUN1_DAYS, RUN1_AT)
     q.awaitTermination()
     return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "job_date")
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from jobacct.plans.analyze import analyze
+
+    root = _two_runs_appended(spark, sf_dir)
+    return analyze(spark, root, RUN2_AS_OF, RUN2_DAYS, groups(spark, sf_dir), inventory(spark, sf_dir), persist=False)
+
+
+def _register_analyze(section: str) -> None:
+    def fn(spark, sf_dir):
+        return _analysis(spark, sf_dir)[section]
+
+    fn.__doc__ = f"C5: the '{section}' section of an analysis over the store (two appended runs)."
+    register(f"analyze_{section}")(fn)
+
+
+for _section in ("group_stats", "daily_usage", "efficiency_summary", "top_wasters", "cluster_summary",
+                 "state_distribution", "node_stats", "gpu_utilization"):
+    _register_analyze(_section)
