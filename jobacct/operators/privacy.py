@@ -98,21 +98,31 @@ def alias_map(spark: SparkSession, bronze: DataFrame, seq: str = "seq") -> DataF
 
 
 def pseudonymize(spark: SparkSession, bronze: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Returns (pseudonymised bronze, alias map). Each mapped field is a left
-    join with its kind's slice of the map (AQE broadcasts the small ones);
-    node lists are exploded, mapped and re-assembled per line."""
+    """Returns (pseudonymised bronze, alias map).
+
+    Every mapped value of every line (scalar fields and each node of a node
+    list) is one row of a long table; ONE skew-safe lookup join gives the
+    aliases (a value on most lines, such as a shared group or cluster, is
+    served from a bounded broadcast); the aliases are pivoted back per line
+    (keyed by line: even) and joined 1:1 to the lines."""
+    from jobacct.operators.joins import lookup_join
+
+    occ = occurrences(bronze, seq)
     amap = stage(spark, alias_map(spark, bronze, seq), "alias-map")
-    out = bronze
-    for f, kind in SCALAR_FIELDS:
-        m = amap.where(F.col("kind") == kind).select(F.col("value").alias(f), F.col("alias").alias(f"_a_{f}"))
-        out = out.join(m, f, "left").withColumn(f, F.coalesce(F.col(f"_a_{f}"), F.col(f))).drop(f"_a_{f}")
-    nmap = amap.where(F.col("kind") == "node").select(F.col("value").alias("_node"), F.col("alias").alias("_alias"))
-    items = out.select(seq, F.posexplode(expand_nodes("NodeList")).alias("_i", "_node")).join(nmap, "_node", "left")
-    lists = items.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct("_i", "_alias"))).alias("_l"))
-    lists = lists.select(seq, F.array_join(F.transform("_l", lambda s: s["_alias"]), ",").alias("_nodes"))
-    out = out.join(lists, seq, "left").withColumn(
-        "NodeList", F.when(F.col("_nodes").isNull() | (F.col("_nodes") == ""), F.col("NodeList")).otherwise(F.col("_nodes"))
-    ).drop("_nodes")
+    looked = lookup_join(occ, amap, ["kind", "value"])
+    fld = F.col("at.field")
+    per_field = [
+        F.max(F.when(fld == _pos(f), F.col("alias"))).alias(f"_a_{f}") for f, _ in SCALAR_FIELDS
+    ]
+    nodes = F.array_sort(F.collect_list(F.when(fld == NODE_LIST_POS, F.struct(F.col("at.item").alias("i"), F.col("alias").alias("a")))))
+    per_line = looked.groupBy(F.col("at.line").alias(seq)).agg(*per_field, nodes.alias("_nl"))
+    out = bronze.join(per_line, seq, "left")
+    for f, _ in SCALAR_FIELDS:
+        out = out.withColumn(f, F.coalesce(F.col(f"_a_{f}"), F.col(f))).drop(f"_a_{f}")
+    joined = F.array_join(F.transform(F.col("_nl"), lambda x: x["a"]), ",")
+    out = out.withColumn(
+        "NodeList", F.when(F.col("_nl").isNull() | (F.size("_nl") == 0), F.col("NodeList")).otherwise(joined)
+    ).drop("_nl")
     wd, sl = F.col("WorkDir"), F.col("SubmitLine")
     home = wd.contains("/home/") | F.lower(wd).contains("/users/")
     out = out.withColumn("WorkDir", F.when((wd != "") & home, F.lit("/work/project")).otherwise(wd))

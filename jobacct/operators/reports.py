@@ -14,7 +14,7 @@ its size is one row by construction.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobacct.functions.metrics import analysis_days, reserved_hours, wait_seconds
@@ -135,9 +135,35 @@ def user_stats(prepared: DataFrame) -> DataFrame:
     )
 
 
-def group_stats(prepared: DataFrame) -> DataFrame:
-    """A2: per-group usage and distinct users."""
-    return prepared.groupBy("group").agg(n_unique("user").alias("unique_users"), *_usage_aggs())
+def group_stats(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """A2: per-group usage and distinct users.
+
+    With ``groups`` (one row per user) the jobs are first aggregated per user
+    (map-side combine), and only the per-user rows are joined to the mapping
+    and re-aggregated per group: job rows are never joined, so a user holding
+    a third of all jobs costs nothing extra. Base-unit sums make the two-step
+    sum exact. Without ``groups``, ``df`` must carry a ``group`` column."""
+    if groups is None:
+        d = df if "group" in df.columns else with_group(df, None)
+        return d.groupBy("group").agg(n_unique("user").alias("unique_users"), *_usage_aggs())
+    per_user = df.groupBy("user").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(cpu_s()), F.lit(0.0)).alias("cpu"),
+        F.coalesce(F.sum(mem_mb_s()), F.lit(0.0)).alias("mem"),
+        F.coalesce(F.sum(gpu_s()), F.lit(0.0)).alias("gpu"),
+        F.coalesce(F.sum(cpu_waste_s()), F.lit(0.0)).alias("cpu_w"),
+        F.coalesce(F.sum(mem_waste_mb_s()), F.lit(0.0)).alias("mem_w"),
+    )
+    g = with_group(per_user, groups)
+    return g.groupBy("group").agg(
+        F.count(F.lit(1)).alias("unique_users"),  # one row per user (null user included once)
+        F.sum("n").alias("job_count"),
+        (F.sum("cpu") / HOUR).alias("total_cpu_hours"),
+        (F.sum("mem") / GB_HOUR).alias("total_memory_gb_hours"),
+        (F.sum("gpu") / HOUR).alias("total_gpu_hours"),
+        (F.sum("cpu_w") / HOUR).alias("cpu_hours_wasted"),
+        (F.sum("mem_w") / GB_HOUR).alias("memory_gb_hours_wasted"),
+    )
 
 
 def show_group_section(stats: DataFrame) -> DataFrame:
@@ -229,7 +255,8 @@ def state_distribution(df: DataFrame) -> DataFrame:
     """Jobs per state and their share of all jobs (in %). The window runs
     over the per-state table only (one row per state)."""
     sc = state_counts(df)
-    return sc.withColumn("percentage", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100)
+    tot = sc.agg(F.sum("count").alias("_total"))
+    return one_row_join(sc, tot).select("state", "count", (F.col("count") / F.col("_total") * 100).alias("percentage"))
 
 
 def worst_users(df: DataFrame, k: int = 5) -> DataFrame:
@@ -261,11 +288,12 @@ def top_share(df: DataFrame, label: str, value: str, n: int = 20, width: int = 5
     share of the total of ALL positive values, the bar length relative to the
     maximum and the colour band (red > 0.66 max, yellow > 0.33 max, else
     green); labels cut to 15 characters. The window runs over ``df``, which
-    is an already aggregated report (one row per user / node / day)."""
+    is an already aggregated report (one row per user / node / day); totals
+    come from a one-row aggregate, the top ``n`` from a distributed top-k."""
     pos = df.where(F.col(value) > 0).select(F.col(label).alias("label"), F.col(value).alias("value"))
-    w = Window.partitionBy()
-    ranked = pos.withColumns({"__total": F.sum("value").over(w), "__max": F.max("value").over(w)})
-    top = ranked.orderBy(F.col("value").desc(), F.col("label")).limit(n)
+    tot = pos.agg(F.sum("value").alias("__total"), F.max("value").alias("__max"))
+    # distributed top-k (each task keeps its n best), then the one-row totals
+    top = one_row_join(pos.orderBy(F.col("value").desc(), F.col("label")).limit(n), tot)
     v, mx = F.col("value"), F.col("__max")
     return top.select(
         F.left(F.col("label"), F.lit(15)).alias("label"),

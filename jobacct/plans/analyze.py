@@ -22,7 +22,9 @@ def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7,
             inventory: DataFrame | None = None, persist: bool = True) -> dict[str, DataFrame]:
     use_utc(spark)
     jobs = load_recent(spark, root, as_of, days, PROCESSED)
-    prepared = R.prepare(jobs, groups)
+    # jobs are not joined to the group mapping: the group report joins it to
+    # per-user rows (see reports.group_stats)
+    prepared = R.prepare(jobs)
     if persist:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     users = R.user_stats(prepared)
@@ -33,7 +35,7 @@ def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7,
         "user_stats": users,
         "top_users": R.top_users(users),
         "user_cpu_share": R.top_share(users, "user", "total_cpu_hours", 20),
-        "group_stats": R.group_stats(prepared),
+        "group_stats": R.group_stats(prepared, groups),
         "efficiency_summary": R.efficiency_summary(prepared),
         "top_wasters": R.top_wasters(prepared),
         "cluster_summary": R.cluster_summary(prepared),

@@ -82,7 +82,7 @@ def _ts_txt(c: str):
 @register("group_stats")
 def group_stats(spark, sf_dir):
     """A2: per research group; mapping derived from the users of ``events``."""
-    return R.group_stats(prepared(spark, sf_dir))
+    return R.group_stats(R.prepare(silver(spark, sf_dir)), groups(spark, sf_dir))
 
 
 @register("daily_usage")

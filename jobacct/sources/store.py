@@ -218,11 +218,14 @@ def store_stats(spark: SparkSession, root: str) -> DataFrame:
         )
         f = f.groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"), F.first("file_size").alias("file_size"))
         files = f if files is None else files.unionByName(f)
-    w = Window.orderBy(F.col("file_path").desc())
-    ranked = files.withColumn("_r", F.row_number().over(w))
-    return ranked.agg(
+    tot = files.agg(
         F.count(F.lit(1)).alias("data_files"),
         F.max_by(F.element_at(F.split("file_path", "/"), -1), "file_path").alias("latest_file"),
-        F.coalesce(F.sum(F.when(F.col("_r") <= 5, F.col("rows"))), F.lit(0)).alias("recent_records"),
         (F.sum("file_size") / (1024 * 1024)).alias("disk_mb"),
     )
+    last5 = files.orderBy(F.col("file_path").desc()).limit(5).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("recent_records")
+    )
+    from jobacct.operators.reports import one_row_join
+
+    return one_row_join(tot, last5).select("data_files", "latest_file", "recent_records", "disk_mb")
