@@ -81,13 +81,16 @@ def backfill_reserved(df: DataFrame) -> DataFrame:
 def with_group(df: DataFrame, groups: DataFrame | None) -> DataFrame:
     """User -> group via a left join; users in no group -> 'ungrouped'.
 
-    ``groups`` must hold one row per user (see ``sources.groups``). No
-    broadcast hint: the mapping is as large as the user base, so AQE decides
-    from its measured size."""
+    ``groups`` must hold one row per user (see ``sources.groups``). Users
+    holding a large share of the jobs are served from a bounded broadcast,
+    the rest by an ordinary join (``joins.lookup_join``); no hint is put on
+    the whole mapping, which is as large as the user base."""
     if groups is None:
         return df.withColumn("group", F.lit(UNGROUPED))
+    from jobacct.operators.joins import lookup_join
+
     g = groups.select("user", F.col("group").alias("__group"))
-    return df.join(g, "user", "left").withColumn("group", F.coalesce("__group", F.lit(UNGROUPED))).drop("__group")
+    return lookup_join(df, g, ["user"]).withColumn("group", F.coalesce("__group", F.lit(UNGROUPED))).drop("__group")
 
 
 def with_wait(df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobacct.operators import incremental as I
@@ -25,7 +26,8 @@ from jobacct.sources.accounting import SEQ, with_job_date
 
 def collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int = 1,
             processed_at=None) -> DataFrame:
-    """Run one collection; returns one metrics row."""
+    """Run one collection; returns one metrics row (A17), gathered with
+    ``Observation`` during the writes (no extra pass over the data)."""
     use_utc(spark)
     a = as_of if isinstance(as_of, str) else as_of.isoformat()
     requested = I.requested_dates(spark, a, days)
@@ -41,26 +43,32 @@ def collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.d
     active = todo.join(F.broadcast(settled_dates), DATE_COLUMN, "left_anti")
 
     raw = with_job_date(bronze).join(F.broadcast(active), DATE_COLUMN, "left_semi")
-    raw = ST.stage(spark, raw, "collect-raw")
+    # read by the normalisation and by the raw archive: kept for the run
+    # (recomputed from the dump files if an executor holding it is lost)
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    obs_raw, obs_pairs, obs_new = Observation("raw"), Observation("pairs"), Observation("new")
     existing = I.existing_states(stored.join(F.broadcast(active), DATE_COLUMN, "left_semi"))
-    pairs = I.keep_changed_jobs(pick_main_and_batch(raw, SEQ), existing)
+    picked = pick_main_and_batch(raw.observe(obs_raw, F.count(F.lit(1)).alias("raw_records")), SEQ)
+    pairs = I.keep_changed_jobs(picked, existing).observe(obs_pairs, F.count_if("skipped").alias("skipped_jobs"))
     new = silver_from_pairs(pairs.where(~F.col("skipped")), processed_at)
-    new = ST.stage(spark, new, "collect-new")
-    skipped = ST.stage(spark, pairs.agg(F.count_if("skipped").alias("skipped_jobs")), "collect-skipped")
+    new = ST.stage(spark, new.observe(obs_new, F.count(F.lit(1)).alias("processed_jobs")), "collect-new")
 
     merged = ST.upsert_store(spark, root, new)
     ST.upsert_raw(spark, root, raw)
+    raw.unpersist()
     completeness = I.date_completeness(merged, a)
     newly = completeness.where("is_complete").select(DATE_COLUMN).unionByName(settled_dates.where(F.col(DATE_COLUMN) < a))
-    ST.mark_complete(spark, root, newly, processed_at_col(processed_at))
-
-    m = raw.agg(F.count(F.lit(1)).alias("raw_records"))
-    n = new.agg(F.count(F.lit(1)).alias("processed_jobs"))
-    s = skipped
-    c = completeness.agg(F.count_if("is_complete").alias("completed_dates"))
-    from jobacct.operators.reports import one_row_join
-
-    return one_row_join(one_row_join(one_row_join(m, n), s), c)
+    marked = ST.mark_complete(spark, root, newly, processed_at_col(processed_at))
+    done = completeness.where("is_complete").count()
+    row = (
+        int(obs_raw.get.get("raw_records", 0)),
+        int(obs_new.get.get("processed_jobs", 0)),
+        int(obs_pairs.get.get("skipped_jobs", 0)),
+        int(done),
+    )
+    del marked
+    # a one-row table of scalars already computed (nothing passes through the driver)
+    return spark.createDataFrame([row], "raw_records bigint, processed_jobs bigint, skipped_jobs bigint, completed_dates bigint")
 
 
 def reprocess_missing(spark: SparkSession, root: str, processed_at=None) -> DataFrame:

@@ -129,12 +129,6 @@ def dedupe_newest_date(df: DataFrame) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def dedupe_raw_newest(df: DataFrame) -> DataFrame:
-    """Raw upsert policy: per (date, ``JobIDRaw``) the most recently fetched line."""
-    w = Window.partitionBy(DATE_COLUMN, "JobIDRaw").orderBy(F.col("_fetch").desc(), F.col("seq").desc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_fetch")
-
-
 # --- loads -----------------------------------------------------------------------
 def load_recent(spark: SparkSession, root: str, as_of: str | dt.date, days: int, kind: str = PROCESSED) -> DataFrame:
     """Dates ``as_of - days`` .. ``as_of`` (days + 1 dates), deduped: W1
@@ -166,7 +160,14 @@ def upsert_silver(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_store(spark: SparkSession, root: str, new: DataFrame) -> DataFrame:
     """U2 on the store: merge ``new`` silver rows into the dates they touch
-    and replace exactly those date partitions. Returns the staged merge."""
+    and replace exactly those date partitions. Returns the merged rows.
+
+    When the table exists the merge is staged first (it reads the partitions
+    it replaces); a first write goes straight to the store."""
+    if not path_exists(spark, _path(root, PROCESSED)):
+        merged = latest_per_job(new.select(*SILVER_COLUMNS, DATE_COLUMN))
+        write_silver(merged, root)
+        return read_table(spark, root, PROCESSED, new.select(DATE_COLUMN).distinct())
     touched = new.select(DATE_COLUMN).distinct()
     existing = read_table(spark, root, PROCESSED, touched)
     merged = stage(spark, upsert_silver(existing, new), "silver-merge")
@@ -174,16 +175,21 @@ def upsert_store(spark: SparkSession, root: str, new: DataFrame) -> DataFrame:
     return merged
 
 
-def upsert_raw(spark: SparkSession, root: str, new_raw: DataFrame) -> DataFrame:
-    """Raw store upsert by ``JobIDRaw`` per date (archived rows are kept,
-    re-fetched rows replace their older copy)."""
-    touched = new_raw.select(DATE_COLUMN).distinct()
+def upsert_raw(spark: SparkSession, root: str, new_raw: DataFrame) -> None:
+    """Raw store upsert: per date, archived lines whose ``JobIDRaw`` was
+    fetched again are replaced by the new fetch (kept as fetched, duplicates
+    included: the load-time rule W2 resolves them); other archived lines
+    stay. An anti join keyed by (date, JobIDRaw), no window."""
     cols = [f.name for f in RAW_STORED.fields]
-    existing = read_table(spark, root, RAW, touched).select(*cols).withColumn("_fetch", F.lit(0))
-    merged = dedupe_raw_newest(existing.unionByName(new_raw.select(*cols).withColumn("_fetch", F.lit(1))))
-    merged = stage(spark, merged, "raw-merge")
+    if not path_exists(spark, _path(root, RAW)):
+        write_bronze(new_raw.select(*cols), root)
+        return
+    touched = new_raw.select(DATE_COLUMN).distinct()
+    existing = read_table(spark, root, RAW, touched).select(*cols)
+    keys = new_raw.select(DATE_COLUMN, "JobIDRaw").distinct()
+    kept = existing.join(keys, [DATE_COLUMN, "JobIDRaw"], "left_anti")
+    merged = stage(spark, kept.unionByName(new_raw.select(*cols)), "raw-merge")
     write_bronze(merged, root)
-    return merged
 
 
 # --- completion state ---------------------------------------------------------------
