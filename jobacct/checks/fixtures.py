@@ -42,9 +42,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     fewer splits than that (one small file is one split; each event renders
     into several dump lines, so the rendering needs the parallelism). A
     table already read in many splits is used as it is: no shuffle."""
-    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    ev = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if ev.rdd.getNumPartitions() < cores:
+    # split estimate from the file size (metadata only, no planning)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024)).rstrip("b").rstrip("B") or 134217728)
+    if size // max(split, 1) + 1 < cores:
         ev = ev.repartition(cores)
     return ev
 

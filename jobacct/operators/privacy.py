@@ -91,10 +91,14 @@ def alias_of(kind: Column, idx: Column) -> Column:
     )
 
 
+def _alias_map_from(spark: SparkSession, occ: DataFrame) -> DataFrame:
+    idx = first_seen_index(spark, occ)
+    return idx.select("kind", "value", alias_of(F.col("kind"), F.col("idx")).alias("alias"))
+
+
 def alias_map(spark: SparkSession, bronze: DataFrame, seq: str = "seq") -> DataFrame:
     """``(kind, value, alias)`` for every distinct mapped value of the dump."""
-    idx = first_seen_index(spark, occurrences(bronze, seq))
-    return idx.select("kind", "value", alias_of(F.col("kind"), F.col("idx")).alias("alias"))
+    return _alias_map_from(spark, occurrences(bronze, seq))
 
 
 def pseudonymize(spark: SparkSession, bronze: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -107,8 +111,10 @@ def pseudonymize(spark: SparkSession, bronze: DataFrame, seq: str = "seq") -> tu
     (keyed by line: even) and joined 1:1 to the lines."""
     from jobacct.operators.joins import lookup_join
 
-    occ = occurrences(bronze, seq)
-    amap = stage(spark, alias_map(spark, bronze, seq), "alias-map")
+    # the long table feeds the ranking, the hot-key count and the lookup:
+    # materialised once in the checkpoint folder
+    occ = stage(spark, occurrences(bronze, seq), "alias-occurrences")
+    amap = stage(spark, _alias_map_from(spark, occ), "alias-map")
     looked = lookup_join(occ, amap, ["kind", "value"])
     fld = F.col("at.field")
     per_field = [

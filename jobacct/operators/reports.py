@@ -78,19 +78,21 @@ def backfill_reserved(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.when(old, v).otherwise(F.col(k)) for k, v in r.items()})
 
 
-def with_group(df: DataFrame, groups: DataFrame | None) -> DataFrame:
+def with_group(df: DataFrame, groups: DataFrame | None, skew_safe: bool = True) -> DataFrame:
     """User -> group via a left join; users in no group -> 'ungrouped'.
 
     ``groups`` must hold one row per user (see ``sources.groups``). Users
     holding a large share of the jobs are served from a bounded broadcast,
     the rest by an ordinary join (``joins.lookup_join``); no hint is put on
-    the whole mapping, which is as large as the user base."""
+    the whole mapping, which is as large as the user base. ``skew_safe=False``
+    is for inputs with one row per user (nothing to split)."""
     if groups is None:
         return df.withColumn("group", F.lit(UNGROUPED))
     from jobacct.operators.joins import lookup_join
 
     g = groups.select("user", F.col("group").alias("__group"))
-    return lookup_join(df, g, ["user"]).withColumn("group", F.coalesce("__group", F.lit(UNGROUPED))).drop("__group")
+    j = lookup_join(df, g, ["user"]) if skew_safe else df.join(g, "user", "left")
+    return j.withColumn("group", F.coalesce("__group", F.lit(UNGROUPED))).drop("__group")
 
 
 def with_wait(df: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def group_stats(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum(cpu_waste_s()), F.lit(0.0)).alias("cpu_w"),
         F.coalesce(F.sum(mem_waste_mb_s()), F.lit(0.0)).alias("mem_w"),
     )
-    g = with_group(per_user, groups)
+    g = with_group(per_user, groups, skew_safe=False)  # one row per user: no hot key
     return g.groupBy("group").agg(
         F.count(F.lit(1)).alias("unique_users"),  # one row per user (null user included once)
         F.sum("n").alias("job_count"),

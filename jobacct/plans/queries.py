@@ -64,8 +64,9 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_from_pairs(FX.group_pairs(spark, sf_dir))
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.prepare(silver(spark, sf_dir), groups(spark, sf_dir))
+def prepared(spark: SparkSession, sf_dir: str, with_groups: bool = False) -> DataFrame:
+    """Prepared jobs; the group mapping is joined only where a report uses it."""
+    return R.prepare(silver(spark, sf_dir), groups(spark, sf_dir) if with_groups else None)
 
 
 # --- reports -----------------------------------------------------------------
@@ -160,7 +161,7 @@ def incomplete_jobs(spark, sf_dir):
 @register("prepare")
 def prepare(spark, sf_dir):
     """Group, back-filled reserved hours and wait per job."""
-    return prepared(spark, sf_dir).select("job_id", "user", "group", "wait_seconds", "cpu_hours_reserved")
+    return prepared(spark, sf_dir, with_groups=True).select("job_id", "user", "group", "wait_seconds", "cpu_hours_reserved")
 
 
 @register("with_group")
@@ -724,7 +725,7 @@ def analyze_user_stats(spark, sf_dir):
 
     root = _two_runs_appended(spark, sf_dir)
     df = ST.load_recent(spark, root, RUN2_AS_OF, RUN2_DAYS, ST.PROCESSED)
-    return R.user_stats(R.prepare(df, groups(spark, sf_dir)))
+    return R.user_stats(R.prepare(df))
 
 
 @register("pseudonymize")
