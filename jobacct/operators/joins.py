@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobacct.operators.reports import one_row_join
+from jobacct.operators.reports import scalar
 
 
 def hot_keys(fact: DataFrame, keys: list[str], max_hot: int = 1000) -> DataFrame:
     """Key values holding >= 1/max_hot of the rows (at most ``max_hot`` rows)."""
     counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return one_row_join(counts, total).where(F.col("_n") * max_hot >= F.col("_total")).select(*keys)
+    total = scalar(counts.agg(F.sum("_n").alias("_total")))
+    return counts.where(F.col("_n") * max_hot >= total).select(*keys)
 
 
 def lookup_join(fact: DataFrame, mapping: DataFrame, keys: list[str], how: str = "left", max_hot: int = 1000) -> DataFrame:

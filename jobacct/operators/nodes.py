@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobacct.functions.nodes import expand_nodes
-from jobacct.operators.reports import analysis_period, one_row_join
+from jobacct.operators.reports import analysis_period, scalar
 from jobacct.schemas import DEFAULT_NODE_CPUS
 
 
@@ -56,8 +56,8 @@ def node_stats(usage: DataFrame, inventory: DataFrame, period: DataFrame) -> Dat
     is not in the inventory) and its utilisation over ``period`` days (may
     exceed 100 %; null when the CPU count is unknown or 0)."""
     inv = inventory.select("node", F.col("cpus").alias("est_cpus"))
-    s = one_row_join(node_totals(usage).join(inv, "node", "left"), period)
-    avail = F.col("est_cpus") * F.col("period_days") * 24
+    s = node_totals(usage).join(inv, "node", "left")
+    avail = F.col("est_cpus") * scalar(period) * 24
     return s.select(
         "node", "total_cpu_hours", "total_gpu_hours", "total_elapsed_hours", "job_count", "est_cpus",
         F.when(F.col("est_cpus").isNotNull(), avail).alias("cpu_hours_available"),
@@ -80,8 +80,8 @@ def gpu_utilization(stats: DataFrame, inventory: DataFrame, period: DataFrame) -
     their GPU-hours capacity over ``period`` days and utilisation."""
     inv = inventory.select("node", F.col("gpus").alias("est_gpus"))
     g = stats.where(F.col("total_gpu_hours") > 0).select("node", "total_gpu_hours").join(inv, "node", "left")
-    g = one_row_join(g.where(F.col("est_gpus").isNotNull() & (F.col("est_gpus") > 0)), period)
-    avail = F.col("est_gpus") * F.col("period_days") * 24
+    g = g.where(F.col("est_gpus").isNotNull() & (F.col("est_gpus") > 0))
+    avail = F.col("est_gpus") * scalar(period) * 24
     return g.select(
         "node", "total_gpu_hours", "est_gpus", avail.alias("gpu_hours_available"),
         (F.col("total_gpu_hours") / avail * 100).alias("gpu_utilization_pct"),

@@ -104,9 +104,9 @@ def queue_grid(usage: DataFrame) -> DataFrame:
     )
     gt = by_status.agg(F.array_sort(F.collect_list(F.struct("first_line", "status", "cores", "nodes"))).alias("_i"))
     grand = gt.select(F.lit("Total").alias("partition"), _summary(F.col("_i"), "cores").alias("cores_summary"), _summary(F.col("_i"), "nodes").alias("nodes_summary"))
-    from jobacct.operators.reports import one_row_join
+    from jobacct.operators.reports import scalar
 
-    footer = one_row_join(part_tot.unionByName(grand), n_users).select(F.col("_label").alias("user"), "partition", "cores_summary", "nodes_summary")
+    footer = part_tot.unionByName(grand).select(scalar(n_users).alias("user"), "partition", "cores_summary", "nodes_summary")
     out = cells.unionByName(user_tot).unionByName(footer)
     return out.select("user", "partition", F.col("cores_summary").alias("cores_cell"), F.col("nodes_summary").alias("nodes_cell"))
 

@@ -7,9 +7,8 @@ independent of row order, so a report reads the same on 8 or 8000 tasks.
 
 Every report is a single ``groupBy`` (partial aggregation before the
 shuffle, so a user or state holding a third of all rows costs one map-side
-combine, not one hot reducer). Where a global total is attached to grouped
-rows it is a one-row aggregate joined on a constant key with a broadcast:
-its size is one row by construction.
+combine, not one hot reducer). Where a global total is attached to grouped rows
+it is a one-row aggregate used as a scalar subquery (no join).
 """
 
 from __future__ import annotations
@@ -56,13 +55,10 @@ def n_unique(c: Column | str) -> Column:
     return (F.countDistinct(c) + F.coalesce(F.max(c.isNull()).cast("bigint"), F.lit(0))).cast("bigint")
 
 
-def one_row_join(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row global aggregate to every row.
-
-    An equi-join on a constant key with the one-row side broadcast: its size
-    is exactly one row, whatever the data size."""
-    k = "__one"
-    return rows.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
+def scalar(one_row: DataFrame) -> Column:
+    """A one-row, one-column global aggregate as a Column (scalar subquery):
+    computed once, plugged into the plan that uses it; no join."""
+    return one_row.scalar()
 
 
 # --- C2 prepare --------------------------------------------------------------
@@ -253,15 +249,15 @@ def cluster_summary(prepared: DataFrame) -> DataFrame:
         total(F.col("req_mem_mb"), 1024.0).alias("total_ram_gb"),
         (F.avg("wait_seconds") / HOUR).alias("avg_wait_hours"),
     )
-    return one_row_join(tot, top_states_text(prepared))
+    return tot.withColumn("top_states", scalar(top_states_text(prepared)))
 
 
 def state_distribution(df: DataFrame) -> DataFrame:
     """Jobs per state and their share of all jobs (in %). The window runs
     over the per-state table only (one row per state)."""
     sc = state_counts(df)
-    tot = sc.agg(F.sum("count").alias("_total"))
-    return one_row_join(sc, tot).select("state", "count", (F.col("count") / F.col("_total") * 100).alias("percentage"))
+    total = scalar(sc.agg(F.sum("count").alias("_total")))
+    return sc.select("state", "count", (F.col("count") / total * 100).alias("percentage"))
 
 
 def worst_users(df: DataFrame, k: int = 5) -> DataFrame:
@@ -296,9 +292,9 @@ def top_share(df: DataFrame, label: str, value: str, n: int = 20, width: int = 5
     is an already aggregated report (one row per user / node / day); totals
     come from a one-row aggregate, the top ``n`` from a distributed top-k."""
     pos = df.where(F.col(value) > 0).select(F.col(label).alias("label"), F.col(value).alias("value"))
-    tot = pos.agg(F.sum("value").alias("__total"), F.max("value").alias("__max"))
-    # distributed top-k (each task keeps its n best), then the one-row totals
-    top = one_row_join(pos.orderBy(F.col("value").desc(), F.col("label")).limit(n), tot)
+    tot = scalar(pos.agg(F.struct(F.sum("value").alias("total"), F.max("value").alias("max")).alias("t")))
+    # distributed top-k (each task keeps its n best), then the totals
+    top = pos.orderBy(F.col("value").desc(), F.col("label")).limit(n).withColumns({"__total": tot["total"], "__max": tot["max"]})
     v, mx = F.col("value"), F.col("__max")
     return top.select(
         F.left(F.col("label"), F.lit(15)).alias("label"),

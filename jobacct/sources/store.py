@@ -232,6 +232,6 @@ def store_stats(spark: SparkSession, root: str) -> DataFrame:
     last5 = files.orderBy(F.col("file_path").desc()).limit(5).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("recent_records")
     )
-    from jobacct.operators.reports import one_row_join
+    from jobacct.operators.reports import scalar
 
-    return one_row_join(tot, last5).select("data_files", "latest_file", "recent_records", "disk_mb")
+    return tot.withColumn("recent_records", scalar(last5)).select("data_files", "latest_file", "recent_records", "disk_mb")
