@@ -18,18 +18,20 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in ``spark.checkpoint.dir``.
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``
+    (or already registered on the context).
 
     Only when the session has none (local tests) is a private folder created
-    and registered as the checkpoint dir."""
+    and registered as the context's checkpoint dir."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="jobacct-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-        spark.sparkContext.setCheckpointDir(root)
-    return str(root)
+    if root:
+        return str(root)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return str(current)
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobacct-ckpt-"))
+    return str(sc.getCheckpointDir())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
