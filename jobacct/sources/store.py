@@ -39,9 +39,6 @@ RAW_STORED = T.StructType(
 )
 COMPLETED_SCHEMA = T.StructType([T.StructField("marked_at", T.TimestampType()), T.StructField(DATE_COLUMN, T.StringType())])
 SCHEMAS = {PROCESSED: SILVER_STORED, RAW: RAW_STORED, COMPLETED: COMPLETED_SCHEMA}
-# files per date folder written by one upsert (a day of a large cluster is
-# still spread over this many tasks instead of one)
-FILES_PER_DATE = 4
 
 
 def _path(root: str, kind: str) -> str:
@@ -84,10 +81,12 @@ def read_table(spark: SparkSession, root: str, kind: str, dates: list[str] | Dat
 
 def write_table(df: DataFrame, root: str, kind: str, mode: str = "overwrite") -> None:
     """Write date partitions; with ``overwrite`` only the dates present in
-    ``df`` are replaced. Rows are spread over FILES_PER_DATE tasks per date."""
+    ``df`` are replaced. The REBALANCE hint clusters rows by date and lets
+    AQE size the write tasks: a large date is split over several tasks
+    (files of about the advisory partition size), small dates are merged, so
+    neither one task per day nor many tiny files."""
     cols = [f.name for f in SCHEMAS[kind].fields]
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != DATE_COLUMN][:1]), F.lit(FILES_PER_DATE))
-    out = df.select(*cols).repartition(F.col(DATE_COLUMN), salt)
+    out = df.select(*cols).hint("rebalance", DATE_COLUMN)
     (
         out.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
