@@ -55,14 +55,7 @@ def node_stats(usage: DataFrame, inventory: DataFrame, period: DataFrame) -> Dat
     """A3 + J4: per-node totals with the node's CPU count (null when the node
     is not in the inventory) and its utilisation over ``period`` days (may
     exceed 100 %; null when the CPU count is unknown or 0)."""
-    inv = inventory.select("node", F.col("cpus").alias("est_cpus"))
-    s = node_totals(usage).join(inv, "node", "left")
-    avail = F.col("est_cpus") * scalar(period) * 24
-    return s.select(
-        "node", "total_cpu_hours", "total_gpu_hours", "total_elapsed_hours", "job_count", "est_cpus",
-        F.when(F.col("est_cpus").isNotNull(), avail).alias("cpu_hours_available"),
-        (F.try_divide(F.col("total_cpu_hours"), avail.cast("double")) * 100).alias("cpu_utilization_pct"),
-    )
+    return node_stats_from_totals(node_totals(usage), inventory, period)
 
 
 def nodes_missing_cpu(stats: DataFrame) -> DataFrame:
@@ -80,8 +73,8 @@ def gpu_utilization(stats: DataFrame, inventory: DataFrame, period: DataFrame) -
     their GPU-hours capacity over ``period`` days and utilisation."""
     inv = inventory.select("node", F.col("gpus").alias("est_gpus"))
     g = stats.where(F.col("total_gpu_hours") > 0).select("node", "total_gpu_hours").join(inv, "node", "left")
-    g = g.where(F.col("est_gpus").isNotNull() & (F.col("est_gpus") > 0))
-    avail = F.col("est_gpus") * scalar(period) * 24
+    g = g.where(F.col("est_gpus").isNotNull() & (F.col("est_gpus") > 0)).withColumn("_period", scalar(period))
+    avail = F.col("est_gpus") * F.col("_period") * 24
     return g.select(
         "node", "total_gpu_hours", "est_gpus", avail.alias("gpu_hours_available"),
         (F.col("total_gpu_hours") / avail * 100).alias("gpu_utilization_pct"),
@@ -109,11 +102,58 @@ def inventory_summary(inventory: DataFrame) -> DataFrame:
     )
 
 
+def node_totals_and_period(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-node totals and the analysis period from ONE pass over the jobs.
+
+    Jobs are exploded with ``explode_outer``: a job without nodes gives one
+    row with a null node, so the per-node aggregate also carries every job's
+    submit / end time. The period (A12) is then a tiny aggregate over the
+    per-node rows, which shares their shuffle instead of re-reading jobs."""
+    jobs = prepared.withColumn("_nodes", F.when(F.col("node_list") != "", expand_nodes("node_list")))
+    jobs = jobs.withColumn("_n", F.coalesce(F.size("_nodes"), F.lit(0)))
+    has = F.col("_n") > 0
+    rows = jobs.select(
+        F.explode_outer(F.when(has, F.col("_nodes"))).alias("node"),
+        F.when(has, F.col("cpu_hours_reserved") / F.col("_n")).alias("cpu_hours"),
+        F.when(has, F.col("gpu_hours_reserved") / F.col("_n")).alias("gpu_hours"),
+        F.when(has, (F.col("elapsed_seconds") / 3600) / F.col("_n")).alias("elapsed_hours"),
+        "submit_time", "end_time",
+    )
+    per = rows.groupBy("node").agg(
+        _micro_sum("cpu_hours").alias("total_cpu_hours"),
+        _micro_sum("gpu_hours").alias("total_gpu_hours"),
+        _micro_sum("elapsed_hours").alias("total_elapsed_hours"),
+        F.count(F.lit(1)).alias("job_count"),
+        F.min("submit_time").alias("_min_submit"),
+        F.max("end_time").alias("_max_end"),
+    )
+    from jobacct.functions.metrics import analysis_days
+    from jobacct.sources.store import stage
+
+    # one row per node (bounded by the cluster): staged so that the period
+    # and the statistics read this small table instead of the jobs again
+    per = stage(prepared.sparkSession, per, "node-totals")
+    period = per.agg(analysis_days(F.min("_min_submit"), F.max("_max_end")).alias("period_days"))
+    totals = per.where(F.col("node").isNotNull()).drop("_min_submit", "_max_end")
+    return totals, period
+
+
+def node_stats_from_totals(totals: DataFrame, inventory: DataFrame, period: DataFrame) -> DataFrame:
+    inv = inventory.select("node", F.col("cpus").alias("est_cpus"))
+    s = totals.join(inv, "node", "left").withColumn("_period", scalar(period))
+    avail = F.col("est_cpus") * F.col("_period") * 24
+    return s.select(
+        "node", "total_cpu_hours", "total_gpu_hours", "total_elapsed_hours", "job_count", "est_cpus",
+        F.when(F.col("est_cpus").isNotNull(), avail).alias("cpu_hours_available"),
+        (F.try_divide(F.col("total_cpu_hours"), avail.cast("double")) * 100).alias("cpu_utilization_pct"),
+    )
+
+
 def node_report(prepared: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
-    """The node section of the analysis."""
-    period = analysis_period(prepared)
+    """The node section of the analysis (one pass over the jobs)."""
     usage = node_usage(prepared)
-    stats = node_stats(usage, inventory, period)
+    totals, period = node_totals_and_period(prepared)
+    stats = node_stats_from_totals(totals, inventory, period)
     return {
         "node_usage": usage,
         "node_stats": stats,
