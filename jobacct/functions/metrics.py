@@ -55,9 +55,7 @@ def reserved_hours(cpus: Column | str, req_mem: Column | str, gpus: Column | str
 def wait_seconds(submit: Column | str, start: Column | str) -> Column:
     """Whole seconds from submit to start (truncated); null unless both set."""
     s, b = _c(submit), _c(start)
-    diff = F.timestamp_diff("SECOND", s, b) if hasattr(F, "timestamp_diff") else (
-        F.unix_micros(b) - F.unix_micros(s)) / 1_000_000
-    return F.when(s.isNotNull() & b.isNotNull(), diff.cast("bigint"))
+    return F.when(s.isNotNull() & b.isNotNull(), F.timestamp_diff("SECOND", s, b).cast("bigint"))
 
 
 def analysis_days(min_submit: Column | str, max_end: Column | str) -> Column:

@@ -10,14 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobacct.functions.text import only_chars, strip_ws
-
-
-def _int(txt: Column) -> Column:
-    """Integer value of a text as int() reads it (sign, surrounding blanks)."""
-    t = strip_ws(txt)
-    body = F.when(t.startswith("+") | t.startswith("-"), t.substr(F.lit(2), F.length(t))).otherwise(t)
-    return F.when(only_chars(body, "0123456789"), t.try_cast("bigint"))
+from jobacct.functions.text import strip_ws, to_int
 
 
 def _zfill(digits: Column, width: Column) -> Column:
@@ -48,8 +41,8 @@ def expand_nodes(node_list: Column | str) -> Column:
         dash = F.instr(p, "-")
         lo_txt = F.substring_index(p, "-", 1)
         hi_txt = p.substr(dash + 1, F.length(p))
-        lo = _int(lo_txt)
-        hi = _int(hi_txt)
+        lo = to_int(lo_txt)
+        hi = to_int(hi_txt)
         is_range = (dash > 0) & (F.length(lo_txt) > 0) & lo.isNotNull() & hi.isNotNull()
         width = F.when(F.substring(lo_txt, 1, 1) == "0", F.length(lo_txt)).otherwise(F.lit(0))
         ids = F.when(is_range & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))

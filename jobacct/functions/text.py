@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from jobacct.schemas import NO_VALUE_TEXTS, UNFINISHED_RAW_STATES
 
-# A decimal number the way a float() parse of a dump field accepts it.
-FLOAT_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-# An unsigned integer (what str.isdigit() accepts for ASCII text).
-DIGITS_RE = r"^[0-9]+$"
 # Whitespace characters removed by strip_ws (those of str.strip() for ASCII).
 WS = " \t\n\r\x0b\x0c"
 
@@ -49,9 +45,18 @@ def to_float(c: Column | str) -> Column:
 
 
 def is_digits(c: Column) -> Column:
+    """What str.isdigit() accepts for ASCII text."""
     return only_chars(c, "0123456789")
 
 
+def to_int(txt: Column | str) -> Column:
+    """Integer value of a text the way int() reads it (optional sign,
+    surrounding blanks); null otherwise."""
+    t = strip_ws(txt)
+    body = F.when(t.startswith("+") | t.startswith("-"), t.substr(F.lit(2), F.length(t))).otherwise(t)
+    return F.when(is_digits(body), t.try_cast("bigint"))
+
+
 def count_char(c: Column, ch: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 

@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobacct.functions.text import gres_gpus, strip_ws
+from jobacct.functions.text import gres_gpus, strip_ws, to_int
 from jobacct.sources.accounting import line_sequence
 
-INT_RE = r"^\s*[+-]?[0-9]+\s*$"
-
 
 def read_lines(spark: SparkSession, path: str | list[str], order: str = "line_no") -> DataFrame:
     """Text lines ``(value, <order>)`` in file / split / line order."""
@@ -31,7 +29,7 @@ def _two_parts(lines: DataFrame, order: str) -> DataFrame:
 
 def parse_node_cpus(lines: DataFrame, order: str = "line_no") -> DataFrame:
     """S4: 'node,cpus' lines -> ``(node, cpus)``; non-integer cpus skipped."""
-    p = _two_parts(lines, order).withColumn("cpus", F.when(F.col("_v").rlike(INT_RE), strip_ws("_v").try_cast("bigint")))
+    p = _two_parts(lines, order).withColumn("cpus", to_int(F.col("_v")))
     return p.where(F.col("cpus").isNotNull()).groupBy("node").agg(F.max_by("cpus", "_o").alias("cpus"))
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobacct.functions.text import strip_ws
-from jobacct.sources.inventory import INT_RE, read_lines
+from jobacct.functions.text import to_int
+from jobacct.sources.inventory import read_lines
 
 
 def parse_queue_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
@@ -19,7 +19,7 @@ def parse_queue_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
     parts = F.split(F.col("value"), "/", -1)
     p = lines.where(F.trim("value") != "").select(F.explode(F.array(parts)).alias("_p"), F.col(order).alias("line_no"))
     p = p.where(F.size("_p") == 7)
-    num = lambda i: F.when(F.col("_p")[i].rlike(INT_RE), strip_ws(F.col("_p")[i]).try_cast("bigint"))
+    num = lambda i: to_int(F.col("_p")[i])
     out = p.select(
         "line_no",
         F.col("_p")[0].alias("user"),
