@@ -51,17 +51,31 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
 
 
 # --- shared pipeline pieces --------------------------------------------------
+# Built logical plans (not results) are reused by the queries of one session:
+# DataFrames are immutable, and building the wide parser projections costs
+# about a second of driver time each. Every query still runs its whole plan.
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _plan(spark: SparkSession, name: str, sf_dir: str, build, *args) -> DataFrame:
+    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"), args)
+    df = _PLANS.get(key)
+    if df is None:
+        df = _PLANS[key] = build(spark, sf_dir, *args)
+    return df
+
+
 def bronze(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
     """S1 over the dump rendered from ``events`` (materialised once as text)."""
-    return S.read_accounting_text(spark, FX.dump_path(spark, sf_dir, run))
+    return _plan(spark, "bronze", sf_dir, lambda sp, d, r: S.read_accounting_text(sp, FX.dump_path(sp, d, r)), run)
 
 
 def silver(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
-    return N.normalize_jobs(bronze(spark, sf_dir, run), processed_at=PROCESSED_AT)
+    return _plan(spark, "silver", sf_dir, lambda sp, d, r: N.normalize_jobs(bronze(sp, d, r), processed_at=PROCESSED_AT), run)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups_from_pairs(FX.group_pairs(spark, sf_dir))
+    return _plan(spark, "groups", sf_dir, lambda sp, d: groups_from_pairs(FX.group_pairs(sp, d)))
 
 
 def prepared(spark: SparkSession, sf_dir: str, with_groups: bool = False) -> DataFrame:
@@ -330,7 +344,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobacct.operators.nodes import node_inventory
     from jobacct.sources.inventory import parse_node_cpus, parse_node_gpus
 
-    return node_inventory(parse_node_cpus(FX.node_cpu_lines(spark, sf_dir)), parse_node_gpus(FX.node_gpu_lines(spark, sf_dir)))
+    def build(sp, d):
+        return node_inventory(parse_node_cpus(FX.node_cpu_lines(sp, d)), parse_node_gpus(FX.node_gpu_lines(sp, d)))
+
+    return _plan(spark, "inventory", sf_dir, build)
 
 
 def node_section(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -428,7 +445,7 @@ def node_total_cores(spark, sf_dir):
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobacct.sources.queue import parse_queue_lines
 
-    return parse_queue_lines(FX.queue_lines(spark, sf_dir))
+    return _plan(spark, "queue", sf_dir, lambda sp, d: parse_queue_lines(FX.queue_lines(sp, d)))
 
 
 def node_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,7 +528,10 @@ def _dated_bronze(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
 
 
 def _silver_run(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:
-    return N.normalize_jobs(bronze(spark, sf_dir, run), processed_at=RUN1_AT if run == 1 else RUN2_AT)
+    def build(sp, d, r):
+        return N.normalize_jobs(bronze(sp, d, r), processed_at=RUN1_AT if r == 1 else RUN2_AT)
+
+    return _plan(spark, "silver_run", sf_dir, build, run)
 
 
 def _silver_text(df: DataFrame) -> DataFrame:
