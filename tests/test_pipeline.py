@@ -97,3 +97,17 @@ def test_upsert_idempotent(spark, sf_small):
     n1 = ST.read_table(spark, root, ST.PROCESSED).count()
     ST.upsert_store(spark, root, s)
     assert ST.read_table(spark, root, ST.PROCESSED).count() == n1 == s.count()
+
+
+def test_silver_invariants(spark, sf_small):
+    from pyspark.sql import functions as F
+
+    s = Q.silver(spark, sf_small)
+    bad = s.where(
+        (F.col("cpu_efficiency") < 0) | (F.col("cpu_efficiency") > 100) | (F.col("memory_efficiency") < 0)
+        | (F.col("memory_efficiency") > 100) | (F.col("cpu_hours_wasted") < 0) | (F.col("memory_gb_hours_wasted") < 0)
+        | (F.col("req_mem_mb") < 0) | (F.col("max_rss_mb") < 0)
+    )
+    assert bad.count() == 0
+    # one row per job and date
+    assert s.groupBy("job_date", "job_id").count().where("count > 1").count() == 0
