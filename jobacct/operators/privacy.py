@@ -23,12 +23,19 @@ from jobacct.functions.nodes import expand_nodes
 from jobacct.schemas import ACCOUNTING_FIELDS
 from jobacct.sources.store import stage
 
-# --- fixed values: the first aliases handed out for users -------------------
+# --- fixed values: the first aliases handed out for users, and the texts ----
+# --- that replace home folders and submit lines ------------------------------
 USER_NAMES = (
     "alice", "bob", "charlie", "diana", "eve", "frank", "grace", "henry", "iris",
     "jack", "kate", "liam", "maya", "noah", "olivia", "peter", "quinn", "rachel",
     "sam", "tina", "uma", "victor", "wendy", "xavier", "yara", "zoe",
 )
+# submit lines naming a script file, and the replacement texts
+SCRIPT_MARKERS = (".sh", ".py", ".slurm")
+SCRIPT_SUBMIT_LINE = "sbatch script.sh"
+OTHER_SUBMIT_LINE = "sbatch job_script"
+HOME_MARKERS = ("/home/", "/users/")
+PROJECT_WORKDIR = "/work/project"
 KEEP = ("", "None", "N/A")
 # field -> map kind, in the order the fields of a line are visited
 SCALAR_FIELDS = (
@@ -130,10 +137,12 @@ def pseudonymize(spark: SparkSession, bronze: DataFrame, seq: str = "seq") -> tu
         "NodeList", F.when(F.col("_nl").isNull() | (F.size("_nl") == 0), F.col("NodeList")).otherwise(joined)
     ).drop("_nl")
     wd, sl = F.col("WorkDir"), F.col("SubmitLine")
-    home = wd.contains("/home/") | F.lower(wd).contains("/users/")
-    out = out.withColumn("WorkDir", F.when((wd != "") & home, F.lit("/work/project")).otherwise(wd))
-    script = sl.contains(".sh") | sl.contains(".py") | sl.contains(".slurm")
+    home = wd.contains(HOME_MARKERS[0]) | F.lower(wd).contains(HOME_MARKERS[1])
+    out = out.withColumn("WorkDir", F.when((wd != "") & home, F.lit(PROJECT_WORKDIR)).otherwise(wd))
+    script = F.lit(False)
+    for marker in SCRIPT_MARKERS:
+        script = script | sl.contains(marker)
     out = out.withColumn(
-        "SubmitLine", F.when(sl == "", sl).when(script, F.lit("sbatch script.sh")).otherwise(F.lit("sbatch job_script"))
+        "SubmitLine", F.when(sl == "", sl).when(script, F.lit(SCRIPT_SUBMIT_LINE)).otherwise(F.lit(OTHER_SUBMIT_LINE))
     )
     return out, amap
