@@ -27,7 +27,14 @@ from jobacct.sources.accounting import SEQ, with_job_date
 def collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int = 1,
             processed_at=None) -> DataFrame:
     """Run one collection; returns one metrics row (A17), gathered with
-    ``Observation`` during the writes (no extra pass over the data)."""
+    ``Observation`` during the writes (no extra pass over the data). Staged
+    intermediate folders are removed before returning."""
+    with ST.staging_scope(spark):
+        return _collect(spark, bronze, root, as_of, days, processed_at)
+
+
+def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int,
+             processed_at) -> DataFrame:
     use_utc(spark)
     a = as_of if isinstance(as_of, str) else as_of.isoformat()
     requested = I.requested_dates(spark, a, days)

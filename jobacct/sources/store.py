@@ -95,11 +95,41 @@ def write_table(df: DataFrame, root: str, kind: str, mode: str = "overwrite") ->
     )
 
 
+_SCOPES: list[list[str]] = []
+
+
+class staging_scope:
+    """Folders staged inside the scope are deleted when it exits: for plans
+    (such as collect) whose staged data is fully consumed before they return.
+    Without a scope staged folders stay (their DataFrames may be read later)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        _SCOPES.append([])
+        return self
+
+    def __exit__(self, *exc):
+        paths = _SCOPES.pop()
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            hp = jvm.org.apache.hadoop.fs.Path(p)
+            try:
+                hp.getFileSystem(conf).delete(hp, True)
+            except Exception:  # noqa: BLE001 - cleanup is best effort
+                pass
+        return False
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read
     it back: cuts the lineage and decouples reading from overwriting."""
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
