@@ -225,7 +225,7 @@ SQL["wait_time"] = q("SELECT job_id, wait_seconds FROM metrics")
 SQL["backfill_reserved"] = q("""
 SELECT job_id, round(alloc_cpus * (elapsed_seconds / 3600.0), 6) AS cpu_hours_reserved,
   round((req_mem_mb / 1024) * (elapsed_seconds / 3600.0), 6) AS memory_gb_hours_reserved,
-  0.0 AS gpu_hours_reserved FROM metrics
+  CAST(0.0 AS DOUBLE) AS gpu_hours_reserved FROM metrics
 """)
 JOB_METRICS = """
   round(cpu_efficiency, 6) AS cpu_efficiency, round(memory_efficiency, 6) AS memory_efficiency,
