@@ -49,3 +49,23 @@ def test_aliases_consistent_across_columns(spark, sf_small):
     assert (row.Group, row.Account) == ("bob", "charlie")
     # each original maps to exactly one alias and back
     assert len(set(users.values())) == len(users)
+
+
+def test_empty_inputs(spark):
+    """Empty data gives empty results, not errors."""
+    from jobacct.plans.analyze import analyze
+    from jobacct.plans.collect import collect, reprocess_missing
+    from jobacct.schemas import BRONZE
+    from jobacct.sources import store as ST
+
+    root = Q._store(spark)
+    reports = analyze(spark, root, "2024-01-10", 7, persist=False)
+    assert reports["user_stats"].count() == 0 and reports["efficiency_summary"].count() == 0
+    assert reports["cluster_summary"].collect()[0].total_jobs == 0
+    empty = spark.createDataFrame([], BRONZE).withColumn(
+        "seq", F.struct(F.lit("f").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pos"))
+    )
+    m = collect(spark, empty, root, "2024-01-10", 2, "2024-01-11 00:00:00").collect()[0]
+    assert (m.raw_records, m.processed_jobs, m.completed_dates) == (0, 0, 0)
+    assert reprocess_missing(spark, root).count() == 0
+    assert ST.load_recent(spark, root, "2024-01-10", 7).count() == 0
