@@ -512,6 +512,8 @@ SELECT job_id, state, CASE WHEN {REPROCESSED} THEN {T2} ELSE {T1} END AS process
 SQL["collect_metrics"] = qr(f"""
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM lines2) AS raw_records,
   (SELECT CAST(count(*) AS BIGINT) FROM metrics2 WHERE {REPROCESSED}) AS processed_jobs,
+  (SELECT CAST(count(*) AS BIGINT) FROM metrics2 WHERE id % 20 = 7) AS inserted_jobs,
+  (SELECT CAST(count(*) AS BIGINT) FROM metrics2 WHERE {REPROCESSED} AND id % 20 <> 7) AS updated_jobs,
   (SELECT CAST(count(*) AS BIGINT) FROM metrics2 WHERE NOT {REPROCESSED}) AS skipped_jobs,
   (SELECT CAST(count(*) AS BIGINT) FROM complete WHERE is_complete) AS completed_dates
 """, COMPLETE, LINES_T.format(lines="lines2", base="base2"))

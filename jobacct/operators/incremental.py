@@ -55,11 +55,12 @@ def keep_changed_jobs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     """F7 at job level, for collection (``pairs``: one row per job and date
     with its picked main / batch lines). A job stored in a finished state is
     re-processed only when its main state changed, and then WITH its batch
-    step (so its CPU time and memory are not lost). Adds ``skipped``."""
+    step (so its CPU time and memory are not lost). Adds ``skipped`` and
+    ``stored`` (the job was already in the store)."""
     j = pairs.join(existing, [DATE_COLUMN, "job_id_base"], "left")
     settled = F.col("old_state").isNotNull() & ~F.col("old_state").isin(*ACTIVE_STORED_STATES)
     skip = settled & (normalize_state(F.col("m.State")) == F.col("old_state"))
-    return j.withColumn("skipped", F.coalesce(skip, F.lit(False))).drop("old_state")
+    return j.withColumns({"skipped": F.coalesce(skip, F.lit(False)), "stored": F.col("old_state").isNotNull()}).drop("old_state")
 
 
 def date_completeness(silver: DataFrame, as_of: str | dt.date | None = None) -> DataFrame:

@@ -56,7 +56,12 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     obs_raw, obs_pairs, obs_new = Observation("raw"), Observation("pairs"), Observation("new")
     existing = I.existing_states(stored.join(F.broadcast(active), DATE_COLUMN, "left_semi"))
     picked = pick_main_and_batch(raw.observe(obs_raw, F.count(F.lit(1)).alias("raw_records")), SEQ)
-    pairs = I.keep_changed_jobs(picked, existing).observe(obs_pairs, F.count_if("skipped").alias("skipped_jobs"))
+    pairs = I.keep_changed_jobs(picked, existing).observe(
+        obs_pairs,
+        F.count_if("skipped").alias("skipped_jobs"),
+        F.count_if(~F.col("skipped") & ~F.col("stored")).alias("inserted_jobs"),
+        F.count_if(~F.col("skipped") & F.col("stored")).alias("updated_jobs"),
+    )
     new = silver_from_pairs(pairs.where(~F.col("skipped")), processed_at)
     new = ST.stage(spark, new.observe(obs_new, F.count(F.lit(1)).alias("processed_jobs")), "collect-new")
 
@@ -67,15 +72,20 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     newly = completeness.where("is_complete").select(DATE_COLUMN).unionByName(settled_dates.where(F.col(DATE_COLUMN) < a))
     marked = ST.mark_complete(spark, root, newly, processed_at_col(processed_at))
     done = completeness.where("is_complete").count()
+    p = obs_pairs.get
     row = (
         int(obs_raw.get.get("raw_records", 0)),
         int(obs_new.get.get("processed_jobs", 0)),
-        int(obs_pairs.get.get("skipped_jobs", 0)),
+        int(p.get("inserted_jobs", 0)),
+        int(p.get("updated_jobs", 0)),
+        int(p.get("skipped_jobs", 0)),
         int(done),
     )
     del marked
     # a one-row table of scalars already computed (nothing passes through the driver)
-    return spark.createDataFrame([row], "raw_records bigint, processed_jobs bigint, skipped_jobs bigint, completed_dates bigint")
+    return spark.createDataFrame(
+        [row], "raw_records bigint, processed_jobs bigint, inserted_jobs bigint, updated_jobs bigint, skipped_jobs bigint, completed_dates bigint"
+    )
 
 
 def reprocess_missing(spark: SparkSession, root: str, processed_at=None) -> DataFrame:
