@@ -111,3 +111,15 @@ def test_silver_invariants(spark, sf_small):
     assert bad.count() == 0
     # one row per job and date
     assert s.groupBy("job_date", "job_id").count().where("count > 1").count() == 0
+
+
+PLAN_KEYS = ["user_stats", "group_stats", "cluster_summary", "state_distribution", "top_share", "node_stats",
+             "gpu_utilization", "queue_grid", "status_summary", "with_group", "latest_per_job", "pseudonymize"]
+
+
+@pytest.mark.parametrize("key", PLAN_KEYS)
+def test_plan_has_no_cross_join_or_python(spark, sf_small, key):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    plan = E.queries()[key](spark, sf_small)._jdf.queryExecution().explainString(mode)
+    for w in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+        assert w not in plan, (key, w)
