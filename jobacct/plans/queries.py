@@ -2,8 +2,8 @@
 
 Every query reads the shared test tables (through ``checks.fixtures``, which
 renders accounting text from ``events``) and runs the real pipeline over
-ALL of it: text scan -> bronze -> silver -> report. Doubles are rounded
-(6 places; node sums 4) so results compare across engines.
+ALL of it: text scan -> bronze -> silver -> report. Doubles are rounded to
+6 places so results compare across engines (the sums behind them are exact).
 """
 
 from __future__ import annotations
