@@ -2,8 +2,8 @@
 
 Every statement starts from the integer view of ``events`` (``base``) that
 the fixtures render into text, and recomputes the expected answer directly
-from those integers. Doubles are rounded to 6 places on both sides (node
-sums, whose per-row addends are not integers, to 4).
+from those integers. Doubles are rounded to 6 places on both sides; node
+sums are added in fixed-point micro-hours, as the engine does.
 """
 
 from __future__ import annotations
