@@ -69,3 +69,18 @@ def test_empty_inputs(spark):
     assert (m.raw_records, m.processed_jobs, m.completed_dates) == (0, 0, 0)
     assert reprocess_missing(spark, root).count() == 0
     assert ST.load_recent(spark, root, "2024-01-10", 7).count() == 0
+
+
+def test_grid_wide_pivot(spark):
+    from jobacct.operators.queue import grid_wide, queue_grid, queue_usage
+
+    q = spark.createDataFrame(
+        [(1, "bob", "R", 1, "cpu", 4, "n1", "OK"), (2, "alice", "PD", 1, "gpu", 8, "n2", "YES"), (3, "alice", "R", 2, "gpu", 16, "n3", "YES"),
+         (4, "bob", "PD", 1, "cpu", 2, "n1", "OK")],
+        "line_no long, user string, status string, nnodes long, partition string, cores long, node string, oversubscribe string",
+    )
+    cores = spark.createDataFrame([], "node string, cores long")
+    wide = {r.user: r for r in grid_wide(queue_grid(queue_usage(q, cores)), ["gpu", "cpu"]).collect()}
+    assert wide["alice"].cpu == "-" and wide["alice"].gpu == "PD=8 / R=16" and wide["alice"].Total == "PD=8 / R=16"
+    assert wide["bob"].cpu == "R=4 / PD=2" and wide["bob"].gpu == "-"
+    assert wide["2 users"].Total == "R=20 / PD=10" and wide["2 users"].cpu == "R=4 / PD=2"
