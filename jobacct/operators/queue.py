@@ -81,6 +81,11 @@ def queue_grid(usage: DataFrame) -> DataFrame:
     order), and a footer row labelled '<n> users' with per-partition and
     grand totals. Missing cells are not emitted; ``grid_wide`` pivots with a
     '-' fill for display."""
+    from jobacct.sources.store import stage
+
+    # read five times below: materialised once (one row per user, partition
+    # and status) in the checkpoint folder
+    usage = stage(usage.sparkSession, usage, "queue-usage")
     cells = status_summary(usage).select("user", "partition", "cores_summary", "nodes_summary")
 
     pfirst = usage.groupBy("user", "partition").agg(F.min("first_line").alias("_pf"))
