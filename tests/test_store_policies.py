@@ -34,3 +34,21 @@ def test_read_accounting_day(spark):
     assert read_accounting_day(b, ["2024-01-02"]).count() == 1
     cal = spark.createDataFrame([("2024-01-01",), ("2024-01-03",)], "d string")
     assert {r.job_date for r in read_accounting_day(b, cal).collect()} == {"2024-01-01", "2024-01-03"}
+
+
+def test_store_stats_against_file_listing(spark, sf_small):
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from jobacct.plans import queries as Q
+
+    root = Q._store(spark)
+    ST.write_silver(Q.silver(spark, sf_small), root)
+    files = sorted(glob.glob(f"{root}/processed/**/*.parquet", recursive=True))
+    r = ST.store_stats(spark, root).collect()[0]
+    assert r.data_files == len(files)
+    assert r.latest_file == os.path.basename(files[-1])
+    assert r.recent_records == sum(pq.ParquetFile(f).metadata.num_rows for f in files[-5:])
+    assert abs(r.disk_mb - sum(os.path.getsize(f) for f in files) / 1024 / 1024) < 1e-9
