@@ -2,7 +2,7 @@
 
 1. Each text gives its set of distinct k-word shingles (64-bit hashes) and
    a SetSketch of ``M`` registers: the minimum over the set of an exponential
-   variate, truncated to an exponentially spaced grid of base ``B`` (two bytes
+   variate, truncated to an exponentially spaced grid of base ``B`` (one byte
    a register). Maxima of registers are the sketch of a union (``merge``).
 2. Equal sets are one class (128-bit digest), so a group of copies of any size
    is one node from here on. No class is ever expanded into pairs.
@@ -12,12 +12,16 @@
 4. In each bucket every member is held against one centre, the member with
    the most bucket neighbours (the original of a group of near copies). The
    joint likelihood of the two sketches, sizes known, drops pairs for which a
-   similarity of 0.8 is e**-20 as likely as the best one; the others are
+   similarity of 0.8 is e**-10 as likely as the best one (a
+   true link fails this about once in 200 000); the others are
    confirmed on full sets. Confirmed links form components.
 5. Buckets that still hold more than one component are compared in blocks of
-   bounded size, pair by pair on the sketches inside a task; only pairs that
-   pass come out, are confirmed on full sets and linked. So a group of near
-   copies costs its size, and only what the links left apart costs pairs.
+   bounded size, pair by pair inside a task: first on the sketches, then the
+   members that have a possible partner again with their full sets. Only
+   confirmed links come out. So a group of near copies costs its size, and
+   only what the links left apart costs comparisons (a group of n texts that
+   are almost, but not quite, similar enough costs n**2 / 2 sketch comparisons,
+   spread over its blocks).
 
 Components come from large-star / small-star rounds over staged tables. Skew:
 copies are one node, bucket sizes and centres are partial aggregates, hot join
@@ -40,17 +44,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from jobacct.llm.common import SLICE, stage
 
 WORDS, THRESHOLD = 5, 80  # words of a shingle unless the caller says otherwise; per cent of the union
 BANDS, ROWS = 40, 5
-M = BANDS * ROWS
-B, A = 1.001, 20.0  # base of the register grid, rate of the variates
-TOP = 65535
+M = 400  # registers of a sketch; the first BANDS * ROWS are banded
+B, A = 1.2, 20.0  # base of the register grid, rate of the variates
+SLACK = 10.0  # log-likelihood by which a similarity under the threshold must win for a pair to go
 BLOCK = 256  # members of a bucket in one block
 CACHE = 400_000  # word hashes that a task remembers
-_MIX = np.random.default_rng(20240601).integers(1, 2**63, (2, M), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(20240601).integers(0, 2**32, (2, M), dtype=np.uint32) | np.uint32(1)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,16 +83,15 @@ def shingles(text: str | None, hashes: WordHashes, k: int) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """M registers (uint16) of a set of well-mixed 64-bit hashes."""
-    low = np.full(M, 2**64 - 1, np.uint64)
-    for at in range(0, len(items), 1024):
-        x = items[None, at : at + 1024] ^ _MIX[0][:, None]
+    """M registers (uint8) of a set of well-mixed 64-bit hashes."""
+    top = (items >> np.uint64(32)).astype(np.uint32)
+    low = np.full(M, 2**32 - 1, np.uint32)
+    for at in range(0, len(top), 2048):
+        x = top[None, at : at + 2048] ^ _MIX[0][:, None]
         x *= _MIX[1][:, None]
-        x ^= x >> np.uint64(31)
-        x *= _K2
         np.minimum(low, x.min(axis=1), out=low)
-    variate = -np.log1p(-(low.astype(np.float64) + 1.0) / 2.0**64 * (1 - 2**-53)) / A
-    return np.clip(np.floor(1.0 - np.log(variate) / np.log(B)), 0, TOP).astype(np.uint16)
+    variate = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / A
+    return np.clip(np.floor(1.0 - np.log(variate) / np.log(B)), 0, 255).astype(np.uint8)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,14 +100,15 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bands_of(regs: np.ndarray) -> list[int]:
-    rows = regs.reshape(BANDS, ROWS)
-    return [int.from_bytes(blake2b(r.tobytes(), digest_size=8, salt=b"%d" % i).digest(), "little", signed=True) for i, r in enumerate(rows)]
+    """A key for each band; its last six bits are the band."""
+    rows = regs[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return [int.from_bytes(blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) & ~63 | i for i, r in enumerate(rows)]
 
 
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
-def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float = THRESHOLD / 100, slack: float = 20.0) -> np.ndarray:
+def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float = THRESHOLD / 100, slack: float = SLACK) -> np.ndarray:
     """For pairs of sketches (rows of registers) and set sizes: whether a
     similarity of ``threshold`` or more is at least e**-slack as likely as the
     most likely one (joint likelihood of registers larger, smaller, equal)."""
@@ -158,7 +163,7 @@ def _members(spark: SparkSession, classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             cls, regs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keys = [k for r in regs for k in bands_of(np.frombuffer(r, np.uint16))]
+            keys = [k for r in regs for k in bands_of(np.frombuffer(r, np.uint8))]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c for c in cls for _ in range(BANDS)], pa.binary())], names=["key", "cls"])
 
     rows = stage(spark, classes.select("cls", "regs").mapInArrow(run, "key bigint, cls binary"), "near-bands")
@@ -177,7 +182,7 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 t = batch.slice(at, 4096)
                 na, nb = (np.asarray(t.column(i), np.float64) for i in (2, 3))
-                ra, rb = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint16).reshape(-1, M) for i in (4, 5))
+                ra, rb = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, M) for i in (4, 5))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(plausible(ra, rb, na, nb)))
 
     return rows.mapInArrow(run, "a binary, b binary")
@@ -238,10 +243,48 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _in_blocks(spark: SparkSession, members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that sketches allow.
-    A bucket is dealt into blocks of about BLOCK members by hash; each pair of
-    blocks is one small group, compared inside a task."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, list]]:
+    """Rows (key, i, j, own, cls, root, n, regs, ...) sorted by key, i, j, as one list for each."""
+
+    def rows():
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
+
+    for (key, i, j), group in groupby(rows(), lambda r: r[:3]):
+        yield key, i, j, list(group)
+
+
+def _open_pairs(key: int, i: int, j: int, g: list) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row x of a group the rows y that sketches allow it to be
+    linked to: of another component, in a bucket of the first band that both
+    share; within a block each pair once, else from block i to block j."""
+    band = key & 63
+    regs = np.frombuffer(b"".join(r[7] for r in g), np.uint8).reshape(-1, M)
+    n = np.array([r[6] for r in g], np.float64)
+    own = np.array([r[3] for r in g])
+    names = {c: k for k, c in enumerate(dict.fromkeys(r[5] for r in g))}
+    root = np.array([names[r[5]] for r in g])
+    for x in range(len(g)):
+        y = np.arange(x + 1, len(g)) if i == j else np.flatnonzero(own == j) if own[x] == i else np.empty(0, int)
+        y = y[(root[y] != root[x]) & size_fits(n[x], n[y])]
+        if len(y) and band:
+            z = slice(0, band * ROWS)
+            y = y[~(regs[x, z] == regs[y, z]).reshape(len(y), band, ROWS).all(axis=2).any(axis=1)]
+        if len(y):
+            y = y[plausible(np.broadcast_to(regs[x], (len(y), M)), regs[y], np.full(len(y), n[x]), n[y])]
+        if len(y):
+            yield x, y
+
+
+BLOCK_ROW = "key bigint, i int, j int, own int, cls binary, root binary, n bigint, regs binary"
+
+
+def _blocks(spark: SparkSession, members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets with several components that sketches allow a link
+    to another component: BLOCK_ROW, once for each pair of blocks. A bucket is
+    dealt into blocks of about BLOCK members by hash; a pair of blocks is one
+    small group, compared inside a task. No pair of members leaves it."""
     rooted = _rooted(members, roots)
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     rows = rooted.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -253,33 +296,46 @@ def _in_blocks(spark: SparkSession, members: DataFrame, roots: DataFrame, classe
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        def each():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        out = []
-        for (_, i, j), group in groupby(each(), lambda r: r[:3]):
-            g = list(group)
-            regs = np.frombuffer(b"".join(r[7] for r in g), np.uint16).reshape(-1, M)
-            n = np.array([r[6] for r in g], np.float64)
-            own = np.array([r[3] for r in g])
-            root = np.unique(np.array([r[5].hex() for r in g]), return_inverse=True)[1]
-            for x in range(len(g)):
-                # within a block each pair once; between blocks, from the first to the second
-                y = np.arange(x + 1, len(g)) if i == j else np.flatnonzero(own == j) if own[x] == i else ()
-                y = np.asarray(y, int)
-                y = y[(root[y] != root[x]) & size_fits(n[x], n[y])] if len(y) else y
-                if len(y):
-                    ok = plausible(np.broadcast_to(regs[x], (len(y), M)), regs[y], np.full(len(y), n[x]), n[y])
-                    out += [(g[x][4], g[k][4]) for k in y[ok]]
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["a", "b"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["a", "b"])
-
-    pairs = rows.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stage(spark, pairs.distinct(), "near-block-pairs")
+        for key, i, j, g in _groups(batches):
+            alive = sorted({k for x, y in _open_pairs(key, i, j, g) for k in (x, *y.tolist())})
+            if alive:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, g[k], strict=True)) for k in alive], schema=schema)
+
+    schema = to_arrow_schema(rows.schema)
+    return stage(spark, rows.mapInArrow(run, BLOCK_ROW), "near-blocks")
+
+
+def _block_edges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between components, found inside the blocks on
+    full sets; links between what a block has linked before are left out."""
+    rows = blocks.join(sets, "cls").select("key", "i", "j", "own", "cls", "root", "n", "regs", "items")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        for key, i, j, g in _groups(batches):
+            up: dict[bytes, bytes] = {}
+
+            def top(c: bytes, up=up) -> bytes:
+                while c in up:
+                    c = up[c]
+                return c
+
+            edges = []
+            for x, ys in _open_pairs(key, i, j, g):
+                sx = np.frombuffer(g[x][8], np.uint64)
+                for y in ys:
+                    rx, ry = top(g[x][5]), top(g[y][5])
+                    if rx == ry:
+                        continue
+                    sy = np.frombuffer(g[y][8], np.uint64)
+                    both = len(np.intersect1d(sx, sy, assume_unique=True))
+                    if 100 * both >= THRESHOLD * (len(sx) + len(sy) - both):
+                        up[rx] = ry
+                        edges.append((g[x][4], g[y][4]))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -302,9 +358,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     pairs = stage(spark, _candidates(star, classes), "near-star-pairs")
     edges = _confirmed(pairs, _sets(spark, docs, classes, _both(pairs), doc_id, text, k))
     roots = components(spark, edges)
-    more = _in_blocks(spark, members, roots, classes)
-    more = more.join(pairs, ["a", "b"], "left_anti")  # those were held against each other already
-    found = stage(spark, _confirmed(more, _sets(spark, docs, classes, _both(more), doc_id, text, k)), "near-block-edges")
+    blocks = _blocks(spark, members, roots, classes)
+    found = stage(spark, _block_edges(blocks, _sets(spark, docs, classes, blocks.select("cls"), doc_id, text, k)), "near-block-edges")
     if not found.isEmpty():
         roots = components(spark, found.unionByName(roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
     ids = classes.select("cls", "least_id")
