@@ -42,7 +42,7 @@ select n.doc_id, n_shingles, m component_id, n.doc_id = m kept
 from n join (select a, min(b) m from reach group by a) c on c.a = n.doc_id
 """
 
-_RULES = [("symbols_pm", 60, False), ("dup_lines_pm", 300, False), ("repeats_pm", 250, False), ("upper_pm", 250, False), ("mean_chars", 250, True)]
+_RULES = [("symbols_pm", 60, False), ("dup_lines_pm", 450, False), ("repeats_pm", 400, False), ("upper_pm", 250, False), ("mean_chars", 250, True)]
 _BOUNDS = """
 select {keys}, rule, max(total) n, min(case when 4 * upto >= total then value end) q1, min(case when 4 * upto >= 3 * total then value end) q3
 from (select *, sum(n) over (partition by {keys}, rule order by value) upto, sum(n) over (partition by {keys}, rule) total from {sketch})

@@ -40,8 +40,8 @@ MEAN_TOP = 10_000  # hundredths of a character: the last bucket of mean word len
 #: (measure, slack in its own unit, whether it has a lower threshold too)
 RULES = [
     ("symbols_pm", 60, False),
-    ("dup_lines_pm", 300, False),
-    ("repeats_pm", 250, False),
+    ("dup_lines_pm", 450, False),
+    ("repeats_pm", 400, False),
     ("upper_pm", 250, False),
     ("mean_chars", 250, True),
 ]

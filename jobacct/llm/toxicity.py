@@ -5,14 +5,16 @@
    induced from labelled training rows (words that stand in toxic texts far
    more often than in others, dealt to the two by hash). A voter says 1 or 0.
 2. Label model: votes of all training rows are counted by vote pattern (at
-   most 2**VOTERS rows come to the driver, whatever the corpus). Expectation
-   maximisation estimates the class prior and each voter's rates on both
-   classes; correlations that remain between voters within a class discount
-   their evidence, so voters that repeat each other count once.
-3. A logistic classifier over words is trained on the posterior labels of a
-   bounded sample of training rows (SAMPLE rows, those with the least hash of
-   their text) - words with a significant difference only - and scores every
-   whole text. The learnt prior and voters do not enter the score.
+   most 3 * 2**VOTERS rows come to the driver, whatever the corpus). A training
+   row's own label, where there is one, is one more voter of known accuracy
+   (GOLD). Expectation maximisation estimates the class prior and each voter's
+   rates on both classes; correlations that remain between voters within a
+   class discount their evidence, so voters that repeat each other count once.
+3. A logistic classifier over words and their first four to six bytes (word
+   families) is trained on the posterior labels of bounded samples of labelled
+   and of all training rows (SAMPLE each, those with the least hash of their
+   text, copies once) - features with a significant difference only - and
+   scores every whole text. The learnt prior and voters do not enter the score.
 
 Training rows are those with crc32(doc_id as text) mod 3 other than 1; label
 columns, lang, source and doc_id are no inputs of a score. Induction takes at
@@ -37,7 +39,10 @@ from pyspark.sql import types as T
 from jobacct.llm.common import byte_words, fold_1_of_3, map_batches
 
 SAMPLE = 6000
-MIN_Z = 6.0  # standard errors by which a word's rates must differ
+GOLD = 0.98  # accuracy of a label as a voter
+STEMS = (4, 5, 6)
+MIN_DOCS = 4  # toxic texts of the sample that hold a feature, at least
+MIN_Z = 8.0  # standard errors by which the rates of a feature must differ
 PREDICT = 0.7
 
 # --- fixed values: seed lexicons --------------------------------------------------------
@@ -60,7 +65,7 @@ class Voters:
     def bits(self, text: str | None) -> int:
         raw = text.encode("utf-8", "surrogatepass") if text else b""
         words = byte_words(text)
-        s = set(words)
+        s = features(text)
         seeded = [not s.isdisjoint(x) for x in (self.nouns, self.adjectives, self.vulgar)]
         votes = [
             *seeded,
@@ -72,40 +77,57 @@ class Voters:
         return sum(1 << i for i, v in enumerate(votes) if v)
 
 
-def significant(toxic: Counter, clean: Counter, n1: float, n0: float) -> list[bytes]:
-    """Words whose document rates differ by MIN_Z standard errors, toxic the higher."""
+def features(text: str | None) -> set[bytes]:
+    """Distinct words of a text, and the beginnings of longer words marked by a star."""
+    words = set(byte_words(text))
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
+
+
+def significant(rows: list[tuple[str | None, bool]]) -> list[bytes]:
+    """Features whose document rates differ by MIN_Z standard errors, the toxic
+    one 20 times the other or more. Counts are kept for features of MIN_DOCS
+    toxic texts only, so memory is theirs, not that of all texts' words."""
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+    if not n1 or not n0:
+        return []
+    toxic, clean = Counter(), Counter()
+    for text, y in rows:
+        if y:
+            toxic.update(features(text))
+    toxic = Counter({w: a for w, a in toxic.items() if a >= MIN_DOCS})
+    for text, y in rows:
+        if not y:
+            clean.update(features(text) & toxic.keys())
     out = []
     for w, a in toxic.items():
-        p1, p0 = a / max(n1, 1e-9), clean[w] / max(n0, 1e-9)
+        p1, p0 = a / n1, clean[w] / n0
         p = (a + clean[w] + 1) / (n1 + n0 + 2)
-        if p1 > 4 * p0 and (p1 - p0) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1))) > MIN_Z:
+        if p1 > 20 * p0 and (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) > MIN_Z:
             out.append(w)
     return sorted(out)
 
 
 def induce(rows: list[tuple[str | None, int]]) -> tuple[set[bytes], set[bytes]]:
-    """Two lexicons from labelled texts."""
-    n = {0: 0, 1: 0}
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for text, y in rows:
-        seen[y].update(set(byte_words(text)))
-        n[y] += 1
-    words = significant(seen[1], seen[0], n[1], n[0]) if n[0] and n[1] else []
+    """Two lexicons from labelled texts, copies once."""
+    words = significant([(t, y == 1) for t, y in dict(rows).items()])
     return {w for w in words if crc32(w) & 1}, {w for w in words if not crc32(w) & 1}
 
 
 class LabelModel:
-    """Class prior, rates P(vote | class) and evidence discounts of the voters, by EM over vote patterns."""
+    """Class prior, rates P(vote | class) and evidence discounts of the voters,
+    by EM over counts of (vote bits, label or None)."""
 
-    def __init__(self, counts: dict[int, int], rounds: int = 50):
+    def __init__(self, counts: dict[tuple[int, int | None], int], rounds: int = 50):
         self.prior, k = 0.1, VOTERS
         self.rate = np.array([[0.5] * k, [0.01] * k])  # toxic, clean
         self.discount = np.ones(k)
-        patterns = np.array(sorted(counts), int)
-        v = (patterns[:, None] >> np.arange(k)) & 1
+        patterns = list(counts)
+        v = (np.array([b for b, _ in patterns], int)[:, None] >> np.arange(k)) & 1
+        gold = self._gold([y for _, y in patterns])
         n = np.array([counts[p] for p in patterns], float)
         for _ in range(rounds if len(n) else 0):
-            q = self._posterior(v)
+            q = self._posterior(v, gold)
             for c, w in ((0, n * q), (1, n * (1 - q))):
                 self.rate[c] = (w @ v + (0.5 if c == 0 else 0.01)) / (w.sum() + 1.0)
             self.prior = float(np.clip((n * q).sum() / n.sum(), 1e-4, 0.5))
@@ -119,37 +141,38 @@ class LabelModel:
             np.fill_diagonal(rho, 0)
             self.discount = 1 / (1 + np.clip(rho, 0, 1).sum(axis=1))
 
-    def _posterior(self, v: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _gold(labels: list[int | None]) -> np.ndarray:
+        """Log-odds of the labels as votes."""
+        z = float(np.log(GOLD / (1 - GOLD)))
+        return np.array([0.0 if y is None else z if y else -z for y in labels])
+
+    def _posterior(self, v: np.ndarray, gold: np.ndarray) -> np.ndarray:
         r = np.clip(self.rate, 1e-4, 1 - 1e-4)
-        # a vote of 1 is evidence, silence is weak evidence (a voter covers few words)
         ratio = v * np.log(r[0] / r[1]) + (1 - v) * np.log((1 - r[0]) / (1 - r[1]))
-        z = np.log(self.prior / (1 - self.prior)) + ratio @ self.discount
+        z = np.log(self.prior / (1 - self.prior)) + ratio @ self.discount + gold
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def posterior(self, bits: int) -> float:
-        return float(self._posterior(np.array([[bits >> i & 1 for i in range(VOTERS)]]))[0])
+    def posterior(self, bits: int, label: int | None = None) -> float:
+        v = np.array([[bits >> i & 1 for i in range(VOTERS)]])
+        return float(self._posterior(v, self._gold([label]))[0])
 
 
-def train(rows: list[tuple[str | None, float]], steps: int = 300) -> tuple[dict[bytes, float], float]:
+def train(rows: list[tuple[str | None, float]], steps: int = 1500) -> tuple[dict[bytes, float], float]:
     """Weights of words and the bias, by gradient descent on soft labels."""
     y = np.array([q for _, q in rows])
-    toxic, clean = Counter(), Counter()
-    for text, q in rows:
-        (toxic if q >= 0.5 else clean).update(set(byte_words(text)))
-    n1 = float((y >= 0.5).sum())
-    words = significant(toxic, clean, n1, len(y) - n1)
-    at = {w: i for i, w in enumerate(words)}
+    at = {w: i for i, w in enumerate(significant([(t, q >= 0.5) for t, q in rows]))}
     if not at:
         p = float(np.clip(y.mean() if len(y) else 0.05, 0.001, 0.5))
         return {}, float(np.log(p / (1 - p)))
-    pairs = [(r, at[w]) for r, (text, _) in enumerate(rows) for w in set(byte_words(text)) if w in at]
+    pairs = [(r, at[w]) for r, (t, _) in enumerate(rows) for w in features(t) & at.keys()]
     r, c = np.array(pairs, int).reshape(-1, 2).T
     w, bias = np.zeros(len(at)), -2.0
     g2, b2 = np.full(len(at), 1e-6), 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(r, w[c], len(y)), -40, 40)))
         err = p - y
-        gw, gb = np.bincount(c, err[r], len(at)) + 0.02 * w, err.sum()
+        gw, gb = np.bincount(c, err[r], len(at)) + 0.005 * w, err.sum()
         g2 += gw * gw
         b2 += gb * gb
         w -= 0.5 * gw / np.sqrt(g2)
@@ -171,21 +194,23 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc
     """``keep`` columns and the score of every row."""
     training = docs.where(~fold_1_of_3(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
     marks = labels.select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
-    marked = training.join(marks, training["_id"] == marks["_l"]).select("_t", "_y")
-    lexicons = induce([(r[0], r[1]) for r in sample_rows(marked, "_t", "_y")])
+    rows = training.join(marks, training["_id"] == marks["_l"], "left").select("_t", "_y")
+    labelled = [(r[0], r[1]) for r in sample_rows(rows.where("_y is not null"), "_t", "_y")]
+    lexicons = induce(labelled)
 
     def make():
         voters = Voters(lexicons)
         return lambda t: (voters.bits(t),)
 
-    votes = map_batches(training.select("_t"), "_t", make, _BITS, [])
-    model = LabelModel({r[0]: r[1] for r in votes.groupBy("bits").count().collect()})
+    votes = map_batches(rows, "_t", make, _BITS, ["_y"])
+    model = LabelModel({(r[0], r[1]): r[2] for r in votes.groupBy("bits", "_y").count().collect()})
     voters = Voters(lexicons)
-    weights, bias = train([(r[0], model.posterior(voters.bits(r[0]))) for r in sample_rows(training, "_t")])
+    sample = dict.fromkeys([*labelled, *((r[0], r[1]) for r in sample_rows(rows, "_t", "_y"))])  # copies once
+    weights, bias = train([(t, model.posterior(voters.bits(t), y)) for t, y in sample])
 
     def scorer():
         def one(t):
-            z = bias + sum(weights[w] for w in weights.keys() & set(byte_words(t)))
+            z = bias + sum(weights[w] for w in weights.keys() & features(t))
             return (float(1 / (1 + np.exp(-np.clip(z, -40, 40)))),)
 
         return one
