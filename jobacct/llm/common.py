@@ -64,6 +64,16 @@ def fold_1_of_3(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sample_texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, n: int, *cols: str) -> list[tuple]:
+    """(text, ``cols`` of ``ids``) of at most ``n`` documents: those of ``ids``
+    (column _l) with the least hash, one row an id, copies once. The ids are
+    chosen first and broadcast (n rows at most), so no text is shuffled but theirs."""
+    some = F.broadcast(ids.orderBy(F.xxhash64("_l"), "_l").limit(n))
+    d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    rows = d.join(some, F.col("_id") == F.col("_l")).groupBy("_id").agg(F.min("_t").alias("_t"), *(F.max(c).alias(c) for c in cols))
+    return list(dict.fromkeys(tuple(r) for r in rows.orderBy(F.xxhash64("_id"), "_id").select("_t", *cols).collect()))
+
+
 def map_batches(
     docs: DataFrame,
     text: str,

@@ -2,7 +2,7 @@
 
 * Document evidence: a logistic classifier on shape measures of the whole text
   (symbols, case, repeats, lines, word lengths), trained on a bounded sample of
-  labelled rows (SAMPLE rows with the least text hash; rows with crc32(doc_id
+  labelled rows (SAMPLE rows with the least hash of their id, copies once; rows with crc32(doc_id
   as text) mod 3 = 1 are held out). It gives p, the chance that a text is good.
 * Sites: p is summed per host and per path (one grouped aggregation each, with
   partial sums, so a host with a third of all rows is no hot key). Variances
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobacct.llm.common import fold_1_of_3, map_batches, sized, stage
+from jobacct.llm.common import fold_1_of_3, map_batches, sample_texts, sized, stage
 
 SAMPLE = 6000
 GOOD = 0.5
@@ -87,9 +87,9 @@ SCHEMA = T.StructType([T.StructField("p", T.DoubleType())])
 
 def evidence(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, keep: list[str]) -> DataFrame:
     """``keep`` and p for every row."""
-    marks = labels.select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
-    marked = docs.where(~fold_1_of_3(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(marks, F.col("_id") == F.col("_l"))
-    w, mean, scale = train([(r[0], r[1]) for r in marked.orderBy(F.xxhash64("_t"), "_y").limit(SAMPLE).select("_t", "_y").collect()])
+    marks = labels.where(~fold_1_of_3(doc_id)).select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y"))
+    marks = marks.where("_y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
+    w, mean, scale = train(sample_texts(docs, marks, doc_id, text, SAMPLE, "_y"))
 
     def make():
         def one(t):

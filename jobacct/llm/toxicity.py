@@ -13,7 +13,7 @@
 3. A logistic classifier over words and their first four to six bytes (word
    families) is trained on the posterior labels of bounded samples of labelled
    and of all training rows (SAMPLE each, those with the least hash of their
-   text, copies once) - features with a significant difference only - and
+   id, copies once) - features with a significant difference only - and
    scores every whole text. The learnt prior and voters do not enter the score.
 
 Training rows are those with crc32(doc_id as text) mod 3 other than 1; label
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobacct.llm.common import byte_words, fold_1_of_3, map_batches
+from jobacct.llm.common import byte_words, fold_1_of_3, map_batches, sample_texts
 
 SAMPLE = 6000
 GOLD = 0.98  # accuracy of a label as a voter
@@ -184,28 +184,25 @@ SCHEMA = T.StructType([T.StructField("score", T.DoubleType())])
 _BITS = T.StructType([T.StructField("bits", T.IntegerType())])
 
 
-def sample_rows(df: DataFrame, text: str, *cols: str, n: int = SAMPLE) -> list:
-    """At most ``n`` rows with the least text hash: a bounded, repeatable sample."""
-    return df.orderBy(F.xxhash64(text), *cols).limit(n).select(text, *cols).collect()
-
-
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and the score of every row."""
-    training = docs.where(~fold_1_of_3(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-    marks = labels.select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
-    rows = training.join(marks, training["_id"] == marks["_l"], "left").select("_t", "_y")
-    labelled = [(r[0], r[1]) for r in sample_rows(rows.where("_y is not null"), "_t", "_y")]
+    marks = labels.where(~fold_1_of_3(doc_id)).select(F.col(doc_id).alias("_l"), F.col(label).cast("int").alias("_y"))
+    marks = marks.where("_y in (0, 1)").groupBy("_l").agg(F.max("_y").alias("_y"))
+    labelled = sample_texts(docs, marks, doc_id, text, SAMPLE, "_y")
     lexicons = induce(labelled)
 
     def make():
         voters = Voters(lexicons)
         return lambda t: (voters.bits(t),)
 
-    votes = map_batches(rows, "_t", make, _BITS, ["_y"])
-    model = LabelModel({(r[0], r[1]): r[2] for r in votes.groupBy("bits", "_y").count().collect()})
+    training = docs.where(~fold_1_of_3(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    votes = map_batches(training, "_t", make, _BITS, ["_id"])  # joined after voting: no text is shuffled
+    counts = votes.join(marks, votes["_id"] == marks["_l"], "left").groupBy("bits", "_y").count()
+    model = LabelModel({(r[0], r[1]): r[2] for r in counts.collect()})
     voters = Voters(lexicons)
-    sample = dict.fromkeys([*labelled, *((r[0], r[1]) for r in sample_rows(rows, "_t", "_y"))])  # copies once
+    every = training.select(F.col("_id").alias("_l")).distinct()
+    sample = dict.fromkeys([*labelled, *((t, None) for (t,) in sample_texts(docs, every, doc_id, text, SAMPLE))])
     weights, bias = train([(t, model.posterior(voters.bits(t), y)) for t, y in sample])
 
     def scorer():
