@@ -53,7 +53,7 @@ BANDS, ROWS = 40, 5
 M = 400  # registers of a sketch; the first BANDS * ROWS are banded
 B, A = 1.2, 20.0  # base of the register grid, rate of the variates
 SLACK = 10.0  # log-likelihood by which a similarity under the threshold must win for a pair to go
-BLOCK = 256  # members of a bucket in one block
+BLOCK = 1024  # members of a bucket in one block; a member is copied once for each block of its bucket
 CACHE = 400_000  # word hashes that a task remembers
 _MIX = np.random.default_rng(20240601).integers(0, 2**32, (2, M), dtype=np.uint32) | np.uint32(1)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
