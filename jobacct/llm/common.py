@@ -39,10 +39,14 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a count proves that ``df`` (staged or small to count) has at most ``most`` rows."""
+    return df.limit(most + 1).count() <= most
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (staged or small to count) with a broadcast hint if a count
-    proves that it has at most ``most`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` with a broadcast hint if it ``fits``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobacct.llm.common import NOT_WORD, sized, stage, words_of
+from jobacct.llm.common import NOT_WORD, fits, sized, stage, words_of
 
 N = 10
 #: Share of hit words from which a document goes as a whole.
@@ -82,12 +82,19 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str
     d = d.withColumn("hashes", _hashes(F.col("words")))
     places = [F.array().cast("array<struct<key:bigint,i:int,n:int>>"), *(_places(n) for n in lengths)]
     d = d.select("_llm_id", "_llm_digest", "words", F.flatten(F.array(*places)).alias("places"))
-    # explode_outer: for explode, the optimizer would compute ``places`` a second time in a filter on its size
-    d = d.select("_llm_id", "_llm_digest", "words", F.explode_outer("places").alias("p")).select("_llm_id", "_llm_digest", "words", "p.key", "p.i", "p.n")
-    distinct = sized(windows.select("key", "window").distinct())
-    # verified on key matches only: as an equality, the text would become a second join key, built for every window
+    distinct = windows.select("key", "window").distinct()
     own = F.concat_ws(" ", F.slice("words", F.col("i") + 1, F.col("n")))
-    found = d.join(distinct, "key").where(F.startswith(own, F.col("window")) & F.startswith(F.col("window"), own))
+    # explode_outer: for explode, the optimizer would compute ``places`` a second time in a filter on its size
+    if fits(distinct):
+        rows = d.select("_llm_id", "_llm_digest", "words", F.explode_outer("places").alias("p")).select("_llm_id", "_llm_digest", "words", "p.key", "p.i", "p.n")
+        # verified on key matches only: as an equality, the text would become a second join key, built for every window
+        found = rows.join(F.broadcast(distinct), "key").where(F.startswith(own, F.col("window")) & F.startswith(F.col("window"), own))
+    else:  # keys and places alone are shuffled; what matches meets the words of its document again
+        rows = d.select("_llm_id", "_llm_digest", F.explode_outer("places").alias("p")).select("_llm_id", "_llm_digest", "p.key", "p.i", "p.n")
+        match = rows.join(distinct, "key").groupBy("_llm_id", "_llm_digest").agg(F.collect_set(F.struct("key", "window", "i", "n")).alias("m"))
+        w = with_key(docs, doc_id, text).select("_llm_id", "_llm_digest", words_of(F.col(text)).alias("words"))
+        rows = w.join(match, _on(w, match)).select(w["_llm_id"], w["_llm_digest"], "words", F.explode_outer("m").alias("m"))
+        found = rows.select("_llm_id", "_llm_digest", "words", "m.key", "m.window", "m.i", "m.n").where(own == F.col("window"))
     found = stage(spark, found.select("_llm_id", "_llm_digest", "key", "window", "i", "n"), "decontamination-hits")
     # sets, so that repeated rows add nothing; what a document gathers is bounded by its text
     spans = found.groupBy("_llm_id", "_llm_digest").agg(F.collect_set(F.struct("i", "n")).alias("spans"))
