@@ -348,9 +348,7 @@ period AS (
 node_stats AS (
   SELECT t.*, i.cpus AS est_cpus, i.cpus * p.period_days * 24 AS cpu_hours_available,
     t.total_cpu_hours / (i.cpus * p.period_days * 24) * 100 AS cpu_utilization_pct
-  FROM (SELECT node, sum(CAST(round(cpu_hours * 1000000) AS BIGINT)) / 1000000 AS total_cpu_hours,
-          sum(CAST(round(gpu_hours * 1000000) AS BIGINT)) / 1000000 AS total_gpu_hours,
-          sum(CAST(round(elapsed_hours * 1000000) AS BIGINT)) / 1000000 AS total_elapsed_hours,
+  FROM (SELECT node, sum(cpu_hours) AS total_cpu_hours, sum(gpu_hours) AS total_gpu_hours, sum(elapsed_hours) AS total_elapsed_hours,
           CAST(count(*) AS BIGINT) AS job_count FROM node_rows GROUP BY node) t
   LEFT JOIN inventory i ON t.node = i.node, period p
 )"""

@@ -9,7 +9,7 @@ joined to the per-node result (one row per node), never to job rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobacct.functions.nodes import expand_nodes
@@ -31,31 +31,49 @@ def node_usage(df: DataFrame) -> DataFrame:
     return per
 
 
-MICRO = 1_000_000
+#: Reserved and elapsed hours are whole seconds over 3600; sums are made of the seconds.
+SECONDS = {"cpu_hours": "total_cpu_hours", "gpu_hours": "total_gpu_hours", "elapsed_hours": "total_elapsed_hours"}
 
 
-def _micro_sum(c: str):
-    """Sum in fixed-point micro-hours: each (job, node) share is rounded once
-    to 1e-6 h and the integers are added exactly, so the total does not
-    depend on how rows are spread over tasks (a float sum would)."""
-    return (F.coalesce(F.sum(F.round(F.col(c) * MICRO).cast("bigint")), F.lit(0)) / MICRO)
+def _whole_seconds(hours) -> Column:
+    return F.coalesce(F.round(hours * 3600).cast("bigint"), F.lit(0))
 
 
-def node_totals(usage: DataFrame) -> DataFrame:
-    """Per-node sums of the (job, node) rows."""
-    return usage.groupBy("node").agg(
-        _micro_sum("cpu_hours").alias("total_cpu_hours"),
-        _micro_sum("gpu_hours").alias("total_gpu_hours"),
-        _micro_sum("elapsed_hours").alias("total_elapsed_hours"),
-        F.count(F.lit(1)).alias("job_count"),
+def _exact_totals(by_list: DataFrame, *more: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Per-node totals from rows (nodes, n, jobs, seconds of each kind), one
+    for each distinct node list. Seconds are summed exactly per (node, n) and
+    divided once by n * 3600; the few sizes n of a node are added in order, so
+    the result is the unrounded sum and does not depend on tasks."""
+    rows = by_list.withColumn("node", F.explode_outer("nodes"))
+    per_n = rows.groupBy("node", "n").agg(*(F.sum(c).alias(c) for c in SECONDS), F.sum("jobs").alias("jobs"), *more)
+    total = lambda c: F.aggregate(F.array_sort(F.collect_list(F.struct("n", c))), F.lit(0.0), lambda a, x: a + x[c] / (F.greatest(x["n"], F.lit(1)) * 3600.0))
+    return per_n, {out: total(c).alias(out) for c, out in SECONDS.items()}
+
+
+def _lists(jobs: DataFrame, *more: Column) -> DataFrame:
+    """Jobs summed by node list before any list is expanded."""
+    g = jobs.groupBy(F.when(F.col("node_list") != "", F.col("node_list")).alias("node_list")).agg(
+        F.sum(_whole_seconds(F.col("cpu_hours_reserved"))).alias("cpu_hours"),
+        F.sum(_whole_seconds(F.col("gpu_hours_reserved"))).alias("gpu_hours"),
+        F.sum(F.coalesce(F.col("elapsed_seconds"), F.lit(0))).cast("bigint").alias("elapsed_hours"),
+        F.count(F.lit(1)).alias("jobs"),
+        *more,
     )
+    g = g.withColumn("nodes", expand_nodes("node_list")).withColumn("n", F.size("nodes"))
+    return g.withColumn("nodes", F.when(F.col("n") > 0, F.col("nodes")))
+
 
+def node_totals(prepared: DataFrame) -> DataFrame:
+    """Per-node sums of the jobs' even shares."""
+    per_n, totals = _exact_totals(_lists(prepared))
+    return per_n.where(F.col("node").isNotNull()).groupBy("node").agg(*totals.values(), F.sum("jobs").alias("job_count"))
 
-def node_stats(usage: DataFrame, inventory: DataFrame, period: DataFrame) -> DataFrame:
+
+def node_stats(prepared: DataFrame, inventory: DataFrame, period: DataFrame) -> DataFrame:
     """A3 + J4: per-node totals with the node's CPU count (null when the node
     is not in the inventory) and its utilisation over ``period`` days (may
     exceed 100 %; null when the CPU count is unknown or 0)."""
-    return node_stats_from_totals(node_totals(usage), inventory, period)
+    return node_stats_from_totals(node_totals(prepared), inventory, period)
 
 
 def nodes_missing_cpu(stats: DataFrame) -> DataFrame:
@@ -105,27 +123,17 @@ def inventory_summary(inventory: DataFrame) -> DataFrame:
 def node_totals_and_period(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per-node totals and the analysis period from ONE pass over the jobs.
 
-    Jobs are exploded with ``explode_outer``: a job without nodes gives one
-    row with a null node, so the per-node aggregate also carries every job's
-    submit / end time. The period (A12) is then a tiny aggregate over the
-    per-node rows, which shares their shuffle instead of re-reading jobs."""
-    jobs = prepared.withColumn("_nodes", F.when(F.col("node_list") != "", expand_nodes("node_list")))
-    jobs = jobs.withColumn("_n", F.coalesce(F.size("_nodes"), F.lit(0)))
-    has = F.col("_n") > 0
-    rows = jobs.select(
-        F.explode_outer(F.when(has, F.col("_nodes"))).alias("node"),
-        F.when(has, F.col("cpu_hours_reserved") / F.col("_n")).alias("cpu_hours"),
-        F.when(has, F.col("gpu_hours_reserved") / F.col("_n")).alias("gpu_hours"),
-        F.when(has, (F.col("elapsed_seconds") / 3600) / F.col("_n")).alias("elapsed_hours"),
-        "submit_time", "end_time",
-    )
-    per = rows.groupBy("node").agg(
-        _micro_sum("cpu_hours").alias("total_cpu_hours"),
-        _micro_sum("gpu_hours").alias("total_gpu_hours"),
-        _micro_sum("elapsed_hours").alias("total_elapsed_hours"),
-        F.count(F.lit(1)).alias("job_count"),
-        F.min("submit_time").alias("_min_submit"),
-        F.max("end_time").alias("_max_end"),
+    Jobs are summed by node list first; a list is expanded once
+    (``explode_outer``: jobs without nodes give one row with a null node), so
+    the per-node aggregate also carries every job's submit / end time. The
+    period (A12) is then a tiny aggregate over the per-node rows."""
+    by_list = _lists(prepared, F.min("submit_time").alias("_min_submit"), F.max("end_time").alias("_max_end"))
+    per_n, totals = _exact_totals(by_list, F.min("_min_submit").alias("_min_submit"), F.max("_max_end").alias("_max_end"))
+    per = per_n.groupBy("node").agg(
+        *totals.values(),
+        F.sum("jobs").alias("job_count"),
+        F.min("_min_submit").alias("_min_submit"),
+        F.max("_max_end").alias("_max_end"),
     )
     from jobacct.functions.metrics import analysis_days
     from jobacct.sources.store import stage

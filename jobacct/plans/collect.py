@@ -1,7 +1,8 @@
 """C4 collect / C8 reprocess: keep the store current from accounting dumps.
 
-One plan over every requested date: dates already complete are removed by
-an anti join, the dump is restricted to the remaining dates, jobs are
+One plan over every requested date: dates marked complete are removed by
+an anti join (a date is marked only by a run that read its lines after the
+date had passed; what the store happens to hold never skips a date), the dump is restricted to the remaining dates, jobs are
 picked (one shuffle keyed by job), compared with the stored states (a join
 on job and date), normalised, merged into the touched date partitions and
 the dates that settled are marked complete. The driver only triggers the
@@ -18,43 +19,46 @@ from pyspark.sql import functions as F
 
 from jobacct.operators import incremental as I
 from jobacct.operators.normalize import pick_main_and_batch, processed_at_col, silver_from_pairs
-from jobacct.schemas import DATE_COLUMN, INCOMPLETE_JOB_STATES
+from jobacct.schemas import DATE_COLUMN
 from jobacct.session import use_utc
 from jobacct.sources import store as ST
 from jobacct.sources.accounting import SEQ, with_job_date
 
 
 def collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int = 1,
-            processed_at=None) -> DataFrame:
+            processed_at=None, every_line: bool = False) -> DataFrame:
     """Run one collection; returns one metrics row (A17), gathered with
     ``Observation`` during the writes (no extra pass over the data). Staged
-    intermediate folders are removed before returning."""
+    intermediate folders are removed before returning.
+
+    ``every_line`` (streams): all lines of ``bronze`` are taken, whatever their
+    date and marks, and no date is marked: later files may add to it."""
     with ST.staging_scope(spark):
-        return _collect(spark, bronze, root, as_of, days, processed_at)
+        return _collect(spark, bronze, root, as_of, days, processed_at, every_line)
 
 
 def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int,
-             processed_at) -> DataFrame:
+             processed_at, every_line: bool) -> DataFrame:
     use_utc(spark)
     a = as_of if isinstance(as_of, str) else as_of.isoformat()
-    requested = I.requested_dates(spark, a, days)
-    todo = I.dates_to_collect(requested, ST.read_completed(spark, root))
+    if every_line:
+        todo = ST.stage(spark, with_job_date(bronze).where(F.col(DATE_COLUMN).isNotNull()).select(DATE_COLUMN).distinct(), "collect-dates")
+        # states of jobs that a line may have moved to another date lie on open dates: all but those marked complete
+        known = ST.read_table(spark, root, ST.PROCESSED)
+    else:
+        todo = I.dates_to_collect(I.requested_dates(spark, a, days), ST.read_completed(spark, root))
+        known = ST.read_table(spark, root, ST.PROCESSED, todo)
     # the stored states are staged first: the store is rewritten below and
     # nothing may read its old files after that
     stored = ST.stage(
-        spark, ST.read_table(spark, root, ST.PROCESSED, todo).select(DATE_COLUMN, "job_id", "state"), "collect-stored"
+        spark, known.select(DATE_COLUMN, "job_id", "state"), "collect-stored"
     )
-    # a date whose stored jobs are all settled needs no re-collection: mark it
-    settled = stored.groupBy(DATE_COLUMN).agg(F.bool_and(~F.col("state").isin(*INCOMPLETE_JOB_STATES)).alias("ok"))
-    settled_dates = settled.where("ok").select(DATE_COLUMN)
-    active = todo.join(F.broadcast(settled_dates), DATE_COLUMN, "left_anti")
-
-    raw = with_job_date(bronze).join(F.broadcast(active), DATE_COLUMN, "left_semi")
+    raw = with_job_date(bronze).join(F.broadcast(todo), DATE_COLUMN, "left_semi")
     # read by the normalisation and by the raw archive: kept for the run
     # (recomputed from the dump files if an executor holding it is lost)
     raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     obs_raw, obs_pairs, obs_new = Observation("raw"), Observation("pairs"), Observation("new")
-    existing = I.existing_states(stored.join(F.broadcast(active), DATE_COLUMN, "left_semi"))
+    existing = I.existing_states(stored)
     picked = pick_main_and_batch(raw.observe(obs_raw, F.count(F.lit(1)).alias("raw_records")), SEQ)
     pairs = I.keep_changed_jobs(picked, existing).observe(
         obs_pairs,
@@ -65,13 +69,20 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     new = silver_from_pairs(pairs.where(~F.col("skipped")), processed_at)
     new = ST.stage(spark, new.observe(obs_new, F.count(F.lit(1)).alias("processed_jobs")), "collect-new")
 
-    merged = ST.upsert_store(spark, root, new)
+    # a job that moved to another date leaves the older one
+    moved = stored.alias("s").join(new.select("job_id", F.col(DATE_COLUMN).alias("_to")), "job_id").where(F.col(DATE_COLUMN) != F.col("_to"))
+    moved = ST.stage(spark, moved.select("job_id", DATE_COLUMN).distinct(), "collect-moved")
+    ST.upsert_store(spark, root, new, moved)
     ST.upsert_raw(spark, root, raw)
+    # dates whose lines this run has read, or that a job has left
+    seen = ST.stage(spark, raw.select(DATE_COLUMN).unionByName(moved.select(DATE_COLUMN)).distinct(), "collect-seen")
     raw.unpersist()
-    completeness = I.date_completeness(merged, a)
-    newly = completeness.where("is_complete").select(DATE_COLUMN).unionByName(settled_dates.where(F.col(DATE_COLUMN) < a))
-    marked = ST.mark_complete(spark, root, newly, processed_at_col(processed_at))
-    done = completeness.where("is_complete").count()
+    done = 0
+    if not every_line:
+        completeness = I.date_completeness(ST.read_table(spark, root, ST.PROCESSED, seen), a)
+        newly = ST.stage(spark, completeness.where("is_complete").select(DATE_COLUMN), "collect-complete")
+        ST.mark_complete(spark, root, newly, processed_at_col(processed_at))
+        done = newly.count()
     p = obs_pairs.get
     row = (
         int(obs_raw.get.get("raw_records", 0)),
@@ -81,7 +92,6 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
         int(p.get("skipped_jobs", 0)),
         int(done),
     )
-    del marked
     # a one-row table of scalars already computed (nothing passes through the driver)
     return spark.createDataFrame(
         [row], "raw_records bigint, processed_jobs bigint, inserted_jobs bigint, updated_jobs bigint, skipped_jobs bigint, completed_dates bigint"
@@ -92,9 +102,8 @@ def reprocess_missing(spark: SparkSession, root: str, processed_at=None) -> Data
     """Dates that have raw rows but no processed rows are normalised from
     the archived raw rows and written. Returns the new silver rows."""
     use_utc(spark)
-    raw = ST.read_table(spark, root, ST.RAW)
-    have = ST.read_table(spark, root, ST.PROCESSED).select(DATE_COLUMN).distinct()
-    missing = raw.join(have, DATE_COLUMN, "left_anti")
+    have = set(ST.stored_dates(spark, root, ST.PROCESSED))
+    missing = ST.read_table(spark, root, ST.RAW, [d for d in ST.stored_dates(spark, root, ST.RAW) if d not in have])
     # re-filter each archived row by its own date (rows filed under another
     # date are ignored there)
     from jobacct.functions.text import job_date

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,8 +22,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster in ``spark.checkpoint.dir``
     (or already registered on the context).
 
-    Only when the session has none (local tests) is a private folder created
-    and registered as the context's checkpoint dir."""
+    Only when a local session has none (tests) is a private folder created
+    and registered as the context's checkpoint dir; on a cluster a folder of
+    one machine would lose what other executors write, so that is an error."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if root:
         return str(root)
@@ -30,6 +32,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return str(current)
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobacct-ckpt-"))
     return str(sc.getCheckpointDir())
 

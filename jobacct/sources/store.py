@@ -56,9 +56,12 @@ def date_window(as_of: str | dt.date, days: int) -> list[str]:
 
 
 def read_table(spark: SparkSession, root: str, kind: str, dates: list[str] | DataFrame | None = None,
-               ignore_corrupt: bool = True) -> DataFrame:
+               ignore_corrupt: bool = False) -> DataFrame:
     """Read one store table with its declared schema; no folder -> empty.
 
+    An unreadable file raises, so nothing is ever merged against part of a
+    date; the reporting loads (S6-S8) pass ``ignore_corrupt``.
+
     ``dates``: a list (partition filter, pruned at planning) or a one-column
     DataFrame of dates (semi join; dynamic partition pruning at run time)."""
     schema = SCHEMAS[kind]
@@ -95,6 +98,16 @@ def write_table(df: DataFrame, root: str, kind: str, mode: str = "overwrite") ->
     )
 
 
+def stored_dates(spark: SparkSession, root: str, kind: str) -> list[str]:
+    """Dates with a partition folder, ascending: a listing, no file is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_path(root, kind))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [str(s.getPath().getName()) for s in fs.listStatus(path)]
+    return sorted(n.partition("=")[2] for n in names if n.startswith(DATE_COLUMN + "="))
+
+
 _SCOPES: list[list[str]] = []
 
 
@@ -162,13 +175,13 @@ def dedupe_newest_date(df: DataFrame) -> DataFrame:
 def load_recent(spark: SparkSession, root: str, as_of: str | dt.date, days: int, kind: str = PROCESSED) -> DataFrame:
     """Dates ``as_of - days`` .. ``as_of`` (days + 1 dates), deduped: W1
     for processed, W2 for raw. Nothing stored -> empty DataFrame."""
-    df = read_table(spark, root, kind, date_window(as_of, days))
+    df = read_table(spark, root, kind, date_window(as_of, days), ignore_corrupt=True)
     return latest_per_job(df) if kind == PROCESSED else dedupe_raw(df)
 
 
 def load_days(spark: SparkSession, root: str, as_of: str | dt.date, n: int = 7) -> DataFrame:
     """The last ``n`` dates (``as_of`` and n - 1 before), no dedupe."""
-    return read_table(spark, root, PROCESSED, date_window(as_of, n - 1))
+    return read_table(spark, root, PROCESSED, date_window(as_of, n - 1), ignore_corrupt=True)
 
 
 # --- sinks -------------------------------------------------------------------------
@@ -187,23 +200,42 @@ def upsert_silver(existing: DataFrame, new: DataFrame) -> DataFrame:
     return latest_per_job(existing.select(*SILVER_COLUMNS, DATE_COLUMN).unionByName(new.select(*SILVER_COLUMNS, DATE_COLUMN)))
 
 
-def upsert_store(spark: SparkSession, root: str, new: DataFrame) -> DataFrame:
+def upsert_store(spark: SparkSession, root: str, new: DataFrame, superseded: DataFrame | None = None) -> DataFrame:
     """U2 on the store: merge ``new`` silver rows into the dates they touch
     and replace exactly those date partitions. Returns the merged rows.
 
+    ``superseded``: (job_id, job_date) of stored rows whose job moved to another
+    date (a pending job is dated by its submission, a started one by its
+    start). They leave their dates, which count as touched; a date that loses
+    its last row is removed.
+
     When the table exists the merge is staged first (it reads the partitions
     it replaces); a first write goes straight to the store."""
     if not path_exists(spark, _path(root, PROCESSED)):
         merged = latest_per_job(new.select(*SILVER_COLUMNS, DATE_COLUMN))
         write_silver(merged, root)
         return read_table(spark, root, PROCESSED, new.select(DATE_COLUMN).distinct())
-    touched = new.select(DATE_COLUMN).distinct()
-    existing = read_table(spark, root, PROCESSED, touched)
+    touched = new.select(DATE_COLUMN)
+    if superseded is not None:
+        touched = touched.unionByName(superseded.select(DATE_COLUMN))
+    existing = read_table(spark, root, PROCESSED, touched.distinct())
+    if superseded is not None:
+        existing = existing.join(superseded.select("job_id", DATE_COLUMN).distinct(), ["job_id", DATE_COLUMN], "left_anti")
     merged = stage(spark, upsert_silver(existing, new), "silver-merge")
     write_silver(merged, root)
+    if superseded is not None:
+        left = superseded.select(DATE_COLUMN).distinct().join(merged.select(DATE_COLUMN).distinct(), DATE_COLUMN, "left_anti")
+        for row in left.collect():  # dates: a calendar
+            _drop_date(spark, root, PROCESSED, row[0])
     return merged
 
 
+def _drop_date(spark: SparkSession, root: str, kind: str, date: str) -> None:
+    """Remove one date partition (dynamic overwrite leaves dates without new rows)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_path(root, kind)}/{DATE_COLUMN}={date}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def upsert_raw(spark: SparkSession, root: str, new_raw: DataFrame) -> None:
     """Raw store upsert: per date, archived lines whose ``JobIDRaw`` was
     fetched again are replaced by the new fetch (kept as fetched, duplicates
