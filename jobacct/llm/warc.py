@@ -62,9 +62,10 @@ def _utf8(text: str) -> bytes:
 def record(kind: str, target: str | None, date: str, content_type: str, block: str, **more: str) -> dict:
     """One record: its header and block, with id, length and digests."""
     data = _utf8(block)
-    name = "|".join([kind, target or "", date, *more.values(), digest(data)])
+    own = digest(data)
+    name = "|".join([kind, target or "", date, *more.values(), own])
     out = {"record_type": kind, "record_id": f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>", "target_uri": target, "warc_date": date,
-           "content_type": content_type, "content_length": len(data), "block_digest": digest(data), "block": block}
+           "content_type": content_type, "content_length": len(data), "block_digest": own, "block": block}
     lines = [("WARC-Type", kind), ("WARC-Record-ID", out["record_id"]), ("WARC-Date", date), ("WARC-Target-URI", target)]
     lines += [("WARC-" + k.replace("_", "-"), v) for k, v in more.items()]
     lines += [("WARC-Block-Digest", out["block_digest"]), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
