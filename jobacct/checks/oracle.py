@@ -3,7 +3,7 @@
 Every statement starts from the integer view of ``events`` (``base``) that
 the fixtures render into text, and recomputes the expected answer directly
 from those integers. Doubles are rounded to 6 places on both sides; node
-sums are added in fixed-point micro-hours, as the engine does.
+sums are unrounded.
 """
 
 from __future__ import annotations
@@ -488,12 +488,12 @@ SQL["load_days"] = qr("SELECT job_id, state, job_date FROM metrics1 UNION ALL SE
 SQL["dedupe_newest_date"] = qr("SELECT job_id, state, job_date FROM metrics2")
 COMPLETE = f"""
 complete AS (
-  SELECT job_date, bool_and(state NOT IN ({INCOMPLETE})) AND job_date < '2024-02-01' AS is_complete FROM metrics2 GROUP BY job_date
+  SELECT job_date, bool_and(state NOT IN ({INCOMPLETE})) AND job_date < (SELECT strftime(max(ts)::DATE + 2, '%Y-%m-%d') FROM events) AS is_complete FROM metrics2 GROUP BY job_date
 )"""
 SQL["date_completeness"] = qr("SELECT job_date, is_complete FROM complete", COMPLETE)
 SQL["completed_roundtrip"] = qr(f"SELECT job_date, {T2} AS marked_at FROM complete WHERE is_complete", COMPLETE)
 SQL["dates_to_collect"] = qr("""
-SELECT strftime(d, '%Y-%m-%d') AS job_date FROM range(DATE '2024-01-01' - INTERVAL 1 DAY, DATE '2024-02-02', INTERVAL 1 DAY) t(d)
+SELECT strftime(d, '%Y-%m-%d') AS job_date FROM (SELECT unnest(range(min(ts)::DATE - INTERVAL 1 DAY, max(ts)::DATE + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS d FROM events)
 WHERE strftime(d, '%Y-%m-%d') NOT IN (SELECT job_date FROM complete WHERE is_complete)
 """, COMPLETE)
 SQL["incremental_filter"] = qr("""
@@ -579,3 +579,52 @@ for _k in ("group_stats", "daily_usage", "efficiency_summary", "top_wasters", "c
     SQL[f"analyze_{_k}"] = _on_run2(_k)
 for _k in ("node_stats", "gpu_utilization"):
     SQL[f"analyze_{_k}"] = _on_run2(_k, nodes=True)
+
+SQL["store_stats"] = with_ctes(BASE, JOBS, LINES_T.format(lines="lines", base="base"), """
+parts AS (
+  SELECT 'processed/job_date=' || job_date AS part, CAST(count(*) AS BIGINT) AS n FROM metrics GROUP BY 1
+  UNION ALL SELECT 'raw/job_date=' || own_date, CAST(count(*) AS BIGINT) FROM lines GROUP BY 1
+)""") + """
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM parts) AS data_files, (SELECT max(part) FROM parts) AS latest_file,
+  (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT n FROM parts ORDER BY part DESC LIMIT 5)) AS recent_records
+"""
+
+
+def _chart_sql(source: str, label: str, value: str, n: int, ctes) -> str:
+    """Numbers of a bar chart over (l, v)."""
+    body = f"""
+, us AS (SELECT {label} AS l, {value} AS v FROM {source}),
+pos AS (SELECT * FROM us WHERE v > 0),
+tot AS (SELECT sum(v) AS t, max(v) AS mx FROM pos)
+SELECT left(l, 15) AS label, round(v, 6) AS "value", round(v / t * 100, 6) AS share_pct,
+  CAST(CASE WHEN mx > 0 THEN floor(v / mx * 50) ELSE 0 END AS BIGINT) AS bar_length,
+  CASE WHEN v > mx * 0.66 THEN 'red' WHEN v > mx * 0.33 THEN 'yellow' ELSE 'green' END AS band
+FROM pos, tot ORDER BY v DESC, l LIMIT {n}
+"""
+    return ctes(body).replace("\n\n, us AS", ", us AS")
+
+
+_BY_USER, _BY_GROUP = 'metrics GROUP BY "user"', 'metrics GROUP BY "group"'
+_LAST_DAYS = """(SELECT strftime(coalesce(start_time, submit_time), '%Y-%m-%d') AS d, sum(cpu_s) / 3600.0 AS c, sum(gpu_s) / 3600.0 AS g
+  FROM metrics GROUP BY 1 ORDER BY 1 DESC LIMIT 14)"""
+_GPU_UTIL = """(SELECT s.node, s.total_gpu_hours / (i.gpus * p.period_days * 24) * 100 AS u FROM node_stats s JOIN inventory i ON s.node = i.node, period p
+  WHERE s.total_gpu_hours > 0 AND i.gpus > 0)"""
+_DONE = "avg(CASE WHEN state = 'COMPLETED' THEN {} END)"
+for _k, _args in {
+    "node_cpu_share": ("node_stats", "node", "cpu_utilization_pct", 20, qn),
+    "node_gpu_share": (_GPU_UTIL, "node", "u", 10, qn),
+    "user_cpu_share": (_BY_USER, '"user"', "sum(cpu_s) / 3600.0", 20, q),
+    "user_gpu_share": (_BY_USER, '"user"', "sum(gpu_s) / 3600.0", 10, q),
+    "user_cpu_efficiency": (_BY_USER, '"user"', _DONE.format("cpu_efficiency"), 20, q),
+    "user_mem_efficiency": (_BY_USER, '"user"', _DONE.format("memory_efficiency"), 20, q),
+    "group_cpu_share": (_BY_GROUP, '"group"', "sum(cpu_s) / 3600.0", 15, q),
+    "group_gpu_share": (_BY_GROUP, '"group"', "sum(gpu_s) / 3600.0", 10, q),
+    "daily_cpu_share": (_LAST_DAYS, "d", "c", 14, q),
+    "daily_gpu_share": (_LAST_DAYS, "d", "g", 14, q),
+}.items():
+    SQL[f"chart_{_k}"] = _chart_sql(*_args)
+SQL["show_group_stats"] = q("""SELECT count(DISTINCT "group") > 1 OR bool_or("group" <> 'ungrouped') AS "show" FROM metrics""")
+_CELLS = ", ".join(
+    f"coalesce(max(cores_cell) FILTER (WHERE \"partition\" = '{p}'), '-') AS \"{p}\"" for p in ("batch", "debug", "gpu", "interactive", "long", "Total")
+)
+SQL["queue_grid_wide"] = f'SELECT "user", {_CELLS} FROM ({SQL["queue_grid"]}) GROUP BY "user"'

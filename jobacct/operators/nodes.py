@@ -1,9 +1,9 @@
 """Node usage and node inventory.
 
 A job's reserved hours are split evenly over the nodes of its node list:
-the list is expanded by a Catalyst expression, exploded (one row per job and
-node), then aggregated per node with partial aggregation before the shuffle,
-so a node hit by a third of all jobs is combined map-side. The inventory is
+jobs are summed by node list, each distinct list becomes rows (ranges in
+chunks), which are aggregated per node with partial aggregation before the
+shuffle, so a node hit by a third of all jobs is combined map-side. The inventory is
 joined to the per-node result (one row per node), never to job rows.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobacct.functions.nodes import expand_nodes
+from jobacct.functions.nodes import explode_nodes, node_count
 from jobacct.operators.reports import analysis_period, scalar
 from jobacct.schemas import DEFAULT_NODE_CPUS
 
@@ -20,10 +20,9 @@ from jobacct.schemas import DEFAULT_NODE_CPUS
 def node_usage(df: DataFrame) -> DataFrame:
     """G1 + P25 + F3: one row per (job, node) with the job's CPU / GPU / elapsed
     hours divided by its node count. Jobs without nodes are dropped first."""
-    jobs = df.where(F.col("node_list") != "").withColumn("_nodes", expand_nodes("node_list"))
-    jobs = jobs.withColumn("_n", F.size("_nodes")).where(F.col("_n") > 0)
-    per = jobs.select(
-        F.explode("_nodes").alias("node"),
+    jobs = df.where(F.col("node_list") != "").withColumn("_n", node_count("node_list")).where(F.col("_n") > 0)
+    per = explode_nodes(jobs, "node_list", "_node").where(F.col("_node").isNotNull()).select(
+        F.col("_node").alias("node"),
         (F.col("cpu_hours_reserved") / F.col("_n")).alias("cpu_hours"),
         (F.col("gpu_hours_reserved") / F.col("_n")).alias("gpu_hours"),
         ((F.col("elapsed_seconds") / 3600) / F.col("_n")).alias("elapsed_hours"),
@@ -40,11 +39,11 @@ def _whole_seconds(hours) -> Column:
 
 
 def _exact_totals(by_list: DataFrame, *more: Column) -> tuple[DataFrame, dict[str, Column]]:
-    """Per-node totals from rows (nodes, n, jobs, seconds of each kind), one
+    """Per-node totals from rows (node_list, n, jobs, seconds of each kind), one
     for each distinct node list. Seconds are summed exactly per (node, n) and
     divided once by n * 3600; the few sizes n of a node are added in order, so
     the result is the unrounded sum and does not depend on tasks."""
-    rows = by_list.withColumn("node", F.explode_outer("nodes"))
+    rows = explode_nodes(by_list, "node_list")
     per_n = rows.groupBy("node", "n").agg(*(F.sum(c).alias(c) for c in SECONDS), F.sum("jobs").alias("jobs"), *more)
     total = lambda c: F.aggregate(F.array_sort(F.collect_list(F.struct("n", c))), F.lit(0.0), lambda a, x: a + x[c] / (F.greatest(x["n"], F.lit(1)) * 3600.0))
     return per_n, {out: total(c).alias(out) for c, out in SECONDS.items()}
@@ -59,8 +58,7 @@ def _lists(jobs: DataFrame, *more: Column) -> DataFrame:
         F.count(F.lit(1)).alias("jobs"),
         *more,
     )
-    g = g.withColumn("nodes", expand_nodes("node_list")).withColumn("n", F.size("nodes"))
-    return g.withColumn("nodes", F.when(F.col("n") > 0, F.col("nodes")))
+    return g.withColumn("n", node_count("node_list"))
 
 
 def node_totals(prepared: DataFrame) -> DataFrame:

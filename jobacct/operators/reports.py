@@ -13,7 +13,7 @@ it is a one-row aggregate used as a scalar subquery (no join).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobacct.functions.metrics import analysis_days, reserved_hours, wait_seconds
@@ -29,7 +29,9 @@ def cpu_s() -> Column:
 
 
 def gpu_s() -> Column:
-    return F.col("elapsed_seconds").cast("double") * F.col("alloc_gpus")
+    """GPU-seconds behind ``gpu_hours_reserved``: a back-filled row (P20) has none."""
+    none = F.coalesce(F.col("gpu_hours_reserved"), F.lit(0.0)) == 0
+    return F.when(none, F.lit(0.0)).otherwise(F.col("elapsed_seconds").cast("double") * F.col("alloc_gpus"))
 
 
 def mem_mb_s() -> Column:
@@ -196,19 +198,52 @@ def daily_usage_recent(daily: DataFrame, k: int = 14) -> DataFrame:
     return daily.orderBy(F.col("job_date").desc()).limit(k).orderBy("job_date")
 
 
+#: Efficiencies are counted in buckets of 1 / BUCKETS_PER_PERCENT from 0 to 100 per cent.
+BUCKETS_PER_PERCENT = 1000
+
+
 def efficiency_summary(df: DataFrame) -> DataFrame:
     """Mean / median / min / max of CPU and memory efficiency over COMPLETED
-    jobs; no row when there is none. ``median`` is exact (middle-pair mean)."""
-    c = completed(df)
-    aggs = []
-    for src, pre in (("cpu_efficiency", "cpu"), ("memory_efficiency", "mem")):
-        aggs += [
-            F.avg(src).alias(f"{pre}_mean"),
-            F.median(src).alias(f"{pre}_median"),
-            F.min(src).alias(f"{pre}_min"),
-            F.max(src).alias(f"{pre}_max"),
-        ]
-    return c.agg(F.count(F.lit(1)).alias("completed_jobs"), *aggs).where(F.col("completed_jobs") > 0)
+    jobs; no row when there is none. ``median`` is exact (middle-pair mean).
+
+    Jobs are counted by value (partial sums, spread by value), the counts by
+    bucket: at most 100 001 buckets of each kind, whose running totals tell which
+    one or two hold the middle ranks. Only the values of those are ranked."""
+    kinds = {"cpu": "cpu_efficiency", "mem": "memory_efficiency"}
+    each = completed(df).select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for k, c in kinds.items()))).alias("o"))
+    counts = each.select("o.*").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    # values beyond 0 to 100 fall into the end buckets: the order stays
+    bucket = F.least(F.greatest(F.floor(F.col("value") * BUCKETS_PER_PERCENT), F.lit(0)), F.lit(100 * BUCKETS_PER_PERCENT))
+    counts = counts.withColumn("bucket", F.when(F.col("value").isNotNull(), bucket).cast("bigint"))  # least and greatest skip nulls
+    buckets = counts.groupBy("kind", "bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    one = lambda k, f, c: f(F.when(F.col("kind") == k, F.col(c)))
+    seen = lambda k: F.sum(F.when((F.col("kind") == k) & F.col("bucket").isNotNull(), F.col("n")))
+    out = buckets.agg(
+        F.coalesce(one("cpu", F.sum, "n"), F.lit(0)).alias("completed_jobs"),
+        *(c for k in kinds for c in (F.try_divide(one(k, F.sum, "s"), seen(k)).alias(f"{k}_mean"),
+                                     one(k, F.min, "lo").alias(f"{k}_min"), one(k, F.max, "hi").alias(f"{k}_max"))),
+    )
+    med = scalar(_middle(counts.where(F.col("bucket").isNotNull()), buckets.where(F.col("bucket").isNotNull())).agg(
+        F.struct(*(one(k, F.max, "median").alias(k) for k in kinds)).alias("m")
+    ))
+    out = out.where(F.col("completed_jobs") > 0).withColumns({f"{k}_median": med[k] for k in kinds})
+    return out.select("completed_jobs", *(f"{k}_{x}" for k in kinds for x in ("mean", "median", "min", "max")))
+
+
+def _middle(counts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(kind, median) from (kind, bucket, value, n) and (kind, bucket, n): the
+    mean of the values of ranks (total - 1) div 2 and total div 2."""
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = buckets.select("kind", "bucket", "n", before(Window.partitionBy("kind").orderBy("bucket")).alias("start"),
+                            F.sum("n").over(Window.partitionBy("kind")).alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda at: (at <= high) & (at + F.col("n") > low)
+    held = ranked.where(holds(F.col("start"))).select("kind", "bucket", "start", "total")  # two rows of a kind at most
+    inside = counts.join(F.broadcast(held), ["kind", "bucket"])
+    inside = inside.withColumn("at", F.col("start") + before(Window.partitionBy("kind", "bucket").orderBy("value")))
+    return inside.where(holds(F.col("at"))).groupBy("kind").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
 
 
 def user_waste(df: DataFrame) -> DataFrame:
@@ -229,14 +264,11 @@ def state_counts(df: DataFrame) -> DataFrame:
 
 
 def top_states_text(df: DataFrame, k: int = 3) -> DataFrame:
-    """T5: 'STATE: n, STATE: n, STATE: n' of the ``k`` most frequent states.
-
-    The per-state table is bounded by the state vocabulary, so gathering it
-    into one row is safe."""
-    sc = state_counts(df)
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "state", "count"))), 1, k)
+    """T5: 'STATE: n, STATE: n, STATE: n' of the ``k`` most frequent states (ties by state)."""
+    top = state_counts(df).orderBy(F.col("count").desc(), F.col("state")).limit(k)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "state", "count")))
     txt = F.array_join(F.transform(ranked, lambda s: F.concat(s["state"], F.lit(": "), F.format_number(s["count"], 0))), ", ")
-    return sc.agg(txt.alias("top_states"))
+    return top.agg(txt.alias("top_states"))
 
 
 def cluster_summary(prepared: DataFrame) -> DataFrame:
@@ -303,3 +335,24 @@ def top_share(df: DataFrame, label: str, value: str, n: int = 20, width: int = 5
         F.when(mx > 0, F.floor(v / mx * width)).otherwise(F.lit(0)).cast("bigint").alias("bar_length"),
         F.when(v > mx * 0.66, F.lit("red")).when(v > mx * 0.33, F.lit("yellow")).otherwise(F.lit("green")).alias("band"),
     )
+
+
+#: Bar charts of an analysis: name -> (section, label, value, bars).
+CHARTS = {
+    "node_cpu_share": ("node_stats", "node", "cpu_utilization_pct", 20),
+    "node_gpu_share": ("gpu_utilization", "node", "gpu_utilization_pct", 10),
+    "user_cpu_share": ("user_stats", "user", "total_cpu_hours", 20),
+    "user_gpu_share": ("user_stats", "user", "total_gpu_hours", 10),
+    "user_cpu_efficiency": ("user_stats", "user", "avg_cpu_efficiency", 20),
+    "user_mem_efficiency": ("user_stats", "user", "avg_mem_efficiency", 20),
+    "group_cpu_share": ("group_stats", "group", "total_cpu_hours", 15),
+    "group_gpu_share": ("group_stats", "group", "total_gpu_hours", 10),
+    "daily_cpu_share": ("daily_usage_recent", "job_date", "cpu_hours", 14),
+    "daily_gpu_share": ("daily_usage_recent", "job_date", "gpu_hours", 14),
+}
+
+
+def chart(sections: dict[str, DataFrame], name: str) -> DataFrame:
+    """The numbers of one bar chart of ``CHARTS``."""
+    section, label, value, n = CHARTS[name]
+    return top_share(sections[section], label, value, n)

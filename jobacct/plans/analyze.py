@@ -2,8 +2,9 @@
 
 One pruned scan of the date window, the latest version per job (W1), the
 prepared frame (group, back-filled hours, wait) persisted once, then each
-section is an independent query on it. Empty data gives empty reports, not
-an error."""
+section is an independent query on it, as are the numbers of the bar charts
+(``reports.CHARTS``) and whether the group section is shown. Empty data gives
+empty reports, not an error."""
 
 from __future__ import annotations
 
@@ -34,7 +35,6 @@ def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7,
         "daily_usage_recent": R.daily_usage_recent(daily),
         "user_stats": users,
         "top_users": R.top_users(users),
-        "user_cpu_share": R.top_share(users, "user", "total_cpu_hours", 20),
         "group_stats": R.group_stats(prepared, groups),
         "efficiency_summary": R.efficiency_summary(prepared),
         "top_wasters": R.top_wasters(prepared),
@@ -43,4 +43,6 @@ def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7,
     }
     if inventory is not None:
         out.update(ND.node_report(prepared, inventory))
+    out["show_group_stats"] = R.show_group_section(out["group_stats"])
+    out.update({name: R.chart(out, name) for name, (section, *_) in R.CHARTS.items() if section in out})
     return out

@@ -25,10 +25,13 @@ def current(spark: SparkSession, queue_path: str, node_cores: DataFrame) -> dict
     pivots (the partition list for the pivot comes from a small aggregate)."""
     usage = QU.queue_usage(read_queue_text(spark, queue_path), node_cores)
     grid = QU.queue_grid(usage)
+    partitions = [r[0] for r in usage.select("partition").where(F.col("partition").isNotNull()).distinct().collect()]
     return {
         "usage": usage,
         "totals": QU.queue_totals(usage),
         "grid": grid,
+        "cores_grid": QU.grid_wide(grid, partitions, "cores_cell"),
+        "nodes_grid": QU.grid_wide(grid, partitions, "nodes_cell"),
         "widths": QU.max_lengths(grid),
     }
 

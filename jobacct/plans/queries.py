@@ -8,6 +8,7 @@ ALL of it: text scan -> bronze -> silver -> report. Doubles are rounded to
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -513,8 +514,20 @@ def max_lengths(spark, sf_dir):
 
 # --- store, incremental collection ------------------------------------------------
 RUN1_AT, RUN2_AT = "2024-02-01 06:00:00", "2024-02-02 06:00:00"
-RUN1_AS_OF, RUN2_AS_OF = "2024-01-31", "2024-02-01"
-RUN1_DAYS, RUN2_DAYS = 31, 32
+_WINDOWS: dict[tuple, tuple[str, int]] = {}
+
+
+def window(spark: SparkSession, sf_dir: str, run: int) -> tuple[str, int]:
+    """(as_of, days) of a collection run: ``run`` days after the last event, back
+    to the day before the first (a job waits two hours at most)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _WINDOWS:
+        day = lambda c: F.date_format(c, "yyyy-MM-dd")
+        r = spark.read.parquet(f"{sf_dir}/events.parquet").agg(day(F.min("ts")), day(F.max("ts"))).first()
+        _WINDOWS[key] = tuple(dt.date.fromisoformat(x or PROCESSED_AT[:10]) for x in r)
+    first, last = _WINDOWS[key]
+    as_of = last + dt.timedelta(days=run)
+    return as_of.isoformat(), (as_of - first).days + 1
 
 
 def _store(spark: SparkSession) -> str:
@@ -593,7 +606,7 @@ def load_recent_processed(spark, sf_dir):
     from jobacct.sources import store as ST
 
     root = _two_runs_appended(spark, sf_dir)
-    df = ST.load_recent(spark, root, RUN2_AS_OF, RUN2_DAYS, ST.PROCESSED)
+    df = ST.load_recent(spark, root, *window(spark, sf_dir, 2), ST.PROCESSED)
     return _silver_text(df).select("job_id", "state", "processed_date", "job_date")
 
 
@@ -604,7 +617,7 @@ def load_recent_raw(spark, sf_dir):
 
     root = _store(spark)
     ST.write_bronze(_dated_bronze(spark, sf_dir), root)
-    df = ST.load_recent(spark, root, RUN1_AS_OF, RUN1_DAYS, ST.RAW)
+    df = ST.load_recent(spark, root, *window(spark, sf_dir, 1), ST.RAW)
     return df.select("JobIDRaw", "State", "job_date")
 
 
@@ -614,7 +627,8 @@ def load_days(spark, sf_dir):
     from jobacct.sources import store as ST
 
     root = _two_runs_appended(spark, sf_dir)
-    return ST.load_days(spark, root, RUN2_AS_OF, RUN2_DAYS + 1).select("job_id", "state", "job_date")
+    as_of, days = window(spark, sf_dir, 2)
+    return ST.load_days(spark, root, as_of, days + 1).select("job_id", "state", "job_date")
 
 
 @register("latest_per_job")
@@ -651,7 +665,7 @@ def date_completeness(spark, sf_dir):
     """Dates whose jobs all settled (before the as-of date) after run 2."""
     from jobacct.operators.incremental import date_completeness as dc
 
-    return dc(_silver_run(spark, sf_dir, 2), RUN2_AS_OF)
+    return dc(_silver_run(spark, sf_dir, 2), window(spark, sf_dir, 2)[0])
 
 
 @register("completed_roundtrip")
@@ -661,7 +675,7 @@ def completed_roundtrip(spark, sf_dir):
     from jobacct.sources import store as ST
 
     root = _store(spark)
-    done = dc(_silver_run(spark, sf_dir, 2), RUN2_AS_OF).where("is_complete").select("job_date")
+    done = dc(_silver_run(spark, sf_dir, 2), window(spark, sf_dir, 2)[0]).where("is_complete").select("job_date")
     at = F.to_timestamp(F.lit(RUN2_AT))
     ST.mark_complete(spark, root, done, at)
     ST.mark_complete(spark, root, done, at)
@@ -673,8 +687,9 @@ def dates_to_collect(spark, sf_dir):
     """F8 + G2 + J9: requested dates minus the dates completed after run 2."""
     from jobacct.operators import incremental as I
 
-    done = I.date_completeness(_silver_run(spark, sf_dir, 2), RUN2_AS_OF).where("is_complete")
-    return I.dates_to_collect(I.requested_dates(spark, RUN2_AS_OF, RUN2_DAYS), done)
+    as_of, days = window(spark, sf_dir, 2)
+    done = I.date_completeness(_silver_run(spark, sf_dir, 2), as_of).where("is_complete")
+    return I.dates_to_collect(I.requested_dates(spark, as_of, days), done)
 
 
 @register("incremental_filter")
@@ -691,8 +706,8 @@ def _collect_two_runs(spark: SparkSession, sf_dir: str):
     from jobacct.plans.collect import collect
 
     root = _store(spark)
-    m1 = collect(spark, bronze(spark, sf_dir, 1), root, RUN1_AS_OF, RUN1_DAYS, RUN1_AT).collect()
-    m2 = collect(spark, bronze(spark, sf_dir, 2), root, RUN2_AS_OF, RUN2_DAYS, RUN2_AT)
+    m1 = collect(spark, bronze(spark, sf_dir, 1), root, *window(spark, sf_dir, 1), RUN1_AT).collect()
+    m2 = collect(spark, bronze(spark, sf_dir, 2), root, *window(spark, sf_dir, 2), RUN2_AT)
     return root, m1, m2
 
 
@@ -728,13 +743,13 @@ def reprocess_missing(spark, sf_dir):
 
 @register("store_stats")
 def store_stats(spark, sf_dir):
-    """File count, latest file, rows of the last 5 files, size."""
+    """Date partitions, the latest, rows of the last 5 (the size depends on the encoder)."""
     from jobacct.sources import store as ST
 
     root = _store(spark)
     ST.write_silver(silver(spark, sf_dir), root)
     ST.write_bronze(_dated_bronze(spark, sf_dir), root)
-    return ST.store_stats(spark, root)
+    return ST.store_stats(spark, root).drop("disk_mb")
 
 
 @register("analyze_user_stats")
@@ -744,7 +759,7 @@ def analyze_user_stats(spark, sf_dir):
     from jobacct.sources import store as ST
 
     root = _two_runs_appended(spark, sf_dir)
-    df = ST.load_recent(spark, root, RUN2_AS_OF, RUN2_DAYS, ST.PROCESSED)
+    df = ST.load_recent(spark, root, *window(spark, sf_dir, 2), ST.PROCESSED)
     return R.user_stats(R.prepare(df))
 
 
@@ -765,7 +780,7 @@ def stream_collect(spark, sf_dir):
     from jobacct.streaming.collect_stream import stream_collect as sc
 
     root = _store(spark)
-    q = sc(spark, FX.dump_path(spark, sf_dir, 1), root, scratch_path(spark, "stream-ckpt"), RUN1_AS_OF, RUN1_DAYS, RUN1_AT)
+    q = sc(spark, FX.dump_path(spark, sf_dir, 1), root, scratch_path(spark, "stream-ckpt"), *window(spark, sf_dir, 1), RUN1_AT)
     q.awaitTermination()
     return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "job_date")
 
@@ -774,7 +789,7 @@ def _analysis(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from jobacct.plans.analyze import analyze
 
     root = _two_runs_appended(spark, sf_dir)
-    return analyze(spark, root, RUN2_AS_OF, RUN2_DAYS, groups(spark, sf_dir), inventory(spark, sf_dir), persist=False)
+    return analyze(spark, root, *window(spark, sf_dir, 2), groups(spark, sf_dir), inventory(spark, sf_dir), persist=False)
 
 
 def _register_analyze(section: str) -> None:
@@ -788,3 +803,42 @@ def _register_analyze(section: str) -> None:
 for _section in ("group_stats", "daily_usage", "efficiency_summary", "top_wasters", "cluster_summary",
                  "state_distribution", "node_stats", "gpu_utilization"):
     _register_analyze(_section)
+
+
+def _chart_section(spark: SparkSession, sf_dir: str, section: str) -> DataFrame:
+    if section in ("node_stats", "gpu_utilization"):
+        return node_section(spark, sf_dir)[section]
+    jobs = prepared(spark, sf_dir)
+    if section == "user_stats":
+        return R.user_stats(jobs)
+    return R.group_stats(jobs, groups(spark, sf_dir)) if section == "group_stats" else R.daily_usage_recent(R.daily_usage(jobs))
+
+
+def _register_chart(name: str) -> None:
+    def fn(spark, sf_dir):
+        section = R.CHARTS[name][0]
+        return R.chart({section: _chart_section(spark, sf_dir, section)}, name)
+
+    fn.__doc__ = f"T6: the numbers of the '{name}' bar chart."
+    register(f"chart_{name}")(fn)
+
+
+for _chart in R.CHARTS:
+    _register_chart(_chart)
+
+
+@register("show_group_stats")
+def show_group_stats(spark, sf_dir):
+    """A2: whether the group section is shown."""
+    return R.show_group_section(R.group_stats(prepared(spark, sf_dir), groups(spark, sf_dir)))
+
+
+@register("queue_grid_wide")
+def queue_grid_wide(spark, sf_dir):
+    """The display grid of cores: a column for each partition, '-' where a user has no cell."""
+    from jobacct.operators.queue import grid_wide
+    from jobacct.operators.queue import queue_grid as grid
+
+    long = grid(usage_q(spark, sf_dir))
+    names = [r[0] for r in long.where(F.col("partition") != "Total").select("partition").distinct().collect()]
+    return grid_wide(long, names)

@@ -18,6 +18,7 @@ the same job and a lost executor never leaves a half-written date.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,23 +109,30 @@ def stored_dates(spark: SparkSession, root: str, kind: str) -> list[str]:
     return sorted(n.partition("=")[2] for n in names if n.startswith(DATE_COLUMN + "="))
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 class staging_scope:
     """Folders staged inside the scope are deleted when it exits: for plans
     (such as collect) whose staged data is fully consumed before they return.
-    Without a scope staged folders stay (their DataFrames may be read later)."""
+    Without a scope staged folders stay (their DataFrames may be read later).
+    A scope holds what its own thread stages: a stream's batch or a second plan
+    in another thread keeps its folders."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
-        _SCOPES.append([])
+        _SCOPES.open.append([])
         return self
 
     def __exit__(self, *exc):
-        paths = _SCOPES.pop()
+        paths = _SCOPES.open.pop()
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for p in paths:
@@ -141,8 +149,8 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     it back: cuts the lineage and decouples reading from overwriting."""
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -271,28 +279,25 @@ def mark_complete(spark: SparkSession, root: str, dates: DataFrame, marked_at: C
 
 
 # --- statistics ------------------------------------------------------------------------
-def store_stats(spark: SparkSession, root: str) -> DataFrame:
-    """Parquet files in the store, the latest file (path order), rows of
-    the last 5 files in path order and total MB. Row counts come from the
-    Parquet footers (no data pages read)."""
-    cols = [f"{k}" for k in (PROCESSED, RAW, COMPLETED) if path_exists(spark, _path(root, k))]
-    if not cols:
-        return spark.createDataFrame([(0, None, 0, 0.0)], "data_files bigint, latest_file string, recent_records bigint, disk_mb double")
-    files = None
-    for k in cols:
-        f = spark.read.option("basePath", _path(root, k)).parquet(_path(root, k)).select(
-            F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")
-        )
-        f = f.groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"), F.first("file_size").alias("file_size"))
-        files = f if files is None else files.unionByName(f)
-    tot = files.agg(
-        F.count(F.lit(1)).alias("data_files"),
-        F.max_by(F.element_at(F.split("file_path", "/"), -1), "file_path").alias("latest_file"),
-        (F.sum("file_size") / (1024 * 1024)).alias("disk_mb"),
+def store_stats(spark: SparkSession, root: str, last: int = 5) -> DataFrame:
+    """Date partitions of raw and processed rows, the latest of them (path
+    order), rows of the last ``last`` in path order and total MB. Which
+    partitions there are and their size is a listing; rows are counted in the
+    last ones only, from the Parquet footers."""
+    parts = sorted((k, d) for k in (PROCESSED, RAW) for d in stored_dates(spark, root, k))
+    schema = "data_files bigint, latest_file string, recent_records bigint, disk_mb double"
+    if not parts:
+        return spark.createDataFrame([(0, None, 0, 0.0)], schema)
+    size = 0
+    for k in {k for k, _ in parts}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_path(root, k))
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    recent = [read_table(spark, root, k, [d for kk, d in parts[-last:] if kk == k]) for k in sorted({k for k, _ in parts[-last:]})]
+    rows = recent[0].select(DATE_COLUMN)
+    for r in recent[1:]:
+        rows = rows.unionByName(r.select(DATE_COLUMN))
+    k, d = parts[-1]
+    return rows.agg(F.count(F.lit(1)).alias("recent_records")).select(
+        F.lit(len(parts)).cast("bigint").alias("data_files"), F.lit(f"{k}/{DATE_COLUMN}={d}").alias("latest_file"),
+        "recent_records", F.lit(size / (1024 * 1024)).alias("disk_mb"),
     )
-    last5 = files.orderBy(F.col("file_path").desc()).limit(5).agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("recent_records")
-    )
-    from jobacct.operators.reports import scalar
-
-    return tot.withColumn("recent_records", scalar(last5)).select("data_files", "latest_file", "recent_records", "disk_mb")

@@ -35,8 +35,8 @@ def test_node_usage_split(spark):
 
 
 def test_node_utilization(spark):
-    usage = spark.createDataFrame([("n1", 25.0, 0.0, 1.0), ("n1", 15000.0, 0.0, 1.0), ("n2", 5.0, 1.0, 1.0)],
-                                  "node string, cpu_hours double, gpu_hours double, elapsed_hours double")
+    usage = spark.createDataFrame([("n1", 25.0, 0.0, 3600), ("n1", 15000.0, 0.0, 3600), ("n2", 5.0, 1.0, 3600)],
+                                  "node_list string, cpu_hours_reserved double, gpu_hours_reserved double, elapsed_seconds long")
     inv = spark.createDataFrame([("n1", 64, 0)], "node string, cpus long, gpus long")
     period = spark.createDataFrame([(7,)], "period_days long")
     s = {r.node: r for r in ND.node_stats(usage, inv, period).collect()}

@@ -26,6 +26,8 @@ def test_current_and_nodes_from_text(spark):
     u = {(x.user, x.partition, x.status): (x.cores, x.nodes) for x in r["usage"].collect()}
     # the second exclusive row of alice on n2 is skipped; exclusive rows count the node's cores in both modes
     assert u == {("alice", "cpu", "R"): (68, 65), ("bob", "gpu", "R"): (16, 2)}
+    grid = {x.user: x for x in r["cores_grid"].collect()}
+    assert grid["alice"].gpu == "-" and grid["bob"].cpu == "-" and grid["2 users"].Total == r["grid"].where("user = '2 users' and partition = 'Total'").first().cores_cell
     cpu = _write(["n1,32", "n2,64", "n1,48"])
     gpu = _write(["n2,gpu:4", "g9,gpu:a100:2(S:0)"])
     n = nodes(spark, cpu, gpu)

@@ -46,9 +46,25 @@ def test_store_stats_against_file_listing(spark, sf_small):
 
     root = Q._store(spark)
     ST.write_silver(Q.silver(spark, sf_small), root)
-    files = sorted(glob.glob(f"{root}/processed/**/*.parquet", recursive=True))
+    rows = lambda d: sum(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{d}/*.parquet"))
+    dates = sorted(glob.glob(f"{root}/processed/job_date=*"))
     r = ST.store_stats(spark, root).collect()[0]
-    assert r.data_files == len(files)
-    assert r.latest_file == os.path.basename(files[-1])
-    assert r.recent_records == sum(pq.ParquetFile(f).metadata.num_rows for f in files[-5:])
-    assert abs(r.disk_mb - sum(os.path.getsize(f) for f in files) / 1024 / 1024) < 1e-9
+    assert r.data_files == len(dates)
+    assert r.latest_file == f"processed/{os.path.basename(dates[-1])}"
+    assert r.recent_records == sum(map(rows, dates[-5:]))
+    assert r.disk_mb > 0
+    assert ST.store_stats(spark, Q._store(spark)).collect()[0].data_files == 0
+
+
+def test_scopes_are_of_one_thread(spark):
+    """What another thread stages while a scope is open outlives the scope."""
+    import threading
+
+    kept = []
+    with ST.staging_scope(spark):
+        t = threading.Thread(target=lambda: kept.append(ST.stage(spark, spark.range(3).toDF("i"), "other-thread")))
+        t.start()
+        t.join()
+        own = ST.stage(spark, spark.range(2).toDF("i"), "own-thread")
+        assert own.count() == 2
+    assert kept[0].count() == 3
