@@ -3,9 +3,10 @@
 The text itself is scanned first (base spans). Then a worklist of layers is
 run to its fixpoint: each layer is unwrapped by every decoder that applies -
 URL escapes, Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``), base64, and
-compressed base64 (gzip, zlib, bz2, xz) - and each layer found is scanned and
-unwrapped again. A layer whose text and place were seen before is not run
-again, which ends cycles (compressed data can unpack to itself).
+compressed bytes (gzip, zlib, bz2, xz) in base64, URL or ``\\x`` escapes, or
+compressed again - and each layer found is scanned and unwrapped again. A layer
+whose text and place were seen before is not run again, nor is a stream that is
+the same as one above it, which ends cycles (compressed data can unpack to itself).
 
 Every layer maps its characters to places of the root text: an escape to its
 own characters, a base64 byte to the characters that carry it, unpacked data to
@@ -49,6 +50,15 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+#: Bytes of a token with escapes: % escapes beside what URLs leave, backslash escapes beside printable ASCII.
+URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!'()*+,./0-9:;=@A-Z\[\]_a-z~$-])+")
+HEX_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[\x20-\x5b\x5d-\x7e])+")
+URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|[^%]")
+HEX_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|\\.|[^\\]")
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+_ESC = r"(?:%|\\x|\\u00|\\U000000)"
+#: A magic number with at least one of its bytes escaped (a cheap test before bytes are made).
+ESCAPED_MAGIC = re.compile(rf"{_ESC}1f{_ESC}8b|(?:x|{_ESC}78)(?:{_ESC}(?:01|5e|9c|da)|\^)|(?:B|{_ESC}42)(?:Z|{_ESC}5a)(?:h|{_ESC}68)|{_ESC}fd(?:7|{_ESC}37)", re.I)
 PIECE, OVERLAP = 4 << 20, 64 << 10
 _PLAIN = re.compile(r"[^\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]*")
 
@@ -117,36 +127,139 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(edits, "unicode>")
 
 
-def _unpacked(data: bytes) -> Iterator[bytes]:
-    """Pieces of compressed data, as far as it unpacks; nothing if it is not compressed."""
+def _opened(data: bytes):
+    """A decompressor for data that begins like this, or None."""
     if data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        unpack = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        unpack = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpack = lzma.LZMADecompressor()
-    else:
-        return
-    try:
-        if isinstance(unpack, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-            rest = data
-            while not unpack.eof:
-                piece = unpack.decompress(rest, PIECE)
-                rest = b""
-                if not piece and unpack.needs_input:
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+class _Unpack:
+    """One compressed stream, fed in pieces; ``taken`` bytes of it were unpacked.
+    ``rest`` tells that some of the bytes fed last are not part of the stream."""
+
+    def __init__(self, unpack):
+        self.unpack, self.taken, self.rest = unpack, 0, False
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        """What ``data`` unpacks to, as far as it does, in pieces of PIECE bytes at most."""
+        packer = not hasattr(self.unpack, "needs_input")  # zlib
+        self.rest = not self.unpack
+        try:
+            while self.unpack and not self.unpack.eof:
+                piece = self.unpack.decompress(data, PIECE)
+                left = self.unpack.unconsumed_tail if packer else b""
+                self.taken += len(data) - len(left)
+                data = left
+                if piece:
+                    yield piece
+                elif not left and (packer or self.unpack.needs_input):
                     return
-                yield piece
-        else:
-            rest = data
-            while rest and not unpack.eof:
-                piece = unpack.decompress(rest, PIECE)
-                rest = unpack.unconsumed_tail
-                yield piece
-            yield unpack.flush()
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            if self.unpack:
+                self.taken -= len(self.unpack.unused_data)
+                self.rest = bool(self.unpack.unused_data)
+            self.unpack = None
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            self.unpack, self.rest = None, True
+
+
+def _levels(data: bytes, most: float = float("inf")) -> Iterator[tuple[int, bytes]]:
+    """(level, piece) of the streams in ``data``: level 1 is what it unpacks to,
+    level 2 what that unpacks to, and so on to ``most``. Bytes that unpack are
+    not given themselves below ``most``; a stream that is the same as one above
+    it is not unpacked again."""
+    stages: list[_Unpack | None] = []
+    heads: list[bytes] = []  # first bytes of each level
+    todo = [iter((data,))]
+    fed: list[bytes] = []  # what each level was fed last
+    while todo:
+        piece, at = next(todo[-1], None), len(todo) - 1
+        if piece is None:
+            todo.pop()
+            if at:
+                rest = fed.pop()
+                if at > 1 and stages[at - 1].rest:
+                    yield at - 1, rest
+            continue
+        if at == len(stages):
+            if at == len(heads):
+                heads.append(b"")
+            new, heads[at] = piece, heads[at] + piece
+            piece = heads[at]
+            if len(piece) < 6:  # too short to tell
+                if at:
+                    yield at, new
+                continue
+            unpack = _opened(piece) if at < most else None
+            if unpack and any((heads[i].startswith(piece) or piece.startswith(heads[i])) and _digest(data, i) == _digest(data, at) for i in range(at)):
+                unpack = None
+            stages.append(_Unpack(unpack) if unpack else None)
+            if not unpack and at:
+                yield at, new
+        elif not stages[at] and at:
+            yield at, piece
+        if stages[at]:
+            todo.append(stages[at].feed(piece))
+            fed.append(piece)
+
+
+def _digest(data: bytes, level: int) -> bytes:
+    h = hashlib.blake2b(b"" if level else data)
+    for at, piece in _levels(data, level) if level else ():
+        if at == level:
+            h.update(piece)
+    return h.digest()
+
+
+def _taken(data: bytes) -> int:
+    """Length of the compressed stream at the start of ``data``; 0 if it does not unpack."""
+    stage = _Unpack(_opened(data))
+    some = False
+    for _ in stage.feed(data):
+        some = True
+    return stage.taken if some else 0
+
+
+def _texts(data: bytes) -> Iterator[tuple[int, str]]:
+    """(level, text) of the streams in ``data``, in pieces that overlap."""
+    tails: dict[int, bytes] = {}
+    for at, piece in _levels(data):
+        yield at, (tails.get(at, b"") + piece).decode("utf-8", "replace")
+        tails[at] = piece[-OVERLAP:]
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """Compressed bytes written as URL or ``\\x`` escapes; what needs no escape may stand as it is."""
+    if not ESCAPED_MAGIC.search(layer.text):
         return
+    for name, token, byte in (("url>", URL_BYTES, URL_BYTE), ("unicode>", HEX_BYTES, HEX_BYTE)):
+        for m in token.finditer(layer.text):
+            at = [(m.start() + x.start(), m.start() + x.end()) for x in byte.finditer(m[0])]
+            written = [layer.text[a:b] for a, b in at]
+            data = bytes(map(_byte, written))
+            # in forms a plus sign that is not escaped is a blank
+            forms = {data, bytes(32 if w == "+" else c for w, c in zip(written, data, strict=True))} if name == "url>" else {data}
+            for data in sorted(forms):
+                for x in MAGIC.finditer(data):
+                    size = _taken(data[x.start() :])
+                    if size:
+                        start, end = layer.root(at[x.start()][0], at[x.start() + size - 1][1])
+                        for level, text in _texts(data[x.start() : x.start() + size]):
+                            yield Layer(text, np.full(len(text), start), np.full(len(text), end), layer.path + name + "unpack>" * level)
+
+
+def _byte(x: str) -> int:
+    if len(x) == 1:
+        return ord(x)
+    if x[0] == "%" or x[1] in "xuU":
+        return int(x[-2:], 16)
+    return "abtnvfr".find(x[1]) + 7 if x[1] in "abtnvfr" else 0 if x[1] == "0" else ord(x[1])
 
 
 def _decoded(token: str) -> bytes:
@@ -169,11 +282,8 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 def _of_token(layer: Layer, run: list[tuple[int, str]]) -> Iterator[Layer]:
     data = _decoded("".join(t for _, t in run))
     start, end = layer.root(run[0][0], run[-1][0] + len(run[-1][1]))
-    tail = b""
-    for piece in _unpacked(data):
-        text = (tail + piece).decode("utf-8", "replace")
-        yield Layer(text, np.full(len(text), start), np.full(len(text), end), layer.path + "base64>unpack>")
-        tail = piece[-OVERLAP:]
+    for at, text in _texts(data):
+        yield Layer(text, np.full(len(text), start), np.full(len(text), end), layer.path + "base64>" + "unpack>" * at)
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -192,7 +302,7 @@ def unwrapped(text: str) -> Iterator[Layer]:
     work, seen = [Layer(text)] if "%" in text or "\\" in text or "&#" in text or BASE64.search(text) else [], set()
     while work:
         layer = work.pop()
-        for decode in (_url, _unicode, _base64):
+        for decode in (_url, _unicode, _packed, _base64):
             for new in decode(layer):
                 name = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new.first[0]) if len(new.first) else 0)
                 if name not in seen and new.text:

@@ -6,9 +6,10 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import pytest
 
@@ -85,6 +86,71 @@ def test_wrapped_lines_and_big_unpacked_layer():
     assert any(k == 0 for _, k, _ in S.find(far)[1])
 
 
+def kinds(t: str) -> set[int]:
+    base, every, _ = S.find(t)
+    return {k for _, k, _ in set(every) - set(base)}
+
+
+PACKS = (gzip.compress, zlib.compress, bz2.compress, lzma.compress)
+
+
+@pytest.mark.parametrize("outer", PACKS)
+@pytest.mark.parametrize("inner", PACKS)
+def test_compressed_in_compressed(outer, inner):
+    assert kinds("a " + b64(outer(inner(KEY.encode())))) == {0}
+    assert kinds(b64(outer(inner(b64(outer(inner(KEY.encode()))).encode())))) == {0}
+    assert kinds(b64(outer(b"BZh is no header, " + KEY.encode()))) == {0}
+
+
+@pytest.mark.parametrize("pack", PACKS)
+def test_compressed_bytes_in_escapes(pack):
+    data = pack(KEY.encode() + bytes(range(256)))
+    every = "".join(f"%{b:02X}" for b in data)
+    for wrapped, path in (
+        (every, "url>unpack>"),
+        (quote(data, safe=""), "url>unpack>"),
+        (quote_plus(data), "url>unpack>"),
+        (quote(quote(data, safe=""), safe=""), "url>url>unpack>"),
+        ("".join(f"\\x{b:02x}" for b in data), "unicode>unpack>"),
+        (repr(data), "unicode>unpack>"),
+        ("".join(f"\\u00{b:02x}" for b in data), "unicode>unpack>"),
+        (quote(pack(data), safe=""), "url>unpack>"),
+    ):
+        text = "é x=<" + wrapped + "> after"
+        base, found, via = S.find(text)
+        assert any(v.startswith(path) for v in via), (wrapped[:40], via)
+        assert all(text.index("<") < a < b <= text.rindex(">") for a, _, b in set(found) - set(base))
+
+
+class Same:
+    """Unpacks every stream to itself, as a quine does."""
+
+    eof, needs_input, unused_data = False, True, b""
+
+    def decompress(self, data, most):
+        return data
+
+
+@pytest.mark.parametrize("size", [40, 5 << 20])
+def test_a_stream_that_unpacks_to_itself_ends(monkeypatch, size):
+    opened = S._opened
+    monkeypatch.setattr(S, "_opened", lambda data: Same() if data[:6] == b"SAME\xff\xff" else opened(data))
+    data = b"SAME\xff\xff " + KEY.encode() + b" " * size
+    assert kinds(b64(data)) == {0}
+    assert kinds(b64(gzip.compress(data))) == {0}
+
+
+def test_big_compressed_in_compressed():
+    assert kinds(b64(bz2.compress(gzip.compress(b" " * (9 << 20) + KEY.encode())))) == {0}
+
+
+def test_many_compressed_levels():
+    data = KEY.encode()
+    for _ in range(1500):
+        data = gzip.compress(data, 1)
+    assert kinds(b64(data)) == {0}
+
+
 def test_worklist_ends_on_junk_and_long_texts():
     for t in ("%" * 5000, "\\u" * 5000, "A" * 200_000, "%25" * 20_000, "token" * 20_000, "AKIA" * 20_000):
         S.find(t)
