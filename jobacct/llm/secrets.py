@@ -141,32 +141,46 @@ def _opened(data: bytes):
 
 
 class _Unpack:
-    """One compressed stream, fed in pieces; ``taken`` bytes of it were unpacked.
-    ``rest`` tells that some of the bytes fed last are not part of the stream."""
+    """One compressed stream of one or more members, fed in pieces; ``taken``
+    bytes of it were unpacked. ``rest`` tells that some of the bytes fed last
+    are not part of the stream."""
 
     def __init__(self, unpack):
-        self.unpack, self.taken, self.rest = unpack, 0, False
+        self.unpack, self.taken, self.rest, self.head = unpack, 0, False, b""
 
     def feed(self, data: bytes) -> Iterator[bytes]:
         """What ``data`` unpacks to, as far as it does, in pieces of PIECE bytes at most."""
-        packer = not hasattr(self.unpack, "needs_input")  # zlib
         self.rest = not self.unpack
-        try:
-            while self.unpack and not self.unpack.eof:
-                piece = self.unpack.decompress(data, PIECE)
-                left = self.unpack.unconsumed_tail if packer else b""
-                self.taken += len(data) - len(left)
-                data = left
-                if piece:
-                    yield piece
-                elif not left and (packer or self.unpack.needs_input):
+        while self.unpack:
+            if self.unpack.eof:  # another member, after the zeros that may fill a block
+                size = len(self.head + data)
+                data = (self.head + data).lstrip(b"\0")
+                again = _opened(data)
+                self.taken += size - len(data) if again else 0
+                self.head = data if again is None and _begins(data) else b""
+                self.rest = again is None and bool(data) and not self.head
+                if again is None:
+                    self.unpack = None if self.rest else self.unpack
                     return
-            if self.unpack:
-                self.taken -= len(self.unpack.unused_data)
-                self.rest = bool(self.unpack.unused_data)
-            self.unpack = None
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            self.unpack, self.rest = None, True
+                self.unpack = again
+            packer = not hasattr(self.unpack, "needs_input")  # zlib
+            try:
+                piece = self.unpack.decompress(data, PIECE)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                self.unpack, self.rest = None, True
+                return
+            left = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail if packer else b""
+            self.taken += len(data) - len(left)
+            data = left
+            if piece:
+                yield piece
+            elif not left and not self.unpack.eof and (packer or self.unpack.needs_input):
+                return
+
+
+def _begins(data: bytes) -> bool:
+    """Whether ``data``, too short for a magic, may be the start of one."""
+    return any(m.startswith(data) for m in (b"\x1f\x8b", b"x\x01\0", b"x\x5e\0", b"x\x9c\0", b"x\xda\0", b"BZh", b"\xfd7zXZ\x00"))
 
 
 def _levels(data: bytes, most: float = float("inf")) -> Iterator[tuple[int, bytes]]:

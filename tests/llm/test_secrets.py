@@ -122,6 +122,27 @@ def test_compressed_bytes_in_escapes(pack):
         assert all(text.index("<") < a < b <= text.rindex(">") for a, _, b in set(found) - set(base))
 
 
+@pytest.mark.parametrize("pack", PACKS)
+@pytest.mark.parametrize("gap", [b"", b"\0" * 8])
+def test_every_member_of_a_stream(pack, gap):
+    plain = [b"first member", b"", KEY.encode(), b"x" * 100, b"AKIA" + b"Q" * 20]
+    data = gap.join(map(pack, plain))
+    assert kinds(b64(data)) == {0, 1}
+    assert kinds(quote(data, safe="")) == {0, 1}
+    assert kinds(b64(pack(data))) == {0, 1}
+    assert kinds(b64(pack(b"first") + b" then plain " + KEY.encode())) <= {0}
+    for cut in range(1, len(data)):  # members and their headers cut by the pieces
+        u = S._Unpack(S._opened(data))
+        assert b"".join([*u.feed(data[:cut]), *u.feed(data[cut:])]) == b"".join(plain) and not u.rest
+
+
+def test_members_over_pieces():
+    data = b"".join(gzip.compress(b" " * (3 << 20)) for _ in range(4)) + gzip.compress(KEY.encode())
+    assert kinds(b64(data)) == {0}
+    big = b"".join(gzip.compress(bytes(3 << 20), 0) for _ in range(4)) + gzip.compress(KEY.encode())
+    assert kinds(b64(bz2.compress(big))) == {0}
+
+
 class Same:
     """Unpacks every stream to itself, as a quine does."""
 
