@@ -11,8 +11,9 @@ the same as one above it, which ends cycles (compressed data can unpack to itsel
 Every layer maps its characters to places of the root text: an escape to its
 own characters, a base64 byte to the characters that carry it, unpacked data to
 its whole token. A finding in a layer is reported at those root places.
-Unpacked data is read in pieces of PIECE bytes that overlap, so memory stays
-bounded; a piece is scanned like a layer, and nothing is left out.
+Unpacked data is read in pieces of PIECE bytes, each scanned like a layer; a
+token still open at the end of a piece is carried whole to the next one, so
+memory is bounded by the longest token, and nothing is left out.
 
 Kinds, fixed patterns: assign (a name, = or :, and a value of 6 or more
 characters), access (AKIA... of 20 or more), hex (24 or more of 0-9a-f). Spans
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -57,9 +59,13 @@ URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|[^%]")
 HEX_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|\\.|[^\\]")
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 _ESC = r"(?:%|\\x|\\u00|\\U000000)"
-#: A magic number with at least one of its bytes escaped (a cheap test before bytes are made).
-ESCAPED_MAGIC = re.compile(rf"{_ESC}1f{_ESC}8b|(?:x|{_ESC}78)(?:{_ESC}(?:01|5e|9c|da)|\^)|(?:B|{_ESC}42)(?:Z|{_ESC}5a)(?:h|{_ESC}68)|{_ESC}fd(?:7|{_ESC}37)", re.I)
-PIECE, OVERLAP = 4 << 20, 64 << 10
+#: Magic numbers, escaped as far as they need it.
+ESCAPED_MAGIC = re.compile(rf"{_ESC}1f{_ESC}8b|(?:x|{_ESC}78)(?:{_ESC}(?:01|5e|9c|da)|\^)|(?:B|{_ESC}42)(?:Z|{_ESC}5a)(?:h|{_ESC}68)(?:[1-9]|{_ESC}3[1-9])(?:1|{_ESC}31)(?:A|{_ESC}41)|{_ESC}fd(?:7|{_ESC}37)", re.I)
+#: The last eight words of a text that is read backwards, of characters that escapes, names and values have.
+NEAR = re.compile(r"""(?:[A-Za-z0-9+/_.=%\\&#;:{}"'-]*\x20*){8}""")
+#: What may stand between a base64 token and the end of a text in which it goes on.
+GOES_ON = re.compile(r"\r?(?:\n[A-Za-z0-9+/_-]*)?")
+PIECE = 4 << 20
 _PLAIN = re.compile(r"[^\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]*")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -103,6 +109,11 @@ class Layer:
         return Layer("".join(texts), np.concatenate([*firsts, self.first[at:]]), np.concatenate([*lasts, self.last[at:]]), self.path + path)
 
 
+def _whole(text: str, start: int, end: int, path: str) -> Layer:
+    """A layer of which every character is carried by the same root characters."""
+    return Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)), path)
+
+
 def _url(layer: Layer) -> Iterator[Layer]:
     edits = []
     for m in URL.finditer(layer.text):
@@ -240,20 +251,60 @@ def _taken(data: bytes) -> int:
     return stage.taken if some else 0
 
 
+class _Pieces:
+    """Text of a stream in pieces of PIECE characters or more; each ends where
+    nothing that a decoder or a pattern takes as one is open."""
+
+    def __init__(self):
+        self.decode, self.parts, self.size, self.due = codecs.getincrementaldecoder("utf-8")("replace").decode, [], 0, PIECE
+
+    def add(self, data: bytes, final: bool = False) -> str:
+        self.parts.append(self.decode(data, final))
+        self.size += len(self.parts[-1])
+        if not final and self.size < self.due:
+            return ""
+        text = "".join(self.parts)
+        cut = len(text) if final else _closed(text)
+        self.parts, self.size = [text[cut:]], len(text) - cut
+        self.due = max(PIECE, 2 * self.size)  # an open token is looked at again when it has doubled
+        return text[:cut]
+
+
+def _closed(text: str) -> int:
+    """Where the tail of ``text`` that may go on begins: eight words, and the tokens that reach it or the end."""
+    cut = len(text) - NEAR.match(text[::-1]).end()
+    for m in BASE64.finditer(text):
+        if m.end() > cut > m.start() or (m.start() < cut and GOES_ON.fullmatch(text, m.end())):
+            cut = m.start()
+    for token in (URL_BYTES, HEX_BYTES):
+        cut = min([cut, *(m.start() for m in _escaped(text, token) if m.end() >= cut)])
+    return cut
+
+
 def _texts(data: bytes) -> Iterator[tuple[int, str]]:
-    """(level, text) of the streams in ``data``, in pieces that overlap."""
-    tails: dict[int, bytes] = {}
+    """(level, text) of the streams in ``data``, in pieces."""
+    levels: dict[int, _Pieces] = {}
     for at, piece in _levels(data):
-        yield at, (tails.get(at, b"") + piece).decode("utf-8", "replace")
-        tails[at] = piece[-OVERLAP:]
+        text = levels.setdefault(at, _Pieces()).add(piece)
+        if text:
+            yield at, text
+    for at, pieces in levels.items():
+        yield at, pieces.add(b"", True)
+
+
+def _escaped(text: str, token: re.Pattern) -> Iterator[re.Match]:
+    """Tokens of bytes with escapes, each from its first magic number on."""
+    past = 0
+    for m in ESCAPED_MAGIC.finditer(text) if ("%" if token is URL_BYTES else "\\") in text else ():
+        if m.start() >= past and (run := token.match(text, m.start())):
+            past = run.end()
+            yield run
 
 
 def _packed(layer: Layer) -> Iterator[Layer]:
     """Compressed bytes written as URL or ``\\x`` escapes; what needs no escape may stand as it is."""
-    if not ESCAPED_MAGIC.search(layer.text):
-        return
     for name, token, byte in (("url>", URL_BYTES, URL_BYTE), ("unicode>", HEX_BYTES, HEX_BYTE)):
-        for m in token.finditer(layer.text):
+        for m in _escaped(layer.text, token):
             at = [(m.start() + x.start(), m.start() + x.end()) for x in byte.finditer(m[0])]
             written = [layer.text[a:b] for a, b in at]
             data = bytes(map(_byte, written))
@@ -265,7 +316,7 @@ def _packed(layer: Layer) -> Iterator[Layer]:
                     if size:
                         start, end = layer.root(at[x.start()][0], at[x.start() + size - 1][1])
                         for level, text in _texts(data[x.start() : x.start() + size]):
-                            yield Layer(text, np.full(len(text), start), np.full(len(text), end), layer.path + name + "unpack>" * level)
+                            yield _whole(text, start, end, layer.path + name + "unpack>" * level)
 
 
 def _byte(x: str) -> int:
@@ -297,7 +348,7 @@ def _of_token(layer: Layer, run: list[tuple[int, str]]) -> Iterator[Layer]:
     data = _decoded("".join(t for _, t in run))
     start, end = layer.root(run[0][0], run[-1][0] + len(run[-1][1]))
     for at, text in _texts(data):
-        yield Layer(text, np.full(len(text), start), np.full(len(text), end), layer.path + "base64>" + "unpack>" * at)
+        yield _whole(text, start, end, layer.path + "base64>" + "unpack>" * at)
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -313,16 +364,28 @@ def _of_token(layer: Layer, run: list[tuple[int, str]]) -> Iterator[Layer]:
 
 def unwrapped(text: str) -> Iterator[Layer]:
     """All layers under ``text``: the worklist, run to its fixpoint."""
-    work, seen = [Layer(text)] if "%" in text or "\\" in text or "&#" in text or BASE64.search(text) else [], set()
+    if not ("%" in text or "\\" in text or "&#" in text or BASE64.search(text)):
+        return
+    work, seen = [_decodings(Layer(text))], set()
     while work:
-        layer = work.pop()
-        for decode in (_url, _unicode, _packed, _base64):
-            for new in decode(layer):
-                name = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new.first[0]) if len(new.first) else 0)
-                if name not in seen and new.text:
-                    seen.add(name)
-                    yield new
-                    work.append(new)
+        some, size = [], 0
+        for new in work[-1]:
+            name = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new.first[0]) if len(new.first) else 0)
+            if name not in seen and new.text:
+                seen.add(name)
+                yield new
+                some.append(_decodings(new))
+                size += len(new.text)
+                if size > PIECE:  # large layers are unwrapped before the next ones are made, so few are held
+                    break
+        else:
+            work.pop()
+        work += some
+
+
+def _decodings(layer: Layer) -> Iterator[Layer]:
+    for decode in (_url, _unicode, _packed, _base64):
+        yield from decode(layer)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span], list[str]]:

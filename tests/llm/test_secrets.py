@@ -7,6 +7,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote, quote_plus
@@ -143,6 +144,24 @@ def test_members_over_pieces():
     assert kinds(b64(bz2.compress(big))) == {0}
 
 
+@pytest.mark.parametrize("inner", [bytes, gzip.compress, bz2.compress])
+@pytest.mark.parametrize("lead", [(4 << 20) - 150_000, (8 << 20) - 100_003])
+def test_tokens_over_the_border_of_pieces(inner, lead):
+    noise = random.Random(lead).randbytes(150_000)
+    token = b64(inner(b64(noise).encode() + b" " + KEY.encode() + b" " * 60))
+    lines = "\n".join(token[i : i + 76] for i in range(0, len(token), 76))
+    for inside in (token, lines):
+        data = "lead , " * (lead // 7) + inside + " , " + "tail , " * 700_000
+        assert 0 in kinds(b64(gzip.compress(data.encode(), 1)))
+
+
+def test_escapes_over_the_border_of_pieces():
+    raw = random.Random(1).randbytes(60_000)
+    for token in (quote(gzip.compress(raw + KEY.encode()), safe=""), repr(gzip.compress(raw + KEY.encode())), "é" * 50_000 + " token" + " " * 90_000 + '= "abcdef123456"'):
+        data = "lead , " * (((4 << 20) - 100_000) // 7) + token + " , " + "tail , " * 50_000
+        assert 0 in kinds(b64(gzip.compress(data.encode(), 1)))
+
+
 class Same:
     """Unpacks every stream to itself, as a quine does."""
 
