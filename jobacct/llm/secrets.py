@@ -51,7 +51,9 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+#: Valid UTF-8 without control characters, as long as the shortest secret or more.
+PLAIN_RUN = re.compile(rb"(?:[\t-\r\x1b\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 #: Bytes of a token with escapes: % escapes beside what URLs leave, backslash escapes beside printable ASCII.
 URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!'()*+,./0-9:;=@A-Z\[\]_a-z~$-])+")
 HEX_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\U000000[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[\x20-\x5b\x5d-\x7e])+")
@@ -64,7 +66,7 @@ ESCAPED_MAGIC = re.compile(rf"{_ESC}1f{_ESC}8b|(?:x|{_ESC}78)(?:{_ESC}(?:01|5e|9
 #: The last eight words of a text that is read backwards, of characters that escapes, names and values have.
 NEAR = re.compile(r"""(?:[A-Za-z0-9+/_.=%\\&#;:{}"'-]*\x20*){8}""")
 #: What may stand between a base64 token and the end of a text in which it goes on.
-GOES_ON = re.compile(r"\r?(?:\n[A-Za-z0-9+/_-]*)?")
+GOES_ON = re.compile(r"[ \t]*\r?(?:\n[ \t]*[A-Za-z0-9+/_-]*={0,2})?")
 PIECE = 4 << 20
 _PLAIN = re.compile(r"[^\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]*")
 
@@ -335,13 +337,33 @@ def _decoded(token: str) -> bytes:
 
 def _base64(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        lines = [(m.start() + x.start(), x[0]) for x in re.finditer(r"[^\r\n]+", m[0])]
-        runs = [lines] if len(lines) == 1 else [lines, *([x] for x in lines)]
-        for run in runs:
+        lines = [(m.start() + x.start(), x[0]) for x in re.finditer(r"[^ \t\r\n]+", m[0])]
+        # the last line, of any length, may be a word after the token
+        for run in [lines, lines[:-1]] if len(lines) > 1 else [lines]:
             found = list(_of_token(layer, run))
             yield from found
             if found:
                 break
+        else:
+            whole = len(lines) > 1
+            for line in lines if whole else ():
+                found = list(_of_token(layer, [line]))
+                yield from found
+                whole = whole and bool(found)
+            if not whole:
+                yield from _glued(layer, lines)
+
+
+def _places(run: list[tuple[int, str]]) -> np.ndarray:
+    return np.concatenate([np.arange(s, s + len(t)) for s, t in run])  # characters of the token in the layer
+
+
+def _plain(layer: Layer, text: str, at: np.ndarray, skipped: int = 0) -> Layer:
+    """``text``, decoded from the characters ``at`` of the layer after ``skipped`` other bytes."""
+    ends = skipped + np.cumsum([len(c.encode()) for c in text])
+    begins = np.concatenate([[skipped], ends[:-1]])
+    first, last = at[begins * 8 // 6], at[(ends * 8 + 5) // 6 - 1]
+    return Layer(text, layer.first[first], layer.last[last], layer.path + "base64>")
 
 
 def _of_token(layer: Layer, run: list[tuple[int, str]]) -> Iterator[Layer]:
@@ -355,11 +377,31 @@ def _of_token(layer: Layer, run: list[tuple[int, str]]) -> Iterator[Layer]:
         return
     if not text or not _PLAIN.fullmatch(text):
         return
-    at = np.concatenate([np.arange(s, s + len(t)) for s, t in run])  # characters of the token in the layer
-    ends = np.cumsum([len(c.encode()) for c in text])
-    begins = np.concatenate([[0], ends[:-1]])
-    first, last = at[begins * 8 // 6], at[(ends * 8 + 5) // 6 - 1]
-    yield Layer(text, layer.first[first], layer.last[last], layer.path + "base64>")
+    yield _plain(layer, text, _places(run))
+
+
+def _glued(layer: Layer, run: list[tuple[int, str]]) -> Iterator[Layer]:
+    """Base64 that begins or ends somewhere in a run of its alphabet: plain text
+    and compressed streams at any byte of its four phases."""
+    token, at = "".join(t for _, t in run), None
+    for phase in range(4):
+        data = _decoded(token[phase:])
+        for m in PLAIN_RUN.finditer(data):
+            at = _places(run) if at is None else at
+            try:
+                text = m[0].decode("utf-8")
+            except UnicodeDecodeError:  # what the pattern takes for UTF-8 beyond Unicode, or surrogates
+                continue
+            yield _plain(layer, text, at[phase:], m.start())
+        for m in MAGIC.finditer(data):
+            size = _taken(data[m.start() :])
+            if size:
+                at = _places(run) if at is None else at
+                first = at[phase + m.start() * 8 // 6]
+                last = at[phase + ((m.start() + size) * 8 + 5) // 6 - 1]
+                start, end = layer.root(int(first), int(last) + 1)
+                for level, text in _texts(data[m.start() : m.start() + size]):
+                    yield _whole(text, start, end, layer.path + "base64>" + "unpack>" * level)
 
 
 def unwrapped(text: str) -> Iterator[Layer]:

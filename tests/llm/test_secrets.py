@@ -162,6 +162,29 @@ def test_escapes_over_the_border_of_pieces():
         assert 0 in kinds(b64(gzip.compress(data.encode(), 1)))
 
 
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("indent", ["", "    ", "\t"])
+def test_wrapped_tokens_end_in_a_line_of_any_length(width, indent):
+    for n in range(60):
+        body = b64(b"x" * n + b" " * 40 + b"token = abcdef123456")
+        text = "key: |\n" + "\r\n".join(indent + body[i : i + width] for i in range(0, len(body), width)) + "\n\nEnd of text"
+        base, found, via = S.find(text)
+        added = [s for s in found if s not in base and s[1] == 0]
+        assert added and added[-1][2] >= len(text) - len("\n\nEnd of text") - 4, (n, found)
+        noisy = b64(gzip.compress(random.Random(n).randbytes(n) + KEY.encode()))
+        text = "\n".join(indent + noisy[i : i + width] for i in range(0, len(noisy), width)) + "\nThe next line"
+        assert 0 in kinds(text)
+
+
+@pytest.mark.parametrize("lead", ["host/path/", "id_", "a-b-", "x", "xy", "xyz", "some/long/path/of/twenty/"])
+def test_tokens_glued_to_other_characters(lead):
+    for body in (KEY.encode(), gzip.compress(KEY.encode()), bz2.compress(KEY.encode()), b64(KEY.encode()).encode()):
+        text = "é <" + lead + b64(body) + ">"
+        base, found, _ = S.find(text)
+        added = [s for s in found if s not in base and s[1] == 0]
+        assert added and all(text.index("<") < a < b <= text.index(">") for a, _, b in added)
+
+
 class Same:
     """Unpacks every stream to itself, as a quine does."""
 
