@@ -3,8 +3,10 @@
 * Training: character n-grams (3 and 4, letters only, word ends marked) of
   all training rows are counted per language by partial sums in the tasks and
   one grouped sum; an n-gram belongs to the languages in which its rate is at
-  least SHARE of its rate in the language that uses it most.
-* Filter: SLOTS slots, each a bitmask with one bit per language; an n-gram of
+  least SHARE of its rate in the language that uses it most; one that makes up
+  less than MIN_RATE of a language's n-grams does not count there, so that no
+  language holds more than 1 / MIN_RATE.
+* Filter: slots, each a bitmask with one bit per language; an n-gram of
   languages L sets the bits of L in its HASHES slots (the grouped bit_or of
   slots is the union of partial filters). One probe - the AND of HASHES slots -
   returns all languages that hold the n-gram.
@@ -14,8 +16,11 @@
   The language with the largest corrected count wins (ties: name order); the
   score is its share of all corrected counts.
 
-The filter's size does not depend on the corpus; it goes to the tasks with the
-code. lang, source and doc_id are no inputs of a prediction.
+The filter has SLOTS_PER_GRAM slots or more for each n-gram that the largest
+language counts, a power of two from 2**20 (8 MB) to 2**24 (128 MB) whatever
+the corpus; it goes to the tasks with the code. A slice in which more than
+MOST_FALSE of foreign n-grams hit takes no part in a decision. lang, source and
+doc_id are no inputs of a prediction.
 
 Odd inputs: null texts and texts without a letter give ``und`` and score 0; so
 do all texts if there is no training row. Up to 63 languages. Repeated rows
@@ -35,9 +40,11 @@ from pyspark.sql import types as T
 
 from jobacct.llm.common import SLICE, fold_1_of_3, map_batches
 
-SLOT_BITS, HASHES = 20, 3
+SLOT_BITS, HASHES = 20, 3  # 2**SLOT_BITS slots at least
+SLOTS_PER_GRAM = 10  # of the language that holds most n-grams: a slice is 26 % full at most
 SHARE = 0.35  # of the top rate, from which a language holds an n-gram
-MIN_COUNT = 3  # an n-gram seen less often in a language does not count there
+MOST_FALSE = 0.5  # a slice in which more foreign n-grams hit tells nothing
+MIN_COUNT, MIN_RATE = 3, 1e-6  # an n-gram seen less often, or that rare, in a language does not count there
 UND = "und"
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -58,11 +65,11 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    """HASHES slot numbers per n-gram, by double hashing."""
+def slots(h: np.ndarray, n: int = 1 << SLOT_BITS) -> np.ndarray:
+    """HASHES slot numbers below ``n`` (a power of two up to 2**24) per n-gram, by double hashing."""
     a = (h >> np.uint64(40)).astype(np.int64)
     b = (h & np.uint64(0xFFFFFF)).astype(np.int64) | 1
-    return (a[:, None] + np.arange(HASHES) * b[:, None]) & ((1 << SLOT_BITS) - 1)
+    return (a[:, None] + np.arange(HASHES) * b[:, None]) & (n - 1)
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
@@ -96,23 +103,28 @@ def build(spark: SparkSession, training: DataFrame) -> tuple[list[str], np.ndarr
     names = sorted(totals)
     if len(names) > 63:
         raise ValueError("a mask holds 63 languages")
-    masks = np.zeros(1 << SLOT_BITS, np.uint64)
     if not names:
-        return names, masks
+        return names, np.zeros(1 << SLOT_BITS, np.uint64)
     bit = F.create_map(*(F.lit(x) for i, l in enumerate(names) for x in (l, i)))[F.col("lang")]
     total = F.create_map(*(F.lit(x) for l in names for x in (l, float(totals[l] or 1))))[F.col("lang")]
-    rated = counts.where(F.col("n") >= MIN_COUNT).withColumns({"rate": F.col("n") / total, "bit": bit})
+    rated = counts.where(F.col("n") >= MIN_COUNT).withColumns({"rate": F.col("n") / total, "bit": bit}).where(F.col("rate") >= MIN_RATE)
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("of"))
     held = F.expr(f"aggregate(of, 0L, (m, x) -> if(x.rate >= {SHARE} * top, m | shiftleft(1L, x.bit), m))")
 
+    most = rated.groupBy("bit").count().agg(F.max("count")).first()[0] or 0  # 1 / MIN_RATE at most
+    size = 1 << max(SLOT_BITS, (most * SLOTS_PER_GRAM - 1).bit_length())
+    masks = np.zeros(size, np.uint64)
+
     def probe(batches):
         for batch in batches:
-            at = slots(np.asarray(batch.column(0)).astype(np.uint64)).ravel()
+            at = slots(np.asarray(batch.column(0)).astype(np.uint64), size).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(np.asarray(batch.column(1)), HASHES))], names=["slot", "mask"])
 
     cells = top.select("gram", held.alias("mask")).mapInArrow(probe, "slot bigint, mask bigint")
-    for r in cells.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most 2**SLOT_BITS rows
+    for r in cells.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most ``size`` rows
         masks[r[0]] = np.uint64(r[1])
+    if any(((masks >> np.uint64(b)) & np.uint64(1)).mean() ** HASHES > MOST_FALSE for b in range(len(names))):
+        raise ValueError("a language fills its slice of the filter")
     return names, masks
 
 
@@ -121,7 +133,8 @@ class Decider:
         self.names, self.masks = names, masks
         self.bits = np.arange(len(names), dtype=np.uint64)
         fill = np.array([((masks >> b) & np.uint64(1)).mean() for b in self.bits])
-        self.false = np.minimum(fill**HASHES, 0.99)
+        self.false = fill**HASHES
+        self.usable = self.false <= MOST_FALSE
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names or not any(map(str.isalpha, text)):
@@ -129,9 +142,9 @@ class Decider:
         g = np.unique(grams(text))
         if not len(g):  # letters, but no n-gram of them (a word in a script of marks only)
             return self.names[0], 0.0
-        found = np.bitwise_and.reduce(self.masks[slots(g)], axis=1)
+        found = np.bitwise_and.reduce(self.masks[slots(g, len(self.masks))], axis=1)
         hits = ((found[:, None] >> self.bits) & np.uint64(1)).sum(axis=0)
-        members = np.maximum(hits - len(g) * self.false, 0) / (1 - self.false)
+        members = np.where(self.usable, np.maximum(hits - len(g) * self.false, 0) / np.where(self.usable, 1 - self.false, 1), 0)
         best = int(members.argmax())
         return self.names[best], float(members[best] / members.sum()) if members.sum() > 0 else 0.0
 

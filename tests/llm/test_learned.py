@@ -153,6 +153,26 @@ def test_filters_return_all_languages_of_a_gram(spark):
     assert full.false[0] > 0.9 > full.false[1]
 
 
+def test_one_language_far_larger_than_the_rest(spark):
+    """A language with over a million rare n-grams does not take the predictions of the others."""
+    rng = np.random.default_rng(8)
+    wide = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 500))) for _ in range(3000)]  # 3 million n-grams
+    some = [f"kalu mira tosen {w} belka" for w in ("doru", "fenit", "galo", "hurem")]
+    small = [f"the {w} house stands near water" for w in ("old", "red", "big", "low")]
+    rows = [("aa", t) for t in wide * 3] + [("aa", t * 40) for t in some * 5000] + [("zz", t) for t in small * 20]
+    names, masks = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string").repartition(8))
+    d = L.Decider(names, masks)
+    assert names == ["aa", "zz"] and (d.false < 0.05).all()
+    assert all(d(t)[0] == "zz" and d(t)[1] > 0.8 for t in small) and all(d(t)[0] == "aa" for t in some)
+
+
+def test_filter_grows_with_the_largest_language(spark):
+    rng = np.random.default_rng(9)
+    rows = [("aa", "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 500)))) for _ in range(400)] * 3 + [("zz", "old house")] * 9
+    names, masks = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string"))
+    assert len(masks) >= 3_900_000 and (L.Decider(names, masks).false < 0.05).all()
+
+
 @pytest.mark.parametrize("t", [None, "", "123 !!", "\n\t"])
 def test_undetermined(t):
     assert L.Decider(["en"], np.ones(1 << L.SLOT_BITS, np.uint64))(t) == (L.UND, 0.0)
