@@ -43,11 +43,11 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     a = as_of if isinstance(as_of, str) else as_of.isoformat()
     if every_line:
         todo = ST.stage(spark, with_job_date(bronze).where(F.col(DATE_COLUMN).isNotNull()).select(DATE_COLUMN).distinct(), "collect-dates")
-        # states of jobs that a line may have moved to another date lie on open dates: all but those marked complete
         known = ST.read_table(spark, root, ST.PROCESSED)
     else:
-        todo = I.dates_to_collect(I.requested_dates(spark, a, days), ST.read_completed(spark, root))
-        known = ST.read_table(spark, root, ST.PROCESSED, todo)
+        todo = ST.stage(spark, I.dates_to_collect(I.requested_dates(spark, a, days), ST.read_completed(spark, root)), "collect-dates")
+        # states of jobs that a line may have moved to another date lie on open dates, in the window or not: all but those marked complete
+        known = I.dates_to_collect(ST.read_table(spark, root, ST.PROCESSED), ST.read_completed(spark, root))
     # the stored states are staged first: the store is rewritten below and
     # nothing may read its old files after that
     stored = ST.stage(
@@ -74,8 +74,9 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     moved = ST.stage(spark, moved.select("job_id", DATE_COLUMN).distinct(), "collect-moved")
     ST.upsert_store(spark, root, new, moved)
     ST.upsert_raw(spark, root, raw)
-    # dates whose lines this run has read, or that a job has left
-    seen = ST.stage(spark, raw.select(DATE_COLUMN).unionByName(moved.select(DATE_COLUMN)).distinct(), "collect-seen")
+    # dates whose lines this run has read, or that a job has left; of the latter only requested ones can be marked
+    left = moved.select(DATE_COLUMN).join(F.broadcast(todo), DATE_COLUMN, "left_semi")
+    seen = ST.stage(spark, raw.select(DATE_COLUMN).unionByName(left).distinct(), "collect-seen")
     raw.unpersist()
     done = 0
     if not every_line:

@@ -101,3 +101,16 @@ def test_shares_are_not_rounded(spark):
         r = {x.node: x for x in got.where(F.col("node").isNotNull()).collect()}
         assert len(r) == 100 and r["n-002"].total_cpu_hours == 1000 / (100 * 3600) and r["n-002"].job_count == 1000
         assert abs(r["n-001"].total_cpu_hours - (10 + 2) / 3600) < 1e-15 and r["n-001"].job_count == 1001
+
+
+def test_a_job_that_waits_longer_than_the_window_has_one_row(spark, tmp_path):
+    root = _store(spark)
+    collect(spark, dump(spark, tmp_path, "a", line("1", "PENDING", "2024-03-01T10:00:00"), done("2", "2024-03-01")), root, "2024-03-01", 1)
+    for day in ("02", "03"):
+        collect(spark, dump(spark, tmp_path, day, done("3" + day, f"2024-03-{day}")), root, f"2024-03-{day}", 1)
+    ran = line("1", "RUNNING", "2024-03-01T10:00:00", "2024-03-04T09:00:00")
+    collect(spark, dump(spark, tmp_path, "d", ran), root, "2024-03-04", 1)
+    assert [x for x in stored(spark, root) if x[0] == "1"] == [("1", "RUNNING", "2024-03-04")]
+    assert ("2", "COMPLETED", "2024-03-01") in stored(spark, root) and "2024-03-01" not in completed(spark, root)  # its lines were not read again
+    collect(spark, dump(spark, tmp_path, "e", done("2", "2024-03-01"), ran), root, "2024-03-05", 5)
+    assert "2024-03-01" in completed(spark, root)
