@@ -84,4 +84,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r left join wide using (lang, source)
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_near_duplicates": OP6, "op9_quality_rules": OP9}
+CRC32 = """list_reduce(list_prepend(4294967295, [ascii(x)::bigint for x in string_split(conv_id::varchar, '')]),
+          lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))"""
+OP11 = f"""
+with t as (select conv_id, coalesce(role, '') r, coalesce(text, '') x,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) pos
+      from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 base, xor({CRC32}, 4294967295) % 6 h from (select distinct conv_id from t)),
+own as (select conv_id, list({{'r': r, 'x': x}} order by pos) l from t group by conv_id),
+built as (select c.conv_id, list_concat(coalesce(b.l, [])[1 : h::bigint], o.l[h::bigint + 1 :]) l
+          from c join own o using (conv_id) left join own b on b.conv_id = c.base),
+p as (select conv_id, d, len(l) n, l[1 : d]::varchar || '#' || d k, l[1 : d + 1]::varchar || '#' || (d + 1) k_on,
+        case when d > 0 then l[1 : d - 1]::varchar || '#' || (d - 1) end k_up, length(l[d].x) chars
+      from (select *, unnest(range(0, len(l) + 1)) d from built)),
+v as (select k, any_value(d) d, any_value(k_up) k_up, min(conv_id) conv_id, count(*) n_convs, coalesce(any_value(chars), 0) chars,
+        count(distinct case when d < n then k_on end) n_children,
+        coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (d = n), '') ends
+      from p group by k),
+below as (select a.k, v.n_children = 0 leaf, (v.n_convs - 1) * v.chars saved from v join p a on a.conv_id = v.conv_id and a.d <= v.d),
+sums as (select k, count_if(leaf)::bigint n_leaves, sum(saved)::bigint saved_tokens from below group by k)
+select v.conv_id, v.d::bigint as depth, up.conv_id parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) ends_sha256
+from v join sums using (k) left join v up on up.k = v.k_up
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_near_duplicates": OP6, "op9_quality_rules": OP9, "op11_prefix_trie": OP11}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobacct.llm import (
@@ -12,6 +12,7 @@ from jobacct.llm import (
     language_id,
     licenses,
     near_dup,
+    prefix_trie,
     quality_bayes,
     quality_rules,
     secrets,
@@ -78,9 +79,19 @@ def op10_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.derivatives(table(spark, d, "pages"))
 
 
+def hundreds(c: Column) -> tuple[Column, Column]:
+    """The conversation at the last full hundred, and crc32 of the decimal id modulo 6 of its turns."""
+    return c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6
+
+
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    nodes = prefix_trie.build(spark, table(spark, d, "conversations"), shared=hundreds).nodes
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op2_decontamination, op3_toxicity, op4_licenses, op5_sentencepiece, op6_near_duplicates, op7_quality, op8_language, op9_quality_rules, op10_warc)
+    for f in (op1_secrets, op2_decontamination, op3_toxicity, op4_licenses, op5_sentencepiece, op6_near_duplicates, op7_quality, op8_language, op9_quality_rules, op10_warc, op11_prefix_trie)
 }
 
 __all__ = ["QUERIES", "SQL"]
