@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,31 +80,35 @@ def sample_texts(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, n: int
 
 def map_batches(
     docs: DataFrame,
-    text: str,
-    make: Callable[[], Callable[[str | None], tuple]],
+    text: str | Sequence[str | Column],
+    make: Callable[[], Callable[..., tuple]],
     schema: T.StructType,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """One result row per row: the ``keep`` columns, then those of ``schema``.
 
-    ``make()`` runs once a task and gives the function from a text to the
-    values of ``schema``. Rows stream through Arrow in slices of ``SLICE``, so
-    a task holds few texts at a time. ``keep`` defaults to all columns that
-    the results do not replace."""
+    ``make()`` runs once a task and gives the function from a text (or the
+    values of several columns) to the values of ``schema``. Rows stream through
+    Arrow in slices of ``SLICE``, so a task holds few texts at a time. ``keep``
+    defaults to all columns that the results do not replace; whatever their
+    names, they cannot clash with the inputs."""
     new = {f.name.lower() for f in schema}
     keep = [c for c in docs.columns if c.lower() not in new] if keep is None else keep
+    inputs = [text] if isinstance(text, str) else list(text)
     out = T.StructType([docs.schema[c] for c in keep] + list(schema))
     arrow = to_arrow_schema(T.StructType(list(schema)))
-    src = docs.select(*keep, F.col(text).alias("_llm_text"))
+    kept = [F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)]
+    src = docs.select(*kept, *((F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"input{i}") for i, c in enumerate(inputs)))
+    first, last = len(keep), len(keep) + len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows = [f(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                rows = list(map(f, *(part.column(i).to_pylist() for i in range(first, last))))
                 cols = list(zip(*rows, strict=True))
                 made = [pa.array(c, field.type) for c, field in zip(cols, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *arrow.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:first], *made], names=[*keep, *arrow.names])
 
     return src.mapInArrow(run, out)

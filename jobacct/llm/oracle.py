@@ -107,4 +107,19 @@ select v.conv_id, v.d::bigint as depth, up.conv_id parent_conv_id, v.n_convs, v.
 from v join sums using (k) left join v up on up.k = v.k_up
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_near_duplicates": OP6, "op9_quality_rules": OP9, "op11_prefix_trie": OP11}
+_GROUP = lambda k: f"('0x' || substr(sha256('1:' || coalesce(doc_id::varchar, '')), {8 * k + 1}, 8))::bigint"
+OP12 = f"""
+with t as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') w,
+             {_GROUP(0)} h1, {_GROUP(1)} h2, {_GROUP(2)} h3, {_GROUP(3)} h4 from documents),
+c as (select *, len(w)::bigint n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+             when h4 % 100 < 20 then 'spm' else 'psm' end form from t),
+p as (select *, array_to_string(w[1 : a], '') pre, array_to_string(w[a + 1 : b], '') mid, array_to_string(w[b + 1 :], '') suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint prefix_chars, case when form <> 'plain' then length(mid) end::bigint middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256,
+       sha256(t) restored_sha256
+from p
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_near_duplicates": OP6, "op9_quality_rules": OP9, "op11_prefix_trie": OP11, "op12_fill_in_middle": OP12}

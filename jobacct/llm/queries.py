@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobacct.llm import (
+    byte_bpe,
     decontamination,
+    fill_in_middle,
     language_id,
     licenses,
     near_dup,
@@ -25,6 +28,7 @@ from jobacct.llm.oracle import SQL
 
 #: Where the public tokenizer files lie; a parameter of the SentencePiece operator.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_secrets(spark: SparkSession, d: str) -> DataFrame:
@@ -89,9 +93,28 @@ def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    r = fill_in_middle.fill_in_middle(table(spark, d, "documents"), keep=["doc_id"])
+    return r.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(sentencepiece_fst.read_model(spark, public_tokenizers.path(BYTE_BPE_RANKS)))
+    r = byte_bpe.encode_decode(table(spark, d, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    return r.select(
+        "doc_id", "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op2_decontamination, op3_toxicity, op4_licenses, op5_sentencepiece, op6_near_duplicates, op7_quality, op8_language, op9_quality_rules, op10_warc, op11_prefix_trie)
+    for f in (op1_secrets, op2_decontamination, op3_toxicity, op4_licenses, op5_sentencepiece, op6_near_duplicates, op7_quality, op8_language, op9_quality_rules, op10_warc, op11_prefix_trie, op12_fill_in_middle, op13_byte_bpe)
 }
 
 __all__ = ["QUERIES", "SQL"]
