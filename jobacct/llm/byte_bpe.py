@@ -14,7 +14,7 @@ Decoding maps each piece's characters back to bytes and joins them.
 The model is made once on the driver (its size is the vocabulary's, whatever the
 corpus) and loaded once a Python worker, where pre-tokens already encoded are
 remembered in two generations of ``CACHE`` entries; long ones are not remembered.
-A batch's new pre-tokens go to the model in one call. One row per row, no shuffle.
+The new pre-tokens of some texts go to the model in one call. One row per row, no shuffle.
 
 Odd inputs: a null text is empty and has no ids; decoded bytes are then empty.
 Control characters, U+2581 and any other code points are bytes like the rest.
@@ -37,6 +37,7 @@ from jobacct.llm.common import map_batches
 
 FIRST = 0x100  # byte b is the character chr(FIRST + b)
 CACHE = 300_000  # pre-tokens in each of two generations
+GROUP = 1 << 20  # code points of the texts whose new pre-tokens are learnt together
 LONG = 48  # code points of a pre-token that is not remembered
 
 
@@ -112,13 +113,34 @@ class Coder:
                 self.known[p] = ids
         return out
 
+    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; about ``GROUP`` code points are held as pre-tokens at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= GROUP:
+                size, end = size + len(texts[end]), end + 1
+            yield from self._group(texts[at:end])
+            at = end
+
+    def _group(self, texts: list[str]) -> Iterator[list[int]]:
+        """What none of the texts knows goes to the model in one call."""
+        split = list(map(self.split, texts))
+        known = self.known
+        new = {p for pretokens in split for p in pretokens if p not in known}
+        learnt = self.learn(list(new)) if new else {}
+        for pretokens in split:
+            found = list(map(self.known.get, pretokens))
+            if None in found:  # long, or pushed into the older generation meanwhile
+                found = [self._of(p, learnt) if ids is None else ids for p, ids in zip(pretokens, found, strict=True)]
+            yield list(chain.from_iterable(found))
+
+    def _of(self, p: str, learnt: dict[str, list[int]]) -> list[int]:
+        ids = learnt.get(p) or self.older.get(p)
+        return ids if ids is not None else self.learn([p])[p]
+
     def encode(self, text: str) -> list[int]:
-        pretokens = self.split(text)
-        found = list(map(self.known.get, pretokens))
-        if None in found:
-            new = self.learn(list({p for p, ids in zip(pretokens, found, strict=True) if ids is None}))
-            found = [new[p] if ids is None else ids for p, ids in zip(pretokens, found, strict=True)]
-        return list(chain.from_iterable(found))
+        return next(self.encode_many([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -159,10 +181,9 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
     def make():
         c = coder(*shared.value, pattern)
 
-        def one(t):
-            ids = c.encode(t or "")
-            return ids, len(ids), c.decode(ids)
+        def rows(texts):
+            return [(ids, len(ids), c.decode(ids)) for ids in c.encode_many([t or "" for t in texts])]
 
-        return one
+        return rows
 
-    return map_batches(docs, text, make, SCHEMA, keep)
+    return map_batches(docs, text, make, SCHEMA, keep, many=True)

@@ -84,6 +84,7 @@ def map_batches(
     make: Callable[[], Callable[..., tuple]],
     schema: T.StructType,
     keep: list[str] | None = None,
+    many: bool = False,
 ) -> DataFrame:
     """One result row per row: the ``keep`` columns, then those of ``schema``.
 
@@ -91,7 +92,8 @@ def map_batches(
     values of several columns) to the values of ``schema``. Rows stream through
     Arrow in slices of ``SLICE``, so a task holds few texts at a time. ``keep``
     defaults to all columns that the results do not replace; whatever their
-    names, they cannot clash with the inputs."""
+    names, they cannot clash with the inputs. With ``many`` the function takes a
+    slice of values of each column at once and gives their rows."""
     new = {f.name.lower() for f in schema}
     keep = [c for c in docs.columns if c.lower() not in new] if keep is None else keep
     inputs = [text] if isinstance(text, str) else list(text)
@@ -106,7 +108,8 @@ def map_batches(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows = list(map(f, *(part.column(i).to_pylist() for i in range(first, last))))
+                values = [part.column(i).to_pylist() for i in range(first, last)]
+                rows = f(*values) if many else list(map(f, *values))
                 cols = list(zip(*rows, strict=True))
                 made = [pa.array(c, field.type) for c, field in zip(cols, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:first], *made], names=[*keep, *arrow.names])
