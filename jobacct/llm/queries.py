@@ -57,8 +57,7 @@ def op4_licenses(spark: SparkSession, d: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    r = sentencepiece_fst.encode_decode(docs, sentencepiece_fst.read_model(spark, SENTENCEPIECE_MODEL), keep=["doc_id", "text"])
-    return r.select("doc_id", "ids", "n_ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return sentencepiece_fst.encode_decode(docs, sentencepiece_fst.read_model(spark, SENTENCEPIECE_MODEL), keep=["doc_id"], checked=True)
 
 
 def op6_near_duplicates(spark: SparkSession, d: str) -> DataFrame:

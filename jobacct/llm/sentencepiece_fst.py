@@ -1,38 +1,45 @@
 """Operator 5: SentencePiece encoding and decoding as a weighted transducer.
 
-Three machines are compiled from a model file and composed with each text:
+Machines are compiled from a model file and composed with each text:
 
-* **Normaliser** N: adds the dummy prefix and rewrites a space to U+2581
-  (the model's rule is the identity otherwise; other rules are refused).
+* **Normaliser** N: the model's character map as a longest-match transducer over
+  UTF-8 bytes, then its space rules (runs to one, ends off, dummy prefix, a space
+  to U+2581), as far as the model has them.
+* **User pieces** U: user-defined pieces leave as they stand, longest first; they
+  are neither normalised nor joined to a neighbour.
 * **Pieces** P: a trie of the normal pieces, one arc per character, leaving
   with the piece id. A piece costs minus its score in a unigram model.
 * **Byte fallback** B: a character no piece starts on its own leaves with its
-  UTF-8 bytes' pieces.
+  UTF-8 bytes' pieces; without byte pieces, a run of such characters leaves as the
+  unknown piece.
 
 For a unigram model the encoding is the tropical shortest path of
-``text . N . (P | B)*``. A BPE model has no additive score: there the lattice is
+``text . N . (U | P | B)*``. A BPE model has no additive score: there the lattice is
 composed with one more acceptor C over neighbouring pieces, of weight 0 where
 the merges of ``left + right`` end in exactly (left, right) and infinity
 otherwise. The one path of finite weight is the BPE encoding (the tests hold it
 against the merge procedure and the public library on whole tables).
 
-No piece holds U+2581 after another character (checked when compiling), so the
-lattice falls apart at every such place: paths are found per chunk and kept in
-a bounded cache of the task. Work per text is linear in its length times the
-longest piece; nothing is cut.
+The lattice falls apart between two neighbouring characters that stand side by
+side in no piece (an arc over both would be one): paths are found between such
+places and kept in bounded caches of the Python worker, as are those of whole words
+where no piece holds U+2581 after another character. Work per text is linear in
+its length times the longest piece; nothing is cut.
 
 Results for odd inputs: null text gives null ids, an empty text gives no ids;
 both decode to ''. U+2581 in a text decodes to a space, as in the public library.
-Repeated rows, null ids of rows and extra columns pass through.
+Repeated rows, null ids of rows and extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -40,7 +47,51 @@ from jobacct.llm.common import map_batches
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHE = 250_000  # chunks in each of two generations that a task remembers, and a quarter of its piece pairs
+CACHE = 500_000  # entries of each cache: two generations of chunks, parts of chunks, character windows; of piece pairs twice as many
+WINDOW = 5  # characters whose arcs are remembered together
+
+
+class CharMap:
+    """The model's character map: a double-array trie over bytes whose leaves point at replacements."""
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.texts = blob[4 + size :]
+        self.first = frozenset(b for b in range(256) if self._step(self._on(0, self.units[0]), b) is not None) if self.units else frozenset()
+
+    @staticmethod
+    def _on(at: int, unit: int) -> int:
+        return at ^ ((unit >> 10) << ((unit & 512) >> 6))
+
+    def _step(self, at: int, byte: int) -> tuple[int, int] | None:
+        """(place below, its unit) of the child by ``byte``."""
+        k = at ^ byte
+        if k >= len(self.units) or self.units[k] & 0x800000FF != byte:
+            return None
+        return self._on(k, self.units[k]), self.units[k]
+
+    def apply(self, text: str) -> str:
+        data, out, i = text.encode("utf-8", "surrogatepass"), [], 0
+        if not self.first or self.first.isdisjoint(data):
+            return text
+        while i < len(data):
+            at, end, found = self._on(0, self.units[0]), i, None
+            for j in range(i, len(data)):
+                if (step := self._step(at, data[j])) is None:
+                    break
+                at, unit = step
+                if unit >> 8 & 1:  # a rule ends here
+                    end, found = j + 1, self.units[at] & 0x7FFFFFFF
+            if found is None:
+                end = i + 1
+                while end < len(data) and data[end] & 0xC0 == 0x80:
+                    end += 1
+                out.append(data[i:end])
+            else:
+                out.append(self.texts[found : self.texts.index(0, found)])
+            i = end
+        return b"".join(out).decode("utf-8", "surrogatepass")
 
 
 class Transducer:
@@ -49,22 +100,27 @@ class Transducer:
     def __init__(self, model: bytes):
         import sentencepiece as spm
 
-        self.pieces, self.cost, self.byte_id, self.bpe, self.unk = _read_model(spm, model)
+        m = _read_model(spm, model)
+        self.pieces, self.cost, self.byte_id, self.user, self.bpe, self.unk, self.unk_id = m.pieces, m.cost, m.byte_id, m.user, m.bpe, m.unk, m.unk_id
+        self.dummy, self.squeeze, self.escape, self.map = m.dummy, m.squeeze, m.escape, CharMap(m.charsmap) if m.charsmap else None
         self.ids = {p: i for i, p in self.pieces.items()}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("pieces that hold a space inside need whole-text paths")
         self.trie: dict[str, list] = {}  # character -> [arcs on, piece that ends here or -1]
         for p, i in self.ids.items():
             on = self.trie
             for ch in p[:-1]:
                 on = on.setdefault(ch, [{}, -1])[0]
             on.setdefault(p[-1], [{}, -1])[1] = i
-        self.longest = max(map(len, self.ids), default=0)
-        self.line_alone = not any("\n" in p for p in self.ids)
+        self.inside = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}  # neighbours within some piece
+        # single spaces separate words if no piece goes on after one, and the text's spaces are kept as they are
+        self.by_words = self.dummy and self.escape and not self.squeeze and not self.map and not self.user and bool(self.byte_id) and not any(x[1] == SPACE != x[0] for x in self.inside)
+        self.users = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
         self.paths: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.windows: dict[str, tuple] = {}
         self.pairs: dict[int, bool] = {}
-        self.spelling = {i: p.replace(SPACE, " ").encode() for i, p in self.pieces.items()} | {i: bytes([b]) for b, i in self.byte_id.items()}
+        self.spelling = {i: p.replace(SPACE, " ").encode() for i, p in [*self.pieces.items(), *((i, p) for p, i in self.user.items())]}
+        self.spelling |= {i: bytes([b]) for b, i in self.byte_id.items()} | {self.unk_id: m.unk_surface.encode()}
 
     # -- acceptor C -------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
@@ -90,46 +146,69 @@ class Transducer:
         ok = self.pairs.get(key)
         if ok is None:
             a, b = self.pieces[left], self.pieces[right]
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= 2 * CACHE:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merged(a + b) == [a, b]
         return ok
 
     # -- composition and shortest path ------------------------------------------
-    def arcs(self, chunk: str, i: int) -> list[tuple[int, int]]:
-        """Arcs of the lattice from position i: (next position, piece), the
-        longest last; -1 is the bytes of one character."""
-        out, on, j = [], self.trie, i
-        for ch in chunk[i : i + self.longest]:
-            if (arc := on.get(ch)) is None:
+    def arcs(self, chunk: str, i: int) -> tuple[tuple[int, int], ...]:
+        """Arcs of the lattice from position i: (characters, piece), the longest
+        first; -1 is the bytes of one character."""
+        window = chunk[i : i + WINDOW]
+        known = self.windows.get(window)
+        if known is None:
+            out, on, more = [], self.trie, None
+            for j, ch in enumerate(window, 1):
+                if (arc := on.get(ch)) is None:
+                    on = None
+                    break
+                on, piece = arc
+                if piece >= 0:
+                    out.append((j, piece))
+            if not out or out[0][0] != 1:
+                out.insert(0, (1, -1))
+            if on and len(window) == WINDOW:
+                more = on
+            if len(self.windows) >= CACHE:
+                self.windows.clear()
+            known = self.windows[window] = (tuple(out[::-1]), more)
+        arcs, on = known
+        if on is None:
+            return arcs
+        out = []  # pieces that go on beyond the window
+        for j in range(i + WINDOW, len(chunk)):
+            if (arc := on.get(chunk[j])) is None:
                 break
             on, piece = arc
-            j += 1
             if piece >= 0:
-                out.append((j, piece))
-        if not out or out[0][0] != i + 1:
-            out.insert(0, (i + 1, -1))
-        return out
+                out.append((j + 1 - i, piece))
+        return (*out[::-1], *arcs) if out else arcs
 
     def bpe_path(self, chunk: str) -> list[tuple[int, int]]:
         """The path of finite weight. All paths of finite weight into a
         position are one and the same, so a position with no way on is dead
         for good: depth first, longest arc first, each position once."""
-        n, dead, taken, meets = len(chunk), set(), [], self.meets
-        todo = [self.arcs(chunk, 0)]
+        n, dead, taken, pairs = len(chunk), set(), [], self.pairs
+        at, left = 0, -1
+        todo = [iter(self.arcs(chunk, 0))]
         while True:
-            arcs, left = todo[-1], taken[-1][1] if taken else -1
-            while arcs:
-                arc = arcs.pop()
-                if arc[0] not in dead and meets(left, arc[1]):
-                    taken.append(arc)
-                    if arc[0] == n:
+            for length, piece in todo[-1]:
+                j = at + length
+                if j in dead:
+                    continue
+                ok = pairs.get(left << 20 | piece) if left >= 0 <= piece else True
+                if ok or ok is None and self.meets(left, piece):
+                    taken.append((j, piece))
+                    if j == n:
                         return taken
-                    todo.append(self.arcs(chunk, arc[0]))
+                    at, left = j, piece
+                    todo.append(iter(self.arcs(chunk, j)))
                     break
             else:
                 dead.add(taken.pop()[0])
                 todo.pop()
+                at, left = taken[-1] if taken else (0, -1)
 
     def unigram_path(self, chunk: str) -> list[tuple[int, int]]:
         """Tropical shortest path; ties go to the arc found first."""
@@ -137,24 +216,44 @@ class Transducer:
         best: list[float] = [0.0] + [math.inf] * n
         into: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         for i in range(n):
-            for j, piece in self.arcs(chunk, i):
+            for length, piece in reversed(self.arcs(chunk, i)):
                 d = best[i] + (self.cost[piece] if piece >= 0 else self.unk)
-                if d < best[j]:
-                    best[j], into[j] = d, (i, piece)
+                if d < best[i + length]:
+                    best[i + length], into[i + length] = d, (i, piece)
         taken, j = [], n
         while j:
             taken.append((j, into[j][1]))
             j = into[j][0]
         return taken[::-1]
 
-    def path(self, chunk: str) -> list[int]:
-        """Ids of the shortest path of one chunk, byte fallback spelt out."""
+    def path(self, part: str) -> list[int]:
+        """Ids of the shortest path of one part, byte fallback spelt out."""
         out: list[int] = []
-        for j, piece in self.bpe_path(chunk) if self.bpe else self.unigram_path(chunk):
+        for j, piece in self.bpe_path(part) if self.bpe else self.unigram_path(part):
             if piece >= 0:
                 out.append(piece)
+            elif self.byte_id:
+                out += [self.byte_id[b] for b in part[j - 1].encode("utf-8", "surrogatepass")]
             else:
-                out += [self.byte_id[b] for b in chunk[j - 1].encode("utf-8", "surrogatepass")]
+                out.append(self.unk_id)
+        return out
+
+    def span(self, text: str) -> list[int]:
+        """Ids of a normalised text, or of a part of one that ends where no piece goes on."""
+        out, inside, start = [], self.inside, 0
+        for i in range(1, len(text) + 1):
+            if i < len(text) and text[i - 1 : i + 1] in inside:
+                continue
+            part = text[start:i]
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.path(part)
+                if i - start <= 32:
+                    if len(self.parts) >= CACHE:
+                        self.parts.clear()
+                    self.parts[part] = ids
+            out += ids
+            start = i
         return out
 
     def known(self, chunk: str) -> list[int]:
@@ -163,19 +262,40 @@ class Transducer:
         between single spaces and stands for U+2581 + chunk."""
         ids = self.older.get(chunk)
         if ids is None:
-            lines = chunk.split("\n") if self.line_alone else [chunk]
-            ids = self.path(lines[0] if lines[0][:1] == SPACE else SPACE + lines[0])
-            for line in lines[1:]:  # no piece holds a line feed: it goes to its byte, and paths do not cross it
-                ids = [*ids, self.byte_id[10], *(self.path(line) if line else ())]
+            ids = self.span(chunk if chunk[:1] == SPACE else SPACE + chunk)
         if len(chunk) <= 64:
             if len(self.paths) >= CACHE:
                 self.older, self.paths = self.paths, {}
             self.paths[chunk] = ids
         return ids
 
+    def normalised(self, text: str) -> list[tuple[str, bool]]:
+        """N: pieces of the normalised text, and whether each is a user piece."""
+        cut = self.users.split(text) if self.users else [text]
+        out = [(x if k % 2 or not self.map else self.map.apply(x), bool(k % 2)) for k, x in enumerate(cut) if x]
+        if self.squeeze:
+            kept: list[tuple[str, bool]] = []
+            for x, user in out:
+                if not user:
+                    x = re.sub(" +", " ", x)
+                    if not kept or (kept[-1][0][-1] == " "):
+                        x = x.lstrip(" ")
+                if x:
+                    kept.append((x, user))
+            while kept and not kept[-1][1] and kept[-1][0][-1] == " ":
+                x = kept.pop()[0].rstrip(" ")
+                if x:
+                    kept.append((x, False))
+            out = kept
+        if self.dummy and out:
+            out = [(" " + out[0][0], False), *out[1:]] if not out[0][1] else [(" ", False), *out]
+        return [(x if user or not self.escape else x.replace(" ", SPACE), user) for x, user in out]
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if not self.by_words:
+            return self.encode_spans(text)
         chunks = text.split(" ")
         if "" in chunks or SPACE in text:  # runs of spaces belong to one chunk
             chunks = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
@@ -184,29 +304,61 @@ class Transducer:
             found = [self.paths.get(c) or self.known(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
         return list(chain.from_iterable(found))
 
+    def encode_spans(self, text: str) -> list[int]:
+        """Any model: whole normalised spans between user pieces."""
+        out: list[int] = []
+        for x, user in self.normalised(text):
+            if user:
+                out.append(self.user[x])
+            else:
+                ids = self.span(x)
+                if not self.byte_id:  # neighbouring unknown characters are one piece
+                    ids = [i for k, i in enumerate(ids) if i != self.unk_id or k == 0 or ids[k - 1] != i]
+                out += ids
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The inverse machine: pieces to UTF-8, byte pieces to bytes, the dummy prefix off."""
         text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return text[1:] if self.dummy and text[:1] == " " else text
+
 
+class _Model:
+    """What is compiled of a model file."""
 
-def _read_model(spm, model: bytes):
-    """Normal pieces, their costs, byte pieces both ways, whether it is BPE, the cost of a fallback character."""
+
+def _read_model(spm, model: bytes) -> _Model:
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    m = pb.ModelProto()
+    m, out = pb.ModelProto(), _Model()
     m.ParseFromString(model)
-    n = m.normalizer_spec
-    if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not m.trainer_spec.byte_fallback:
-        raise ValueError("only identity normalisation with a dummy prefix and byte fallback is compiled")
+    n, t = m.normalizer_spec, m.trainer_spec
+    if t.model_type not in (1, 2) or t.treat_whitespace_as_suffix:
+        raise ValueError("only unigram and BPE models with spaces before words are compiled")
     sp = spm.SentencePieceProcessor(model_proto=model)
-    pieces, cost, byte_id = {}, {}, {}
-    for i in range(sp.get_piece_size()):
+    out.pieces, out.cost, out.byte_id, out.user = {}, {}, {}, {}
+    for i, p in enumerate(m.pieces):
         if sp.is_byte(i):
-            byte_id[int(sp.id_to_piece(i)[3:5], 16)] = i
+            out.byte_id[int(p.piece[3:5], 16)] = i
+        elif p.type == pb.ModelProto.SentencePiece.USER_DEFINED:
+            out.user[p.piece] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-            pieces[i], cost[i] = sp.id_to_piece(i), -sp.get_score(i)
-    return pieces, cost, byte_id, m.trainer_spec.model_type == 2, max(cost.values(), default=0.0) + 10.0
+            out.pieces[i], out.cost[i] = p.piece, -p.score
+    out.bpe, out.unk, out.unk_id, out.unk_surface = t.model_type == 2, max(out.cost.values(), default=0.0) + 10.0, sp.unk_id(), t.unk_surface
+    out.charsmap, out.dummy, out.squeeze, out.escape = n.precompiled_charsmap, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces
+    return out
+
+
+_COMPILED: dict[bytes, Transducer] = {}  # of this Python worker, by the model's digest
+
+
+def compiled(model: bytes) -> Transducer:
+    """The machine of a model, compiled once a worker; its caches outlive tasks."""
+    key = hashlib.sha256(model).digest()
+    if key not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[key] = Transducer(model)
+    return _COMPILED[key]
 
 
 SCHEMA = T.StructType(
@@ -216,6 +368,7 @@ SCHEMA = T.StructType(
         T.StructField("decoded", T.StringType()),
     ]
 )
+CHECKED = T.StructType([*SCHEMA.fields[:2], T.StructField("round_trip", T.BooleanType())])
 
 
 def read_model(spark, path: str) -> bytes:
@@ -223,19 +376,20 @@ def read_model(spark, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs``, then ids, n_ids and the text decoded from them."""
+def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, checked: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs``, then ids, n_ids and the text decoded from
+    them, or (``checked``) whether that is the text, compared in the task."""
 
     def run() -> Iterator:
-        fst = Transducer(model)
+        fst = compiled(model)
 
         def one(t):
             if t is None:
-                return None, 0, ""
+                return None, 0, True if checked else ""
             ids = fst.encode(t)
-            return ids, len(ids), fst.decode(ids)
+            back = fst.decode(ids)
+            return ids, len(ids), back == t if checked else back
 
         return one
 
-    return map_batches(docs, text, run, SCHEMA, keep)
-
+    return map_batches(docs, text, run, CHECKED if checked else SCHEMA, keep)

@@ -71,6 +71,97 @@ def test_tropical_path_of_additive_costs(fst):
         fst.cost = costs
 
 
+# --- models made from the given one, and small ones of each kind --------------------------
+def variant(change) -> bytes:
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    m = pb.ModelProto()
+    m.ParseFromString(Path(SENTENCEPIECE_MODEL).read_bytes())
+    change(m, pb)
+    return m.SerializeToString()
+
+
+def add(m, pb, piece: str, score: float, kind: int):
+    """The piece, new or in place of the one of that spelling."""
+    old = [p for p in m.pieces if p.piece == piece]
+    p = old[0] if old else m.pieces.add(piece=piece)
+    p.score, p.type = score, kind
+
+
+def users(m, pb):
+    for x in ("<sep>", "<sep>x", "日本", "#01"):
+        add(m, pb, x, 0.0, pb.ModelProto.SentencePiece.USER_DEFINED)
+
+
+def mapped(m, pb):
+    import sentencepiece as spm
+
+    own = pb.ModelProto()
+    own.ParseFromString(spm.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    m.normalizer_spec.precompiled_charsmap = own.normalizer_spec.precompiled_charsmap
+
+
+def squeezed(m, pb):
+    m.normalizer_spec.remove_extra_whitespaces = True
+
+
+def no_dummy(m, pb):
+    m.normalizer_spec.add_dummy_prefix = False
+
+
+def no_bytes(m, pb):
+    """Byte pieces become ordinary ones that no text holds: unknown characters leave as <unk>."""
+    m.trainer_spec.byte_fallback = False
+    for p in m.pieces:
+        if p.type == pb.ModelProto.SentencePiece.BYTE:
+            p.type = pb.ModelProto.SentencePiece.UNUSED
+
+
+def inner_spaces(m, pb):
+    for k, x in enumerate(("▁of▁the", "▁of▁", "▁in▁the", "e▁", "e▁a")):
+        add(m, pb, x, -40000.0 - k, pb.ModelProto.SentencePiece.NORMAL)
+
+
+def unigram(m, pb):
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    rng = random.Random(9)
+    for p in m.pieces:
+        if p.type == pb.ModelProto.SentencePiece.NORMAL:
+            p.score = -5.0 - 6 * rng.random() - len(p.piece) ** 0.5
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [(users,), (mapped,), (squeezed,), (mapped, squeezed), (no_dummy,), (no_bytes,), (inner_spaces,), (mapped, squeezed, users), (unigram,), (unigram, mapped, squeezed)],
+    ids=lambda c: "+".join(f.__name__ for f in c),
+)
+def test_other_models_as_the_library(changes):
+    spm = pytest.importorskip("sentencepiece")
+    model = variant(lambda m, pb: [f(m, pb) for f in changes])
+    lib, fst = spm.SentencePieceProcessor(model_proto=model), P.Transducer(model)
+    rng = random.Random(17)
+    letters = "abcdeofthn  éüßﬁ½ｱＡ日本x\n\t.,<sep>#01́e"
+    texts = [t for t in ODD if "▁" not in t] + ["hello<sep>world <sep>x", "of the in the e a", "  lead and   trail  ", "<sep>", "日本", " <sep> "]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    for t in texts:
+        assert fst.encode(t) == lib.encode(t), (t, [lib.id_to_piece(i) for i in fst.encode(t)], lib.encode(t, out_type=str))
+
+
+def test_parts_are_cut_where_no_piece_goes_on(fst, library):
+    assert "e#" not in fst.inside or "ea" in fst.inside
+    for t in ("thebes#é日the", "x" * 500, "éeéeé", "the###the"):
+        assert fst.span(P.SPACE + t) == fst.path(P.SPACE + t) == library.encode(t)
+
+
+def test_worker_keeps_one_machine():
+    model = Path(SENTENCEPIECE_MODEL).read_bytes()
+    assert P.compiled(model) is P.compiled(bytes(bytearray(model)))
+
+
+def test_round_trip_is_compared_in_the_task(spark, odd):
+    rows = P.encode_decode(odd, P.read_model(spark, SENTENCEPIECE_MODEL), keep=["doc_id"], checked=True).collect()
+    assert all(r.round_trip for r in rows) and len(rows) == odd.count()
+
+
 def test_odd_rows(spark, odd, empty):
     model = P.read_model(spark, SENTENCEPIECE_MODEL)
     out = P.encode_decode(odd, model)
