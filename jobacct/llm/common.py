@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -31,11 +32,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+class staging:
+    """Tables that ``stage`` writes inside (by the same thread) are deleted at
+    the end, but those marked ``out``: they belong to the scope around, if any."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> staging:
+        _SCOPES.open.append([])
+        return self
+
+    def __exit__(self, *exc) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCOPES.open.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str, out: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder of spark.checkpoint.dir and read it
-    back: the lineage is cut and lost executors lose nothing."""
+    back: the lineage is cut and lost executors lose nothing. Inside a
+    ``staging`` scope the table goes at its end, unless it is ``out``."""
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
+    if len(_SCOPES.open) > out:
+        _SCOPES.open[-1 - out].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,16 @@
 
 1. Each text gives its set of distinct k-word shingles (64-bit hashes) and
    a SetSketch of ``M`` registers: the minimum over the set of an exponential
-   variate, truncated to an exponentially spaced grid of base ``B`` (one byte
+   variate, truncated to an exponentially spaced grid of base ``B`` (two bytes
    a register). Maxima of registers are the sketch of a union (``merge``).
-2. Equal sets are one class (128-bit digest), so a group of copies of any size
-   is one node from here on. No class is ever expanded into pairs.
+2. Equal sets are one class (128-bit digest, then a number), so a group of copies
+   of any size is one node from here on. No class is ever expanded into pairs.
 3. Registers are banded: classes that agree on all ``ROWS`` registers of one of
    ``BANDS`` bands share a bucket. A pair of similarity 0.8 shares none with
-   probability (1 - 0.8**5)**40 = 1.2e-7, a pair over 0.9 below 1e-15.
+   probability (1 - 0.8**5)**40 = 1.2e-7, a pair over 0.9 below 1e-15. The grid
+   is so fine that two unrelated sets of one size agree in a register with
+   probability 0.00025, in a whole band with 1e-18: buckets hold texts that share
+   text, however large the corpus.
 4. In each bucket every member is held against one centre, the member with
    the most bucket neighbours (the original of a group of near copies). The
    joint likelihood of the two sketches, sizes known, drops pairs for which a
@@ -46,12 +49,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from jobacct.llm.common import SLICE, stage
+from jobacct.llm.common import SLICE, sized, stage, staging
 
 WORDS, THRESHOLD = 5, 80  # words of a shingle unless the caller says otherwise; per cent of the union
 BANDS, ROWS = 40, 5
-M = 400  # registers of a sketch; the first BANDS * ROWS are banded
-B, A = 1.2, 20.0  # base of the register grid, rate of the variates
+M = BANDS * ROWS  # registers of a sketch, all of them banded
+B, A = 1.001, 20.0  # base of the register grid, rate of the variates
+REG = np.uint16
 SLACK = 10.0  # log-likelihood by which a similarity under the threshold must win for a pair to go
 BLOCK = 1024  # members of a bucket in one block; a member is copied once for each block of its bucket
 CACHE = 400_000  # word hashes that a task remembers
@@ -83,7 +87,7 @@ def shingles(text: str | None, hashes: WordHashes, k: int) -> np.ndarray:
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
-    """M registers (uint8) of a set of well-mixed 64-bit hashes."""
+    """M registers of a set of well-mixed 64-bit hashes."""
     top = (items >> np.uint64(32)).astype(np.uint32)
     low = np.full(M, 2**32 - 1, np.uint32)
     for at in range(0, len(top), 2048):
@@ -91,7 +95,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
         x *= _MIX[1][:, None]
         np.minimum(low, x.min(axis=1), out=low)
     variate = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / A
-    return np.clip(np.floor(1.0 - np.log(variate) / np.log(B)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1.0 - np.log(variate) / np.log(B)), 0, 65535).astype(REG)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,10 +103,16 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def bands_of(regs: np.ndarray) -> list[int]:
-    """A key for each band; its last six bits are the band."""
-    rows = regs[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return [int.from_bytes(blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) & ~63 | i for i, r in enumerate(rows)]
+def bands_of(regs: np.ndarray) -> np.ndarray:
+    """For each sketch (a row of registers) a key for each band; its last six bits are the band."""
+    rows = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    acc = np.full(rows.shape[:2], ROWS, np.uint64)
+    for i in range(ROWS):
+        acc = (acc ^ rows[:, :, i]) * _K1
+        acc ^= acc >> np.uint64(29)
+        acc *= _K2
+        acc ^= acc >> np.uint64(32)
+    return ((acc & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 _GRID = np.linspace(0.0, 1.0, 101)
@@ -140,35 +150,41 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def classes_of(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """_id, _digest of the text, n_shingles, cls (null: empty set), regs: row by row."""
+    """_id, _digest of the text, n_shingles, content (null: empty set), regs: row by row."""
     src = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_text"))
 
     def run(batches):
         hashes = WordHashes()
         for part, texts in _texts(batches):
             sets = [shingles(t, hashes, k) for t in texts]
-            cls = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            content = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             regs = [sketch(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(regs, pa.binary())],
-                names=["_id", "_digest", "n_shingles", "cls", "regs"],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()), pa.array(regs, pa.binary())],
+                names=["_id", "_digest", "n_shingles", "content", "regs"],
             )
 
-    return src.mapInArrow(run, f"_id {docs.schema[doc_id].dataType.simpleString()}, _digest bigint, n_shingles bigint, cls binary, regs binary")
+    return src.mapInArrow(run, f"_id {docs.schema[doc_id].dataType.simpleString()}, _digest bigint, n_shingles bigint, content binary, regs binary")
 
 
 def _members(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """(key, cls, size): classes in buckets of two or more."""
+    """(key, cls, size): classes in buckets of two or more. The buckets are
+    counted first; one of two is then known by its least and greatest class,
+    and only for larger ones are the bands read again."""
 
     def run(batches):
         for batch in batches:
-            cls, regs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keys = [k for r in regs for k in bands_of(np.frombuffer(r, np.uint8))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c for c in cls for _ in range(BANDS)], pa.binary())], names=["key", "cls"])
+            for at in range(0, batch.num_rows, 1024):
+                t = batch.slice(at, 1024)
+                keys = bands_of(np.frombuffer(b"".join(t.column(1).to_pylist()), REG))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(t.column(0).to_numpy(), BANDS))], names=["key", "cls"])
 
-    rows = stage(spark, classes.select("cls", "regs").mapInArrow(run, "key bigint, cls binary"), "near-bands")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return stage(spark, rows.join(shared, "key"), "near-members")
+    rows = classes.select("cls", "regs").mapInArrow(run, "key bigint, cls bigint")
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    buckets = stage(spark, buckets.where("size > 1"), "near-buckets")
+    two = buckets.where("size = 2").select("key", F.explode(F.array("lo", "hi")).alias("cls"), "size")
+    more = rows.join(sized(buckets.where("size > 2").select("key", "size")), "key").select("key", "cls", "size")
+    return stage(spark, two.unionByName(more), "near-members")
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -182,10 +198,10 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 t = batch.slice(at, 4096)
                 na, nb = (np.asarray(t.column(i), np.float64) for i in (2, 3))
-                ra, rb = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, M) for i in (4, 5))
+                ra, rb = (np.frombuffer(b"".join(t.column(i).to_pylist()), REG).reshape(-1, M) for i in (4, 5))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(plausible(ra, rb, na, nb)))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets(spark: SparkSession, docs: DataFrame, classes: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -199,7 +215,7 @@ def _sets(spark: SparkSession, docs: DataFrame, classes: DataFrame, wanted: Data
         for part, texts in _texts(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, hashes, k).tobytes() for t in texts], pa.binary())], names=["cls", "items"])
 
-    out = rows.mapInArrow(run, "cls binary, items binary")
+    out = rows.mapInArrow(run, "cls bigint, items binary")
     return stage(spark, out.dropDuplicates(["cls"]), "near-sets")  # repeated rows give a class twice
 
 
@@ -219,7 +235,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     ok.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -260,7 +276,7 @@ def _open_pairs(key: int, i: int, j: int, g: list) -> Iterator[tuple[int, np.nda
     linked to: of another component, in a bucket of the first band that both
     share; within a block each pair once, else from block i to block j."""
     band = key & 63
-    regs = np.frombuffer(b"".join(r[7] for r in g), np.uint8).reshape(-1, M)
+    regs = np.frombuffer(b"".join(r[7] for r in g), REG).reshape(-1, M)
     n = np.array([r[6] for r in g], np.float64)
     own = np.array([r[3] for r in g])
     names = {c: k for k, c in enumerate(dict.fromkeys(r[5] for r in g))}
@@ -277,7 +293,7 @@ def _open_pairs(key: int, i: int, j: int, g: list) -> Iterator[tuple[int, np.nda
             yield x, y
 
 
-BLOCK_ROW = "key bigint, i int, j int, own int, cls binary, root binary, n bigint, regs binary"
+BLOCK_ROW = "key bigint, i int, j int, own int, cls bigint, root bigint, n bigint, regs binary"
 
 
 def _blocks(spark: SparkSession, members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -313,9 +329,9 @@ def _block_edges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for key, i, j, g in _groups(batches):
-            up: dict[bytes, bytes] = {}
+            up: dict[int, int] = {}
 
-            def top(c: bytes, up=up) -> bytes:
+            def top(c: int, up=up) -> int:
                 while c in up:
                     c = up[c]
                 return c
@@ -333,24 +349,21 @@ def _block_edges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
                         up[rx] = ry
                         edges.append((g[x][4], g[y][4]))
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """doc_id, _digest, n_shingles, component_id, kept: one row per row."""
-    rows = stage(spark, classes_of(docs, doc_id, text, k), "near-rows")
-    full = rows.where("cls is not null")
-    classes = stage(
-        spark,
-        full.groupBy("cls").agg(F.min("_id").alias("least_id"), F.min(F.struct("_id", "_digest")).alias("doc"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")),
-        "near-classes",
+def _components_of(spark: SparkSession, docs: DataFrame, full: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """(content, component_id) of every distinct set."""
+    distinct = full.groupBy("content").agg(
+        F.min("_id").alias("least_id"), F.min(F.struct("_id", "_digest")).alias("doc"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")
     )
+    classes = stage(spark, distinct.withColumn("cls", F.monotonically_increasing_id()), "near-classes")  # numbers are fixed by writing them
     members = _members(spark, classes)
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
     centres = members.join(degree, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("c")).select("key", F.col("c.cls").alias("b"))
@@ -362,19 +375,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     found = stage(spark, _block_edges(blocks, _sets(spark, docs, classes, blocks.select("cls"), doc_id, text, k)), "near-block-edges")
     if not found.isEmpty():
         roots = components(spark, found.unionByName(roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
-    ids = classes.select("cls", "least_id")
+    ids = classes.select("content", "cls", "least_id")
     linked = _rooted(ids.join(roots.select("cls").union(roots.select("root")).distinct(), "cls"), roots)
     least = linked.groupBy("root").agg(F.min("least_id").alias("component"))
     named = linked.join(least, "root").select("cls", "component")
-    named = stage(spark, ids.join(named, "cls", "left").select("cls", F.coalesce("component", "least_id").alias("component_id")), "near-components")
-    some = full.join(named, "cls").select("_id", "_digest", "n_shingles", "component_id")
-    none = rows.where("cls is null").select("_id", "_digest", "n_shingles", F.col("_id").alias("component_id"))
+    return ids.join(named, "cls", "left").select("content", F.coalesce("component", "least_id").alias("component_id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """doc_id, _digest, n_shingles, component_id, kept: one row per row."""
+    with staging(spark):
+        rows = stage(spark, classes_of(docs, doc_id, text, k), "near-rows", out=True)
+        full = rows.where("content is not null")
+        named = stage(spark, _components_of(spark, docs, full, doc_id, text, k), "near-components", out=True)
+    some = full.join(named, "content").select("_id", "_digest", "n_shingles", "component_id")
+    none = rows.where("content is null").select("_id", "_digest", "n_shingles", F.col("_id").alias("component_id"))
     return some.unionByName(none).select(F.col("_id").alias("doc_id"), "_digest", "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they were."""
-    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_llm_id"), F.col("_digest").alias("_llm_digest")).distinct()
-    gone = stage(spark, gone, "near-gone")
+    with staging(spark):
+        gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_llm_id"), F.col("_digest").alias("_llm_digest")).distinct()
+        gone = stage(spark, gone, "near-gone", out=True)
     on: Column = docs["doc_id"].eqNullSafe(gone["_llm_id"]) & (F.xxhash64(docs["text"]) == gone["_llm_digest"])
     return docs.join(gone, on, "left_anti")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from conftest import odd_rows
 
+from jobacct.llm import common
 from jobacct.llm import near_dup as N
 
 
@@ -109,3 +110,31 @@ def test_sketch_estimates_and_merges():
     ra, rb = (np.array([p[i] for p in pairs]) for i in (0, 1))
     na, nb = (np.array([p[i] for p in pairs], float) for i in (2, 3))
     assert N.plausible(ra, rb, na, nb).tolist() == [False, False, True, True, True]
+
+
+def test_unrelated_sets_share_no_band():
+    """By the rate at which registers of unrelated sets of one size agree, a
+    pair shares some band less than once in 10**9."""
+    rng = np.random.default_rng(4)
+    regs = np.array([N.sketch(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(400)])
+    pairs = [(i, j) for i in range(400) for j in range(i)]
+    equal = np.mean([(regs[i] == regs[j]).mean() for i, j in pairs])
+    assert N.BANDS * equal**N.ROWS < 1e-9 and equal < 0.0004
+    assert len(np.unique(N.bands_of(regs))) == 400 * N.BANDS
+
+
+def test_band_keys():
+    rng = np.random.default_rng(6)
+    regs = np.array([N.sketch(rng.integers(0, 2**64, 50, dtype=np.uint64)) for _ in range(3)])
+    regs[1, : N.ROWS] = regs[0, : N.ROWS]
+    keys = N.bands_of(regs)
+    assert (keys & 63).tolist() == [list(range(N.BANDS))] * 3
+    assert keys[0, 0] == keys[1, 0] and len(np.unique(keys)) == 3 * N.BANDS - 1
+
+
+def test_staged_tables_are_deleted(spark, sf_small, tmp_path, monkeypatch):
+    count = iter(range(1000))
+    monkeypatch.setattr(common, "scratch_path", lambda spark, name: f"{tmp_path}/{name}-{next(count)}")
+    N.near_duplicates(spark, spark.read.parquet(f"{sf_small}/documents.parquet")).count()
+    assert next(count) > 8
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["llm-near-components", "llm-near-rows"]
