@@ -564,6 +564,16 @@ LEFT JOIN amap pa ON pa.kind = 'partition' AND pa.value = p.pname
 JOIN amap c ON c.kind = 'cluster' AND c.value = 'alpha'
 LEFT JOIN nodes_out n ON n.line_seq = p.line_seq
 """).replace(")\n\n, pl AS", "),\npl AS")
+SQL["stream_split_files"] = qr(f"SELECT job_id, state, {T1} AS processed_date, total_cpu_seconds, max_rss_mb, job_date FROM metrics1")
+_EVEN = "CAST(substr(job_date, 9, 2) AS INT) % 2 = 0"
+SQL["collect_rebuild"] = qr(f"""
+SELECT job_id, state, processed_date, total_cpu_seconds, job_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY processed_date DESC, job_date DESC) AS rn FROM (
+    SELECT job_id, state, {T1} AS processed_date, total_cpu_seconds, job_date FROM metrics1 WHERE {_EVEN}
+    UNION ALL SELECT job_id, state, {T2}, total_cpu_seconds, job_date FROM metrics2 WHERE {REPROCESSED} AND ({_EVEN} OR job_date NOT IN (SELECT job_date FROM metrics1))
+    UNION ALL SELECT job_id, state, {T2}, total_cpu_seconds, job_date FROM metrics1 WHERE NOT {_EVEN}))
+WHERE rn = 1
+""")
 SQL["stream_collect"] = qr(f"SELECT job_id, state, {T1} AS processed_date, job_date FROM metrics1")
 
 

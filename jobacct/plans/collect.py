@@ -1,66 +1,106 @@
 """C4 collect / C8 reprocess: keep the store current from accounting dumps.
 
-One plan over every requested date: dates marked complete are removed by
-an anti join (a date is marked only by a run that read its lines after the
-date had passed; what the store happens to hold never skips a date), the dump is restricted to the remaining dates, jobs are
-picked (one shuffle keyed by job), compared with the stored states (a join
-on job and date), normalised, merged into the touched date partitions and
-the dates that settled are marked complete. The driver only triggers the
-writes and reads back a one-row metrics table.
+One plan over every requested date. Dates marked complete are left out (a date
+is marked only by a run that read its lines after the date had passed; what the
+store happens to hold never skips a date). A date that has archived lines but no
+processed rows is rebuilt from the archive, the others are taken from the dump.
+Jobs are picked (one shuffle keyed by job) and compared with their stored states;
+where a job is stored says the job index, so only dates that hold jobs of this
+run are opened. Changed jobs are normalised and merged into the dates they touch,
+the dates that settled are marked, and all of it is published in one step
+(``sources.journal``): a run that dies is finished or rolled back by the next.
+
+The driver handles dates (one for each day), blocks of job numbers and one row
+of metrics, gathered with ``Observation`` during the writes.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from jobacct.functions.text import job_date
 from jobacct.operators import incremental as I
 from jobacct.operators.normalize import pick_main_and_batch, processed_at_col, silver_from_pairs
 from jobacct.schemas import DATE_COLUMN
 from jobacct.session import use_utc
+from jobacct.sources import job_index, journal
 from jobacct.sources import store as ST
 from jobacct.sources.accounting import SEQ, with_job_date
 
+METRICS = "raw_records bigint, processed_jobs bigint, inserted_jobs bigint, updated_jobs bigint, skipped_jobs bigint, completed_dates bigint"
+
 
 def collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int = 1,
             processed_at=None, every_line: bool = False) -> DataFrame:
-    """Run one collection; returns one metrics row (A17), gathered with
-    ``Observation`` during the writes (no extra pass over the data). Staged
-    intermediate folders are removed before returning.
+    """Run one collection; returns one metrics row (A17). Staged intermediate
+    folders are removed before returning.
 
     ``every_line`` (streams): all lines of ``bronze`` are taken, whatever their
-    date and marks, and no date is marked: later files may add to it."""
+    date and marks; a job is normalised from its new and its archived lines
+    together, and no date is marked: later files may add to it."""
+    use_utc(spark)
+    journal.recover(spark, root)
     with ST.staging_scope(spark):
         return _collect(spark, bronze, root, as_of, days, processed_at, every_line)
 
 
+def rebuildable(spark: SparkSession, root: str, dates: list[str]) -> list[str]:
+    """Those of ``dates`` that the archive holds lines of, but the processed table no rows."""
+    have = set(ST.stored_dates(spark, root, ST.PROCESSED))
+    missing = [d for d in ST.stored_dates(spark, root, ST.RAW) if d in dates and d not in have]
+    return ST.calendar(archived(spark, root, missing).select(DATE_COLUMN)) if missing else []
+
+
+def archived(spark: SparkSession, root: str, dates: list[str]) -> DataFrame:
+    """Archived lines of ``dates``; a line filed under another date than its own is ignored there."""
+    return ST.read_table(spark, root, ST.RAW, dates).where(job_date("Start", "Submit") == F.col(DATE_COLUMN))
+
+
+def stored_states(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
+    """(job_date, job_id, state) of the stored rows of the jobs ``ids`` (job_id).
+    Opens the index blocks of these jobs and the dates these name."""
+    job_index.ensure(spark, root, ST.read_table(spark, root, ST.PROCESSED))
+    known = ST.stage(spark, job_index.lookup(spark, root, ids), "collect-known")
+    rows = ST.read_table(spark, root, ST.PROCESSED, known.select(DATE_COLUMN)).select(DATE_COLUMN, "job_id", "state")
+    return ST.stage(spark, rows.join(known, [DATE_COLUMN, "job_id"], "left_semi"), "collect-stored")
+
+
 def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.date, days: int,
              processed_at, every_line: bool) -> DataFrame:
-    use_utc(spark)
     a = as_of if isinstance(as_of, str) else as_of.isoformat()
+    cols = [f.name for f in ST.RAW_STORED.fields]
+    lines, todo, rebuild = with_job_date(bronze), [], []
     if every_line:
-        todo = ST.stage(spark, with_job_date(bronze).where(F.col(DATE_COLUMN).isNotNull()).select(DATE_COLUMN).distinct(), "collect-dates")
-        known = ST.read_table(spark, root, ST.PROCESSED)
+        lines = lines.where(F.col(DATE_COLUMN).isNotNull())
     else:
-        todo = ST.stage(spark, I.dates_to_collect(I.requested_dates(spark, a, days), ST.read_completed(spark, root)), "collect-dates")
-        # states of jobs that a line may have moved to another date lie on open dates, in the window or not: all but those marked complete
-        known = I.dates_to_collect(ST.read_table(spark, root, ST.PROCESSED), ST.read_completed(spark, root))
-    # the stored states are staged first: the store is rewritten below and
-    # nothing may read its old files after that
-    stored = ST.stage(
-        spark, known.select(DATE_COLUMN, "job_id", "state"), "collect-stored"
-    )
-    raw = with_job_date(bronze).join(F.broadcast(todo), DATE_COLUMN, "left_semi")
-    # read by the normalisation and by the raw archive: kept for the run
-    # (recomputed from the dump files if an executor holding it is lost)
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+        todo = ST.calendar(I.dates_to_collect(I.requested_dates(spark, a, days), ST.read_completed(spark, root)))
+        rebuild = rebuildable(spark, root, todo)
+        lines = lines.where(F.col(DATE_COLUMN).isin([d for d in todo if d not in rebuild]))
     obs_raw, obs_pairs, obs_new = Observation("raw"), Observation("pairs"), Observation("new")
-    existing = I.existing_states(stored)
-    picked = pick_main_and_batch(raw.observe(obs_raw, F.count(F.lit(1)).alias("raw_records")), SEQ)
-    pairs = I.keep_changed_jobs(picked, existing).observe(
+    # written once: read by the archive, the keys and the normalisation
+    lines = ST.stage(spark, lines.select(*cols).observe(obs_raw, F.count(F.lit(1)).alias("raw_records")), "collect-lines")
+    n_lines = int(obs_raw.get.get("raw_records", 0))
+    run = journal.Run(spark, root)
+    source, n_rebuilt = lines, 0
+    if rebuild:
+        from_archive = archived(spark, root, rebuild).select(*cols)
+        n_rebuilt = from_archive.count()
+        source = lines.unionByName(from_archive)
+    raw = ST.merge_raw(run, lines) if n_lines else lines
+    if every_line:
+        jobs = lines.select(DATE_COLUMN, "job_id_base").distinct()
+        source = raw.join(jobs, [DATE_COLUMN, "job_id_base"], "left_semi")
+    ids = source.where("is_main_job").select(F.col("job_id_base").alias("job_id"))
+    stored = stored_states(spark, root, ids)
+    pairs = I.keep_changed_jobs(pick_main_and_batch(source, SEQ), I.existing_states(stored))
+    if every_line:  # a settled job whose batch line came in a later file than its main line
+        late = lines.where("is_batch_step").select(DATE_COLUMN, "job_id_base").distinct().withColumn("late", F.lit(True))
+        pairs = pairs.join(late, [DATE_COLUMN, "job_id_base"], "left")
+        pairs = pairs.withColumn("skipped", F.col("skipped") & F.col("late").isNull())
+    pairs = pairs.observe(
         obs_pairs,
         F.count_if("skipped").alias("skipped_jobs"),
         F.count_if(~F.col("skipped") & ~F.col("stored")).alias("inserted_jobs"),
@@ -68,48 +108,35 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     )
     new = silver_from_pairs(pairs.where(~F.col("skipped")), processed_at)
     new = ST.stage(spark, new.observe(obs_new, F.count(F.lit(1)).alias("processed_jobs")), "collect-new")
+    n_new = int(obs_new.get.get("processed_jobs", 0))
 
     # a job that moved to another date leaves the older one
     moved = stored.alias("s").join(new.select("job_id", F.col(DATE_COLUMN).alias("_to")), "job_id").where(F.col(DATE_COLUMN) != F.col("_to"))
     moved = ST.stage(spark, moved.select("job_id", DATE_COLUMN).distinct(), "collect-moved")
-    ST.upsert_store(spark, root, new, moved)
-    ST.upsert_raw(spark, root, raw)
-    # dates whose lines this run has read, or that a job has left; of the latter only requested ones can be marked
-    left = moved.select(DATE_COLUMN).join(F.broadcast(todo), DATE_COLUMN, "left_semi")
-    seen = ST.stage(spark, raw.select(DATE_COLUMN).unionByName(left).distinct(), "collect-seen")
-    raw.unpersist()
+    written = ST.merge_silver(run, new, moved) if n_new else []
     done = 0
     if not every_line:
-        completeness = I.date_completeness(ST.read_table(spark, root, ST.PROCESSED, seen), a)
-        newly = ST.stage(spark, completeness.where("is_complete").select(DATE_COLUMN), "collect-complete")
-        ST.mark_complete(spark, root, newly, processed_at_col(processed_at))
-        done = newly.count()
+        # dates whose lines this run has read, or that a job has left; of the latter only requested ones can be marked
+        seen = {*ST.calendar(lines.select(DATE_COLUMN)), *rebuild, *(d for d in ST.calendar(moved.select(DATE_COLUMN)) if d in todo)}
+        rows = ST.read_table(spark, root, ST.PROCESSED, sorted(seen.difference(written, run.dropped_of(ST.PROCESSED)))).select(DATE_COLUMN, "state")
+        if written:
+            merged = spark.read.schema(ST.SILVER_STORED).option("basePath", f"{run.path}/{ST.PROCESSED}").parquet(f"{run.path}/{ST.PROCESSED}")
+            rows = rows.unionByName(merged.where(F.col(DATE_COLUMN).isin(sorted(seen))).select(DATE_COLUMN, "state"))
+        complete = I.date_completeness(rows, a).where("is_complete").select(DATE_COLUMN)
+        run.write(ST.new_marks(spark, root, complete, processed_at_col(processed_at)), ST.COMPLETED, DATE_COLUMN)
+        done = len(run.partitions(ST.COMPLETED))
+    run.publish()
     p = obs_pairs.get
-    row = (
-        int(obs_raw.get.get("raw_records", 0)),
-        int(obs_new.get.get("processed_jobs", 0)),
-        int(p.get("inserted_jobs", 0)),
-        int(p.get("updated_jobs", 0)),
-        int(p.get("skipped_jobs", 0)),
-        int(done),
-    )
+    row = (n_lines + n_rebuilt, n_new, *(int(p.get(f"{k}_jobs", 0)) for k in ("inserted", "updated", "skipped")), done)
     # a one-row table of scalars already computed (nothing passes through the driver)
-    return spark.createDataFrame(
-        [row], "raw_records bigint, processed_jobs bigint, inserted_jobs bigint, updated_jobs bigint, skipped_jobs bigint, completed_dates bigint"
-    )
+    return spark.createDataFrame([row], METRICS)
 
 
 def reprocess_missing(spark: SparkSession, root: str, processed_at=None) -> DataFrame:
     """Dates that have raw rows but no processed rows are normalised from
     the archived raw rows and written. Returns the new silver rows."""
     use_utc(spark)
-    have = set(ST.stored_dates(spark, root, ST.PROCESSED))
-    missing = ST.read_table(spark, root, ST.RAW, [d for d in ST.stored_dates(spark, root, ST.RAW) if d not in have])
-    # re-filter each archived row by its own date (rows filed under another
-    # date are ignored there)
-    from jobacct.functions.text import job_date
-
-    missing = missing.where(job_date("Start", "Submit") == F.col(DATE_COLUMN))
-    new = ST.stage(spark, silver_from_pairs(pick_main_and_batch(missing.drop(DATE_COLUMN), SEQ), processed_at), "reprocess")
-    ST.write_silver(new, root)
-    return new
+    journal.recover(spark, root)
+    missing = archived(spark, root, rebuildable(spark, root, ST.stored_dates(spark, root, ST.RAW)))
+    new = silver_from_pairs(pick_main_and_batch(missing.drop(DATE_COLUMN), SEQ), processed_at)
+    return ST.upsert_store(spark, root, new)

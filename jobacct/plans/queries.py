@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from jobacct.checks import fixtures as FX
 from jobacct.operators import normalize as N
 from jobacct.operators import reports as R
+from jobacct.schemas import ACCOUNTING_FIELDS
 from jobacct.session import use_utc
 from jobacct.sources import accounting as S
 from jobacct.sources.groups import groups_from_pairs
@@ -785,6 +786,42 @@ def stream_collect(spark, sf_dir):
     return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "job_date")
 
 
+@register("stream_split_files")
+def stream_split_files(spark, sf_dir):
+    """The run-1 dump dealt over three files, all main lines, all batch
+    lines, all other steps, and streamed file by file: every job is split over
+    micro-batches and put together from the archive."""
+    from jobacct.session import scratch_path
+    from jobacct.sources import store as ST
+    from jobacct.sources.journal import Files
+    from jobacct.streaming.collect_stream import stream_collect as sc
+
+    root, src = _store(spark), scratch_path(spark, "stream-split")
+    lines = spark.read.text(FX.dump_path(spark, sf_dir, 1))
+    job = F.split("value", r"\|")[ACCOUNTING_FIELDS.index("JobID")]
+    for kind in (~job.contains("."), job.endswith(".batch"), job.contains(".") & ~job.endswith(".batch")):
+        lines.where(F.coalesce(kind, F.lit(False))).write.mode("append").text(src)
+    files = [n for n in Files(spark, src).names(src) if n.startswith("part-")]
+    q = sc(spark, src, root, scratch_path(spark, "stream-ckpt"), processed_at=RUN1_AT, max_files_per_trigger=max(1, len(files) // 3))
+    q.awaitTermination()
+    return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "total_cpu_seconds", "max_rss_mb", "job_date")
+
+
+@register("collect_rebuild")
+def collect_rebuild(spark, sf_dir):
+    """C4: run 2 collected into a store that has run 1's archived lines of every
+    date, but processed rows of even days only: odd days are rebuilt from the
+    archive, even ones and new ones are taken from the dump."""
+    from jobacct.plans.collect import collect
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_bronze(_dated_bronze(spark, sf_dir, 1), root)
+    ST.write_silver(_silver_run(spark, sf_dir, 1).where(F.substring("job_date", 9, 2).cast("int") % 2 == 0), root)
+    collect(spark, bronze(spark, sf_dir, 2), root, *window(spark, sf_dir, 2), RUN2_AT).collect()
+    return _silver_text(ST.read_table(spark, root, ST.PROCESSED)).select("job_id", "state", "processed_date", "total_cpu_seconds", "job_date")
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from jobacct.plans.analyze import analyze
 

@@ -9,10 +9,11 @@ Layout under a store root::
 Reads always pass the declared schema (files written before a column existed
 read it as null instead of failing the union) and filter on ``job_date`` so
 only the requested date folders are listed and opened (partition pruning).
-Writes replace only the date partitions present in the written data
-(dynamic partition overwrite); an upsert first stages its merged result in
-the shared checkpoint folder, so the store is never read and overwritten by
-the same job and a lost executor never leaves a half-written date.
+Plain writes replace only the date partitions present in the written data
+(dynamic partition overwrite). An upsert writes the merged dates beside the
+tables and publishes them by moving folders (``journal``): the store is never
+read and overwritten by the same job, and a run that dies at any point is
+finished or rolled back by the next one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 from jobacct.schemas import BRONZE_STORED, DATE_COLUMN, SILVER_COLUMNS, SILVER_STORED
 from jobacct.session import path_exists, scratch_path
+from jobacct.sources import job_index, journal
 
 PROCESSED, RAW, COMPLETED = "processed", "raw", "completed"
 RAW_STORED = T.StructType(
@@ -63,8 +65,9 @@ def read_table(spark: SparkSession, root: str, kind: str, dates: list[str] | Dat
     An unreadable file raises, so nothing is ever merged against part of a
     date; the reporting loads (S6-S8) pass ``ignore_corrupt``.
 
-    ``dates``: a list (partition filter, pruned at planning) or a one-column
-    DataFrame of dates (semi join; dynamic partition pruning at run time)."""
+    ``dates``: a list, or a one-column DataFrame of dates that is brought to the
+    driver first (a calendar: one row per day). Either way the scan has a
+    partition filter: other dates are not opened."""
     schema = SCHEMAS[kind]
     path = _path(root, kind)
     if not path_exists(spark, path):
@@ -77,10 +80,12 @@ def read_table(spark: SparkSession, root: str, kind: str, dates: list[str] | Dat
     )
     if dates is None:
         return df
-    if isinstance(dates, DataFrame):
-        cal = dates.select(F.col(dates.columns[0]).alias(DATE_COLUMN)).distinct()
-        return df.join(F.broadcast(cal), DATE_COLUMN, "left_semi")
-    return df.where(F.col(DATE_COLUMN).isin(list(dates)))
+    return df.where(F.col(DATE_COLUMN).isin(calendar(dates) if isinstance(dates, DataFrame) else list(dates)))
+
+
+def calendar(dates: DataFrame) -> list[str]:
+    """The distinct dates of a one-column DataFrame: one for each day."""
+    return sorted(r[0] for r in dates.distinct().collect() if r[0] is not None)
 
 
 def write_table(df: DataFrame, root: str, kind: str, mode: str = "overwrite") -> None:
@@ -155,13 +160,13 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 # --- dedupe policies -----------------------------------------------------------
-def latest_per_job(df: DataFrame) -> DataFrame:
+def latest_per_job(df: DataFrame, *first: Column) -> DataFrame:
     """Per ``job_id`` the row with the latest ``processed_date`` (null first,
-    as in a descending sort); ties by newer ``job_date`` then by state. The
-    window is keyed by job (even spread); the plan limits each group to its
-    top row before the shuffle."""
+    as in a descending sort); ties by ``first``, by newer ``job_date``, then by
+    state. The window is keyed by job (even spread); the plan limits each group
+    to its top row before the shuffle."""
     w = Window.partitionBy("job_id").orderBy(
-        F.col("processed_date").desc_nulls_first(), F.col(DATE_COLUMN).desc_nulls_last(), F.col("state").asc_nulls_last()
+        F.col("processed_date").desc_nulls_first(), *first, F.col(DATE_COLUMN).desc_nulls_last(), F.col("state").asc_nulls_last()
     )
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
@@ -194,8 +199,10 @@ def load_days(spark: SparkSession, root: str, as_of: str | dt.date, n: int = 7)
 
 # --- sinks -------------------------------------------------------------------------
 def write_silver(df: DataFrame, root: str) -> None:
-    """Replace the written dates of the processed table."""
+    """Replace the written dates of the processed table. The job index
+    does not follow a plain write; it goes, and the next collection builds it anew."""
     write_table(df, root, PROCESSED)
+    journal.Files(df.sparkSession, root).delete(f"{root.rstrip('/')}/{job_index.JOBS}")
 
 
 def write_bronze(df: DataFrame, root: str) -> None:
@@ -204,61 +211,68 @@ def write_bronze(df: DataFrame, root: str) -> None:
 
 
 def upsert_silver(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing union new, latest version of each job."""
-    return latest_per_job(existing.select(*SILVER_COLUMNS, DATE_COLUMN).unionByName(new.select(*SILVER_COLUMNS, DATE_COLUMN)))
+    """Existing union new, latest version of each job (W1); of two versions
+    processed at one time the new one."""
+    cols = [*SILVER_COLUMNS, DATE_COLUMN]
+    both = existing.select(*cols, F.lit(0).alias("_new")).unionByName(new.select(*cols, F.lit(1).alias("_new")))
+    return latest_per_job(both, F.col("_new").desc()).drop("_new")
+
+
+def merge_silver(run: journal.Run, new: DataFrame, superseded: DataFrame | None = None) -> list[str]:
+    """Write the merged dates that ``new`` touches, and the index rows of its
+    jobs, into ``run``; gives these dates. Both inputs are read several times:
+    staged tables."""
+    spark, root = run.spark, run.root
+    touched = calendar(new.select(DATE_COLUMN))
+    left = calendar(superseded.select(DATE_COLUMN)) if superseded is not None else []
+    existing = read_table(spark, root, PROCESSED, sorted({*touched, *left}))
+    if left:
+        existing = existing.join(superseded.select("job_id", DATE_COLUMN).distinct(), ["job_id", DATE_COLUMN], "left_anti")
+    run.write(upsert_silver(existing, new), PROCESSED, DATE_COLUMN)
+    written = run.partitions(PROCESSED)
+    run.drop(PROCESSED, DATE_COLUMN, [d for d in left if d not in written])
+    job_index.ensure(spark, root, read_table(spark, root, PROCESSED))
+    run.write(job_index.merged(spark, root, new), job_index.JOBS, job_index.BLOCK_COLUMN)
+    return written
 
 
 def upsert_store(spark: SparkSession, root: str, new: DataFrame, superseded: DataFrame | None = None) -> DataFrame:
     """U2 on the store: merge ``new`` silver rows into the dates they touch
-    and replace exactly those date partitions. Returns the merged rows.
+    and replace exactly those date partitions. Returns the rows of these dates.
 
     ``superseded``: (job_id, job_date) of stored rows whose job moved to another
     date (a pending job is dated by its submission, a started one by its
     start). They leave their dates, which count as touched; a date that loses
-    its last row is removed.
-
-    When the table exists the merge is staged first (it reads the partitions
-    it replaces); a first write goes straight to the store."""
-    if not path_exists(spark, _path(root, PROCESSED)):
-        merged = latest_per_job(new.select(*SILVER_COLUMNS, DATE_COLUMN))
-        write_silver(merged, root)
-        return read_table(spark, root, PROCESSED, new.select(DATE_COLUMN).distinct())
-    touched = new.select(DATE_COLUMN)
-    if superseded is not None:
-        touched = touched.unionByName(superseded.select(DATE_COLUMN))
-    existing = read_table(spark, root, PROCESSED, touched.distinct())
-    if superseded is not None:
-        existing = existing.join(superseded.select("job_id", DATE_COLUMN).distinct(), ["job_id", DATE_COLUMN], "left_anti")
-    merged = stage(spark, upsert_silver(existing, new), "silver-merge")
-    write_silver(merged, root)
-    if superseded is not None:
-        left = superseded.select(DATE_COLUMN).distinct().join(merged.select(DATE_COLUMN).distinct(), DATE_COLUMN, "left_anti")
-        for row in left.collect():  # dates: a calendar
-            _drop_date(spark, root, PROCESSED, row[0])
-    return merged
-
-
-def _drop_date(spark: SparkSession, root: str, kind: str, date: str) -> None:
-    """Remove one date partition (dynamic overwrite leaves dates without new rows)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_path(root, kind)}/{DATE_COLUMN}={date}")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    its last row is removed."""
+    journal.recover(spark, root)
+    with staging_scope(spark):
+        new = stage(spark, new.select(*SILVER_COLUMNS, DATE_COLUMN), "silver-new")
+        superseded = superseded and stage(spark, superseded.select("job_id", DATE_COLUMN).distinct(), "silver-superseded")
+        run = journal.Run(spark, root)
+        written = merge_silver(run, new, superseded)
+        run.publish()
+    return read_table(spark, root, PROCESSED, written)
+
+
+def merge_raw(run: journal.Run, new_raw: DataFrame) -> DataFrame:
+    """Raw archive: per date, archived lines whose ``JobIDRaw`` was fetched again
+    are replaced by the new fetch (kept as fetched, duplicates included: the
+    load-time rule W2 resolves them); other archived lines stay. An anti join
+    keyed by (date, JobIDRaw), no window. Writes the touched dates into ``run``
+    and gives their rows; ``new_raw`` is read three times: a staged table."""
+    cols = [f.name for f in RAW_STORED.fields]
+    existing = read_table(run.spark, run.root, RAW, calendar(new_raw.select(DATE_COLUMN))).select(*cols)
+    kept = existing.join(new_raw.select(DATE_COLUMN, "JobIDRaw").distinct(), [DATE_COLUMN, "JobIDRaw"], "left_anti")
+    return run.write(kept.select(*cols).unionByName(new_raw.select(*cols)), RAW, DATE_COLUMN)
 
 
 def upsert_raw(spark: SparkSession, root: str, new_raw: DataFrame) -> None:
-    """Raw store upsert: per date, archived lines whose ``JobIDRaw`` was
-    fetched again are replaced by the new fetch (kept as fetched, duplicates
-    included: the load-time rule W2 resolves them); other archived lines
-    stay. An anti join keyed by (date, JobIDRaw), no window."""
-    cols = [f.name for f in RAW_STORED.fields]
-    if not path_exists(spark, _path(root, RAW)):
-        write_bronze(new_raw.select(*cols), root)
-        return
-    touched = new_raw.select(DATE_COLUMN).distinct()
-    existing = read_table(spark, root, RAW, touched).select(*cols)
-    keys = new_raw.select(DATE_COLUMN, "JobIDRaw").distinct()
-    kept = existing.join(keys, [DATE_COLUMN, "JobIDRaw"], "left_anti")
-    merged = stage(spark, kept.unionByName(new_raw.select(*cols)), "raw-merge")
-    write_bronze(merged, root)
+    """``merge_raw`` as a run of its own."""
+    journal.recover(spark, root)
+    with staging_scope(spark):
+        run = journal.Run(spark, root)
+        merge_raw(run, stage(spark, new_raw.select(*[f.name for f in RAW_STORED.fields]), "raw-new"))
+        run.publish()
 
 
 # --- completion state ---------------------------------------------------------------
@@ -267,15 +281,22 @@ def read_completed(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, COMPLETED)
 
 
-def mark_complete(spark: SparkSession, root: str, dates: DataFrame, marked_at: Column | None = None) -> DataFrame:
-    """Add ``dates`` (one column of 'yyyy-MM-dd') to the completed set.
-    Only dates not yet stored are appended, so re-running is a no-op."""
+def new_marks(spark: SparkSession, root: str, dates: DataFrame, marked_at: Column | None = None) -> DataFrame:
+    """Rows that mark those of ``dates`` (one column of 'yyyy-MM-dd') that are not marked yet."""
     new = dates.select(F.col(dates.columns[0]).alias(DATE_COLUMN)).distinct()
     new = new.join(read_completed(spark, root).select(DATE_COLUMN), DATE_COLUMN, "left_anti")
-    new = new.select((marked_at if marked_at is not None else F.current_timestamp()).alias("marked_at"), DATE_COLUMN)
-    new = stage(spark, new, "completed-new")
-    new.write.mode("append").partitionBy(DATE_COLUMN).parquet(_path(root, COMPLETED))
-    return new
+    return new.select((marked_at if marked_at is not None else F.current_timestamp()).alias("marked_at"), DATE_COLUMN)
+
+
+def mark_complete(spark: SparkSession, root: str, dates: DataFrame, marked_at: Column | None = None) -> DataFrame:
+    """Add ``dates`` to the completed set. Only dates not yet stored are
+    added, so re-running is a no-op. Gives the added rows."""
+    journal.recover(spark, root)
+    run = journal.Run(spark, root)
+    run.write(new_marks(spark, root, dates, marked_at), COMPLETED, DATE_COLUMN)
+    added = run.partitions(COMPLETED)
+    run.publish()
+    return read_table(spark, root, COMPLETED, added)
 
 
 # --- statistics ------------------------------------------------------------------------
