@@ -64,7 +64,7 @@ m as (select rid, doc_id, lang, source, len(words)::bigint n_words,
       from b left join rep using (rid)),
 r as (select *, coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) symbols_pm, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) dup_lines_pm,
         coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) repeats_pm, coalesce(1000 * upper // nullif(word_chars, 0), 0) upper_pm,
-        least(coalesce(100 * word_chars // nullif(n_words, 0), 0), 10000) mean_chars,
+        coalesce(100 * word_chars // nullif(n_words, 0), 0)::bigint mean, greatest(length(bin(mean)) - 10, 0)::bigint off, (mean >> off) << off mean_chars,
         n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m),
 sk as (select lang, source, rule, value, count(*) n from (
         {" union all ".join(f"select lang, source, '{m}' as rule, {m} as value from r where not base_failed" for m, _, _ in _RULES)})
@@ -74,8 +74,8 @@ slack(rule, s) as (values {", ".join(f"('{m}', {s})" for m, s, _ in _RULES)}),
 own as ({_BOUNDS.format(keys="lang, source", sketch="sk")}),
 par as ({_BOUNDS.format(keys="lang", sketch="up")}),
 lim as (select own.lang, own.source, rule,
-          floor((own.n * (own.q1 - greatest(3 * (own.q3 - own.q1), s)) + 50 * (par.q1 - greatest(3 * (par.q3 - par.q1), s))) / (own.n + 50)) low,
-          floor((own.n * (own.q3 + greatest(3 * (own.q3 - own.q1), s)) + 50 * (par.q3 + greatest(3 * (par.q3 - par.q1), s))) / (own.n + 50)) high
+          floor((own.n * (own.q1 - greatest(3 * (own.q3 - own.q1), s, case when rule = 'mean_chars' then own.q3 // 4 else 0 end)) + 50 * (par.q1 - greatest(3 * (par.q3 - par.q1), s, case when rule = 'mean_chars' then par.q3 // 4 else 0 end))) / (own.n + 50)) low,
+          floor((own.n * (own.q3 + greatest(3 * (own.q3 - own.q1), s, case when rule = 'mean_chars' then own.q3 // 4 else 0 end)) + 50 * (par.q3 + greatest(3 * (par.q3 - par.q1), s, case when rule = 'mean_chars' then par.q3 // 4 else 0 end))) / (own.n + 50)) high
         from own join par using (lang, rule) join slack using (rule)),
 wide as (select lang, source, {", ".join(f"max(case when rule = '{m}' then high end) {m}_high, max(case when rule = '{m}' then low end) {m}_low" for m, _, _ in _RULES)}
          from lim group by lang, source)

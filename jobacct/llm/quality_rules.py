@@ -4,12 +4,15 @@ Fixed rules first (``base_failed``), then five ratios of a text are held
 against thresholds that the corpus itself sets, per language and source:
 
 * Each ratio is an integer of thousandths (mean word length: hundredths of a
-  character, from 100 characters on in one last bucket). Counting rows per
-  (lang, source, ratio, value) is a mergeable quantile sketch of bounded size
-  with an absolute error of one bucket; partial counts are merged before the
+  character), cut to its ``BITS`` leading binary digits: log-spaced buckets, exact
+  below 1024, of a relative error under 1/512 above, without a last one. Counting
+  rows per (lang, source, ratio, bucket) is a mergeable quantile sketch of bounded
+  size (512 buckets for each doubling); partial counts are merged before the
   shuffle, so a source with a third of all rows is no hot key.
 * From the running counts of a sketch come its quartiles; the threshold is
-  q3 + max(3 * (q3 - q1), slack), for mean word length also q1 - the same.
+  q3 + max(3 * (q3 - q1), slack), for mean word length also q1 - the same and a
+  slack of a quarter of q3 at least (scripts without blanks have "words" of
+  thousands of characters).
   Sketches of all sources of a language give the language's threshold; a
   source's own is drawn to it by its row count: (n t + 50 p) / (n + 50).
 * Thresholds are joined to the measured rows by (lang, source), broadcast if a
@@ -36,7 +39,8 @@ from jobacct.llm.common import BLANKS, UPPER, sized, stage
 MIN_WORDS = 50
 SHRINK_ROWS = 50
 IQRS = 3
-MEAN_TOP = 10_000  # hundredths of a character: the last bucket of mean word length
+BITS = 10  # leading binary digits that a bucket keeps of a value
+SCALED = "mean_chars"  # the measure without a natural top: its slack is a quarter of q3 at least
 #: (measure, slack in its own unit, whether it has a lower threshold too)
 RULES = [
     ("symbols_pm", 60, False),
@@ -102,10 +106,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         ratio("n_dup_lines", p + "n_lines", 1000).alias("dup_lines_pm"),
         ratio("n_repeat_words", "n_words", 1000).alias("repeats_pm"),
         ratio(p + "upper", "word_chars", 1000).alias("upper_pm"),
-        F.least(ratio("word_chars", "n_words", 100), F.lit(MEAN_TOP)).cast("long").alias("mean_chars"),
+        bucket(ratio("word_chars", "n_words", 100)).alias("mean_chars"),
     )
 
 
+def bucket(v: Column) -> Column:
+    """The least value of the bucket of a value from 0 on: its ``BITS`` leading binary digits."""
+    off = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, off), off)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -118,7 +128,7 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def _bounds(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, lower and upper threshold per key and rule. A window holds the buckets of one sketch: 10 001 at most."""
+    """Rows, lower and upper threshold per key and rule. A window holds the buckets of one sketch."""
     by = Window.partitionBy(*keys, "rule")
     run = sk.withColumn("upto", F.sum("n").over(by.orderBy("value"))).withColumn("all", F.sum("n").over(by))
     q = run.groupBy(*keys, "rule").agg(
@@ -127,7 +137,8 @@ def _bounds(sk: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("value"))).alias("q3"),
     )
     slack = F.create_map(*(F.lit(x) for m, s, _ in RULES for x in (m, s)))[F.col("rule")]
-    reach = F.greatest(IQRS * (F.col("q3") - F.col("q1")), slack)
+    scaled = F.when(F.col("rule") == SCALED, F.expr("q3 div 4")).otherwise(0)
+    reach = F.greatest(IQRS * (F.col("q3") - F.col("q1")), slack, scaled)
     return q.select(*keys, "rule", "rows", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
 

@@ -68,3 +68,12 @@ def test_run_and_empty_tables(spark, tmp_path):
     spark.read.parquet(f"{d}/benchmark.parquet").limit(0).write.parquet(f"{e}/benchmark.parquet")
     assert CP.run(spark, e).count() == 0
     assert CP.ORACLE_SQL is None and [n for n, _ in CP.STAGES][1] == "near duplicates"
+
+
+def test_columns_named_like_results_are_carried(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"ids": F.lit("x"), "decoded": F.lit(7), "keep0": F.lit("k")})
+    out = CP.encode(spark, docs, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "doc_ids", "doc_decoded", "keep0", "ids", "n_ids", "decoded"]
+    assert {(r.doc_ids, r.doc_decoded, r.keep0) for r in out.collect()} == {("x", 7, "k")} and out.where("decoded is null").count() == 0

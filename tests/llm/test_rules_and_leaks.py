@@ -115,7 +115,7 @@ def test_thresholds_adapt_to_their_source(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_match_their_sql(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_small}/{t}.parquet')")
     want = con.sql(SQL[name])
     df = QUERIES[name](spark, sf_small)
@@ -132,3 +132,23 @@ def test_native_plans_have_no_python(spark, sf_small):
 
 def test_digest_of_items():
     assert hashlib.sha256(b"10,2").hexdigest() != hashlib.sha256(b"2,10").hexdigest() and sorted(["2", "10"]) == ["10", "2"]
+
+
+def test_buckets_have_no_last_one(spark):
+    from pyspark.sql import functions as F
+
+    values = [0, 1, 512, 1023, 1024, 1025, 2047, 2048, 2051, 10_000, 10_007, 3_000_000, 2**40 + 12345]
+    got = {r.v: r.b for r in spark.createDataFrame([(v,) for v in values], "v bigint").select("v", Q.bucket(F.col("v")).alias("b")).collect()}
+    for v, b in got.items():
+        assert b == (v >> max(v.bit_length() - 10, 0)) << max(v.bit_length() - 10, 0)
+        assert b <= v and 512 * (v - b) < max(v, 1)
+    assert got[10_000] != got[3_000_000]
+
+
+def test_mean_length_rule_where_words_are_long(spark):
+    """A script without blanks: "words" of about 3000 characters are usual there, ten times as many stand out."""
+    usual = [(i, " ".join("字" * (2900 + (i * 37 + j * 11) % 200) + str(j) for j in range(60)), "zh", "a") for i in range(40)]
+    odd_one = [(100, " ".join("字" * 40_000 + str(j) for j in range(60)), "zh", "a"), (101, " ".join("字" * 90 + str(j) for j in range(60)), "zh", "a")]
+    df = spark.createDataFrame(usual + odd_one, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in Q.judge(spark, df).collect()}
+    assert all(kept[i] for i in range(40)) and not kept[100] and not kept[101]
