@@ -2,13 +2,13 @@
 secrets, token ids. ``STAGES`` lists (name, function); each function takes
 (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of
-``documents``; the last returns doc_id, ids, n_ids, decoded and the other columns
-but the text.
+``documents``; the last returns all of them but the text, then ids, n_ids, decoded.
 
 Defined results: documents without words fail the quality rules. Rows that
 share a doc_id and a text are one document to the near-duplicate stage and stay
 or go together. Empty tables pass through empty. Columns beyond those of
-``documents`` are carried.
+``documents`` are carried; one named ids, n_ids or decoded comes out of the last
+stage as doc_ids, doc_n_ids or doc_decoded.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """5: token ids and the text decoded from them."""
     model = sentencepiece_fst.read_model(spark, SENTENCEPIECE_MODEL)
-    return sentencepiece_fst.encode_decode(docs, model, keep=[c for c in docs.columns if c not in ("text", "ids", "n_ids", "decoded")])
+    made = set(sentencepiece_fst.SCHEMA.names)
+    held = docs.withColumnsRenamed({c: f"doc_{c}" for c in docs.columns if c.lower() in made})
+    return sentencepiece_fst.encode_decode(held, model, keep=[c for c in held.columns if c != "text"])
 
 
 STAGES = [
