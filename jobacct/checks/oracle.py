@@ -8,6 +8,8 @@ sums are unrounded.
 
 from __future__ import annotations
 
+from jobacct.checks import fixtures as FX
+
 BASE = """
 base AS (
   SELECT event_id AS id, user_id, event_type, props,
@@ -564,6 +566,41 @@ LEFT JOIN amap pa ON pa.kind = 'partition' AND pa.value = p.pname
 JOIN amap c ON c.kind = 'cluster' AND c.value = 'alpha'
 LEFT JOIN nodes_out n ON n.line_seq = p.line_seq
 """).replace(")\n\n, pl AS", "),\npl AS")
+# two dumps in turn: the aliases of both at once
+SQL["pseudonymize_next"] = with_ctes(*RUNS, LINES_T.format(lines="lines1", base="base1"), LINES_T.format(lines="lines2", base="base2"), """
+both_runs AS (SELECT *, 0 AS run FROM lines1 UNION ALL SELECT *, 1 AS run FROM lines2)""",
+    PSEUDO.replace("FROM lines\n", "FROM both_runs\n").replace("SELECT *, id * 10 +", "SELECT *, run * 100000000000 + id * 10 +")) + SQL["pseudonymize"].split(PSEUDO.strip(), 1)[1] + "WHERE p.run = 1\n"
+ALIAS = PSEUDO.split("firsts AS", 1)[1].split("nodes_out AS", 1)[0].rstrip().rstrip(",")
+SQL["pseudonymize_texts"] = with_ctes(BASE, QUEUE, """
+n AS (SELECT DISTINCT n0 AS n FROM base),
+inv AS (
+  SELECT 1 AS text, n * 10 AS seq, printf('node-%03d', n) AS nm, ',1' AS rest FROM n WHERE n % 10 = 3
+  UNION ALL SELECT 1, n * 10 + 1, printf('node-%03d', n), ',' || CAST(32 * (1 + n % 4) AS VARCHAR) FROM n
+  UNION ALL SELECT 1, n * 10 + 2, printf('node-%03d', n), ',unknown' FROM n WHERE n % 10 = 7
+  UNION ALL SELECT 2, n * 10, printf('node-%03d', n), ',gpu:a100:2,gpu:v100:2' FROM n WHERE n % 20 = 0
+  UNION ALL SELECT 2, n * 10 + 1, printf('node-%03d', n), ',' || CASE n % 9 WHEN 0 THEN 'gpu:4' WHEN 3 THEN 'gpu:v100:4(S:0-1)' WHEN 6 THEN 'gpu:a100:4(S:0)' ELSE '(null)' END FROM n
+  UNION ALL SELECT 2, n * 10 + 2, printf('gpunode-%03d', n), ',gpu:2' FROM n WHERE n % 30 = 0
+),
+bad AS (SELECT id * 10 + 1 AS seq, user_name AS nm FROM base WHERE state IN ('RUNNING', 'PENDING') AND id % 500 = 3),
+occ AS (
+  SELECT 'user' AS kind, "user" AS value, line_no * 8 AS pos_key FROM q
+  UNION ALL SELECT 'user', nm, seq * 8 FROM bad
+  UNION ALL SELECT 'partition', "partition", line_no * 8 + 3 FROM q
+  UNION ALL SELECT 'node', node, line_no * 8 + 5 FROM q WHERE node <> '(null)'
+  UNION ALL SELECT 'node', nm, text * 1000000000000 + seq * 8 FROM inv
+  UNION ALL SELECT 'node', printf('node-%03d', n), 3 * 1000000000000 + n * 80 FROM n
+),
+firsts AS""" + ALIAS + """,
+al AS (SELECT kind, value, alias FROM amap)""") + """
+SELECT 0 AS text, CAST(-1 AS BIGINT) AS seq, '{header}' AS value
+UNION ALL SELECT 0, CAST(line_no AS BIGINT), u.alias || '/' || status || '/' || nnodes || '/' || p.alias || '/' || cores || '/' || coalesce(d.alias, node) || '/' || oversubscribe
+  FROM q JOIN al u ON u.kind = 'user' AND u.value = q."user" JOIN al p ON p.kind = 'partition' AND p.value = q."partition" LEFT JOIN al d ON d.kind = 'node' AND d.value = q.node
+UNION ALL SELECT 0, CAST(seq AS BIGINT), alias || '/R/x' FROM bad JOIN al ON kind = 'user' AND value = nm
+UNION ALL SELECT text, CAST(seq AS BIGINT), alias || rest FROM inv JOIN al ON kind = 'node' AND value = nm
+UNION ALL SELECT 3, CAST(n * 10 AS BIGINT), 'NodeName=' || alias || ' Arch=x86_64 CoresPerSocket=16' FROM n JOIN al ON kind = 'node' AND value = printf('node-%03d', n)
+UNION ALL SELECT 3, CAST(n * 10 + 1 AS BIGINT), '   CPUAlloc=0 CPUEfctv=8 CPUTot=' || CAST(32 * (1 + n % 4) AS VARCHAR) || ' CPULoad=0.01' FROM n
+UNION ALL SELECT 3, CAST(n * 10 + 2 AS BIGINT), '   RealMemory=515000 AllocMem=0 FreeMem=1000' FROM n
+""".replace("{header}", FX.QUEUE_HEADER)
 SQL["stream_split_files"] = qr(f"SELECT job_id, state, {T1} AS processed_date, total_cpu_seconds, max_rss_mb, job_date FROM metrics1")
 _EVEN = "CAST(substr(job_date, 9, 2) AS INT) % 2 = 0"
 SQL["collect_rebuild"] = qr(f"""

@@ -773,6 +773,41 @@ def pseudonymize(spark, sf_dir):
     return out.select("JobID", "JobName", "User", "Group", "Account", "Partition", "Cluster", "NodeList", "WorkDir", "SubmitLine")
 
 
+PSEUDONYMIZED = ("JobID", "JobName", "User", "Group", "Account", "Partition", "Cluster", "NodeList", "WorkDir", "SubmitLine")
+
+
+@register("pseudonymize_next")
+def pseudonymize_next(spark, sf_dir):
+    """The run-2 dump with the alias map kept from run 1: known values keep
+    their alias, new ones are numbered after it."""
+    from jobacct.operators import privacy as P
+    from jobacct.session import scratch_path
+
+    kept = scratch_path(spark, "alias-kept")
+    _, amap = P.pseudonymize(spark, bronze(spark, sf_dir, 1))
+    P.save_map(amap, kept)
+    out, amap = P.pseudonymize(spark, bronze(spark, sf_dir, 2), known=P.load_map(spark, kept))
+    P.save_map(amap, kept)
+    return out.select(*PSEUDONYMIZED)
+
+
+@register("pseudonymize_texts")
+def pseudonymize_texts(spark, sf_dir):
+    """Queue snapshot, CPU and GPU inventories and node descriptions
+    rewritten with one alias map."""
+    from jobacct.operators import privacy as P
+
+    described = FX.node_description_lines(spark, sf_dir).select("value", (F.substring("node", -3, 3).cast("bigint") * 10 + F.col("line_no")).alias("seq"))
+    named = lambda df: df.select("value", F.col("line_no").cast("bigint").alias("seq"))
+    texts = [
+        (P.QUEUE, named(FX.queue_lines(spark, sf_dir))), (P.INVENTORY, named(FX.node_cpu_lines(spark, sf_dir))),
+        (P.INVENTORY, named(FX.node_gpu_lines(spark, sf_dir))), (P.DESCRIPTION, described),
+    ]
+    done, _ = P.pseudonymize_texts(spark, texts)
+    rows = [d.select(F.lit(k).alias("text"), "seq", "value") for k, d in enumerate(done)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @register("stream_collect")
 def stream_collect(spark, sf_dir):
     """The run-1 dump streamed (availableNow) into an empty store."""
