@@ -207,6 +207,7 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _sets(spark: SparkSession, docs: DataFrame, classes: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """(cls, items): the full sets of the classes in ``wanted`` (cls), from one document of each."""
     who = classes.join(wanted.distinct(), "cls").select("cls", F.col("doc._id").alias("w_id"), F.col("doc._digest").alias("w_digest"))
+    who = sized(stage(spark, who, "near-wanted"))  # few: texts stay where they are; many: texts are shuffled by id
     d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_digest"), F.col(text).alias("_text"))
     rows = d.join(who, d["_id"].eqNullSafe(who["w_id"]) & (d["_digest"] == who["w_digest"])).select("cls", "_text")
 
@@ -397,6 +398,6 @@ def filter_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they were."""
     with staging(spark):
         gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_llm_id"), F.col("_digest").alias("_llm_digest")).distinct()
-        gone = stage(spark, gone, "near-gone", out=True)
+        gone = sized(stage(spark, gone, "near-gone", out=True))
     on: Column = docs["doc_id"].eqNullSafe(gone["_llm_id"]) & (F.xxhash64(docs["text"]) == gone["_llm_digest"])
     return docs.join(gone, on, "left_anti")

@@ -47,7 +47,8 @@ from jobacct.llm.common import map_batches
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHE = 500_000  # entries of each cache: two generations of chunks, parts of chunks, character windows; of piece pairs twice as many
+CACHE = 200_000  # chunks in each of two generations that a worker remembers
+PARTS, WINDOWS, PAIRS = CACHE // 2, CACHE // 4, 2 * CACHE  # parts of chunks, character windows, piece pairs likewise
 WINDOW = 5  # characters whose arcs are remembered together
 
 
@@ -114,8 +115,8 @@ class Transducer:
         # single spaces separate words if no piece goes on after one, and the text's spaces are kept as they are
         self.by_words = self.dummy and self.escape and not self.squeeze and not self.map and not self.user and bool(self.byte_id) and not any(x[1] == SPACE != x[0] for x in self.inside)
         self.users = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
-        self.paths: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.paths: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, list[int]] = {}
         self.windows: dict[str, tuple] = {}
         self.pairs: dict[int, bool] = {}
@@ -146,7 +147,7 @@ class Transducer:
         ok = self.pairs.get(key)
         if ok is None:
             a, b = self.pieces[left], self.pieces[right]
-            if len(self.pairs) >= 2 * CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merged(a + b) == [a, b]
         return ok
@@ -170,7 +171,7 @@ class Transducer:
                 out.insert(0, (1, -1))
             if on and len(window) == WINDOW:
                 more = on
-            if len(self.windows) >= CACHE:
+            if len(self.windows) >= WINDOWS:
                 self.windows.clear()
             known = self.windows[window] = (tuple(out[::-1]), more)
         arcs, on = known
@@ -249,20 +250,20 @@ class Transducer:
             if ids is None:
                 ids = self.path(part)
                 if i - start <= 32:
-                    if len(self.parts) >= CACHE:
+                    if len(self.parts) >= PARTS:
                         self.parts.clear()
                     self.parts[part] = ids
             out += ids
             start = i
         return out
 
-    def known(self, chunk: str) -> list[int]:
+    def known(self, chunk: str) -> tuple[int, ...]:
         """Ids of a chunk through the cache: two generations, the older one
         dropped when the younger is full. A chunk without U+2581 stands
         between single spaces and stands for U+2581 + chunk."""
         ids = self.older.get(chunk)
         if ids is None:
-            ids = self.span(chunk if chunk[:1] == SPACE else SPACE + chunk)
+            ids = tuple(self.span(chunk if chunk[:1] == SPACE else SPACE + chunk))
         if len(chunk) <= 64:
             if len(self.paths) >= CACHE:
                 self.older, self.paths = self.paths, {}
