@@ -28,6 +28,8 @@ from jobacct.llm.oracle import SQL
 
 #: Where the public tokenizer files lie; a parameter of the SentencePiece operator.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Chunks that a worker remembers in the query, where it shares the executor with no other stage (the pipeline keeps the default).
+SENTENCEPIECE_CACHE = 600_000
 BYTE_BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -57,7 +59,7 @@ def op4_licenses(spark: SparkSession, d: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return sentencepiece_fst.encode_decode(docs, sentencepiece_fst.read_model(spark, SENTENCEPIECE_MODEL), keep=["doc_id"], checked=True)
+    return sentencepiece_fst.encode_decode(docs, sentencepiece_fst.read_model(spark, SENTENCEPIECE_MODEL), keep=["doc_id"], checked=True, cache=SENTENCEPIECE_CACHE)
 
 
 def op6_near_duplicates(spark: SparkSession, d: str) -> DataFrame:

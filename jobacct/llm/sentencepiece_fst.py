@@ -47,8 +47,7 @@ from jobacct.llm.common import map_batches
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHE = 200_000  # chunks in each of two generations that a worker remembers
-PARTS, WINDOWS, PAIRS = CACHE // 2, CACHE // 4, 2 * CACHE  # parts of chunks, character windows, piece pairs likewise
+CACHE = 200_000  # chunks in each of two generations that a worker remembers unless told otherwise; of parts half, of windows a quarter, of pairs twice as many
 WINDOW = 5  # characters whose arcs are remembered together
 
 
@@ -98,10 +97,11 @@ class CharMap:
 class Transducer:
     """A compiled model; ``encode`` and ``decode`` work on one text."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache: int = CACHE):
+        """``cache`` bounds what is remembered; results do not depend on it."""
         import sentencepiece as spm
 
-        m = _read_model(spm, model)
+        m, self.cache = _read_model(spm, model), cache
         self.pieces, self.cost, self.byte_id, self.user, self.bpe, self.unk, self.unk_id = m.pieces, m.cost, m.byte_id, m.user, m.bpe, m.unk, m.unk_id
         self.dummy, self.squeeze, self.escape, self.map = m.dummy, m.squeeze, m.escape, CharMap(m.charsmap) if m.charsmap else None
         self.ids = {p: i for i, p in self.pieces.items()}
@@ -147,7 +147,7 @@ class Transducer:
         ok = self.pairs.get(key)
         if ok is None:
             a, b = self.pieces[left], self.pieces[right]
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= 2 * self.cache:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merged(a + b) == [a, b]
         return ok
@@ -171,7 +171,7 @@ class Transducer:
                 out.insert(0, (1, -1))
             if on and len(window) == WINDOW:
                 more = on
-            if len(self.windows) >= WINDOWS:
+            if len(self.windows) >= self.cache // 4:
                 self.windows.clear()
             known = self.windows[window] = (tuple(out[::-1]), more)
         arcs, on = known
@@ -250,7 +250,7 @@ class Transducer:
             if ids is None:
                 ids = self.path(part)
                 if i - start <= 32:
-                    if len(self.parts) >= PARTS:
+                    if len(self.parts) >= self.cache // 2:
                         self.parts.clear()
                     self.parts[part] = ids
             out += ids
@@ -265,7 +265,7 @@ class Transducer:
         if ids is None:
             ids = tuple(self.span(chunk if chunk[:1] == SPACE else SPACE + chunk))
         if len(chunk) <= 64:
-            if len(self.paths) >= CACHE:
+            if len(self.paths) >= self.cache:
                 self.older, self.paths = self.paths, {}
             self.paths[chunk] = ids
         return ids
@@ -350,15 +350,15 @@ def _read_model(spm, model: bytes) -> _Model:
     return out
 
 
-_COMPILED: dict[bytes, Transducer] = {}  # of this Python worker, by the model's digest
+_COMPILED: dict[bytes, Transducer] = {}  # of this Python worker, by the digest of model and cache size
 
 
-def compiled(model: bytes) -> Transducer:
+def compiled(model: bytes, cache: int = CACHE) -> Transducer:
     """The machine of a model, compiled once a worker; its caches outlive tasks."""
-    key = hashlib.sha256(model).digest()
+    key = hashlib.sha256(b"%d:" % cache + model).digest()
     if key not in _COMPILED:
         _COMPILED.clear()
-        _COMPILED[key] = Transducer(model)
+        _COMPILED[key] = Transducer(model, cache)
     return _COMPILED[key]
 
 
@@ -377,12 +377,14 @@ def read_model(spark, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, checked: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, checked: bool = False, cache: int = CACHE) -> DataFrame:
     """``keep`` columns of ``docs``, then ids, n_ids and the text decoded from
-    them, or (``checked``) whether that is the text, compared in the task."""
+    them, or (``checked``) whether that is the text, compared in the task. A
+    Python worker keeps about 1 kB for each of ``cache`` entries, also after the
+    job: choose it by the executors' memory."""
 
     def run() -> Iterator:
-        fst = compiled(model)
+        fst = compiled(model, cache)
 
         def one(t):
             if t is None:
