@@ -1,8 +1,16 @@
 """Operator 4: licence scans by an exact set-containment join.
 
-Templates (short licence notices, below) are joined to text blocks: a block
-matches when it holds THRESHOLD per cent of a template's distinct tokens. The
-join is exact and runs on filters, as for set-similarity joins:
+Templates (short licence notices, below) are joined to paragraphs (runs of
+non-blank lines, so hard-wrapped notices are one block). A paragraph matches a
+template if some window of its words, a quarter longer than the template at
+most, holds
+
+* THRESHOLD per cent of the template's distinct tokens, all of them if it has
+  fewer than SHORT, and
+* every telling token: one that the template has, and another template that
+  covers it to the threshold has not (ShareAlike, Lesser).
+
+The join is exact and runs on filters, as for set-similarity joins:
 
 * Tokens are ordered by their frequency over all documents, rarest first
   (one grouped count over the corpus, of template tokens only).
@@ -11,10 +19,11 @@ join is exact and runs on filters, as for set-similarity joins:
 * Length: a block needs c distinct template tokens at least.
 * Position: with the template's first i tokens looked up, a block stays only
   while matches so far plus tokens left can reach c.
+* Windows are counted for what the filters leave, over places of the template's
+  own tokens.
 
-Blocks are the non-blank lines of a text and its paragraphs (runs of non-blank
-lines), so hard-wrapped notices are found as well. Templates are part of the
-program, so what a task holds does not grow with the corpus.
+Templates are part of the program, so what a task holds does not grow with the
+corpus; of a text it holds the places of template tokens in one paragraph.
 
 Odd inputs: null and word-free texts have no words, no labels, score 0. Ties
 need no order (all matches are reported). Repeated rows get the same result
@@ -24,7 +33,7 @@ each; an empty table gives no rows; extra columns pass through.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from itertools import accumulate
 
 import pyarrow as pa
@@ -35,6 +44,7 @@ from pyspark.sql import types as T
 from jobacct.llm.common import SLICE, byte_words, map_batches
 
 THRESHOLD = 80  # per cent of a template's distinct tokens
+SHORT = 9  # a template of fewer distinct tokens must be there in whole
 
 # --- fixed values: base phrases and their labels ----------------------------------------
 PHRASES = {
@@ -84,50 +94,96 @@ def token_counts(docs: DataFrame, tokens: set[bytes], text: str = "text") -> dic
     return {bytes(r[0]): r[1] for r in parts.groupBy("token").agg(F.sum("n")).collect()}
 
 
+def needed(n: int, threshold: int = THRESHOLD) -> int:
+    """How many of n distinct tokens a match holds."""
+    return n if n < SHORT else -(-threshold * n // 100)
+
+
+def telling(templates: dict[str, set[bytes]], threshold: int = THRESHOLD) -> dict[str, set[bytes]]:
+    """Tokens of each template that it must have to be told from others that cover it to the threshold."""
+    out: dict[str, set[bytes]] = {}
+    for name, t in templates.items():
+        near = (u for u in templates.values() if len(t & u) >= needed(len(t), threshold))
+        out[name] = set().union(*(t - u for u in near))
+    return out
+
+
+def window(template: str) -> int:
+    """Words of a paragraph among which a match lies."""
+    n = len(byte_words(template))
+    return n + n // 4
+
+
 class Joiner:
     """The index over template prefixes; ``matches`` joins one block."""
 
-    def __init__(self, templates: dict[str, set[bytes]], counts: dict[bytes, int], threshold: int = THRESHOLD):
-        self.need = {name: -(-threshold * len(t) // 100) for name, t in templates.items()}
-        self.order = {name: sorted(t, key=lambda w: (counts.get(w, 0), w)) for name, t in templates.items()}
+    def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: int = THRESHOLD):
+        sets = {name: t for name, t in template_tokens(templates).items() if t}
+        self.need = {name: needed(len(t), threshold) for name, t in sets.items()}
+        self.telling = telling(sets, threshold)
+        self.window = {name: window(templates[name]) for name in sets}
+        self.order = {name: sorted(t, key=lambda w: (counts.get(w, 0), w)) for name, t in sets.items()}
         self.index: dict[bytes, list[str]] = defaultdict(list)
         for name, t in self.order.items():
             for w in t[: len(t) - self.need[name] + 1]:
                 self.index[w].append(name)
-        self.tokens = set().union(*templates.values()) if templates else set()
+        self.tokens = set().union(*sets.values())
 
-    def matches(self, block: set[bytes]) -> dict[str, float]:
-        """Template -> containment, for every template that meets the threshold."""
+    def matches(self, block: list[tuple[int, bytes]]) -> dict[str, float]:
+        """Template -> containment in the best window, for every template that
+        matches a block of (word number, template token)."""
         out = {}
-        for name in {n for w in block & self.index.keys() for n in self.index[w]}:
+        have = {w for _, w in block}
+        for name in {n for w in have & self.index.keys() for n in self.index[w]}:
             t, need, got = self.order[name], self.need[name], 0
-            if len(block) < need:
+            if len(have) < need or not have.issuperset(self.telling[name]):
                 continue
             for i, w in enumerate(t):
-                got += w in block
+                got += w in have
                 if got + len(t) - i - 1 < need:
                     break
             else:
-                out[name] = got / len(t)
+                best = self.best_window(name, block)
+                if best >= need:
+                    out[name] = best / len(t)
         return out
 
+    def best_window(self, name: str, block: list[tuple[int, bytes]]) -> int:
+        """Most distinct tokens of a template in a window that holds its telling ones (0: none does)."""
+        own, must, width = set(self.order[name]), self.telling[name], self.window[name]
+        seen: Counter = Counter()
+        inside: deque[tuple[int, bytes]] = deque()
+        best = telling_in = 0
+        for at, w in block:
+            if w not in own:
+                continue
+            while inside and inside[0][0] <= at - width:
+                old = inside.popleft()[1]
+                seen[old] -= 1
+                if not seen[old]:
+                    del seen[old]
+                    telling_in -= old in must
+            if w not in seen:
+                telling_in += w in must
+            seen[w] += 1
+            inside.append((at, w))
+            if len(seen) > best and telling_in == len(must):
+                best = len(seen)
+        return best
+
 
 def blocks(text: str, joiner: Joiner):
-    """Distinct template tokens of each line and each paragraph that holds a prefix token."""
-    paragraph: list[bytes] = []
-    lines = 0
+    """(word number, token) of the template tokens of each paragraph that holds a prefix token."""
+    paragraph: list[tuple[int, bytes]] = []
+    n = 0
     for line in [*text.split("\n"), ""]:
         words = byte_words(line)
-        if words:
-            hit = joiner.tokens.intersection(words)
-            lines += 1
-            paragraph += hit
-            if hit and not joiner.index.keys().isdisjoint(hit):
-                yield hit
-        if not line.strip() and lines:
-            if lines > 1 and not joiner.index.keys().isdisjoint(paragraph):
-                yield set(paragraph)
-            paragraph, lines = [], 0
+        paragraph += [(n + i, w) for i, w in enumerate(words) if w in joiner.tokens]
+        n += len(words)
+        if not line.strip():
+            if any(w in joiner.index for _, w in paragraph):
+                yield paragraph
+            paragraph, n = [], 0
 
 
 def places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -159,7 +215,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, text: str = "text", keep
     counts = token_counts(docs, set().union(*sets.values()) if sets else set(), text)
 
     def run():
-        joiner = Joiner(sets, counts, threshold)
+        joiner = Joiner(templates, counts, threshold)
 
         def one(t):
             words = byte_words(t)

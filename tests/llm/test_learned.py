@@ -61,22 +61,20 @@ def brute_base(t: str | None) -> tuple:
 
 
 def brute_labels(t: str | None, templates: dict, threshold: int) -> set[str]:
-    lines = (t or "").split("\n")
-    blocks, run = [], []
-    for x in [*lines, ""]:
-        blocks.append(x)
-        if x.strip():
-            run.append(x)
-        else:
-            blocks.append("\n".join(run))
-            run = []
+    """Every window of every paragraph against every template."""
+    paragraphs = re.split(r"\n[^\S\n]*(?=\n)", "\n" + (t or "") + "\n")
+    tokens = {name: set(C.byte_words(text)) for name, text in templates.items()}
     out = set()
-    for b in blocks:
-        have = set(C.byte_words(b))
-        for name, text in templates.items():
-            want = set(C.byte_words(text))
-            if 100 * len(want & have) >= threshold * len(want):
-                out.add(name)
+    for p in paragraphs:
+        words = C.byte_words(p)
+        for name, want in tokens.items():
+            long = len(C.byte_words(templates[name]))
+            need = len(want) if len(want) < 9 else threshold * len(want) / 100
+            must = {w for other in tokens.values() if len(want & other) >= need for w in want - other}
+            for i in range(len(words)):
+                have = want.intersection(words[i : i + long + long // 4])
+                if len(have) >= need and must <= have:
+                    out.add(name)
     return out
 
 
@@ -103,6 +101,35 @@ def test_licenses_against_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(want)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under CC BY 4.0", {"cc-by"}),
+        ("Licensed under CC BY-NC 4.0", {"cc-by", "cc-by-nc-4.0"}),
+        ("Released under the Apache License", {"apache"}),
+        ("Released under the MIT License", {"mit", "mit-release"}),
+        (C.TEMPLATES["cc-by-4.0"], {"cc-by-4.0"}),
+        (C.TEMPLATES["cc-by-sa-4.0"], {"cc-by-sa-4.0", "cc-by-4.0"}),
+        ("my rights are all reserved words", set()),
+        ("All\nrights\nreserved.", {"all-rights-reserved"}),
+        ("All rights\n\nreserved.", set()),
+        (C.TEMPLATES["lgpl-notice"], {"lgpl-notice"}),
+        (" words between ".join(C.TEMPLATES["bsd-notice"].split()), set()),  # its tokens, far apart
+    ],
+)
+def test_licenses_name_what_is_written(text, want):
+    j = C.Joiner(C.TEMPLATES, {})
+    found = {x for b in C.blocks(text, j) for x in j.matches(b)} | {x for _, x in C.places(C.byte_words(text))}
+    assert found == want
+
+
+def test_licenses_clashing_names_and_long_text(spark):
+    long = "word of the license " * 60_000 + C.TEMPLATES["isc-notice"]
+    df = spark.createDataFrame([(1, long, "x", 7), (2, None, "y", None)], "doc_id long, text string, labels string, input0 int")
+    r = {x.doc_id: x for x in C.scan_licenses(spark, df).collect()}
+    assert r[1].labels == "isc-notice" and r[1].input0 == 7 and r[2].labels == "" and r[2].score == 0
+
+
 def test_licenses_odd_rows(spark, odd, empty):
     assert C.scan_licenses(spark, odd).count() == 13
     assert C.scan_licenses(spark, empty).count() == 0
