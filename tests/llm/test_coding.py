@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 from pathlib import Path
 
@@ -216,3 +218,42 @@ def test_records_link_and_write(spark, tmp_path):
     assert sorted(f["WARC-Record-ID"] for f, _ in found) == sorted(r.record_id for r in rows)
     assert all(W.digest(b) == f["WARC-Block-Digest"] for f, b in found)
     assert W.derivatives(pages.limit(0)).count() == 0
+
+
+def test_given_responses_come_through_unchanged(spark):
+    """Ids, dates, heads and digests of a crawl; expected values are written out, not taken from the module."""
+    head = "HTTP/1.1 404 Not Found\r\nX-Odd:  two  blanks\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n"
+    rows = [
+        (1, "http://a/", "<p>caf\u00e9</p>", "<urn:uuid:11111111-2222-3333-4444-555555555555>", "2023-05-06T07:08:09Z", head, "sha1:PAYLOADOFTHECRAWL", "sha1:BLOCKOFTHECRAWL", "x"),
+        (2, "http://b/", "<p>x", None, None, None, None, None, None),
+        (3, "http://c/", "<p>y\r\n\r\nz", None, "2024-01-01T00:00:00Z", "no status line\nServer: s", None, None, None),
+        (4, "http://d/", "w", None, None, "", None, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string, at string, head string, pd string, bd string, block string")
+    given = W.Given(record_id="id", date="at", http_head="head", payload_digest="pd", block_digest="bd")
+    out = {(r.page_id, r.record_type): r for r in W.derivatives(pages, given=given).collect()}
+    assert len(out) == 8
+    conv, meta = out[1, "conversion"], out[1, "metadata"]
+    for r in (conv, meta):
+        assert r.refers_to == rows[0][3] and r.warc_date == rows[0][4] and r.source_payload_digest == rows[0][6]
+        assert r.source_headers == head.rstrip("\r\n")
+        assert f"WARC-Refers-To: {rows[0][3]}\r\n" in r.header and "WARC-Refers-To-Date: 2023-05-06T07:08:09Z\r\n" in r.header
+    assert "WARC-Source-Payload-Digest: sha1:PAYLOADOFTHECRAWL\r\n" in conv.header and conv.block == "caf\u00e9"
+    fields = meta.block.split("\r\n")
+    assert [f for f in fields if f.startswith("source-")] == [
+        f"source-record-id: {rows[0][3]}", "source-block-digest: sha1:BLOCKOFTHECRAWL", "source-payload-digest: sha1:PAYLOADOFTHECRAWL",
+        "source-status: HTTP/1.1 404 Not Found", "source-header: X-Odd:  two  blanks", "source-header: Set-Cookie: a=1", "source-header: Set-Cookie: b=2",
+        "source-text-digest: sha1:" + base64.b32encode(hashlib.sha1("<p>caf\u00e9</p>".encode()).digest()).decode(),
+    ]
+    assert out[2, "metadata"].warc_date == "1970-01-01T00:00:00Z" and "source-status: HTTP/1.1 200 OK\r\n" in out[2, "metadata"].block
+    assert "source-text-digest" not in out[2, "metadata"].block
+    third = out[3, "metadata"].block
+    assert "source-status: \r\nsource-header: no status line\r\nsource-header: Server: s\r\n" in third and out[3, "conversion"].block == "y\nz"
+    assert out[4, "metadata"].source_headers == "" and "source-header" not in out[4, "metadata"].block
+    assert len({r.record_id for r in out.values()}) == 8
+
+
+def test_very_long_page(spark):
+    page = "<p>" + "word " * 2_000_000 + "</p>"
+    r = W.derivatives(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).where("record_type = 'conversion'").first()
+    assert len(r.block) == len("word " * 2_000_000) - 1
