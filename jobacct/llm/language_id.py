@@ -6,9 +6,9 @@
   least SHARE of its rate in the language that uses it most; one that makes up
   less than MIN_RATE of a language's n-grams does not count there, so that no
   language holds more than 1 / MIN_RATE.
-* Filter: slots, each a bitmask with one bit per language; an n-gram of
-  languages L sets the bits of L in its HASHES slots (the grouped bit_or of
-  slots is the union of partial filters). One probe - the AND of HASHES slots -
+* Filter: slots, each a bitmask with one bit per language (a word for each 64
+  languages); an n-gram of languages L sets the bits of L in its HASHES slots
+  (the grouped bit_or of slots is the union of partial filters). One probe - the AND of HASHES slots -
   returns all languages that hold the n-gram.
 * Decision: popcounts of a text's distinct n-grams per language, corrected for
   false positives: with fill f of a language's slice a foreign n-gram hits with
@@ -17,14 +17,17 @@
   score is its share of all corrected counts.
 
 The filter has SLOTS_PER_GRAM slots or more for each n-gram that the largest
-language counts, a power of two from 2**20 (8 MB) to 2**24 (128 MB) whatever
-the corpus; it goes to the tasks with the code. A slice in which more than
-MOST_FALSE of foreign n-grams hit takes no part in a decision. lang, source and
-doc_id are no inputs of a prediction.
+language counts, a power of two from 2**20 to 2**24 whatever the corpus (8 to
+128 MB for each 64 languages); it goes to the tasks with the code. A language
+counts 1 / MIN_RATE n-grams at most, so its slice is never more than a fifth
+full at 2**24 slots. A slice in which more than MOST_FALSE of foreign n-grams
+hit takes no part in a decision. lang, source and doc_id are no inputs of a
+prediction.
 
 Odd inputs: null texts and texts without a letter give ``und`` and score 0; so
-do all texts if there is no training row. Up to 63 languages. Repeated rows
-are predicted alike; extra columns pass.
+do all texts if no training row has an n-gram. A text of which no n-gram is
+known gets the language with most n-grams learnt (ties: name order), score 0.
+Any number of languages. Repeated rows are predicted alike; extra columns pass.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ SLOT_BITS, HASHES = 20, 3  # 2**SLOT_BITS slots at least
 SLOTS_PER_GRAM = 10  # of the language that holds most n-grams: a slice is 26 % full at most
 SHARE = 0.35  # of the top rate, from which a language holds an n-gram
 MOST_FALSE = 0.5  # a slice in which more foreign n-grams hit tells nothing
-MIN_COUNT, MIN_RATE = 3, 1e-6  # an n-gram seen less often, or that rare, in a language does not count there
+MIN_RATE = 1e-6  # an n-gram that rare in a language does not count there
+WORD = 64  # languages of a mask word
+BLOCK = 4096  # slots of a row that the driver reads
 UND = "und"
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -94,59 +99,65 @@ def gram_counts(training: DataFrame) -> DataFrame:
     return training.select("_lang", "_t").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(spark: SparkSession, training: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Language names and the filter: one mask for each slot."""
+def build(spark: SparkSession, training: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    """Language names, the filter (slots x mask words) and the number of the
+    language with most n-grams."""
     from jobacct.llm.common import stage
 
     counts = stage(spark, gram_counts(training), "language-grams")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     names = sorted(totals)
-    if len(names) > 63:
-        raise ValueError("a mask holds 63 languages")
     if not names:
-        return names, np.zeros(1 << SLOT_BITS, np.uint64)
+        return names, np.zeros((1 << SLOT_BITS, 1), np.uint64), 0
+    words = -(-len(names) // WORD)
     bit = F.create_map(*(F.lit(x) for i, l in enumerate(names) for x in (l, i)))[F.col("lang")]
     total = F.create_map(*(F.lit(x) for l in names for x in (l, float(totals[l] or 1))))[F.col("lang")]
-    rated = counts.where(F.col("n") >= MIN_COUNT).withColumns({"rate": F.col("n") / total, "bit": bit}).where(F.col("rate") >= MIN_RATE)
-    top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("of"))
-    held = F.expr(f"aggregate(of, 0L, (m, x) -> if(x.rate >= {SHARE} * top, m | shiftleft(1L, x.bit), m))")
+    rated = counts.withColumns({"rate": F.col("n") / total, "bit": bit}).where(F.col("rate") >= MIN_RATE)
+    top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("of"))  # a language once
+    held = F.expr(f"""inline(transform(sequence(0, {words - 1}), w -> struct(w AS word,
+        aggregate(of, 0L, (m, x) -> if(x.rate >= {SHARE} * top AND x.bit div {WORD} = w, m | shiftleft(1L, x.bit % {WORD}), m)) AS mask)))""")
 
     most = rated.groupBy("bit").count().agg(F.max("count")).first()[0] or 0  # 1 / MIN_RATE at most
     size = 1 << max(SLOT_BITS, (most * SLOTS_PER_GRAM - 1).bit_length())
-    masks = np.zeros(size, np.uint64)
+    masks = np.zeros((size, words), np.uint64)
 
     def probe(batches):
         for batch in batches:
             at = slots(np.asarray(batch.column(0)).astype(np.uint64), size).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(np.asarray(batch.column(1)), HASHES))], names=["slot", "mask"])
+            word, mask = (np.repeat(np.asarray(batch.column(i)), HASHES) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word), pa.array(mask)], names=["slot", "word", "mask"])
 
-    cells = top.select("gram", held.alias("mask")).mapInArrow(probe, "slot bigint, mask bigint")
-    for r in cells.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most ``size`` rows
-        masks[r[0]] = np.uint64(r[1])
-    if any(((masks >> np.uint64(b)) & np.uint64(1)).mean() ** HASHES > MOST_FALSE for b in range(len(names))):
-        raise ValueError("a language fills its slice of the filter")
-    return names, masks
+    cells = top.select("gram", held).where("mask <> 0").mapInArrow(probe, "slot bigint, word int, mask bigint")
+    cells = cells.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    rows = cells.groupBy(F.expr(f"slot div {BLOCK}"), "word").agg(F.collect_list("slot").alias("slots"), F.collect_list("mask").alias("masks"))
+    for r in rows.select("word", "slots", "masks").toLocalIterator():  # size / BLOCK rows a word, of BLOCK slots at most
+        masks[np.array(r.slots), r.word] = np.array(r.masks, np.int64).view(np.uint64)
+    return names, masks, max(range(len(names)), key=lambda i: totals[names[i]])
 
 
 class Decider:
-    def __init__(self, names: list[str], masks: np.ndarray):
-        self.names, self.masks = names, masks
-        self.bits = np.arange(len(names), dtype=np.uint64)
-        fill = np.array([((masks >> b) & np.uint64(1)).mean() for b in self.bits])
+    """``masks``: one word for each slot, or a row of words; ``default``: the
+    language of a text of which nothing is known."""
+
+    def __init__(self, names: list[str], masks: np.ndarray, default: int = 0):
+        self.names, self.masks, self.default = names, masks.reshape(len(masks), -1), default
+        self.word, self.bits = np.divmod(np.arange(len(names)), WORD)
+        self.bits = self.bits.astype(np.uint64)
+        fill = np.array([((self.masks[:, w] >> b) & np.uint64(1)).mean() for w, b in zip(self.word, self.bits, strict=True)])
         self.false = fill**HASHES
         self.usable = self.false <= MOST_FALSE
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names or not any(map(str.isalpha, text)):
             return UND, 0.0
-        g = np.unique(grams(text))
-        if not len(g):  # letters, but no n-gram of them (a word in a script of marks only)
-            return self.names[0], 0.0
+        g = np.unique(grams(text))  # empty for a text with letters but no n-gram of them (a word in a script of marks only)
         found = np.bitwise_and.reduce(self.masks[slots(g, len(self.masks))], axis=1)
-        hits = ((found[:, None] >> self.bits) & np.uint64(1)).sum(axis=0)
+        hits = ((found[:, self.word] >> self.bits) & np.uint64(1)).sum(axis=0)
         members = np.where(self.usable, np.maximum(hits - len(g) * self.false, 0) / np.where(self.usable, 1 - self.false, 1), 0)
+        if not members.sum() > 0:
+            return self.names[self.default], 0.0
         best = int(members.argmax())
-        return self.names[best], float(members[best] / members.sum()) if members.sum() > 0 else 0.0
+        return self.names[best], float(members[best] / members.sum())
 
 
 SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -155,5 +166,5 @@ SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 def identify(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, lang_pred and score of every row; learnt from the rows not held out."""
     training = docs.where(~fold_1_of_3(doc_id) & F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_t"))
-    names, masks = build(spark, training)
-    return map_batches(docs, text, lambda: Decider(names, masks), SCHEMA, keep)
+    names, masks, default = build(spark, training)
+    return map_batches(docs, text, lambda: Decider(names, masks, default), SCHEMA, keep)

@@ -170,7 +170,7 @@ def test_language_held_out(spark):
 def test_filters_return_all_languages_of_a_gram(spark):
     rows = [(i, "shared words only en " * 3, "en", "") for i in range(9)] + [(100 + i, "shared words seulement fr " * 3, "fr", "") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    names, masks = L.build(spark, df.select(F.col("lang").alias("_lang"), F.col("text").alias("_t")))
+    names, masks, _ = L.build(spark, df.select(F.col("lang").alias("_lang"), F.col("text").alias("_t")))
     both = np.bitwise_and.reduce(masks[L.slots(np.unique(L.grams("shared words")))], axis=1)
     assert names == ["en", "fr"] and (both == 3).all()
     d = L.Decider(names, masks)
@@ -187,7 +187,7 @@ def test_one_language_far_larger_than_the_rest(spark):
     some = [f"kalu mira tosen {w} belka" for w in ("doru", "fenit", "galo", "hurem")]
     small = [f"the {w} house stands near water" for w in ("old", "red", "big", "low")]
     rows = [("aa", t) for t in wide * 3] + [("aa", t * 40) for t in some * 5000] + [("zz", t) for t in small * 20]
-    names, masks = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string").repartition(8))
+    names, masks, _ = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string").repartition(8))
     d = L.Decider(names, masks)
     assert names == ["aa", "zz"] and (d.false < 0.05).all()
     assert all(d(t)[0] == "zz" and d(t)[1] > 0.8 for t in small) and all(d(t)[0] == "aa" for t in some)
@@ -196,7 +196,7 @@ def test_one_language_far_larger_than_the_rest(spark):
 def test_filter_grows_with_the_largest_language(spark):
     rng = np.random.default_rng(9)
     rows = [("aa", "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 500)))) for _ in range(400)] * 3 + [("zz", "old house")] * 9
-    names, masks = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string"))
+    names, masks, _ = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string"))
     assert len(masks) >= 3_900_000 and (L.Decider(names, masks).false < 0.05).all()
 
 
@@ -205,6 +205,33 @@ def test_undetermined(t):
     assert L.Decider(["en"], np.ones(1 << L.SLOT_BITS, np.uint64))(t) == (L.UND, 0.0)
 
 
+def test_seventy_languages_of_two_texts(spark):
+    """More languages than a mask word has bits, few texts each."""
+    rng = random.Random(5)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for _ in range(70)]
+    text = lambda i: " ".join("".join(rng.choices(alphabets[i], k=6)) for _ in range(150))
+    rows = [(f"l{i:02d}", text(i)) for i in range(70) for _ in range(2)]
+    names, masks, _ = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string"))
+    assert len(names) == 70 and masks.shape[1] == 2
+    d = L.Decider(names, masks)
+    assert all(d(t)[0] == lang for lang, t in rows)
+    assert sum(d(text(i))[0] == f"l{i:02d}" for i in range(70)) >= 60  # new texts
+    # every n-gram that languages share alike is in the masks of all of them
+    common = [(f"l{i:02d}", "zebra") for i in range(70)]
+    names, masks, _ = L.build(spark, spark.createDataFrame(common, "_lang string, _t string"))
+    found = np.bitwise_and.reduce(masks[L.slots(L.grams("zebra"), len(masks))], axis=1)
+    assert (found == np.array([2**64 - 1, 2**6 - 1], np.uint64)).all()
+
+
+def test_unknown_text_gets_the_language_learnt_most(spark):
+    rows = [("aa", "one"), ("bb", "seven lines of longer words"), ("cc", "two")]
+    names, masks, default = L.build(spark, spark.createDataFrame(rows, "_lang string, _t string"))
+    d = L.Decider(names, masks, default)
+    assert d("привет") == ("bb", 0.0) and d("12 !") == (L.UND, 0.0) and d("two")[0] == "cc"
+    names, masks, default = L.build(spark, spark.createDataFrame([("aa", ""), ("bb", None)], "_lang string, _t string"))
+    assert L.Decider(names, masks, default)("text") == (L.UND, 0.0)
+
+
 def test_language_odd_rows(spark, odd, empty):
     rows = L.identify(spark, odd).collect()
     assert len(rows) == 13 and all(r.lang_pred == L.UND for r in rows if not r.text or not any(map(str.isalpha, r.text)))
