@@ -627,6 +627,9 @@ for _k in ("group_stats", "daily_usage", "efficiency_summary", "top_wasters", "c
 for _k in ("node_stats", "gpu_utilization"):
     SQL[f"analyze_{_k}"] = _on_run2(_k, nodes=True)
 
+for _k in ("user_stats", "group_stats", "daily_usage", "top_wasters", "cluster_summary", "state_distribution"):
+    SQL[f"analyze_daily_{_k}"] = SQL[f"analyze_{_k}"]
+
 SQL["store_stats"] = with_ctes(BASE, JOBS, LINES_T.format(lines="lines", base="base"), """
 parts AS (
   SELECT 'processed/job_date=' || job_date AS part, CAST(count(*) AS BIGINT) AS n FROM metrics GROUP BY 1

@@ -157,6 +157,11 @@ def group_stats(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum(cpu_waste_s()), F.lit(0.0)).alias("cpu_w"),
         F.coalesce(F.sum(mem_waste_mb_s()), F.lit(0.0)).alias("mem_w"),
     )
+    return group_stats_of_users(per_user, groups)
+
+
+def group_stats_of_users(per_user: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """A2 from one row per user: n, cpu, mem, gpu, cpu_w, mem_w in base units."""
     g = with_group(per_user, groups, skew_safe=False)  # one row per user: no hot key
     return g.groupBy("group").agg(
         F.count(F.lit(1)).alias("unique_users"),  # one row per user (null user included once)
@@ -299,7 +304,12 @@ def state_counts(df: DataFrame) -> DataFrame:
 
 def top_states_text(df: DataFrame, k: int = 3) -> DataFrame:
     """T5: 'STATE: n, STATE: n, STATE: n' of the ``k`` most frequent states (ties by state)."""
-    top = state_counts(df).orderBy(F.col("count").desc(), F.col("state")).limit(k)
+    return states_text(state_counts(df), k)
+
+
+def states_text(counts: DataFrame, k: int = 3) -> DataFrame:
+    """T5 from (state, count)."""
+    top = counts.orderBy(F.col("count").desc(), F.col("state")).limit(k)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "state", "count")))
     txt = F.array_join(F.transform(ranked, lambda s: F.concat(s["state"], F.lit(": "), F.format_number(s["count"], 0))), ", ")
     return top.agg(txt.alias("top_states"))
@@ -321,7 +331,11 @@ def cluster_summary(prepared: DataFrame) -> DataFrame:
 def state_distribution(df: DataFrame) -> DataFrame:
     """Jobs per state and their share of all jobs (in %). The window runs
     over the per-state table only (one row per state)."""
-    sc = state_counts(df)
+    return state_shares(state_counts(df))
+
+
+def state_shares(sc: DataFrame) -> DataFrame:
+    """A9 from (state, count)."""
     total = scalar(sc.agg(F.sum("count").alias("_total")))
     return sc.select("state", "count", (F.col("count") / total * 100).alias("percentage"))
 

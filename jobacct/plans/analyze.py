@@ -14,14 +14,24 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from jobacct.operators import nodes as ND
+from jobacct.operators import partials as P
 from jobacct.operators import reports as R
 from jobacct.session import use_utc
-from jobacct.sources.store import PROCESSED, load_recent
+from jobacct.sources import daily, journal
+from jobacct.sources.store import PROCESSED, date_window, load_recent
 
 
 def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7, groups: DataFrame | None = None,
-            inventory: DataFrame | None = None, persist: bool = True) -> dict[str, DataFrame]:
+            inventory: DataFrame | None = None, persist: bool = True, from_daily: bool = False) -> dict[str, DataFrame]:
+    """All sections. ``from_daily``: from the sums by day of a store that keeps
+    them (``store.build_daily``), no job is read; equal but for the medians of the
+    efficiency summary, which are of merged sketches. The sections of nodes
+    (``inventory``) read the jobs either way."""
     use_utc(spark)
+    if from_daily:
+        journal.recover(spark, root)
+        if daily.kept(spark, root):
+            return _from_daily(spark, root, as_of, days, groups, inventory)
     jobs = load_recent(spark, root, as_of, days, PROCESSED)
     # jobs are not joined to the group mapping: the group report joins it to
     # per-user rows (see reports.group_stats)
@@ -29,10 +39,10 @@ def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7,
     if persist:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     users = R.user_stats(prepared)
-    daily = R.daily_usage(prepared)
+    per_day = R.daily_usage(prepared)
     out = {
-        "daily_usage": daily,
-        "daily_usage_recent": R.daily_usage_recent(daily),
+        "daily_usage": per_day,
+        "daily_usage_recent": R.daily_usage_recent(per_day),
         "user_stats": users,
         "top_users": R.top_users(users),
         "group_stats": R.group_stats(prepared, groups),
@@ -43,6 +53,31 @@ def analyze(spark: SparkSession, root: str, as_of: str | dt.date, days: int = 7,
     }
     if inventory is not None:
         out.update(ND.node_report(prepared, inventory))
+    return _with_charts(out)
+
+
+def _from_daily(spark: SparkSession, root: str, as_of: str | dt.date, days: int, groups: DataFrame | None,
+                inventory: DataFrame | None) -> dict[str, DataFrame]:
+    dates = date_window(as_of, days)
+    sums = daily.read(spark, root, daily.USAGE, dates)
+    users, per_day = P.user_stats(sums), P.daily_usage(sums)
+    out = {
+        "daily_usage": per_day,
+        "daily_usage_recent": R.daily_usage_recent(per_day),
+        "user_stats": users,
+        "top_users": R.top_users(users),
+        "group_stats": P.group_stats(sums, groups),
+        "efficiency_summary": R.efficiency_of_partials(daily.read(spark, root, daily.EFFICIENCY, dates)),
+        "top_wasters": P.top_wasters(sums),
+        "cluster_summary": P.cluster_summary(sums),
+        "state_distribution": P.state_distribution(sums),
+    }
+    if inventory is not None:
+        out.update(ND.node_report(R.prepare(load_recent(spark, root, as_of, days, PROCESSED)), inventory))
+    return _with_charts(out)
+
+
+def _with_charts(out: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["show_group_stats"] = R.show_group_section(out["group_stats"])
     out.update({name: R.chart(out, name) for name, (section, *_) in R.CHARTS.items() if section in out})
     return out

@@ -944,6 +944,30 @@ for _section in ("group_stats", "daily_usage", "efficiency_summary", "top_waster
     _register_analyze(_section)
 
 
+def _daily_analysis(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from jobacct.plans.analyze import analyze
+    from jobacct.plans.collect import collect
+    from jobacct.sources import store as ST
+
+    root = _store(spark)
+    collect(spark, bronze(spark, sf_dir, 1), root, *window(spark, sf_dir, 1), RUN1_AT).collect()
+    ST.build_daily(spark, root)
+    collect(spark, bronze(spark, sf_dir, 2), root, *window(spark, sf_dir, 2), RUN2_AT).collect()
+    return analyze(spark, root, *window(spark, sf_dir, 2), groups(spark, sf_dir), persist=False, from_daily=True)
+
+
+def _register_daily(section: str) -> None:
+    def fn(spark, sf_dir):
+        return _daily_analysis(spark, sf_dir)[section]
+
+    fn.__doc__ = f"C5: the '{section}' section from the sums by day, built after the first collection and kept by the second."
+    register(f"analyze_daily_{section}")(fn)
+
+
+for _section in ("user_stats", "group_stats", "daily_usage", "top_wasters", "cluster_summary", "state_distribution"):
+    _register_daily(_section)
+
+
 def _chart_section(spark: SparkSession, sf_dir: str, section: str) -> DataFrame:
     if section in ("node_stats", "gpu_utilization"):
         return node_section(spark, sf_dir)[section]

@@ -5,6 +5,8 @@ Layout under a store root::
     processed/job_date=YYYY-MM-DD/part-*.parquet   silver, one row per job
     raw/job_date=YYYY-MM-DD/part-*.parquet         bronze + line sequence
     completed/job_date=YYYY-MM-DD/part-*.parquet   dates that need no re-collection
+    jobs/job_block=B/part-*.parquet                on which date a job is stored (``job_index``)
+    daily_*/job_date=YYYY-MM-DD/part-*.parquet     sums by day, if kept (``daily``)
 
 Reads always pass the declared schema (files written before a column existed
 read it as null instead of failing the union) and filter on ``job_date`` so
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from jobacct.schemas import BRONZE_STORED, DATE_COLUMN, SILVER_COLUMNS, SILVER_STORED
 from jobacct.session import path_exists, scratch_path
-from jobacct.sources import job_index, journal
+from jobacct.sources import daily, job_index, journal
 
 PROCESSED, RAW, COMPLETED = "processed", "raw", "completed"
 RAW_STORED = T.StructType(
@@ -199,10 +201,14 @@ def load_days(spark: SparkSession, root: str, as_of: str | dt.date, n: int = 7)
 
 # --- sinks -------------------------------------------------------------------------
 def write_silver(df: DataFrame, root: str) -> None:
-    """Replace the written dates of the processed table. The job index
-    does not follow a plain write; it goes, and the next collection builds it anew."""
+    """Replace the written dates of the processed table. The job index and the
+    sums by day do not follow a plain write; they go. The next collection builds the
+    index anew, ``build_daily`` the sums."""
+    files = journal.Files(df.sparkSession, root)
+    for table in (job_index.JOBS, daily.USAGE, daily.EFFICIENCY):
+        files.delete(f"{root.rstrip('/')}/{table}")
     write_table(df, root, PROCESSED)
-    journal.Files(df.sparkSession, root).delete(f"{root.rstrip('/')}/{job_index.JOBS}")
+    files.delete(f"{root.rstrip('/')}/{job_index.JOBS}")
 
 
 def write_bronze(df: DataFrame, root: str) -> None:
@@ -232,6 +238,8 @@ def merge_silver(run: journal.Run, new: DataFrame, superseded: DataFrame | None
     written = run.partitions(PROCESSED)
     run.drop(PROCESSED, DATE_COLUMN, [d for d in left if d not in written])
     job_index.ensure(spark, root, read_table(spark, root, PROCESSED))
+    merged = spark.read.schema(SILVER_STORED).option("basePath", f"{run.path}/{PROCESSED}").parquet(f"{run.path}/{PROCESSED}")
+    daily.follow(run, new, superseded, merged, run.dropped_of(PROCESSED))
     run.write(job_index.merged(spark, root, new), job_index.JOBS, job_index.BLOCK_COLUMN)
     return written
 
@@ -254,6 +262,12 @@ def upsert_store(spark: SparkSession, root: str, new: DataFrame, superseded: Dat
     return read_table(spark, root, PROCESSED, written)
 
 
+def build_daily(spark: SparkSession, root: str) -> None:
+    """From now on the store keeps sums by day (``daily``)."""
+    journal.recover(spark, root)
+    daily.build(spark, root, read_table(spark, root, PROCESSED))
+
+
 def merge_raw(run: journal.Run, new_raw: DataFrame) -> DataFrame:
     """Raw archive: per date, archived lines whose ``JobIDRaw`` was fetched again
     are replaced by the new fetch (kept as fetched, duplicates included: the
