@@ -1,13 +1,16 @@
 """Operator 2 [native]: benchmark decontamination by hashed token windows.
 
 * Benchmark items become their distinct windows of 10 words (the whole item
-  if it has fewer), each with a 64-bit key made of its words' hashes. A count
-  proves the window table small before it is broadcast; a larger one is joined
-  by a shuffle on the key. Either way a key stands once, with its items apart,
-  so an item repeated a thousand times does not multiply hits.
-* Every document's windows of those lengths stream through the join on the key
-  in the task that read the document. Only hits are verified, word by word
-  against the window's text, and shuffled.
+  if it has fewer), each with a 64-bit key made of its words' hashes. A count of
+  rows and bytes proves the window table small before it is broadcast. Of a larger
+  one a blocked Bloom filter of the keys is broadcast, of a size fixed by the number
+  of keys and never over ``MOST_BLOCKS`` blocks of 4 KB. Either way a key stands once,
+  with its items apart, so an item repeated a thousand times does not multiply hits.
+* Every document's windows of those lengths stream through the table or filter in
+  the task that read the document. What passes is verified word by word against the
+  window's text: at once, or after a shuffle of the windows that passed the filter
+  (hits, and well under 1 % of the others until the filter is full), the keys that
+  hold a large share of them apart from the rest. Only hits are kept.
 * Per document, hit places merge into runs of words (``start``, ``end``
   exclusive) and the items whose windows occur are listed.
 
@@ -24,9 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobacct.llm.common import NOT_WORD, fits, sized, stage, words_of
+from jobacct.llm.common import BROADCAST_ROWS, stage, words_of
+from jobacct.operators.joins import lookup_join
 
 N = 10
+#: A table of windows is broadcast up to ``BROADCAST_ROWS`` rows and this many bytes of text.
+BROADCAST_BYTES = 32 << 20
+#: The filter: words of 64 bits in a block, bits for each key, blocks at most (32 MB, 16 million keys; fuller beyond).
+BLOCK_WORDS, KEY_BITS, MOST_BLOCKS = 512, 16, 8192
 #: Share of hit words from which a document goes as a whole.
 DROP_SHARE = 0.5
 #: Between words, with either case of letters being part of a word.
@@ -64,6 +72,32 @@ def benchmark_windows(spark: SparkSession, benchmark: DataFrame, item_id: str =
     return windows, sorted(r[0] for r in windows.select("len").distinct().collect())
 
 
+def small(windows: DataFrame) -> bool:
+    """Whether rows with a column ``window`` are few and short enough to be broadcast."""
+    n, size = windows.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def _probe(key: Column, blocks: int) -> tuple[Column, Column, Column]:
+    """Block, word in it and the four bits of that word that stand for a key."""
+    h = F.xxhash64(key)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, at).bitwiseAND(63).cast("int"))
+    mask = bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))
+    return F.pmod(key, F.lit(blocks)), F.shiftrightunsigned(h, 24).bitwiseAND(BLOCK_WORDS - 1).cast("int"), mask
+
+
+def key_filter(spark: SparkSession, keys: DataFrame) -> tuple[DataFrame, int]:
+    """(block, bits array<bigint>) of all ``keys`` (column key), staged, and the number of blocks."""
+    blocks = min(MOST_BLOCKS, max(1, -(-keys.count() * KEY_BITS // (64 * BLOCK_WORDS))))
+    block, word, mask = _probe(F.col("key"), blocks)
+    held = keys.select(block.alias("block"), word.alias("word"), mask.alias("mask"))
+    at = F.col("id")
+    none = spark.range(blocks * BLOCK_WORDS).select(F.floor(at / BLOCK_WORDS).alias("block"), (at % BLOCK_WORDS).cast("int").alias("word"), F.lit(0).cast("bigint").alias("mask"))
+    words = held.unionByName(none).groupBy("block", "word").agg(F.bit_or("mask").alias("mask"))
+    row = F.transform(F.sort_array(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"])  # BLOCK_WORDS entries each
+    return stage(spark, words.groupBy("block").agg(row.alias("bits")), "decontamination-filter"), blocks
+
+
 def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``docs`` with _llm_id and _llm_digest, which tell documents apart."""
     return docs.withColumns({"_llm_id": F.col(doc_id), "_llm_digest": F.xxhash64(F.col(text))})
@@ -85,16 +119,16 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str
     distinct = windows.select("key", "window").distinct()
     own = F.concat_ws(" ", F.slice("words", F.col("i") + 1, F.col("n")))
     # explode_outer: for explode, the optimizer would compute ``places`` a second time in a filter on its size
-    if fits(distinct):
-        rows = d.select("_llm_id", "_llm_digest", "words", F.explode_outer("places").alias("p")).select("_llm_id", "_llm_digest", "words", "p.key", "p.i", "p.n")
+    rows = d.select("_llm_id", "_llm_digest", "words", F.explode_outer("places").alias("p")).select("_llm_id", "_llm_digest", "words", "p.key", "p.i", "p.n")
+    if small(distinct):
         # verified on key matches only: as an equality, the text would become a second join key, built for every window
         found = rows.join(F.broadcast(distinct), "key").where(F.startswith(own, F.col("window")) & F.startswith(F.col("window"), own))
-    else:  # keys and places alone are shuffled; what matches meets the words of its document again
-        rows = d.select("_llm_id", "_llm_digest", F.explode_outer("places").alias("p")).select("_llm_id", "_llm_digest", "p.key", "p.i", "p.n")
-        match = rows.join(distinct, "key").groupBy("_llm_id", "_llm_digest").agg(F.collect_set(F.struct("key", "window", "i", "n")).alias("m"))
-        w = with_key(docs, doc_id, text).select("_llm_id", "_llm_digest", words_of(F.col(text)).alias("words"))
-        rows = w.join(match, _on(w, match)).select(w["_llm_id"], w["_llm_digest"], "words", F.explode_outer("m").alias("m"))
-        found = rows.select("_llm_id", "_llm_digest", "words", "m.key", "m.window", "m.i", "m.n").where(own == F.col("window"))
+    else:
+        held, blocks = key_filter(spark, windows.select("key").distinct())
+        block, word, mask = _probe(F.col("key"), blocks)
+        passed = rows.join(F.broadcast(held), (block == held["block"]) & (F.get("bits", word).bitwiseAND(mask) == mask))
+        passed = stage(spark, passed.select("_llm_id", "_llm_digest", "key", "i", "n", own.alias("own")), "decontamination-passed")
+        found = lookup_join(passed, distinct, ["key"], "inner").where(F.col("own") == F.col("window"))
     found = stage(spark, found.select("_llm_id", "_llm_digest", "key", "window", "i", "n"), "decontamination-hits")
     # sets, so that repeated rows add nothing; what a document gathers is bounded by its text
     spans = found.groupBy("_llm_id", "_llm_digest").agg(F.collect_set(F.struct("i", "n")).alias("spans"))
@@ -102,7 +136,9 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_id: str
     spans = spans.withColumn("starts", F.expr("filter(at, (x, k) -> k = 0 or get(at, k - 1) < x - 1)"))
     spans = spans.withColumn("ends", F.expr("filter(at, (x, k) -> k = size(at) - 1 or get(at, k + 1) > x + 1)"))
     spans = spans.select("_llm_id", "_llm_digest", F.size("at").cast("long").alias("n_hit"), F.expr("zip_with(starts, ends, (s, e) -> struct(s as start, e + 1 as end))").alias("runs"))
-    items = found.select("_llm_id", "_llm_digest", "key", "window").distinct().join(sized(windows.select("key", "window", "item")), ["key", "window"])
+    listed = windows.select("key", "window", "item")
+    listed = F.broadcast(listed) if small(listed) else listed
+    items = found.select("_llm_id", "_llm_digest", "key", "window").distinct().join(listed, ["key", "window"])
     items = items.groupBy("_llm_id", "_llm_digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return stage(spark, spans.join(items, _on(spans, items)).select(spans["_llm_id"], spans["_llm_digest"], "n_hit", "runs", "items"), "decontamination-documents")
 
@@ -137,11 +173,13 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame)
     follows), a document goes when they are DROP_SHARE or more of its words.
     Documents without hits stay as they are."""
     h = hits(spark, docs, benchmark).select("_llm_id", "_llm_digest", F.col("n_hit").alias("_llm_hit"), F.col("runs").alias("_llm_runs"))
-    d = with_key(docs, "doc_id", "text")
-    hit, runs, whole = F.col("_llm_hit"), F.col("_llm_runs"), d["text"]
+    # columns of docs by place, so that none of them can clash with the names here
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    d = with_key(docs.select(*(F.col(f"`{c}`").alias(k) for c, k in at.items())), at["doc_id"], at["text"])
+    hit, runs, whole = F.col("_llm_hit"), F.col("_llm_runs"), d[at["text"]]
     j = d.join(h, _on(d, h), "left").where(hit.isNull() | (hit < DROP_SHARE * F.size(words_of(whole))))
     text = F.when(hit.isNull(), whole).otherwise(without_runs(whole, runs))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit.isNull(), d["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return j.select(*(new.get(c, d[c]).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(hit.isNull(), d[at["n_chars"]]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return j.select(*(new.get(c, d[k]).alias(c) for c, k in at.items()))

@@ -56,11 +56,14 @@ def test_hits_against_brute_force(spark, tables):
     assert D.scan(spark, docs.limit(0), bench).count() == 0
 
 
-def test_shuffled_join_of_a_large_benchmark(spark, tables, monkeypatch):
+@pytest.mark.parametrize("full", [False, True])
+def test_filtered_windows_of_a_large_benchmark(spark, tables, monkeypatch, full):
+    """Beyond the broadcast bound, and with a filter so full that it lets every window through, results stay."""
     docs, bench = tables
     a = sorted(map(repr, D.scan(spark, docs, bench).collect()))
-    monkeypatch.setattr(D, "fits", lambda df: False)
-    monkeypatch.setattr(D, "sized", lambda df: df)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 10)
+    if full:
+        monkeypatch.setattr(D, "key_filter", lambda spark, keys: (spark.createDataFrame([(0, [-1] * D.BLOCK_WORDS)], "block long, bits array<bigint>"), 1))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert sorted(map(repr, D.scan(spark, docs, bench).collect())) == a
@@ -68,15 +71,30 @@ def test_shuffled_join_of_a_large_benchmark(spark, tables, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_filter_holds_every_key_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+    held, blocks = D.key_filter(spark, keys)
+    assert blocks == n * D.KEY_BITS // (64 * D.BLOCK_WORDS) + 1 == held.count()
+    assert held.where(F.size("bits") != D.BLOCK_WORDS).isEmpty()
+    block, word, mask = D._probe(F.col("key"), blocks)
+    passes = lambda k: k.join(F.broadcast(held), (block == held["block"]) & (F.get("bits", word).bitwiseAND(mask) == mask)).count()
+    assert passes(keys) == n
+    assert passes(spark.range(n, 11 * n).select(F.xxhash64("id").alias("key"))) < 0.01 * 10 * n
+
+
 def test_cleaned_documents(spark, tables):
     docs, bench = tables
-    docs = docs.selectExpr("*", "1 as n_hit", "'q' as runs")  # names of the operator's own columns
+    docs = docs.selectExpr("*", "1 as n_hit", "'q' as runs", "7 as _llm_id", "8 as _llm_digest", "9 as _llm_hit", "'z' as c0")  # names of the operator's own columns
     out = D.clean_documents(spark, docs, bench)
     assert out.columns == docs.columns
     rows = {r.doc_id: r for r in out.collect()}
     assert D.scan(spark, out, bench).where("n_hit > 0").count() == 0
     assert 23 not in rows and 20 not in rows  # mostly benchmark: gone
     assert rows[24].text == "." * 3 + " tail " * 30 and rows[24].n_chars == len(rows[24].text) and rows[24].runs == "q"
+    assert {(r._llm_id, r._llm_digest, r._llm_hit, r.c0) for r in rows.values()} == {(7, 8, 9, "z")}
     untouched = {r.doc_id: r for r in docs.where("doc_id < 20").collect()}
     assert all(rows[i] == r for i, r in untouched.items())
 
