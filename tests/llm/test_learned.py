@@ -29,19 +29,26 @@ def test_toxic_documents_held_out(spark):
     assert not false and len(found) >= 0.7 * sum(x.toxic for x in rows)  # few toxic training texts at this size
 
 
-def test_label_model_recovers_rates_and_discounts_repeats():
+def pattern_counts(votes) -> dict:
+    bits = sum(v.astype(int) << i for i, v in enumerate(votes))
+    return {(int(b), None): int(c) for b, c in zip(*np.unique(bits, return_counts=True), strict=True)}
+
+
+def test_label_model_recovers_rates_and_ignores_repeats():
     rng = np.random.default_rng(4)
     n, prior = 40_000, 0.2
     y = rng.random(n) < prior
-    rates = [(0.7, 0.01), (0.5, 0.02), (0.6, 0.05), (0.3, 0.01), (0.3, 0.01), (0.8, 0.1), None]
-    votes = [rng.random(n) < np.where(y, r[0], r[1]) for r in rates[:-1]]
-    votes.append(votes[0].copy())  # a voter that repeats another
-    bits = sum(v.astype(int) << i for i, v in enumerate(votes))
-    m = X.LabelModel({(int(b), None): int(c) for b, c in zip(*np.unique(bits, return_counts=True), strict=True)})
-    assert abs(m.prior - prior) < 0.05
-    for i, r in enumerate(rates[:-1]):
-        assert abs(m.rate[0][i] - r[0]) < 0.1 and abs(m.rate[1][i] - r[1]) < 0.05
-    assert m.discount[0] < 0.6 > m.discount[6] and m.discount[3] > 0.8
+    rates = [(0.7, 0.01), (0.5, 0.02), (0.6, 0.05), (0.3, 0.01), (0.3, 0.01), (0.8, 0.1)]
+    votes = [rng.random(n) < np.where(y, r[0], r[1]) for r in rates]
+    alone = X.LabelModel(pattern_counts(votes), voters=6)
+    m = X.LabelModel(pattern_counts([*votes, votes[0].copy()]))  # a voter that repeats another
+    for model in (alone, m):
+        assert abs(model.prior - prior) < 0.02
+        for i, r in enumerate(rates):
+            assert abs(model.rate[0][i] - r[0]) < 0.05 and abs(model.rate[1][i] - r[1]) < 0.02
+    assert m.parent[6] == 0
+    # the repetition moves no posterior
+    assert all(abs(m.posterior(b | (b & 1) << 6) - alone.posterior(b)) < 0.001 for b in range(64))
     assert m.posterior(0, 1) > m.posterior(0) > m.posterior(0, 0)
 
 
@@ -51,6 +58,10 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert len(rows) == 13 and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.text in (None, "")}) == 1
     assert X.score_documents(spark, empty, none).count() == 0
+    some = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (4, None), (8, 7), (None, 1)], "doc_id long, toxic int")
+    clash = odd.selectExpr("*", "1 as _t", "2 as _y", "3 as q", "4 as feats", "5 as bits")
+    rows = X.score_documents(spark, clash, some).collect()
+    assert len(rows) == 13 and all(0 <= r.score <= 1 and (r._t, r._y, r.q, r.feats, r.bits) == (1, 2, 3, 4, 5) for r in rows)
 
 
 # --- licences ---------------------------------------------------------------------------
