@@ -234,7 +234,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc
     soft = stage(spark, map_batches(sample, ["_t", "_y"], labeller, _SOFT, []), "toxicity-posteriors")
     at = {w: i for i, w in enumerate(significant(soft.select("feats", (F.col("q") >= 0.5).alias("y"))))}
     held = map_batches(soft, "feats", lambda: lambda feats: (sorted(at[w] for w in feats if w in at),), _HELD, ["q"])
-    weights, bias = train([(r.held, r.q) for r in held.orderBy("q", "held").collect()], list(at), model.prior)
+    rows = sorted((r.held, r.q) for r in held.collect())  # SAMPLE at most; in order, so that the sums do not depend on tasks
+    weights, bias = train(rows, list(at), model.prior)
 
     def scorer():
         def one(t):
