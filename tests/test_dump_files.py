@@ -24,6 +24,7 @@ def test_files_of_a_bounded_number_of_events_in_line_order(spark, tmp_path, monk
     monkeypatch.setattr(FX, "EVENTS_PER_FILE", 50)
     files = sorted(glob.glob(f"{FX.dump_path(spark, sf)}/part-*".removeprefix("file:")))
     assert len(files) > 15
+    assert spark.conf.get(FX.HUGE_METHOD, "65535") == "65535"  # set for the rendering alone
     texts = [gzip.open(f, "rt").read().splitlines() for f in files]
     mains = [[int(line.split("|")[0]) for line in t if line.count("|") == 60 and line.split("|")[0].isdigit()] for t in texts]
     assert max(len(set(m)) for m in mains) <= 150
